@@ -7,7 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framelake.llm import mixing, shards, simhash, winnowing
+from framelake.llm import langid_crf, licenses, mixing, shards, simhash, winnowing
+
+
+def op1_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned without the held-out fold."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    found = langid_crf.labelled(docs.select("doc_id", "text"), langid_crf.fit(docs))
+    return found.select("doc_id", langid_crf.held_out().alias("held_out"), "lang_pred", "score")
 
 
 def op2_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,6 +41,13 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op10_license_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and template matches of every document."""
+    found = licenses.scanned(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    labels = F.array_sort(F.array_union("base_labels", "template_labels"))
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("base_labels", ",").alias("base_labels"), F.array_join(labels, ",").alias("labels"), "score")
+
+
 OP7_SQL = r"""
 WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
@@ -50,5 +64,5 @@ r AS (SELECT d.doc_id, d.size, t.source_size, t.target, CASE WHEN t.source_size
 SELECT doc_id, size, source_size, target, CAST(size * (floor(rate) + CASE WHEN chance < rate - floor(rate) THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM r
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_virtual_slots, op3_winnowing, op7_source_mix, op9_simhash)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_crf, op2_virtual_slots, op3_winnowing, op7_source_mix, op9_simhash, op10_license_join)}
 ORACLE_SQL: dict[str, str] = {"op7_source_mix": OP7_SQL}
