@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from framelake.llm import mixing, shards, simhash, winnowing
+from framelake.llm import langid_crf, mixing, shards, simhash, winnowing
 from framelake.llm.shared import settled
 
 
+def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a language that holds most of their words go."""
+    return langid_crf.identified(docs)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest id of each SimHash group stays."""
     return simhash.keep_first(docs)
@@ -28,7 +33,7 @@ def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return shards.sharded(docs)
 
 
-STAGES = [("near duplicates", near_duplicates), ("decontamination", decontamination), ("mixing", mixing_sources), ("sharding", sharding)]
+STAGES = [("language", languages), ("near duplicates", near_duplicates), ("decontamination", decontamination), ("mixing", mixing_sources), ("sharding", sharding)]
 
 #: SQL can express neither the language model nor XXH64; tests hold the stages against brute force.
 ORACLE_SQL = None

@@ -71,57 +71,60 @@ def runs(bucket: np.ndarray, part: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], new, [len(bucket)]])
 
 
-def pair_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray]]:
-    """From sorted rows (bucket, part, anchor, id, ...): (rows, anchor positions, partner positions) of every anchor with every partner of its group.
+def whole_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray]]:
+    """From sorted rows (bucket, part, anchor, id, ...): (rows, where groups begin and the end, anchors of each group, whether a row is a new partner).
 
-    Of a group only its anchors, a bounded number, are carried from batch to batch.
+    All anchors of a group stand before its partners. Of a group only its anchors, a bounded number, are carried from batch to batch.
     """
     held: pa.Table | None = None
     for batch in batches:
         if not batch.num_rows:
             continue
         table = pa.Table.from_batches([batch])
-        if held is not None and held.num_rows:
-            table = pa.concat_tables([held, table])
         old = held.num_rows if held is not None else 0
+        if old:
+            table = pa.concat_tables([held, table])
         table = table.combine_chunks()
         bucket, part, anchor = (table.column(c).to_numpy(zero_copy_only=False) for c in ("bucket", "part", "anchor"))
         edge = runs(bucket, part)
-        first = np.repeat(edge[:-1], np.diff(edge))
         of_anchor = np.concatenate([[0], np.cumsum(anchor)])
-        anchors = np.repeat(of_anchor[edge[1:]] - of_anchor[edge[:-1]], np.diff(edge))
-        partner = np.flatnonzero(~anchor & (np.arange(len(anchor)) >= old))  # held rows are anchors only
-        n = anchors[partner]
-        partner, n = partner[n > 0], n[n > 0]
-        end = np.cumsum(n)
-        at = 0
-        while at < len(partner):
-            to = max(at + 1, int(np.searchsorted(end, (end[at - 1] if at else 0) + PAIRS, "right")))
-            p = np.repeat(partner[at:to], n[at:to])
-            k = np.arange(len(p)) - np.repeat(end[at:to] - n[at:to] - (end[at - 1] if at else 0), n[at:to])
-            yield table, first[p] + k, p
-            at = to
+        yield table, edge, of_anchor[edge[1:]] - of_anchor[edge[:-1]], ~anchor & (np.arange(len(anchor)) >= old)  # held rows are anchors only
         last = table.slice(edge[-2])
         held = last.filter(last.column("anchor"))
 
 
-def linked_forest(batches: Iterator[pa.RecordBatch], alike: Callable[[pa.Table, np.ndarray, np.ndarray], np.ndarray]) -> Iterator[pa.RecordBatch]:
+def pairs_of(edge: np.ndarray, anchors: np.ndarray, partner: np.ndarray, most: int = PAIRS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(anchor positions, partner positions) of every anchor with every partner of its group, ``most`` pairs or one partner's at a time."""
+    size = np.diff(edge)
+    first, n = np.repeat(edge[:-1], size), np.repeat(anchors, size)
+    partner = np.flatnonzero(partner & (n > 0))
+    n = n[partner]
+    end = np.cumsum(n)
+    at = 0
+    while at < len(partner):
+        done = end[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(end, done + most, "right")))
+        p = np.repeat(partner[at:to], n[at:to])
+        yield first[p] + np.arange(len(p)) - np.repeat(end[at:to] - n[at:to] - done, n[at:to]), p
+        at = to
+
+
+def linked_forest(batches: Iterator[pa.RecordBatch], alike: Callable[[pa.Table, np.ndarray, np.ndarray], np.ndarray], pairs: int = PAIRS) -> Iterator[pa.RecordBatch]:
     """(a, b): verified links of all groups, reduced to a forest. ``alike`` tells for positions of anchors and partners which pairs link."""
     forest = Forest()
 
     def told(found: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], ["a", "b"])
 
-    for table, i, j in pair_blocks(batches):
+    for table, edge, anchors, partner in whole_anchors(batches):
         ids = table.column("id").to_numpy()
-        a, b = ids[i], ids[j]
-        other = a != b
-        if not other.any():
-            continue
-        i, j, a, b = i[other], j[other], a[other], b[other]
-        good = alike(table, i, j)
-        forest.add(a[good], b[good])
-        if found := forest.flush():
-            yield told(found)
+        for i, j in pairs_of(edge, anchors, partner, pairs):
+            other = ids[i] != ids[j]
+            i, j = i[other], j[other]
+            if len(i):
+                good = alike(table, i, j)
+                forest.add(ids[i[good]], ids[j[good]])
+                if found := forest.flush():
+                    yield told(found)
     if found := forest.flush(True):
         yield told(found)

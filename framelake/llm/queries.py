@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framelake.llm import langid_crf, licenses, mixing, shards, simhash, winnowing
+from framelake.llm import capfilters, langid_crf, licenses, mixing, paragraphs, pseudolm, resampling, shards, simhash, winnowing
 
 
 def op1_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,12 +29,32 @@ def op3_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op4_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Importance weight and Gumbel top-k choice of every document."""
+    return resampling.resampled(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op5_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate links of every vector within its label."""
+    return capfilters.near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op6_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All passages of all documents that stand elsewhere too."""
+    return paragraphs.repeated_passages(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the mix takes of every document."""
     taken = mixing.copies(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return taken.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op8_pseudo_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Masked pseudo-likelihood of every document."""
+    return pseudolm.scored(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash groups of all documents."""
     groups = simhash.simhash_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))
@@ -64,5 +84,5 @@ r AS (SELECT d.doc_id, d.size, t.source_size, t.target, CASE WHEN t.source_size
 SELECT doc_id, size, source_size, target, CAST(size * (floor(rate) + CASE WHEN chance < rate - floor(rate) THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM r
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_crf, op2_virtual_slots, op3_winnowing, op7_source_mix, op9_simhash, op10_license_join)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_crf, op2_virtual_slots, op3_winnowing, op4_importance, op5_cap_filters, op6_paragraphs, op7_source_mix, op8_pseudo_lm, op9_simhash, op10_license_join)}
 ORACLE_SQL: dict[str, str] = {"op7_source_mix": OP7_SQL}

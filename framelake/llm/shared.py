@@ -9,7 +9,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Text bytes that one vectorised step of a Python worker handles; a single longer text is handled alone.
 STEP_BYTES = 4 << 20
@@ -35,6 +37,24 @@ def settled(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bits of a bitmap of hashes that prefilters rows before an exact join: 8 MB, whatever the number of hashes.
+FILTER_BITS = 1 << 26
+
+
+def hash_bitmap(hashes: DataFrame, column: str) -> Broadcast:
+    """A broadcast bitmap of fixed size with the bits of all hashes in ``column``; built by a map-side aggregation over its words."""
+    cells = hashes.selectExpr(f"shiftright(`{column}` & {FILTER_BITS - 1}, 6) cell", f"shiftleft(1L, cast(`{column}` & 63 as int)) bits").groupBy("cell").agg(F.bit_or("bits").alias("bits")).toPandas()  # of the bitmap's size at most
+    bitmap = np.zeros(FILTER_BITS >> 6, np.uint64)
+    bitmap[cells["cell"].to_numpy(np.int64)] = cells["bits"].to_numpy(np.int64).view(np.uint64)
+    return hashes.sparkSession.sparkContext.broadcast(bitmap)
+
+
+def in_bitmap(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which hashes may be among those of the bitmap: all that are, and few others as long as they are fewer than its bits."""
+    bit = hashes.astype(np.uint64, copy=False) & np.uint64(FILTER_BITS - 1)
+    return (bitmap[bit >> np.uint64(6)] >> (bit & np.uint64(63))) & np.uint64(1) > 0
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column without copying them, and each row's offsets into these; null is empty."""
     if isinstance(column, pa.ChunkedArray):

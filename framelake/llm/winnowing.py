@@ -14,10 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framelake.llm.bytewords import ALNUM, LOWER, bounds, gram_hashes, mixed, word_hashes, words
-from framelake.llm.shared import settled, steps
+from framelake.llm.shared import hash_bitmap, in_bitmap, settled, steps
 
-#: Bits of the bitmap of benchmark fingerprints that prefilters documents: 8 MB, whatever the benchmark's size.
-FILTER_BITS = 1 << 26
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 
 
@@ -67,8 +65,7 @@ def _doc_prints(batches: Iterator[pa.RecordBatch], spans: list[int], bitmap: Bro
         at, g = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
         for span in spans:
             a, x = winnowed(h, text_no, span)
-            bit = x & np.uint64(FILTER_BITS - 1)
-            met = (bits[bit >> np.uint64(6)] >> (bit & np.uint64(63))) & np.uint64(1) > 0
+            met = in_bitmap(bits, x)
             at.append(a[met])
             g.append(x[met])
         at, g = np.concatenate(at), np.concatenate(g)
@@ -126,14 +123,10 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, carr
     by a shuffle. Null and wordless texts have no words and no hits, on either side; a null item_id counts as the empty string; repeated
     rows are answered one by one, and items of one id count once. An empty benchmark leaves every document clean.
     """
-    spark = docs.sparkSession
     items = settled(benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("text is not null").withColumn("item", F.monotonically_increasing_id()), "items")
     prints = settled(items.select("item", "text").mapInArrow(partial(_item_prints, window=window), "h long, item long, at int, span int"), "itemprints")
     spans = sorted(r[0] for r in prints.select("span").distinct().collect())  # of window numbers at most
-    cells = prints.selectExpr(f"shiftright(h & {FILTER_BITS - 1}, 6) cell", "shiftleft(1L, cast(h & 63 as int)) bits").groupBy("cell").agg(F.bit_or("bits").alias("bits")).toPandas()  # of the bitmap's size at most
-    bitmap = np.zeros(FILTER_BITS >> 6, np.uint64)
-    bitmap[cells["cell"].to_numpy(np.int64)] = cells["bits"].to_numpy(np.int64).view(np.uint64)
-    shared = spark.sparkContext.broadcast(bitmap)
+    shared = hash_bitmap(prints, "h")
     kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.select(*carry).schema)
     scanned = docs.select(*carry, "text").mapInArrow(partial(_doc_prints, spans=spans, bitmap=shared), f"{kinds}n_words long, text string, prints array<struct<h: long, at: int>>")
     scanned = settled(scanned.withColumn("row", F.monotonically_increasing_id()), "docprints")
