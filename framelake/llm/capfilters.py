@@ -17,9 +17,9 @@ from framelake.llm.shared import settled
 BLOCKS = 3
 CODEWORDS = 64
 #: Filters that a random vector meets on average.
-FILTERS = 16
+FILTERS = 24
 #: A vector also meets all filters whose score is this close to its best, so that none meets no filter.
-SLACK = 0.1
+SLACK = 0.04
 
 
 @lru_cache(16)
@@ -64,7 +64,7 @@ def _filtered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if not len(part):
                     continue
                 rows = batch.take(pa.array(part))
-                v = rows.column("v").flatten().to_numpy().reshape(len(part), dim)
+                v = rows.column("v").flatten().to_numpy().reshape(len(part), dim).astype(float)
                 row, number = list_decode(v / np.linalg.norm(v, axis=1, keepdims=True))
                 order = np.lexsort((number, row))
                 row, number = row[order], number[order]
@@ -100,86 +100,83 @@ def _first_shared(lists: pa.Array, own: np.ndarray, i: np.ndarray, j: np.ndarray
     return out
 
 
-def _dense(ids: np.ndarray, unit: np.ndarray, label: np.ndarray, weight: np.ndarray, lists: pa.Array, own: int, anchors: np.ndarray, partners: np.ndarray, least: float) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
-    """For one large group: each partner's linked weight of which this filter is the pair's smallest, and links that connect what links here."""
-    flat, size = lists.values.to_numpy(), np.diff(lists.offsets.to_numpy())
-    begin = lists.offsets.to_numpy()
-    below = np.unique(np.concatenate([flat[begin[r] : begin[r] + size[r]] for r in anchors]))
-    below = below[below < own]
+def _dense(ids: np.ndarray, unit: np.ndarray, label: np.ndarray, weight: np.ndarray, lists: pa.Array, own: int, anchor: np.ndarray, new: np.ndarray, least: float) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """For one large group: the weight that each row links with by pairs whose smallest filter this is, and links that connect what links here."""
+    begin, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+    size, a, rows = np.diff(begin), np.flatnonzero(anchor), np.flatnonzero(new)
+    below = np.unique(flat[flat < own])
 
     def member(rows: np.ndarray) -> np.ndarray:
         out = np.zeros((len(rows), len(below) + 1), np.float32)
         row = np.repeat(np.arange(len(rows)), size[rows])
-        number = np.concatenate([flat[begin[r] : begin[r] + size[r]] for r in rows])
-        at = np.searchsorted(below, number)
-        known = below[np.minimum(at, len(below) - 1)] == number if len(below) else np.zeros(len(number), bool)
-        out[row[known], at[known]] = 1
+        number = flat[np.repeat(begin[rows], size[rows]) + np.arange(len(row)) - np.repeat(np.cumsum(size[rows]) - size[rows], size[rows])]
+        known = number < own
+        out[row[known], np.searchsorted(below, number[known])] = 1
         return out
 
-    has, linked, links = member(anchors), np.zeros(len(partners)), []
-    for at in range(0, len(partners), 1024):
-        p = partners[at : at + 1024]
-        near = (unit[p] @ unit[anchors].T >= least) & (label[p][:, None] == label[anchors]) & (ids[p][:, None] != ids[anchors])
-        linked[at : at + 1024] = (near & (member(p) @ has.T == 0)) @ weight[anchors]
-        # label propagation between these partners and all anchors leaves one link a row
-        top = np.iinfo(np.int64).max
-        of_anchor = np.minimum(ids[anchors], np.where(near, ids[p][:, None], top).min(0))
+    has, linked, links, top = member(a), np.zeros(len(ids)), [], np.iinfo(np.int64).max
+    for at in range(0, len(rows), 1024):
+        p = rows[at : at + 1024]
+        near = (unit[p] @ unit[a].T >= least) & (label[p][:, None] == label[a]) & (ids[p][:, None] != ids[a]) & (~anchor[p][:, None] | (a < p[:, None]))
+        first = near & (member(p) @ has.T == 0)
+        linked[p] += first @ weight[a]
+        linked[a] += weight[p[anchor[p]]] @ first[anchor[p]]
+        # labels spread between these rows and the anchors, which leaves one link a row
+        of_anchor = np.minimum(ids[a], np.where(near, ids[p][:, None], top).min(0))
         while True:
-            of_partner = np.minimum(ids[p], np.where(near, of_anchor, top).min(1))
-            now = np.minimum(of_anchor, np.where(near, of_partner[:, None], top).min(0))
+            of_row = np.minimum(ids[p], np.where(near, of_anchor, top).min(1))
+            now = np.minimum(of_anchor, np.where(near, of_row[:, None], top).min(0))
             if (now == of_anchor).all():
                 break
             of_anchor = now
-        links += [(ids[p], of_partner), (ids[anchors], of_anchor)]
+        links += [(ids[p], of_row), (ids[a], of_anchor)]
     return linked, links
 
 
 def _linked(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
     """(a, b, n): links of a spanning forest (n null), and for each vector how many vectors it links with (b null).
 
-    A pair that shares several filters counts only in the bucket of the smallest one. Large groups are compared as matrices.
+    A pair that shares several filters counts only in the bucket of the smallest one. An anchor meets the anchors before it, and both count;
+    other rows meet all anchors, and only the row counts, as it is an anchor elsewhere. Large groups are compared as matrices.
     """
     forest = Forest()
-    for table, edge, anchors, partner in whole_anchors(batches):
+    for groups in whole_anchors(batches):
+        table, edge = groups.table, groups.edge
         ids, own, weight = (table.column(c).to_numpy() for c in ("id", "filter", "weight"))
         label = table.column("label").combine_chunks().dictionary_encode().indices.to_numpy()
         v, lists = table.column("v").combine_chunks(), table.column("filters").combine_chunks()
         size = pa.compute.list_value_length(v).to_numpy(zero_copy_only=False)
         begin, flat = v.offsets.to_numpy(), v.values.to_numpy()
         who, links = [np.zeros(0, np.int64)], [np.zeros(0)]
-        partners = np.add.reduceat(partner, edge[:-1]) if len(edge) > 1 else np.zeros(0, np.int64)
-        large = np.flatnonzero(anchors * partners >= 4096)
-        for g in large.tolist():
-            a, p = np.arange(edge[g], edge[g] + anchors[g]), edge[g] + np.flatnonzero(partner[edge[g] : edge[g + 1]])
-            if len(np.unique(size[edge[g] : edge[g + 1]])) > 1 or len(np.unique(own[edge[g] : edge[g + 1]])) > 1:
-                large = large[large != g]  # two buckets of one hash: pairs are compared one by one
+        large = groups.anchors * np.add.reduceat(groups.new, edge[:-1]) >= 4096
+        for g in np.flatnonzero(large).tolist():
+            at = slice(edge[g], edge[g + 1])
+            if np.ptp(size[at]) or np.ptp(own[at]):
+                large[g] = False  # two buckets of one hash: pairs are compared one by one
                 continue
-            dim = int(size[a[0]])
-            rows = np.concatenate([a, p])
-            x = flat[begin[rows][:, None] + np.arange(dim)]
-            unit = np.zeros((len(rows), dim))
-            unit[:] = x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
-            linked, found = _dense(ids[rows], unit, label[rows], weight[rows], lists.take(pa.array(rows)), int(own[a[0]]), np.arange(len(a)), np.arange(len(a), len(rows)), least)
-            who.append(ids[p][linked > 0])
+            x = flat[begin[at][:, None] + np.arange(size[edge[g]])].astype(float)
+            unit = x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
+            linked, found = _dense(ids[at], unit, label[at], weight[at], lists.take(pa.array(range(edge[g], edge[g + 1]))), int(own[edge[g]]), groups.anchor[at], groups.new[at], least)
+            who.append(ids[at][linked > 0])
             links.append(linked[linked > 0])
             for x, y in found:
                 forest.add(x[x != y], y[x != y])
-        small = anchors.copy()
-        small[large] = 0
-        for i, j in pairs_of(edge, small, partner, 1 << 16):
+        for i, j in pairs_of(groups, large, 1 << 16):
             other = (ids[i] != ids[j]) & (size[i] == size[j]) & (label[i] == label[j])
             i, j = i[other], j[other]
             cosine = np.zeros(len(i))
             for dim in np.unique(size[i]).tolist():
                 same = np.flatnonzero(size[i] == dim)
-                x, y = flat[begin[i[same]][:, None] + np.arange(dim)], flat[begin[j[same]][:, None] + np.arange(dim)]
+                x, y = (flat[begin[k[same]][:, None] + np.arange(dim)].astype(float) for k in (i, j))
                 cosine[same] = np.einsum("ij,ij->i", x, y) / (np.sqrt(np.einsum("ij,ij->i", x, x)) * np.sqrt(np.einsum("ij,ij->i", y, y)))
             i, j = i[cosine >= least], j[cosine >= least]
             if len(i):
                 forest.add(ids[i], ids[j])
                 first = _first_shared(lists, own[i], i, j)
-                who.append(ids[j[first]])
-                links.append(weight[i[first]].astype(float))
+                i, j = i[first], j[first]
+                both = groups.anchor[j]
+                who += [ids[j], ids[i[both]]]
+                links += [weight[i].astype(float), weight[j[both]].astype(float)]
         who, of = np.unique(np.concatenate(who), return_inverse=True)
         if len(who):
             yield pa.RecordBatch.from_arrays([pa.array(who), pa.nulls(len(who), pa.int64()), pa.array(np.bincount(of, np.concatenate(links)).astype(np.int64))], ["a", "b", "n"])
@@ -198,14 +195,16 @@ def near_vectors(vectors: DataFrame, least: float = 0.98) -> DataFrame:
     zero or hold null or non-finite components, and rows without an id, link with nothing; their component is their own id. Repeated rows are
     vectors of their own that link with each other.
     """
-    v = F.transform("embedding", lambda x: x.cast("double"))
+    element = vectors.schema["embedding"].dataType.elementType.simpleString()
+    v = F.col("embedding") if element in ("float", "double") else F.transform("embedding", lambda x: x.cast("double"))
+    kind = element if element in ("float", "double") else "double"
     sound = F.col("label").isNotNull() & F.col("vec_id").isNotNull() & F.coalesce(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists("v", lambda x: x != 0), F.lit(False))
     rows = vectors.select("vec_id", F.col("label").cast("string").alias("label"), v.alias("v")).withColumn("sound", sound)
     rows = settled(rows.withColumn("key", F.when(F.col("sound"), F.xxhash64("label", "v"))), "vectors")
     classes = rows.where("sound").groupBy("label", "v").agg(F.min("vec_id").alias("id"), F.count("*").alias("weight"), F.first("key").alias("key"))
     classes = settled(classes, "classes")
     listed = classes.select("id", "weight", "label", "v", F.xxhash64("label", F.size("v")).alias("group"))
-    filtered = listed.mapInArrow(_filtered, "bucket long, anchor boolean, filter int, filters array<int>, id long, weight long, label string, v array<double>")
+    filtered = listed.mapInArrow(_filtered, f"bucket long, anchor boolean, filter int, filters array<int>, id long, weight long, label string, v array<{kind}>")
     found = settled(grouped(split_buckets(filtered)).mapInArrow(partial(_linked, least=least), "a long, b long, n long"), "caps")
     links = found.where("b is null").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("n"))
     tree = components(found.where("b is not null").select("a", "b"))
