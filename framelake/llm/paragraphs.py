@@ -181,18 +181,18 @@ def repeated_passages(docs: DataFrame, least_words: int = 15) -> DataFrame:
     members = settled(members.distinct().join(met, "bucket", "left_semi"), "members")
     shingles = docs.select("text").mapInArrow(partial(_wanted_shingles, bitmap=hash_bitmap(members, "id")), "id long, shingles array<long>")
     shingles = shingles.groupBy("id").agg(F.first("shingles").alias("shingles"))
-    rows = split_buckets(members.join(shingles, "id").withColumn("anchor", F.lit(True)))
+    rows = split_buckets(settled(members.join(shingles, "id").withColumn("anchor", F.lit(True)), "shingles"))
     similar = components(grouped(rows).mapInArrow(_links, "a long, b long")).withColumnRenamed("id", "h")
 
-    first = F.min(F.struct("doc_id", "row", "place")).alias("first")
-    counts = parts.groupBy("h").agg(F.count("*").alias("n"), first)
-    classes = counts.join(similar, "h", "left").withColumn("component", F.coalesce("component", "h"))
-    linked = classes.where("h <> component or n > 1").select("component").union(similar.select("component")).distinct()
-    classes = settled(classes.join(linked, "component", "left_semi"), "classes")
-    repeated = classes.groupBy("component").agg(F.sum("n").alias("n"), F.min("first").alias("first")).where("n > 1")
-    labels = settled(classes.select("h", "component").join(repeated.select("component", "first"), "component"), "labels")
+    counts = parts.groupBy("h").agg(F.count("*").alias("n"))
+    classes = counts.where("n > 1").union(counts.where("n = 1").join(similar.select("h"), "h", "left_semi"))  # no other class can be repeated
+    labels = settled(classes.join(similar, "h", "left").select("h", F.coalesce("component", "h").alias("component"), "n"), "labels")
+    repeated = labels.groupBy("component").agg(F.sum("n").alias("n")).where("n > 1").select("component")
+    labels = settled(labels.select("h", "component").join(repeated, "component", "left_semi"), "labels")
     found = parts.select("row", "doc_id", "place", "first_word", "n_words", "h").mapInArrow(partial(_in_hashes, bitmap=hash_bitmap(labels, "h")), f"row long, doc_id {kind}, place int, first_word long, n_words long, h long")
-    found = found.join(labels, "h").withColumn("kept", (F.col("first.row") == F.col("row")) & (F.col("first.place") == F.col("place")))
+    found = settled(found.join(labels, "h").drop("h"), "repeated")
+    first = found.groupBy("component").agg(F.min(F.struct("doc_id", "row", "place")).alias("first"))
+    found = found.join(first, "component").withColumn("kept", (F.col("first.row") == F.col("row")) & (F.col("first.place") == F.col("place")))
     island = F.col("place") - F.row_number().over(Window.partitionBy("row", "kept").orderBy("place"))
     passages = found.withColumn("island", island).groupBy("row", "doc_id", "kept", "island").agg(F.min("first_word").alias("first_word"), F.max(F.col("first_word") + F.col("n_words")).alias("end_word"), F.sum("n_words").alias("n_words"), F.min("first.doc_id").alias("component_id"))
     return passages.where(F.col("n_words") >= least_words).select("doc_id", "first_word", "end_word", "n_words", "component_id", "kept")

@@ -37,15 +37,15 @@ def settled(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: Bits of a bitmap of hashes that prefilters rows before an exact join: 8 MB, whatever the number of hashes.
-FILTER_BITS = 1 << 26
+#: Bits of a bitmap of hashes that prefilters rows before an exact join: 2 MB, whatever the number of hashes.
+FILTER_BITS = 1 << 24
 
 
 def hash_bitmap(hashes: DataFrame, column: str) -> Broadcast:
     """A broadcast bitmap of fixed size with the bits of all hashes in ``column``; built by a map-side aggregation over its words."""
-    cells = hashes.selectExpr(f"shiftright(`{column}` & {FILTER_BITS - 1}, 6) cell", f"shiftleft(1L, cast(`{column}` & 63 as int)) bits").groupBy("cell").agg(F.bit_or("bits").alias("bits")).toPandas()  # of the bitmap's size at most
+    cells = hashes.selectExpr(f"shiftright(`{column}` & {FILTER_BITS - 1}, 6) cell", f"shiftleft(1L, cast(`{column}` & 63 as int)) bits").groupBy("cell").agg(F.bit_or("bits").alias("bits")).toArrow()  # of the bitmap's size at most
     bitmap = np.zeros(FILTER_BITS >> 6, np.uint64)
-    bitmap[cells["cell"].to_numpy(np.int64)] = cells["bits"].to_numpy(np.int64).view(np.uint64)
+    bitmap[cells["cell"].to_numpy()] = cells["bits"].to_numpy().view(np.uint64)
     return hashes.sparkSession.sparkContext.broadcast(bitmap)
 
 
