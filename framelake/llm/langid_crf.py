@@ -23,6 +23,8 @@ LETTER[65:91] = LETTER[97:123] = LETTER[128:] = True
 
 GRAMS = 1 << 16
 SEGMENT = 128
+#: Text bytes labelled at once: messages take about 200 bytes a word.
+STEP = 1 << 20
 
 
 @dataclass
@@ -214,7 +216,7 @@ def fit(docs: DataFrame, per_lang: int = 150) -> Crf | None:
 
 def _label(batches: Iterator[pa.RecordBatch], shared: Broadcast, spans: bool) -> Iterator[pa.RecordBatch]:
     model: Crf = shared.value
-    for rows, data, offsets in steps(batches):
+    for rows, _, _ in steps(batches, most=STEP):
         lowered = pc.utf8_lower(pc.fill_null(rows.column("text"), "").cast(pa.large_string()))
         offsets = np.frombuffer(lowered.buffers()[1], np.int64)[lowered.offset : lowered.offset + rows.num_rows + 1]
         body = lowered.buffers()[2]

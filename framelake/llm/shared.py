@@ -67,15 +67,15 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8), offsets
 
 
-def steps(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Record batches cut so that the texts of each hold ``STEP_BYTES`` at most (or one row): (rows, bytes, offsets from 0)."""
+def steps(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = STEP_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Record batches cut so that the texts of each hold ``most`` bytes at most (or one row): (rows, bytes, offsets from 0)."""
     for batch in batches:
         if not batch.num_rows:
             continue
         data, offsets = text_bytes(batch.column(batch.schema.get_field_index(text)))
         first = 0
         while first < batch.num_rows:
-            last = int(np.searchsorted(offsets, offsets[first] + STEP_BYTES, "right")) - 1
+            last = int(np.searchsorted(offsets, offsets[first] + most, "right")) - 1
             last = min(max(last, first + 1), batch.num_rows)
             yield batch.slice(first, last - first), data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first]
             first = last
