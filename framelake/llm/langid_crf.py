@@ -267,6 +267,6 @@ def labelled(docs: DataFrame, model: Crf | None, spans: bool = False) -> DataFra
     return own.mapInArrow(partial(_label, shared=shared, spans=spans), f"{kinds}lang_pred string, score double" + ", spans array<struct<first_word: long, end_word: long, lang: string, p: double>>" * spans)
 
 
-def identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """``docs`` without texts that have no language, or none that holds at least ``least`` of the words."""
+def identified(docs: DataFrame, least: float = 0.34) -> DataFrame:
+    """``docs`` without texts that have no letter, or in which no language holds at least ``least`` of the words; texts of two languages stay."""
     return labelled(docs, fit(docs)).where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select(docs.columns)
