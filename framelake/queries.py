@@ -209,15 +209,15 @@ def event_intervals_min_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rated.withColumn("g", island).groupBy("episode", "g").agg((F.min("frame") - 1).alias("first_frame"), F.max("frame").alias("last_frame"), r6(F.max("rate"), "peak")).where("peak > 80").drop("g")
 
 
-@query(f"""WITH {F_SQL}, p AS (SELECT episode, frame, [least(greatest(frame + i, 0), n - 1) for i in [-2,-1,0,1,2]] AS at, vals FROM (SELECT *, count(*) OVER (PARTITION BY episode) AS n, list(value ORDER BY frame) OVER (PARTITION BY episode) AS vals FROM f))
-SELECT episode, frame, round(list_sum([vals[i + 1] for i in at]) / 5, 6) AS mean5 FROM p""")
+@query(f"""WITH {F_SQL}, p AS (SELECT episode, frame, [least(greatest(frame + i, 0), n - 1) for i in [-2,-1,0,1,2]] AS ix, vals FROM (SELECT *, count(*) OVER (PARTITION BY episode) AS n, list(value ORDER BY frame) OVER (PARTITION BY episode) AS vals FROM f))
+SELECT episode, frame, round(list_sum([vals[i + 1] for i in ix]) / 5, 6) AS mean5 FROM p""")
 def moving_mean_edge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Centred mean of five frames with repeated ends."""
     return signals(spark, sf_dir).select("episode", "frame", r6(series.moving_mean(F.col("value"), 5), "mean5"))
 
 
-@query(f"""WITH {F_SQL}, p AS (SELECT episode, frame, [least(greatest(frame + i, 0), n - 1) for i in [-1,0,1]] AS at, vals FROM (SELECT *, count(*) OVER (PARTITION BY episode) AS n, list(value ORDER BY frame) OVER (PARTITION BY episode) AS vals FROM f))
-SELECT episode, frame, list_sort([vals[i + 1] for i in at])[2] AS median3 FROM p""")
+@query(f"""WITH {F_SQL}, p AS (SELECT episode, frame, [least(greatest(frame + i, 0), n - 1) for i in [-1,0,1]] AS ix, vals FROM (SELECT *, count(*) OVER (PARTITION BY episode) AS n, list(value ORDER BY frame) OVER (PARTITION BY episode) AS vals FROM f))
+SELECT episode, frame, list_sort([vals[i + 1] for i in ix])[2] AS median3 FROM p""")
 def moving_median_edge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Centred median of three frames with repeated ends."""
     return signals(spark, sf_dir).select("episode", "frame", series.moving_median(F.col("value"), 3).alias("median3"))
