@@ -204,7 +204,7 @@ def _scored(batches: Iterator[pa.RecordBatch], shared: Broadcast) -> Iterator[pa
             logs[at] = log_probabilities(params, token[at], _context(token, text_no, at))
         edge = bounds(text_no, rows.num_rows)
         n = np.diff(edge).astype(np.int64)
-        total = np.bincount(text_no, logs, rows.num_rows)
+        total = np.bincount(text_no, logs, rows.num_rows).astype(float)
         mean = pa.array(total / np.maximum(n, 1), mask=n == 0)
         yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(n), pa.array(total), mean], ["doc_id", "n_tokens", "log_likelihood", "mean_log_likelihood"])
 

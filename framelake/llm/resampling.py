@@ -57,7 +57,7 @@ def _weights(batches: Iterator[pa.RecordBatch], ratio: Broadcast) -> Iterator[pa
     for rows, data, offsets in steps(batches):
         bucket, text_no = grams(data, offsets)
         fold = rows.column("fold").to_numpy()
-        weight = np.bincount(text_no, logs[1 - fold[text_no], bucket], rows.num_rows)
+        weight = np.bincount(text_no, logs[1 - fold[text_no], bucket], rows.num_rows).astype(float)  # of no grams it would count integers
         key = weight + rows.column("noise").to_numpy()
         bits = key.view(np.int64)
         order = np.where(bits >= 0, bits, bits ^ np.int64(0x7FFFFFFFFFFFFFFF))
