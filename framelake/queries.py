@@ -7,13 +7,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from framelake.functions import pose
 from framelake.operators import series, stats
-from framelake.plans import checks
+from framelake.plans import checks, selection
 
 FPS = 30.0
 Query = Callable[[SparkSession, str], DataFrame]
@@ -471,3 +473,24 @@ def phase_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, mean and share in the target range of each phase."""
     fast, between = F.when(F.col("value") > 25, F.col("value")), F.when(F.col("value").between(25, 75), 1.0).otherwise(0.0)
     return signals(spark, sf_dir).groupBy(F.col("event_type").alias("phase")).agg(F.count("*").alias("frames_before"), F.count(fast).alias("frames_after"), r6(F.avg(fast), "mean_fast"), r6(F.avg(between), "in_target"))
+
+
+@query()
+def select_single_arm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cheapest frame selection of each episode, keeping every tenth frame; rows only, tests compare with exhaustive search."""
+    f = poses(spark, sf_dir).select("episode", "frame", *((F.col(c) * 0.01).alias(n) for c, n in zip(("lx", "ly", "lz"), "xyz", strict=True)), (F.col("frame") % 10 == 0).alias("protected"))
+    return selection.select_frames(f, selection.Rules(skip_s=0.6))
+
+
+@query()
+def duration_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each episode of signals shortened to about 0.7 of its frames; rows only, tests compare with exhaustive search."""
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("frame")
+        n = len(pdf)
+        mass = selection.mass_to_budget(np.minimum(pdf["value"].to_numpy() / 50, 1), 0.7 * n)
+        legal = [list(range(i + 1, min(n, i + 6))) for i in range(n)]
+        return pdf.iloc[selection.shortened(mass, pdf[["value"]].to_numpy() / 500, legal)][["episode", "frame"]]
+
+    return signals(spark, sf_dir).select("episode", "frame", "value").groupBy("episode").applyInPandas(one, "episode long, frame long")
