@@ -15,11 +15,13 @@ from framelake.llm.bytewords import ALNUM, LOWER, bounds, gram_hashes, word_hash
 from framelake.llm.shared import settled, steps
 
 #: Buckets of the hashed n-gram models.
-GRAMS = 1 << 19
+GRAMS = 1 << 20
 #: Occurrences by which a bucket's ratio is drawn to one.
-PRIOR = 5.0
+PRIOR = 1.0
 #: Standard deviations by which a bucket's target count must differ from its share of the raw count to tell anything.
 SIGNIFICANT = 4.0
+#: Grams that a longer text counts as, at the mean of all its grams: its weight says what it is like, not how long it is.
+REFERENCE = 400
 #: Bytes of runs of signs: neither words nor white space.
 SIGN = ~ALNUM
 SIGN[:33] = SIGN[127] = False
@@ -58,6 +60,7 @@ def _weights(batches: Iterator[pa.RecordBatch], ratio: Broadcast) -> Iterator[pa
         bucket, text_no = grams(data, offsets)
         fold = rows.column("fold").to_numpy()
         weight = np.bincount(text_no, logs[1 - fold[text_no], bucket], rows.num_rows).astype(float)  # of no grams it would count integers
+        weight *= np.minimum(1, REFERENCE / np.maximum(np.bincount(text_no, minlength=rows.num_rows), 1))
         key = weight + rows.column("noise").to_numpy()
         bits = key.view(np.int64)
         order = np.where(bits >= 0, bits, bits ^ np.int64(0x7FFFFFFFFFFFFFFF))
@@ -99,7 +102,7 @@ def resampled(docs: DataFrame, labels: DataFrame, seed: int = 11, most_targets:
 
     Target text: documents that ``labels`` (doc_id, quality, toxic) call of quality 1 and not toxic; of more than ``most_targets`` a sample
     drawn by hash serves. log_weight is the log of the ratio of the target's and all documents' hashed uni- and bigram models over the whole
-    text; the target's documents are halved by hash, and each document is scored by the half it is not in, so that none vouches for itself. Keys add Gumbel noise hashed from the id, and the k largest keys are kept (ties too): a sample without replacement in proportion to
+    text, and of texts over ``REFERENCE`` grams their mean times that number; the target's documents are halved by hash, and each document is scored by the half it is not in, so that none vouches for itself. Keys add Gumbel noise hashed from the id, and the k largest keys are kept (ties too): a sample without replacement in proportion to
     the weights. k is the target's share of all labelled documents times the number of documents. Null and empty texts have weight 0. Without
     labels nothing is known, and all documents are kept.
     """
@@ -114,9 +117,10 @@ def resampled(docs: DataFrame, labels: DataFrame, seed: int = 11, most_targets:
     fold = F.pmod(F.xxhash64("doc_id", F.lit(seed), F.lit("fold")), F.lit(2)).cast("int")
     rows = docs.select("doc_id", "text", (-F.log(-F.log(u))).alias("noise"), fold.alias("fold"))
     counted = rows.select("doc_id", "text", "fold").mapInArrow(partial(_counts, target=spark.sparkContext.broadcast(ids)), "bucket long, raw long, good0 long, good1 long")
-    sums = counted.groupBy("bucket").agg(*(F.sum(c).alias(c) for c in ("raw", "good0", "good1"))).toPandas()  # GRAMS rows at most
+    sums = counted.groupBy("bucket").agg(*(F.sum(c).alias(c) for c in ("raw", "good0", "good1"))).toArrow()  # GRAMS rows at most
     raw, good = np.zeros(GRAMS), np.zeros((2, GRAMS))
-    raw[sums["bucket"]], good[0][sums["bucket"]], good[1][sums["bucket"]] = sums["raw"], sums["good0"], sums["good1"]
+    at = sums.column("bucket").to_numpy()
+    raw[at], good[0][at], good[1][at] = (sums.column(c).to_numpy() for c in ("raw", "good0", "good1"))
     logs = log_ratios(raw, good).astype(np.float32)
     kind = docs.schema["doc_id"].dataType.simpleString()
     scored = rows.mapInArrow(partial(_weights, ratio=spark.sparkContext.broadcast(logs)), f"doc_id {kind}, log_weight double, sample_key double, rank_bits long")
