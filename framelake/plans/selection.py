@@ -66,26 +66,41 @@ def path_cost(xyz: np.ndarray, path: list[int], rules: Rules, fps: float) -> flo
     return sum(edge_cost(s, max(0.0, -float(s @ way)), target) for s in steps) + sum(turn_cost(a, b, target, rules.smoothness) for a, b in zip(steps[:-1], steps[1:], strict=True))
 
 
-def shortest_path(xyz: np.ndarray, rules: Rules = Rules(), fps: float = 10.0, protected: np.ndarray | None = None) -> list[int]:
-    """The cheapest selection from the first to the last frame. The state is the last step, so the search is exact; ties go to the earlier frame."""
+def shortest_path(xyz: np.ndarray, rules: Rules = Rules(), fps: float = 10.0, protected: np.ndarray | None = None, legal: list[list[int]] | None = None) -> list[int]:
+    """The cheapest selection from the first to the last frame over ``legal`` edges, :func:`edge_table` if none are given. The state is the last step, so the search is exact; ties go to the earlier frame."""
     n = len(xyz)
     if n <= 2:
         return list(range(n))
     target, way = rules.target_speed / fps, xyz[-1] - xyz[0]
     way = way / max(float(np.linalg.norm(way)), 1e-12)
-    legal = edge_table(xyz, max(1, round(rules.skip_s * fps)), rules, np.zeros(n, bool) if protected is None else protected)
-    best: list[dict[int, tuple[float, int]]] = [{} for _ in range(n)]  # best[j][i]: cost of the best path that ends i, j, and what stood before i
+    if legal is None:
+        legal = edge_table(xyz, max(1, round(rules.skip_s * fps)), rules, np.zeros(n, bool) if protected is None else protected)
+    before: list[list[int]] = [[] for _ in range(n)]  # of each frame the frames that may stand right before it, and of each such step
+    cost: list[list[float]] = [[] for _ in range(n)]  # the cost of the best path that ends with it
+    parent: list[list[int]] = [[] for _ in range(n)]  # and the frame before
     for i in range(n):
-        for j in legal[i]:
-            step = xyz[j] - xyz[i]
-            own = edge_cost(step, max(0.0, -float(step @ way)), target)
-            if i == 0:
-                best[j][i] = (own, -1)
-            elif best[i]:
-                best[j][i] = min((c + own + turn_cost(xyz[i] - xyz[h], step, target, rules.smoothness), h) for h, (c, _) in best[i].items())
-    i = min(best[n - 1], key=lambda k: (best[n - 1][k][0], k))
-    path = [n - 1, i]
-    while (h := best[path[-2]][path[-1]][1]) >= 0:
+        if not legal[i] or (i and not before[i]):
+            continue
+        steps = xyz[legal[i]] - xyz[i]
+        size = np.linalg.norm(steps, axis=1)
+        total = 4 * (size / target - 1) ** 2 + size / target + 0.2 + 4 * np.maximum(0.0, -(steps @ way)) / target
+        came = np.full(len(steps), -1)
+        if i:
+            into = xyz[i] - xyz[before[i]]
+            length = np.linalg.norm(into, axis=1)
+            product = steps @ into.T
+            both = np.minimum(size[:, None], length) >= 1e-3
+            turn = np.where(both, 2 * (1 - product / np.maximum(size[:, None] * length, 1e-12)), 0.0)
+            options = np.array(cost[i]) + turn + rules.smoothness * ((steps[:, None] - into) ** 2).sum(2) / target**2
+            best = options.argmin(1)
+            came = np.array(before[i])[best]
+            total = total + options[np.arange(len(steps)), best]
+        for j, c, h in zip(legal[i], total.tolist(), came.tolist(), strict=True):
+            before[j].append(i)
+            cost[j].append(c)
+            parent[j].append(h)
+    path = [n - 1, before[n - 1][int(np.argmin(cost[n - 1]))]]
+    while (h := parent[path[-2]][before[path[-2]].index(path[-1])]) >= 0:
         path.append(h)
     return path[::-1]
 
