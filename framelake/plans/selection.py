@@ -139,20 +139,23 @@ def mass_to_budget(ramp: np.ndarray, budget: float, least: float = 0.15, steps:
 
 
 def five_phases(labels: list[tuple[str, int, int]], arms: tuple[str, ...] = ("right", "left", "right", "left", "right")) -> list[tuple[int, int]] | None:
-    """Closed block ranges of the phases: consecutive groups of blocks (arm, start, end) whose frames of the other arm are fewest; ties begin early.
+    """Closed block ranges of the phases: consecutive groups of blocks (arm, start, end), each with a block of its phase's arm, whose frames of the other arm are fewest; ties begin early.
 
-    None if there are fewer blocks than phases, or the first isn't the first phase's arm.
+    None if there are fewer blocks than phases, the first isn't the first phase's arm, or no such groups exist.
     """
     n, k = len(labels), len(arms)
     if n < k or labels[0][0] != arms[0]:
         return None
     wrong = np.array([[0] + list(np.cumsum([0 if arm == a else e - s + 1 for a, s, e in labels])) for arm in arms])
+    own = np.array([[0] + list(np.cumsum([arm == a for a, _, _ in labels])) for arm in arms])
     cost, begin = np.full((k + 1, n + 1), np.inf), np.zeros((k + 1, n + 1), int)
     cost[0, 0] = 0
     for p in range(k):
         for end in range(p + 1, n + 1):
-            options = [(cost[p, b] + wrong[p, end] - wrong[p, b], b) for b in range(p, end)]
-            cost[p + 1, end], begin[p + 1, end] = min(options)
+            options = [(cost[p, b] + wrong[p, end] - wrong[p, b], b) for b in range(p, end) if own[p, end] > own[p, b]]
+            cost[p + 1, end], begin[p + 1, end] = min(options, default=(np.inf, 0))
+    if not np.isfinite(cost[k, n]):
+        return None
     out, end = [], n
     for p in range(k, 0, -1):
         out.append((int(begin[p, end]), end - 1))
@@ -160,8 +163,8 @@ def five_phases(labels: list[tuple[str, int, int]], arms: tuple[str, ...] = ("ri
     return out[::-1]
 
 
-def find_peaks(x: np.ndarray, distance: int = 1, prominence: float = 0.0) -> list[int]:
-    """Local maxima (of a plateau its middle), the highest first within ``distance``, that rise ``prominence`` over the higher of their two sides' lowest."""
+def find_peaks(x: np.ndarray, distance: int = 1, prominence: float = 0.0, width: float = 0.0) -> list[int]:
+    """Local maxima (of a plateau its middle), the highest first within ``distance``, that rise ``prominence`` over the higher of their two sides' lowest and are ``width`` wide at half of that."""
     edge = np.flatnonzero(np.diff(x) != 0)
     starts, ends = np.concatenate([[0], edge + 1]), np.concatenate([edge, [len(x) - 1]])
     tops = [(s + e) // 2 for k, (s, e) in enumerate(zip(starts.tolist(), ends.tolist(), strict=True)) if 0 < k < len(starts) - 1 and x[s] > x[s - 1] and x[e] > x[e + 1]]
@@ -170,12 +173,25 @@ def find_peaks(x: np.ndarray, distance: int = 1, prominence: float = 0.0) -> lis
         if all(abs(i - j) >= distance for j in kept):
             kept.append(i)
 
-    def rise(i: int) -> float:
-        left, right = np.flatnonzero(x[:i] > x[i]), np.flatnonzero(x[i + 1 :] > x[i])
-        a, b = (left[-1] if len(left) else 0), (i + 1 + right[0] if len(right) else len(x) - 1)
-        return x[i] - max(x[a : i + 1].min(), x[i : b + 1].min())
-
-    return sorted(i for i in kept if rise(i) >= prominence)
+    def side(y: np.ndarray, half: float | None = None) -> float:
+        """From a peak y[0] outwards to the next higher value: the lowest value, or how far the peak stays above ``half``."""
+        higher = np.flatnonzero(y > y[0])
+        y = y[: higher[0]] if len(higher) else y
+        if half is None:
+            return float(y.min())
+        y = y[: int(y.argmin()) + 1]
+        below = np.flatnonzero(y <= half)
+        if not len(below):
+            return len(y) - 1.0
+        k = int(below[0])
+        return k - (half - y[k]) / (y[k - 1] - y[k])
+
+    out = []
+    for i in sorted(kept):
+        rise = x[i] - max(side(x[i::-1]), side(x[i:]))
+        if rise >= prominence and (not width or side(x[i::-1], x[i] - rise / 2) + side(x[i:], x[i] - rise / 2) >= width):
+            out.append(i)
+    return out
 
 
 def direction_stable(xyz: np.ndarray, least: int, most: int, cosine: float = 0.96) -> list[tuple[int, int]]:

@@ -1,0 +1,140 @@
+"""The two-arm planner on made episodes."""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from framelake.plans import bimanual
+from framelake.plans.selection import find_peaks, five_phases
+
+FPS = 30.0
+STATE = [f"left_j{i}" for i in range(7)] + ["left_gripper"] + [f"right_j{i}" for i in range(7)] + ["right_gripper", "waist_0"]
+LAYOUT = bimanual.Layout.of(STATE, STATE[:7] + STATE[8:15] + ["cmd_vel_x"])
+
+
+def made(seed: int = 0, pause: int = 20, noise: float = 0.0) -> dict:
+    """Bursts of right, left, right, left, right motion with pauses; the right gripper closes in the second pause."""
+    rng, at = np.random.default_rng(seed), {"left": np.zeros(3), "right": np.zeros(3)}
+    path = {"left": [], "right": []}
+    for k, arm in enumerate(bimanual.PHASE_ARMS):
+        way = np.array([1.0, 0.3 * (-1) ** k, 0.2])
+        for t in range(60):
+            at[arm] = at[arm] + way / np.linalg.norm(way) * 0.01 * np.sin(np.pi * (t + 0.5) / 60)
+            for a in path:
+                path[a].append(at[a] + noise * rng.normal(size=3))
+        for _ in range(pause):
+            for a in path:
+                path[a].append(at[a].copy())
+    n = len(path["left"])
+    quaternion = np.tile([0, 0, 0, 1.0], (n, 1))
+    grip = np.ones(n)
+    begin = 2 * (60 + pause) - pause // 2
+    grip[begin : begin + 5] = np.linspace(1, 0.5, 5)
+    grip[begin + 5 :] = 0.5
+    left, right = np.array(path["left"]), np.array(path["right"])
+    joints = [np.repeat(x[:, :1], 7, axis=1) * 0.3 for x in (left, right)]
+    pose = np.concatenate([left, quaternion, np.ones((n, 1)), right, quaternion, grip[:, None]], axis=1)
+    state = np.concatenate([joints[0], np.ones((n, 1)), joints[1], grip[:, None], np.zeros((n, 1))], axis=1)
+    action = np.concatenate([*joints, np.zeros((n, 1))], axis=1)
+    return {"pose": pose, "state": state, "action": action, "task": np.zeros(n, int)}
+
+
+def test_detection():
+    e = bimanual.Episode(**made(), layout=LAYOUT, fps=FPS)
+    assert e.grips == [("right", 149, 154)] or (len(e.grips) == 1 and e.grips[0][0] == "right" and e.events[150:155].all())
+    assert [p.arm for p in e.phases()] == list(bimanual.PHASE_ARMS) and all(p.standard for p in e.phases())
+    assert e.still.sum() > 60 and not (e.still & e.events).any()
+    flat = made()
+    flat["pose"][:, :3] = 0
+    assert bimanual.Episode(**flat, layout=LAYOUT, fps=FPS).phases() == []
+    with pytest.raises(ValueError):
+        bimanual.Layout.of(["left_j0"], [])
+
+
+@pytest.mark.parametrize(("seed", "pause", "noise"), [(0, 20, 0.0), (1, 30, 0.0), (2, 24, 2e-5)])
+def test_plan(seed, pause, noise):
+    e = bimanual.Episode(**made(seed, pause, noise), layout=LAYOUT, fps=FPS)
+    planner = bimanual.Planner(e)
+    base = planner.plan()
+    first = planner.phases[0].first
+    assert (np.diff(base) > 0).all() and np.isin(np.flatnonzero(e.events & (np.arange(e.n) >= first)), base).all() and len(base) < e.n
+    short = planner.shortened(base, len(base) * 0.8 / FPS)
+    assert (np.diff(short) > 0).all() and not len(planner.unsafe(short)) and np.isin(np.flatnonzero(e.events & (np.arange(e.n) >= first)), short).all()
+    smooth = planner.smoothed(short)
+    assert np.isin(smooth, short).all() and smooth[0] == short[0] and smooth[-1] == short[-1]
+
+
+def test_departure():
+    data = made()
+    n = len(data["pose"])
+    last = 4 * 80
+    # the last phase goes back on itself for a while
+    data["pose"][last + 20 : last + 30, 8] -= 0.004 * np.sin(np.pi * np.arange(10) / 9)
+    e = bimanual.Episode(**data, layout=LAYOUT, fps=FPS)
+    planner = bimanual.Planner(e)
+    ids = planner.plan()
+    assert ids[-1] <= n - 1 and (np.diff(ids) > 0).all()
+    way = bimanual.Planner(e)
+    way.phases = e.phases()
+    if (w := way.departure(way.phases[-1])) is not None:
+        assert planner.backtrack(ids, way.phases[-1], w) <= max(e.rules.departure_backtrack, planner.backtrack(np.arange(n), way.phases[-1], w))
+
+
+def test_thinned_is_cheapest():
+    e = bimanual.Episode(**made(), layout=LAYOUT, fps=FPS)
+    planner = bimanual.Planner(e)
+    planner.phases = e.phases()
+    ids = np.arange(20, 29)
+    mass = np.full(9, 0.5)
+    got = planner.thinned(ids, np.zeros(9, bool), mass)
+    scale = np.concatenate([np.full(6, e.rules.retime_step), np.full(e.n_state_joints, e.rules.retime_joint)])
+    f, total = e.motion[ids][:, : len(scale)] / scale, np.concatenate([[0.0], np.cumsum(mass[1:])])
+
+    def cost(path):
+        out = sum((total[j] - total[i] - 1) ** 2 + e.rules.retime_edge for i, j in zip(path[:-1], path[1:]))
+        return out + sum(e.rules.retime_smoothness * (((f[c] - f[b]) - (f[b] - f[a])) ** 2).sum() for a, b, c in zip(path[:-2], path[1:-1], path[2:]))
+
+    most = e.samples(e.rules.retime_gap_s)
+    paths = [[0, *(k for k in range(1, 8) if bits >> (k - 1) & 1), 8] for bits in range(1 << 7)]
+    legal = [p for p in paths if all(b - a <= most for a, b in zip(p[:-1], p[1:])) and not len(planner.unsafe(ids[p]))]
+    assert cost((got - 20).tolist()) == pytest.approx(min(map(cost, legal)))
+
+
+def test_spark(spark):
+    parts = []
+    for k in range(2):
+        d = made(k)
+        parts.append(pd.DataFrame({"episode": k, "frame": range(len(d["pose"])), **{c: d[c].tolist() for c in ("pose", "state", "action")}, "task": 0}))
+    frames = spark.createDataFrame(pd.concat(parts).sample(frac=1, random_state=2), "episode long, frame long, pose array<double>, state array<double>, action array<double>, task long")
+    rows = bimanual.planned(frames, LAYOUT, fps=FPS, seconds=8.0).collect()
+    e = bimanual.Episode(**made(1), layout=LAYOUT, fps=FPS)
+    ids, _ = bimanual.plan_episode(e, 8.0)
+    assert sorted(r.frame for r in rows if r.episode == 1 and r.kept) == ids.tolist() and {r.phase for r in rows} <= set(range(6))
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sampled_from(["left", "right"]), min_size=5, max_size=9))
+def test_five_phases(arms):
+    from itertools import combinations
+
+    blocks = [(a, 10 * i, 10 * i + 5 + i) for i, a in enumerate(arms)]
+    best = None
+    for cuts in combinations(range(1, len(blocks)), 4):
+        groups = [blocks[a:b] for a, b in zip((0, *cuts), (*cuts, len(blocks)))]
+        if all(any(m[0] == arm for m in g) for g, arm in zip(groups, bimanual.PHASE_ARMS)):
+            wrong = sum(m[2] - m[1] + 1 for g, arm in zip(groups, bimanual.PHASE_ARMS) for m in g if m[0] != arm)
+            best = wrong if best is None else min(best, wrong)
+    got = five_phases(blocks)
+    if best is None or arms[0] != "right":
+        assert got is None
+    else:
+        assert sum(m[2] - m[1] + 1 for (a, b), arm in zip(got, bimanual.PHASE_ARMS) for m in blocks[a : b + 1] if m[0] != arm) == best
+
+
+def test_peak_width():
+    x = np.array([0, 0, 1, 0, 0, 0, 1, 1, 1, 1, 0, 0.0])
+    assert find_peaks(x) == [2, 7] and find_peaks(x, width=2) == [7] and find_peaks(x, prominence=1.5) == []
