@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 
 from framelake.functions import pose
 from framelake.operators import series, stats
-from framelake.plans import checks, selection
+from framelake.plans import bimanual, checks, selection, single_arm
 
 FPS = 30.0
 Query = Callable[[SparkSession, str], DataFrame]
@@ -494,3 +494,37 @@ def duration_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
         return pdf.iloc[selection.shortened(mass, pdf[["value"]].to_numpy() / 500, legal)][["episode", "frame"]]
 
     return signals(spark, sf_dir).select("episode", "frame", "value").groupBy("episode").applyInPandas(one, "episode long, frame long")
+
+
+GRIP_SQL = f"""{F_SQL}, h AS (SELECT episode, frame, value, coalesce(last_value(CASE WHEN value < 1.5 THEN 'c' WHEN value > 90 THEN 'o' END IGNORE NULLS) OVER (PARTITION BY episode ORDER BY frame ROWS UNBOUNDED PRECEDING), 'o') AS mode,
+ coalesce(abs(value - lag(value) OVER w) > 15, false) AS moves FROM f {EP_SQL}), t AS (SELECT *, mode <> lag(mode, 1, 'o') OVER w AS turns, coalesce(lead(moves) OVER w, false) AS moves_on FROM h {EP_SQL}),
+ k AS (SELECT episode, count(*) AS n, min(frame) FILTER (WHERE turns AND mode = 'c') AS c, min(frame) FILTER (WHERE turns AND mode = 'o') AS o FROM t GROUP BY episode HAVING count(*) FILTER (WHERE turns) = 2),
+ e AS (SELECT episode, n, 'close' AS kind, c AS x FROM k UNION ALL SELECT episode, n, 'open', o FROM k)"""
+
+
+@query(f"""WITH {GRIP_SQL} SELECT e.episode, e.kind, e.x AS trigger, greatest(max(frame) FILTER (WHERE frame <= greatest(x - 1, 0) AND NOT moves) - 3, 0) AS first_frame,
+ least(min(frame) FILTER (WHERE frame >= least(x + 1, n - 1) AND NOT moves_on) + 3, n - 1) AS last_frame FROM e JOIN t ON e.episode = t.episode GROUP BY e.episode, e.kind, e.x, e.n""")
+def gripper_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Close and open events of episodes whose signal closes once and then opens once."""
+    value = F.col("value")
+    rules = single_arm.Rules(closed=1.5, open=90, active_gripper=15)
+    found = single_arm.gripper_events(signals(spark, sf_dir).select("episode", "frame", "value"), rules, 10.0, value, value).where("certain and frame = 0")
+    ends = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.col(e).alias("trigger"), F.col(f"{e}0").alias("first_frame"), F.col(f"{e}1").alias("last_frame")) for k, e in (("close", "c"), ("open", "o")))))
+    return found.select("episode", ends.alias("e")).select("episode", "e.kind", "e.trigger", "e.first_frame", "e.last_frame")
+
+
+@query()
+def single_arm_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phases, protection and kept frames of episodes with one arm; rows only, tests hold it against a made episode and exhaustive search."""
+    v = F.transform("v", lambda x: x.cast("double") * 0.01)
+    rules = single_arm.Rules(closed=0.8 * 0.01, open=0.9 * 0.01, max_rotation=180)
+    return single_arm.planned(poses(spark, sf_dir).select("episode", "frame", F.slice(v, 1, 34).alias("state"), F.slice(v, 35, 10).alias("action")), rules, 10.0)
+
+
+@query()
+def select_bimanual(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phases and kept frames of episodes with two arms; rows only, tests hold the planner against made episodes and exhaustive search."""
+    v = F.transform("v", lambda x: x.cast("double"))
+    joints = [f"{a}_j{i}" for a in ("left", "right") for i in range(7)]
+    layout = bimanual.Layout.of([*joints, "left_gripper", "right_gripper", "waist_0"], [*joints, "cmd_vel_x"])
+    return bimanual.planned(poses(spark, sf_dir).select("episode", "frame", F.slice(v, 1, 16).alias("pose"), F.slice(v, 17, 17).alias("state"), F.slice(v, 34, 15).alias("action"), F.lit(0).alias("task")), layout)

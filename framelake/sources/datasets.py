@@ -51,6 +51,41 @@ class Profile:
         return out
 
 
+def quaternion_ordinals(names: list[str], width: int) -> list[list[int]]:
+    """Ordinals of x, y, z, w of each quaternion in a pose vector, by the components' names, or by the known layouts of 14 and 16 numbers without names.
+
+    A name's last part tells its axis (i, j, k stand for x, y, z); names of one prefix form a quaternion. Vectors of 14 have w first, of 16 last.
+    """
+    axes = {"x": 0, "y": 1, "z": 2, "w": 3, "i": 0, "j": 1, "k": 2}
+    groups: dict[str, dict[int, int]] = {}
+    for at, name in enumerate(names):
+        low = name.lower()
+        head, _, tail = low.rpartition("_")
+        if "quat" in head and tail in axes:
+            groups.setdefault(head, {})[axes[tail]] = at
+        elif (bare := re.fullmatch(r"(.*?)(?:_|^)q_?([xyzw])", low)) or (bare := re.fullmatch(r"(.*?)(?:_|^)w([xyz])", low)):
+            groups.setdefault(bare[1], {})[axes[bare[2]]] = at
+        elif bare := re.fullmatch(r"(.*?)(?:_|^)w", low):
+            groups.setdefault(bare[1], {})[3] = at
+    if found := [[g[k] for k in range(4)] for g in groups.values() if len(g) == 4]:
+        return found
+    known = {14: [[4, 5, 6, 3], [11, 12, 13, 10]], 16: [[3, 4, 5, 6], [11, 12, 13, 14]]}
+    if width not in known:
+        raise ValueError("the quaternions' place is unknown")
+    return known[width]
+
+
+def catalogue(text: str) -> dict[str, Profile]:
+    """Profiles by name from YAML or JSON, {name: {vector, indices, direction, offset, tool, quaternions}}; the first is the default. Unknown keys are errors."""
+    try:
+        parsed = json.loads(text)
+    except json.JSONDecodeError:
+        import yaml
+
+        parsed = yaml.safe_load(text)
+    return {name: Profile(**{k: tuple(v) if isinstance(v, list) else v for k, v in fields.items()}) for name, fields in parsed.items()}
+
+
 @dataclass
 class Dataset:
     """A dataset's root with its declared metadata."""
