@@ -84,5 +84,43 @@ r AS (SELECT d.doc_id, d.size, t.source_size, t.target, CASE WHEN t.source_size
 SELECT doc_id, size, source_size, target, CAST(size * (floor(rate) + CASE WHEN chance < rate - floor(rate) THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM r
 """
 
+#: Texts in lower case (A-Z) as lists of words, rows numbered; null has none.
+WORDS_SQL = r"""coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []::VARCHAR[])"""
+NEXT_SQL = ", ".join(f"lead(word, {i}) OVER o" for i in range(1, 10))
+
+OP3_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {WORDS_SQL} AS w FROM documents),
+b AS (SELECT row_number() OVER () AS r, coalesce(CAST(item_id AS VARCHAR), '') AS item, {WORDS_SQL} AS w FROM benchmark),
+bw AS (SELECT r, item, least(len(w), 10) AS k, len(w) AS n, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM b),
+bg AS (SELECT item, k, n, pos, [word, {NEXT_SQL}] AS next FROM bw WINDOW o AS (PARTITION BY r ORDER BY pos)),
+g AS (SELECT DISTINCT item, k, array_to_string(next[1:k], ' ') AS gram FROM bg WHERE pos + k - 1 <= n),
+dw AS (SELECT r, len(w) AS n, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM d),
+dg AS (SELECT r, n, pos, [word, {NEXT_SQL}] AS next FROM dw WINDOW o AS (PARTITION BY r ORDER BY pos)),
+h AS (SELECT r, pos, g.k, item FROM (SELECT r, pos, s.k, array_to_string(next[1:s.k], ' ') AS gram FROM dg JOIN (SELECT DISTINCT k FROM g) s ON pos + s.k - 1 <= n) p JOIN g ON p.k = g.k AND p.gram = g.gram),
+n AS (SELECT r, count(DISTINCT place) AS n_hit FROM (SELECT r, unnest(range(pos, pos + k)) AS place FROM (SELECT DISTINCT r, pos, k FROM h)) GROUP BY r),
+m AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM h) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN n USING (r) LEFT JOIN m USING (r)
+"""
+
+TEMPLATE_SQL = ", ".join(f"('{label}', {wording})" for label, wording in ((label, sorted(set(text.split()))) for label, text in licenses.TEMPLATES))
+
+OP10_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, text, {WORDS_SQL} AS w FROM documents),
+u AS (SELECT r, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS pos FROM d),
+x AS (SELECT r, pos, word, lead(word) OVER o AS b, lead(word, 2) OVER o AS c FROM u WINDOW o AS (PARTITION BY r ORDER BY pos)),
+p AS (SELECT r, pos, CASE WHEN word = 'mit' AND b = 'license' THEN 'mit' WHEN word = 'apache' AND b = 'license' THEN 'apache' WHEN word = 'general' AND b = 'public' AND c = 'license' THEN 'gpl' END AS label FROM x),
+base AS (SELECT r, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word, list(DISTINCT label) AS labels FROM p WHERE label IS NOT NULL GROUP BY r),
+t AS (SELECT *, CAST(ceil(0.8 * len(wording) - 1e-9) AS BIGINT) AS need FROM (VALUES {TEMPLATE_SQL}) v(label, wording)),
+l AS (SELECT r, list_distinct({WORDS_SQL}) AS have FROM (SELECT r, unnest(string_split(text, chr(10))) AS text FROM d)),
+f AS (SELECT r, label, len(list_intersect(have, wording)) AS common, len(wording) AS size FROM l JOIN t ON len(have) >= need AND len(list_intersect(have, wording)) >= need),
+best AS (SELECT r, list(DISTINCT label) AS labels, max(common / size) AS best FROM f GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
+ array_to_string(list_sort(coalesce(base.labels, []::VARCHAR[])), ',') AS base_labels,
+ array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []::VARCHAR[]), coalesce(best.labels, []::VARCHAR[])))), ',') AS labels,
+ CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(best, 0.0) END::DOUBLE AS score
+FROM d LEFT JOIN base USING (r) LEFT JOIN best USING (r)
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_crf, op2_virtual_slots, op3_winnowing, op4_importance, op5_cap_filters, op6_paragraphs, op7_source_mix, op8_pseudo_lm, op9_simhash, op10_license_join)}
-ORACLE_SQL: dict[str, str] = {"op7_source_mix": OP7_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_winnowing": OP3_SQL, "op7_source_mix": OP7_SQL, "op10_license_join": OP10_SQL}
