@@ -20,6 +20,8 @@ GRAMS = 1 << 20
 PRIOR = 1.0
 #: Standard deviations by which a bucket's target count must differ from its share of the raw count to tell anything.
 SIGNIFICANT = 4.0
+#: Smallest difference of log probabilities that tells anything: slight ones, of which a long text has many, are no sign of quality.
+EFFECT = 0.5
 #: Grams that a longer text counts as, at the mean of all its grams: its weight says what it is like, not how long it is.
 REFERENCE = 400
 #: Bytes of runs of signs: neither words nor white space.
@@ -68,16 +70,22 @@ def _weights(batches: Iterator[pa.RecordBatch], ratio: Broadcast) -> Iterator[pa
 
 
 def log_ratios(raw: np.ndarray, good: np.ndarray) -> np.ndarray:
-    """For each half of the target: log of target over raw probability by bucket, drawn to 0 by ``PRIOR`` occurrences and 0 where chance explains the counts, less its mean over the other half.
+    """For each half of the target: log of target over raw probability by bucket, less what is typical of the other half's grams.
 
-    The mean estimates the models' divergence. Without it a text of the target would weigh more the longer it is.
+    The target's share of a bucket is compared with its typical share, the median over the other half's occurrences: junk in the raw text
+    lowers the share of no ordinary gram, so these weigh nothing, however many a text holds. Ratios are drawn to 0 by ``PRIOR`` occurrences,
+    are 0 where they are slight or chance explains the counts, and have mean 0 over the other half. Without it a text of the target would weigh more the longer it is.
     """
     logs = np.zeros(good.shape)
     for f in (0, 1):
-        share = good[f].sum() / max(raw.sum(), 1)
-        if share and good[1 - f].sum():
-            logs[f] = np.log((good[f] + PRIOR) / (raw * share + PRIOR))
-            logs[f][np.abs(good[f] - raw * share) < SIGNIFICANT * np.sqrt(raw * share + 1)] = 0
+        share, seen = good[f].sum() / max(raw.sum(), 1), np.flatnonzero(good[1 - f])
+        if share and len(seen):
+            ratio = (good[f][seen] + PRIOR * share) / (raw[seen] + PRIOR)
+            order = np.argsort(ratio, kind="stable")
+            mass = np.cumsum(good[1 - f][seen][order])
+            expected = raw * ratio[order][np.searchsorted(mass, mass[-1] / 2)]
+            logs[f] = np.log((good[f] + PRIOR) / (expected + PRIOR))
+            logs[f][(np.abs(good[f] - expected) < SIGNIFICANT * np.sqrt(expected + 1)) | (np.abs(logs[f]) < EFFECT)] = 0
             logs[f] -= (good[1 - f] * logs[f]).sum() / good[1 - f].sum()
     return logs
 
