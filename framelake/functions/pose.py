@@ -97,3 +97,18 @@ def samples(seconds: float, fps: float, odd: bool = False) -> int:
 def close(a: Column, b: Column, absolute: float = 1e-5, relative: float = 0.0) -> Column:
     """Whether two numbers agree within a tolerance."""
     return F.abs(a - b) <= absolute + relative * F.abs(b)
+
+
+def frame_at(seconds: Column, fps: float, n: Column | int) -> Column:
+    """The frame shown at a time, held within the episode."""
+    return F.least(F.greatest(F.floor(seconds * fps + 1e-4), F.lit(0)), F.lit(n) - 1)
+
+
+def time_of(frame: Column, fps: float) -> Column:
+    """A time at which a frame is surely shown."""
+    return (frame + 0.001) / fps
+
+
+def clip_agrees(video_s: Column, n_frames: Column, fps: float) -> Column:
+    """Whether a video lasts as long as its frames, within half a frame or 20 ms."""
+    return F.abs(video_s - n_frames / fps) <= max(0.02, 0.5 / fps)

@@ -44,6 +44,16 @@ def source_map(entries: DataFrame) -> DataFrame:
     return marked.groupBy("episode").agg(F.count("*").alias("n"), F.every(F.col("dense") & F.col("rising")).alias("valid"))
 
 
+def selection(frames: DataFrame, chosen: DataFrame, protected: DataFrame) -> DataFrame:
+    """(episode, frame, reason) of a selection (episode, frame): frames that the source lacks, chosen twice, or protected and left out. Frames after an episode's last chosen one may go."""
+    source, own = frames.select("episode", "frame").distinct(), chosen.select("episode", "frame")
+    unknown = own.join(source, ["episode", "frame"], "left_anti").withColumn("reason", F.lit("unknown"))
+    twice = own.groupBy("episode", "frame").count().where("count > 1").select("episode", "frame", F.lit("twice").alias("reason"))
+    last = own.groupBy("episode").agg(F.max("frame").alias("last"))
+    lost = protected.select("episode", "frame").distinct().join(last, "episode", "left").where(F.col("frame") <= F.coalesce("last", F.col("frame"))).drop("last")
+    return unknown.unionByName(twice).unionByName(lost.join(own, ["episode", "frame"], "left_anti").withColumn("reason", F.lit("protected")))
+
+
 def require_valid(breaches: DataFrame, what: str) -> None:
     """Raises on the driver if there is a breach, with the first ten."""
     if first := breaches.limit(10).collect():
