@@ -43,24 +43,52 @@ def _need(size: int, threshold: float) -> int:
     return next(n for n in range(size + 1) if n >= threshold * size - 1e-9)
 
 
+def _stretch(words: int, threshold: float) -> int:
+    """Words of a wrapped notice: its template's, and as large a share of others as may be missing."""
+    return next(n for n in range(words, 10 * words + 1) if n * threshold >= words - 1e-9)
+
+
+def _spans(text: Column | str, reach: int) -> Column:
+    """Spans of 2 * ``reach`` words that overlap by half, so that each run of ``reach`` words is in one: arrays of (at, line, part, word).
+
+    A line without a word ends a part; only spans of several lines stay.
+    """
+    lines = F.transform(F.split(text, "\n"), lambda line: F.regexp_extract_all(F.lower(line), F.lit(LETTERS), F.lit(0)))
+    # a part is named by the difference between a line's number and how many lines with words stand before it
+    numbered = F.filter(F.transform(lines, lambda words, i: F.struct(i.alias("line"), words.alias("words"))), lambda x: F.size(x["words"]) > 0)
+    flat = F.flatten(F.transform(numbered, lambda x, n: F.transform(x["words"], lambda w: F.struct(x["line"].alias("line"), (x["line"] - n).alias("part"), w.alias("word")))))
+    placed = F.transform(flat, lambda x, at: F.struct(at.alias("at"), x["line"].alias("line"), x["part"].alias("part"), x["word"].alias("word")))
+    starts = lambda words: F.sequence(F.lit(0), F.greatest(F.size(words) - 1, F.lit(0)), F.lit(reach))
+    # the list of one makes the words once for all spans
+    spans = F.flatten(F.transform(F.array(placed), lambda words: F.transform(starts(words), lambda k: F.slice(words, k + 1, 2 * reach))))
+    return F.filter(spans, lambda x: F.element_at(x, -1)["line"] > F.element_at(x, 1)["line"])
+
+
 def scanned(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = 0.8) -> DataFrame:
     """Per row of ``docs``: doc_id, n_words, n_base, first_word, last_word, base_labels, template_labels (sorted arrays), score and blocks.
 
-    Base: places where a phrase's words stand one after the other, with the first words' numbers from 0. Templates: a block, one line of a
-    text, meets a template if it holds at least ``threshold`` of its distinct words (exact). Template words are ordered from rare to frequent
-    over all documents; a block is joined on a template's prefix, the rarest words of which it must hold one, then checked by its length and
-    the places of the joined words, then in full. blocks lists (label, line number, containment); score is the largest containment, 1 where
-    a base phrase stands, else 0. A null text has no words and no blocks; repeated rows are answered one by one.
+    Base: places where a phrase's words stand one after the other, with the first words' numbers from 0. Templates: a block meets a template
+    if it holds at least ``threshold`` of its distinct words (exact). Blocks are the lines of a text and, for notices wrapped over lines,
+    all runs of 1 / ``threshold`` times the template's words that no line without words interrupts. Template words are ordered from rare to
+    frequent over all documents; a line, or a span of words that holds such runs, is joined on a template's prefix, the rarest words of which
+    it must hold one, then checked by its length and the places of the joined words, then in full, a span run by run. blocks lists (label,
+    line number, containment), of a span the best run by its first line; score is the largest containment, 1 where a base phrase stands, else 0.
+    A null text has no words and no blocks; repeated rows are answered one by one.
     """
     spark = docs.sparkSession
     parts = _texts(templates)
     vocabulary = F.array(*(F.lit(w) for w in sorted({w for *_, words in parts for w in words})))
     tokens = docs.select("doc_id", "text", F.regexp_extract_all(F.lower("text"), F.lit(LETTERS), F.lit(0)).alias("words"))
     read = tokens.select("doc_id", "text", F.coalesce(F.size("words"), F.lit(0)).cast("long").alias("n_words"), F.array_intersect("words", vocabulary).alias("known"))
-    enough = F.lit(False)
-    for _, _, words in parts:  # a document with fewer of a template's words has no block that meets it
-        enough = enough | (F.size(F.array_intersect("known", F.array(*map(F.lit, words)))) >= _need(len(words), threshold))
-    may = F.coalesce(enough, F.lit(False))
+
+    def holding(have: str) -> Column:
+        """Whether there are enough words of a template: a document or block with fewer has no block that meets it."""
+        enough = F.lit(False)
+        for _, _, words in parts:
+            enough = enough | (F.size(F.array_intersect(have, F.array(*map(F.lit, words)))) >= _need(len(words), threshold))
+        return F.coalesce(enough, F.lit(False))
+
+    may = holding("known")
     phrase = F.coalesce(F.col("text").rlike("[Ll][Ii][Cc][Ee][Nn][Ss][Ee]") & F.col("text").rlike(PHRASE), F.lit(False))
     kept = read.select("doc_id", F.when(F.col("text").isNull(), 0).otherwise(F.col("n_words")).alias("n_words"), F.coalesce("known", F.array().cast("array<string>")).alias("known"), may.alias("may"), phrase.alias("phrase"), F.when(may | phrase, F.col("text")).alias("text"))
     kept = settled(kept.withColumn("row", F.monotonically_increasing_id()), "licensedocs")
@@ -75,25 +103,35 @@ def scanned(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES,
         (F.col("n_words") - n_words(F.element_at("between", -1)) - F.when(F.lower(last).startswith("g"), 3).otherwise(2)).cast("long").alias("last_word"), F.array_sort(F.array_distinct(name)).alias("base_labels"),
     )
 
-    rows = [(i, label, w, len(words), _need(len(words), threshold)) for i, label, words in parts for w in words]
-    listed = F.broadcast(spark.createDataFrame(rows, "template int, label string, word string, size int, need int"))  # the templates' words, fixed
+    stretch = [_stretch(len(words.split()), threshold) for _, words in templates]
+    rows = [(i, label, w, len(words), _need(len(words), threshold), stretch[i]) for i, label, words in parts for w in words]
+    listed = F.broadcast(spark.createDataFrame(rows, "template int, label string, word string, size int, need int, stretch int"))  # the templates' words, fixed
     counts = kept.select(F.explode("known").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
     rank = F.row_number().over(Window.partitionBy("template").orderBy("n", "word"))
     ordered = settled(listed.join(counts, "word", "left").na.fill(0, ["n"]).withColumn("place", rank), "templates")
     everywhere = ordered.groupBy("word").agg(F.first("n").alias("n"))
-    blocks = kept.where("may").select("row", F.posexplode(F.split("text", "\n")).alias("line", "block"))
-    blocks = blocks.select("row", "line", F.array_intersect(F.regexp_extract_all(F.lower("block"), F.lit(LETTERS), F.lit(0)), vocabulary).alias("have"))
+    lines = kept.where("may").select("row", F.posexplode(F.split("text", "\n")).alias("block", "line"))
+    lines = lines.select("row", "block", F.array_intersect(F.regexp_extract_all(F.lower("line"), F.lit(LETTERS), F.lit(0)), vocabulary).alias("have"), F.lit(None).cast("array<struct<at:int,line:int,part:int,word:string>>").alias("span"))
     least = min(_need(len(words), threshold) for *_, words in parts)
-    held = blocks.where(F.size("have") >= least).select("row", "line", F.explode("have").alias("word")).join(F.broadcast(everywhere), "word")
-    held = held.groupBy("row", "line").agg(F.sort_array(F.collect_list(F.struct("n", "word"))).alias("sorted"))  # of the templates' words at most
-    held = held.select("row", "line", F.transform("sorted", lambda s: s["word"]).alias("have"))
-    probes = held.select("row", "line", "have", F.posexplode("have").alias("at", "word"))
-    prefix = F.broadcast(ordered.where(F.col("place") <= F.col("size") - F.col("need") + 1).select("template", "word", "size", "need", "place"))
+    # blocks of spans are numbered below 0, and keep the templates' words with their places
+    spans = kept.where("may").select("row", F.posexplode(_spans("text", max(stretch))).alias("nth", "span"))
+    spans = spans.select("row", (-1 - F.col("nth")).alias("block"), F.filter("span", lambda x: F.array_contains(vocabulary, x["word"])).alias("span"))
+    spans = spans.select("row", "block", F.array_distinct(F.transform("span", lambda x: x["word"])).alias("have"), "span")
+    blocks = lines.where(F.size("have") >= least).unionByName(spans.where(holding("have")))
+    held = blocks.select("row", "block", "span", F.explode("have").alias("word")).join(F.broadcast(everywhere), "word")
+    held = held.groupBy("row", "block").agg(F.sort_array(F.collect_list(F.struct("n", "word"))).alias("sorted"), F.first("span").alias("span"))  # of the templates' words at most
+    held = held.select("row", "block", "span", F.transform("sorted", lambda s: s["word"]).alias("have"))
+    probes = held.select("row", "block", "span", "have", F.posexplode("have").alias("at", "word"))
+    prefix = F.broadcast(ordered.where(F.col("place") <= F.col("size") - F.col("need") + 1).select("template", "word", "size", "need", "stretch", "place"))
     may_reach = 1 + F.least(F.col("size") - F.col("place"), F.size("have") - F.col("at") - 1)
-    first = F.row_number().over(Window.partitionBy("row", "line", "template").orderBy("place"))
+    first = F.row_number().over(Window.partitionBy("row", "block", "template").orderBy("place"))
     candidates = probes.join(prefix, "word").where(F.size("have") >= F.col("need")).withColumn("nth", first).where("nth = 1").where(may_reach >= F.col("need"))
     whole = F.broadcast(ordered.groupBy("template").agg(F.first("label").alias("label"), F.collect_list("word").alias("wording")))
-    verified = candidates.join(whole, "template").withColumn("common", F.size(F.array_intersect("have", "wording"))).where("common >= need")
+    own = F.filter("span", lambda x: F.array_contains("wording", x["word"]))
+    run = F.transform("own", lambda h, i: F.struct(F.size(F.array_distinct(F.transform(F.filter(F.slice("own", i + 1, F.col("stretch")), lambda g: (g["at"] < h["at"] + F.col("stretch")) & (g["part"] == h["part"])), lambda g: g["word"]))).alias("common"), h["line"].alias("line")))
+    line = F.struct(F.size(F.array_intersect("have", "wording")).alias("common"), F.col("block").alias("line"))
+    verified = candidates.join(whole, "template").withColumn("own", own).withColumn("best", F.when(F.col("span").isNull(), line).otherwise(F.array_max(run))).where("best.common >= need")
+    verified = verified.groupBy("row", "template", F.col("best.line").alias("line")).agg(F.first("label").alias("label"), F.first("size").alias("size"), F.max("best.common").alias("common"))
     found = verified.groupBy("row").agg(F.array_sort(F.collect_set("label")).alias("template_labels"), F.max(F.col("common") / F.col("size")).alias("best"), F.array_sort(F.collect_list(F.struct("line", "label", (F.col("common") / F.col("size")).alias("containment")))).alias("blocks"))
 
     none = F.array().cast("array<string>")
