@@ -20,8 +20,8 @@ TOKENS = CLASSES * PER_CLASS
 OWN = TOKENS // 2
 #: Words seen on either side, and the hidden width.
 REACH, WIDTH = 2, 32
-#: Share of positions that training predicts, tokens in a training step, step size.
-MASKED, BATCH, RATE = 0.15, 2048, 0.1
+#: Tokens in a training step, step size.
+BATCH, RATE = 2048, 0.1
 #: Parameters in a row that travels to the averaging.
 CHUNK = 4096
 
@@ -109,30 +109,40 @@ def log_probabilities(params: dict[str, np.ndarray], token: np.ndarray, context:
     return out
 
 
+def _softmax(x: np.ndarray) -> np.ndarray:
+    x = np.exp(x - x.max(-1, keepdims=True))
+    x /= x.sum(-1, keepdims=True)
+    return x
+
+
 def gradient(params: dict[str, np.ndarray], token: np.ndarray, context: list[np.ndarray]) -> dict[str, np.ndarray]:
     """Of the mean log-probability; ``context`` only by its rows, as the sums to add at ``context``'s tokens."""
     h, group, n = _hidden(params, context), token // PER_CLASS, np.float32(len(token))
     row = np.arange(len(token))
-    d = -np.exp(_log_softmax(h @ params["classes"].T + params["class_bias"]))
+    d = -_softmax(h @ params["classes"].T + params["class_bias"])
     d[row, group] += 1
     d /= n
     out = {"classes": d.T @ h, "class_bias": d.sum(0), "tokens": np.zeros_like(params["tokens"]), "token_bias": np.zeros_like(params["token_bias"])}
     dh = d @ params["classes"]
-    order = np.argsort(group, kind="stable")
-    edge = np.searchsorted(group[order], np.arange(CLASSES + 1))
-    for c in range(CLASSES):
-        at = order[edge[c] : edge[c + 1]]
-        if len(at):
-            e = -np.exp(_log_softmax(h[at] @ params["tokens"][c].T + params["token_bias"][c]))
-            e[np.arange(len(at)), token[at] % PER_CLASS] += 1
+    order = np.argsort(group.astype(np.int16), kind="stable")
+    edge = np.searchsorted(group[order], np.arange(CLASSES + 1)).tolist()
+    sorted_h, within, sorted_dh = h[order], token[order] % PER_CLASS, np.empty_like(dh)
+    for c, (a, b) in enumerate(zip(edge[:-1], edge[1:], strict=True)):
+        if a < b:
+            e = -_softmax(sorted_h[a:b] @ params["tokens"][c].T + params["token_bias"][c])
+            e[row[: b - a], within[a:b]] += 1
             e /= n
-            out["tokens"][c], out["token_bias"][c] = e.T @ h[at], e.sum(0)
-            dh[at] += e @ params["tokens"][c]
+            out["tokens"][c], out["token_bias"][c] = e.T @ sorted_h[a:b], e.sum(0)
+            sorted_dh[a:b] = e @ params["tokens"][c]
+    dh[order] += sorted_dh
     dz = dh * (1 - h * h)
     out["hidden"] = dz.sum(0)
     out["context"] = np.zeros_like(params["context"])
-    for p, c in enumerate(context):
-        np.add.at(out["context"][p], c, dz)
+    for p, c in enumerate(context):  # rows of one token side by side, so that they are summed at once
+        order = np.argsort(c.astype(np.int16), kind="stable")
+        at = c[order]
+        first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+        out["context"][p][at[first]] = np.add.reduceat(dz[order], first, axis=0)
     return out
 
 
@@ -155,8 +165,7 @@ def _trained(batches: Iterator[pa.RecordBatch], shared: Broadcast, seed: int) ->
     rng = np.random.default_rng(seed)
     for _, data, offsets in steps(batches):
         token, text_no = _tokens(data, offsets, known, number)
-        at = np.flatnonzero(rng.random(len(token)) < MASKED)
-        rng.shuffle(at)
+        at = rng.permutation(len(token))
         context = _context(token, text_no, at)
         for i in range(0, len(at), BATCH):
             step(token[at[i : i + BATCH]], [c[i : i + BATCH] for c in context])
@@ -181,7 +190,7 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(docs: DataFrame, seed: int = 3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(sorted hashes of the words with own tokens, their tokens, parameters) learned from all texts of ``docs``.
 
-    Each task trains from the common start over all its texts, predicting a share ``MASKED`` of the positions with every word as context, and
+    Each task trains from the common start over all its texts, predicting every position with the words around it as context, and
     the tasks' parameters are averaged by how many positions they predicted. The network's size is fixed, what the tasks send grows with the input.
     """
     known = vocabulary(docs)
