@@ -65,14 +65,15 @@ def _fingerprints(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[p
         yield pa.RecordBatch.from_arrays([*rows.drop_columns(["text"]).columns, pa.array(got.view(np.int64))], [*(c for c in rows.schema.names if c != "text"), "fp"])
 
 
-def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
-    """(doc_id, fp long): the SimHash of the lower-cased (A-Z) text's ``shingle``-word shingles, repeats included.
+def fingerprints(docs: DataFrame, shingle: int = 4, more: str | None = None) -> DataFrame:
+    """(doc_id, fp long), with the long column ``more`` before fp if one is named: the SimHash of the lower-cased (A-Z) text's ``shingle``-word shingles, repeats included.
 
     Words are runs of characters other than white space of ASCII. Fewer words than a shingle: the whole sequence counts as one;
     none, or a null text: 0.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(partial(_fingerprints, shingle=shingle), f"doc_id {kind}, fp long")
+    own = [more] if more else []
+    return docs.select("doc_id", *own, "text").mapInArrow(partial(_fingerprints, shingle=shingle), f"doc_id {kind}, {''.join(f'{c} long, ' for c in own)}fp long")
 
 
 def segment_radii(distance: int, segments: tuple[int, ...] = SEGMENTS) -> list[int]:
@@ -124,6 +125,12 @@ def fingerprint_links(distinct: DataFrame, distance: int = 4) -> DataFrame:
     return grouped(split_buckets(rows)).mapInArrow(partial(_links, distance=distance), "a long, b long")
 
 
+def _joined(classes: DataFrame, distance: int) -> DataFrame:
+    """``classes`` (column fp, distinct) with the component of each."""
+    found = components(fingerprint_links(classes, distance)).withColumnRenamed("id", "fp")
+    return classes.join(found, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+
+
 def simhash_groups(docs: DataFrame, distance: int = 4, shingle: int = 4) -> DataFrame:
     """(doc_id, fp long, component_id): near-duplicate groups of ``docs`` (columns doc_id, text; others are ignored).
 
@@ -132,15 +139,23 @@ def simhash_groups(docs: DataFrame, distance: int = 4, shingle: int = 4) -> Data
     A null doc_id gets its group's smallest id, null if the group has none. An empty table gives no rows.
     """
     prints = settled(fingerprints(docs, shingle), "simhash")
-    classes = settled(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
-    found = components(fingerprint_links(classes, distance)).withColumnRenamed("id", "fp")
-    joined = classes.join(found, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    joined = _joined(settled(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes"), distance)
     least = joined.groupBy("component").agg(F.min("rep").alias("component_id"))
     labels = joined.join(least, "component").select("fp", "component_id")
     return prints.join(labels, "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_first(docs: DataFrame, distance: int = 4, shingle: int = 4) -> DataFrame:
-    """``docs`` with the document of the smallest doc_id of each near-duplicate group; of repeated rows of that id one, rows without id stay."""
-    groups = simhash_groups(docs, distance, shingle).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(groups, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns).unionByName(docs.where("doc_id is null"))
+    """``docs`` with one row of each near-duplicate group: the smallest by doc_id (null last), fingerprint and a hash of the whole row.
+
+    Rows of one doc_id may stand in several groups. Of rows that are equal in all columns one stays.
+    """
+    # xxhash64 passes over nulls, so where they stand is hashed too
+    keyed = docs.withColumn("row_key", F.xxhash64(*docs.columns, *(F.col(c).isNull() for c in docs.columns)))
+    prints = settled(fingerprints(keyed, shingle, "row_key"), "simhash")
+    order = F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "fp", "row_key")
+    classes = settled(prints.groupBy("fp").agg(F.min(order).alias("rep")), "classes")
+    least = _joined(classes, distance).groupBy("component").agg(F.min("rep").alias("rep"))
+    first = least.select(F.col("rep.doc_id").alias("first_id"), F.col("rep.row_key").alias("first_key"))
+    kept = keyed.join(first, (F.col("row_key") == F.col("first_key")) & F.col("doc_id").eqNullSafe(F.col("first_id")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "row_key"]).select(docs.columns)
