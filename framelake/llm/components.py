@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framelake.llm.shared import settled
+from framelake.llm.shared import settled, spread_join
 
 
-def _star(pairs: DataFrame, large: bool) -> DataFrame:
-    """One step over rows (u, v): each u's smallest neighbour m (itself included) takes over its neighbours above (large) or below u (small)."""
-    least = pairs.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    moved = pairs.join(least, "u")
+def _star(pairs: DataFrame, total: int, large: bool) -> DataFrame:
+    """One step over rows (u, v), ``total`` at most: each u's smallest neighbour m (itself included) takes over its neighbours above (large) or below u (small)."""
+    least = pairs.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).withColumn("m", F.least("m", "u"))
+    moved = spread_join(pairs, least, "u", total)
     if large:
         out = moved.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
@@ -22,18 +22,16 @@ def _star(pairs: DataFrame, large: bool) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """(id, component) for every end of ``links`` (columns a, b of type long): component is the smallest id reachable.
 
-    Self-links, repeated links and rows with a null end are ignored. Minima are pre-aggregated before the shuffle and joined
-    back, so a hub's links are never gathered; every round is a table in the shared folder, so that a lost executor costs one round at most.
+    Self-links, repeated links and rows with a null end are ignored. Minima are pre-aggregated before the shuffle and joined back, a hub's
+    by broadcast, so its links are never gathered; every round is a table in the shared folder, so that a lost executor costs one round at most.
     """
     tree = settled(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("a <> b").distinct(), "links")
-    was = None
-    while True:
+    was, now = None, (tree.count(), None)
+    while now != was and now[0]:
+        was = now
         both = tree.union(tree.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        step = _star(both, True)
+        step = _star(both, 2 * was[0], True)
         step = step.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        tree = settled(_star(step, False), "stars")
-        now = tree.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == was:
-            break
-        was = now
+        tree = settled(_star(step, 2 * was[0], False), "stars")
+        now = tuple(tree.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
     return tree.select(F.col("u").alias("id"), F.col("v").alias("component")).union(tree.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())

@@ -18,25 +18,59 @@ STEP_BYTES = 4 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors see: ``spark.checkpoint.dir``, or a fresh temporary one where that is unset (tests)."""
+    """The folder all executors see: ``spark.checkpoint.dir``. Where that is unset, a local session gets a fresh temporary folder; on a cluster it is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="framelake-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
-def settled(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once as Parquet into the shared folder and read again: later uses, retries and lost executors read the same rows.
+def _own_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/framelake-{spark.sparkContext.applicationId}"
 
-    The folder belongs to the caller's job, which clears it when the job is over.
-    """
+
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once as Parquet into the application's part of the shared folder and read again: later uses, retries and lost executors read the same rows."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{_own_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear_settled(spark: SparkSession) -> None:
+    """Deletes the tables that this application settled; results that still read them are lost, so write these first."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores appended where ``df`` has such a column already, in upper or lower case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+#: A key with more than this part of all rows is joined by broadcast, so there are fewer such keys than this.
+HOT_KEYS = 1000
+
+
+def spread_join(rows: DataFrame, small: DataFrame, key: str, total: int) -> DataFrame:
+    """``rows`` joined by ``key`` with ``small``, one row a key with the number ``n`` of its rows (dropped), so that no key's rows meet in one task.
+
+    Of ``total`` rows at most, fewer than ``HOT_KEYS`` keys can have more than a ``HOT_KEYS``-th; these are broadcast and the others shuffled.
+    """
+    often = max(100, total // HOT_KEYS)
+    hot, others = F.broadcast(small.where(F.col("n") > often).drop("n")), small.where(F.col("n") <= often).drop("n")
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(others, key))
+
+
 #: Bits of a bitmap of hashes that prefilters rows before an exact join: 2 MB, whatever the number of hashes.
 FILTER_BITS = 1 << 24
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from framelake.llm.buckets import grouped, linked_forest, split_buckets
 from framelake.llm.components import components
-from framelake.llm.shared import settled, steps
+from framelake.llm.shared import free_names, settled, spread_join, steps
 
 #: Bits of each segment of a 64-bit fingerprint, from the lowest bit up.
 SEGMENTS = (22, 22, 20)
@@ -139,10 +139,11 @@ def simhash_groups(docs: DataFrame, distance: int = 4, shingle: int = 4) -> Data
     A null doc_id gets its group's smallest id, null if the group has none. An empty table gives no rows.
     """
     prints = settled(fingerprints(docs, shingle), "simhash")
-    joined = _joined(settled(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes"), distance)
-    least = joined.groupBy("component").agg(F.min("rep").alias("component_id"))
-    labels = joined.join(least, "component").select("fp", "component_id")
-    return prints.join(labels, "fp").select("doc_id", "fp", "component_id")
+    classes = settled(prints.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "classes")
+    joined = settled(_joined(classes, distance), "joined")
+    least = joined.groupBy("component").agg(F.min("rep").alias("component_id"), F.count("*").alias("n"))
+    labels = spread_join(joined.withColumnRenamed("n", "rows"), least, "component", classes.count())
+    return spread_join(prints, labels.select("fp", "component_id", F.col("rows").alias("n")), "fp", prints.count()).select("doc_id", "fp", "component_id")
 
 
 def keep_first(docs: DataFrame, distance: int = 4, shingle: int = 4) -> DataFrame:
@@ -151,11 +152,14 @@ def keep_first(docs: DataFrame, distance: int = 4, shingle: int = 4) -> DataFram
     Rows of one doc_id may stand in several groups. Of rows that are equal in all columns one stays.
     """
     # xxhash64 passes over nulls, so where they stand is hashed too
-    keyed = docs.withColumn("row_key", F.xxhash64(*docs.columns, *(F.col(c).isNull() for c in docs.columns)))
-    prints = settled(fingerprints(keyed, shingle, "row_key"), "simhash")
+    key, first_id, first_key = free_names(docs, "row_key", "first_id", "first_key")
+    keyed = docs.withColumn(key, F.xxhash64(*docs.columns, *(F.col(f"`{c}`").isNull() for c in docs.columns)))
+    prints = settled(fingerprints(keyed, shingle, key).withColumnRenamed(key, "row_key"), "simhash")
     order = F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "fp", "row_key")
     classes = settled(prints.groupBy("fp").agg(F.min(order).alias("rep")), "classes")
     least = _joined(classes, distance).groupBy("component").agg(F.min("rep").alias("rep"))
-    first = least.select(F.col("rep.doc_id").alias("first_id"), F.col("rep.row_key").alias("first_key"))
-    kept = keyed.join(first, (F.col("row_key") == F.col("first_key")) & F.col("doc_id").eqNullSafe(F.col("first_id")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "row_key"]).select(docs.columns)
+    first = least.select(F.col("rep.doc_id").alias(first_id), F.col("rep.row_key").alias(first_key))
+    kept = keyed.join(first, (F.col(key) == F.col(first_key)) & F.col("doc_id").eqNullSafe(F.col(first_id)), "left_semi")
+    if not prints.groupBy("doc_id", "row_key").count().where("count > 1").isEmpty():  # only then are texts shuffled once more
+        kept = kept.dropDuplicates(["doc_id", key])
+    return kept.select(docs.columns)
