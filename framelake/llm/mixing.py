@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from framelake.llm.shared import settled
+from framelake.llm.shared import free_names, settled
 
 #: Weights of the sources in order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -17,10 +17,29 @@ def n_tokens() -> Column:
     return F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def chance(seed: int) -> Column:
-    """A number in [0, 1) from the doc_id and the seed alone, so that reruns agree."""
-    digest = F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
+def chance(seed: int, digest: Column, again: Column) -> Column:
+    """A number in [0, 1) from the seed, the doc_id, the text's digest and ``again`` (null but for repeated rows), so that reruns agree."""
+    hashed = F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("|"), digest, F.coalesce(again.cast("string"), F.lit(""))))
+    return F.conv(F.substring(hashed, 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
+
+
+def _digest() -> Column:
+    return F.coalesce(F.md5("text"), F.lit(""))
+
+
+def with_chance(rows: DataFrame, digests: DataFrame, seed: int, name: str) -> DataFrame:
+    """``rows`` (doc_id, digest column ``name``) with ``name`` replaced by each row's chance. ``digests`` (doc_id, digest) are counted.
+
+    Rows equal in doc_id and text would all decide alike; as there are seldom any, only they are told apart, by their place in the table.
+    """
+    again = digests.groupBy(F.col("doc_id").alias("again_id"), F.col("digest").alias("again_digest")).count().where("count > 1").drop("count")
+    again = settled(again, "again")
+    if again.isEmpty():
+        return rows.withColumn(name, chance(seed, F.col(name), F.lit(None)))
+    a, b, place = free_names(rows, "again_id", "again_digest", "place")
+    again = again.toDF(a, b)
+    placed = rows.withColumn(place, F.monotonically_increasing_id()).join(again, F.col("doc_id").eqNullSafe(F.col(a)) & (F.col(name) == F.col(b)), "left")
+    return placed.withColumn(name, chance(seed, F.col(name), F.when(F.col(b).isNotNull(), F.col(place)))).drop(a, b, place)
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0) -> DataFrame:
@@ -45,22 +64,26 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
 def copies(docs: DataFrame, seed: int = 7, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0) -> DataFrame:
     """Per row of ``docs``: doc_id, source, size, source_size, target and copies, the times that the mix holds the document.
 
-    A source's repetition rate is target / source_size; each document is taken floor(rate) times and once more if its hashed chance is below
-    the fraction. A null text has size 0, a null source is a source, a source without tokens has rate 0; repeated rows of one id decide alike.
+    A source's repetition rate is target / source_size; each row is taken floor(rate) times and once more if its hashed chance is below
+    the fraction. Rows decide one by one, those with equal or null ids too. A null text has size 0, a null source is a source, a source
+    without tokens has rate 0; an empty table gives no rows.
     """
-    rows = settled(docs.select("doc_id", "source", n_tokens().alias("size"), chance(seed).alias("chance")), "tokens")
+    rows = settled(docs.select("doc_id", "source", n_tokens().alias("size"), _digest().alias("digest")), "tokens")
     rates = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most).withColumnRenamed("source", "of")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    n = (F.floor(rate) + (F.col("chance") < rate - F.floor(rate)).cast("long")).cast("long")
+    n = (F.floor(rate) + (F.col("digest") < rate - F.floor(rate)).cast("long")).cast("long")
+    rows = with_chance(rows, rows, seed, "digest")
     return rows.join(rates, F.col("source").eqNullSafe(F.col("of"))).select("doc_id", "source", "size", "source_size", "target", n.alias("copies"))
 
 
 def mixed(docs: DataFrame, seed: int = 7, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0) -> DataFrame:
-    """``docs`` as the mix has them: each row repeated as :func:`copies` decides, with its own columns. Texts are not shuffled."""
-    sizes = docs.select("source", n_tokens().alias("size")).groupBy("source").agg(F.sum("size").alias("source_size"))
-    rates = targets(sizes, weights, share, most)
+    """``docs`` as the mix has them: each row repeated as :func:`copies` decides, with its own columns. Texts are not shuffled, unless rows repeat ids and texts."""
+    light = settled(docs.select("doc_id", "source", n_tokens().alias("size"), _digest().alias("digest")), "tokens")
+    rates = targets(light.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    rates = settled(rates.select(F.col("source").alias("_of"), rate.alias("_rate")), "rates")
-    n = (F.floor("_rate") + (chance(seed) < F.col("_rate") - F.floor("_rate")).cast("long")).cast("int")
-    taken = docs.join(rates, F.col("source").eqNullSafe(F.col("_of"))).withColumn("_copy", F.explode(F.array_repeat(F.lit(0), n)))
+    of, per, drawn, copy = free_names(docs, "of", "rate", "chance", "copy")
+    rates = settled(rates.select(F.col("source").alias(of), rate.alias(per)), "rates")
+    keyed = with_chance(docs.withColumn(drawn, _digest()), light.select("doc_id", "digest"), seed, drawn)
+    n = (F.floor(per) + (F.col(drawn) < F.col(per) - F.floor(per)).cast("long")).cast("int")
+    taken = keyed.join(rates, F.col("source").eqNullSafe(F.col(of))).withColumn(copy, F.explode(F.array_repeat(F.lit(0), n)))
     return taken.select(docs.columns)
