@@ -12,11 +12,14 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from framelake.llm.bytewords import ALNUM, LOWER, bounds, gram_hashes, mixed, word_hashes, words
-from framelake.llm.shared import hash_bitmap, in_bitmap, settled, steps
+from framelake.llm.shared import free_names, hash_bitmap, in_bitmap, settled, steps
 
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
+#: Items whose texts are compared with a document at once; a document that meets more is compared in parts.
+ITEMS = 64
 
 
 def winnowed(h: np.ndarray, text_no: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
@@ -85,8 +88,10 @@ def _item_words(text: str) -> list[bytes]:
 
 
 def _extended(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+    """(row, items, spans) of rows (row, text, found): what the joined alignments of some items hit in a document, compared word by word."""
+    schema = pa.schema([("row", pa.int64()), ("items", pa.list_(pa.string())), ("spans", pa.list_(pa.struct([("first_word", pa.int64()), ("end_word", pa.int64())])))])
     for batch in batches:
-        out: dict[str, list] = {"row": [], "n_hit": [], "items": [], "spans": []}
+        out: dict[str, list] = {"row": batch.column("row").to_pylist(), "items": [], "spans": []}
         for row in range(batch.num_rows):
             no: dict[bytes, int] = {}
             doc = np.array([no.setdefault(w, len(no)) for w in WORD.findall(batch.column("text")[row].as_py().encode().lower())], np.int64)
@@ -105,14 +110,20 @@ def _extended(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Rec
                             items.add(found["item_id"] or "")
             on = np.concatenate([[False], np.cumsum(hit)[:-1] > 0, [False]])
             turn = np.flatnonzero(on[1:] != on[:-1]).tolist()
-            out["row"].append(batch.column("row")[row].as_py())
-            out["n_hit"].append(int(on.sum()))
             out["items"].append(sorted(items))
             out["spans"].append([{"first_word": s, "end_word": e} for s, e in zip(turn[::2], turn[1::2], strict=True)])
-        schema = pa.schema([("row", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("spans", pa.list_(pa.struct([("first_word", pa.int64()), ("end_word", pa.int64())])))])
         yield pa.RecordBatch.from_pydict(out, schema)
 
 
+def _merged(spans: DataFrame) -> DataFrame:
+    """(row, n_hit, spans) of spans (row, first_word, end_word) that may overlap, as words they cover."""
+    order = Window.partitionBy("row").orderBy("first_word", "end_word")
+    before = F.max("end_word").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    island = F.sum(F.coalesce(F.col("first_word") > F.col("before"), F.lit(True)).cast("int")).over(order)
+    one = spans.withColumn("before", before).withColumn("island", island).groupBy("row", "island").agg(F.min("first_word").alias("first_word"), F.max("end_word").alias("end_word"))
+    return one.groupBy("row").agg(F.sum(F.col("end_word") - F.col("first_word")).alias("n_hit"), F.array_sort(F.collect_list(F.struct("first_word", "end_word"))).alias("spans"))  # of one document's spans
+
+
 def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """One row per document: ``carry``, n_words, n_hit, items (sorted ids as strings) and spans of hit words [first_word, end_word).
 
@@ -132,9 +143,14 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, carr
     scanned = settled(scanned.withColumn("row", F.monotonically_increasing_id()), "docprints")
     suspects = scanned.where("text is not null")
     met = suspects.select("row", F.explode("prints").alias("p")).select("row", F.col("p.h").alias("h"), F.col("p.at").alias("doc_at")).join(prints, "h")
-    met = met.groupBy("row", "item").agg(F.collect_set(F.col("doc_at") - F.col("at")).alias("shifts"))
-    found = met.join(items, "item").groupBy("row").agg(F.collect_list(F.struct("item_id", "text", "shifts")).alias("found"))
-    hits = suspects.select("row", "text").join(found, "row").mapInArrow(partial(_extended, window=window), "row long, n_hit long, items array<string>, spans array<struct<first_word: long, end_word: long>>")
+    met = settled(met.groupBy("row", "item").agg(F.collect_set(F.col("doc_at") - F.col("at")).alias("shifts")), "met")
+    dealt = met.groupBy("row").agg(F.ceil(F.count("*") / ITEMS).alias("parts"))
+    parts = met.join(dealt, "row").withColumn("part", F.pmod(F.xxhash64("item"), F.col("parts"))).join(items, "item")
+    found = parts.groupBy("row", "part").agg(F.collect_list(F.struct("item_id", "text", "shifts")).alias("found"))  # about ITEMS at most
+    told = suspects.select("row", "text").join(found, "row").mapInArrow(partial(_extended, window=window), "row long, items array<string>, spans array<struct<first_word: long, end_word: long>>")
+    told = settled(told.where(F.size("items") > 0), "hits")
+    ids = told.select("row", F.explode("items").alias("item")).groupBy("row").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    hits = _merged(told.select("row", F.inline("spans"))).join(ids, "row")
     none = F.array().cast("array<string>")
     return scanned.select("row", *carry, "n_words").join(hits, "row", "left").select(
         *carry, "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", none).alias("items"), F.coalesce("spans", F.array().cast("array<struct<first_word: bigint, end_word: bigint>>")).alias("spans")
@@ -143,7 +159,8 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, carr
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     """``docs`` without the documents that hold a benchmark window; found by text, so that null or repeated ids don't matter."""
-    key = {"_hash": F.xxhash64("text"), "_crc": F.crc32("text"), "_len": F.length("text")}
+    h, crc, size = free_names(docs, "text_hash", "text_crc", "text_size")
+    key = {h: F.xxhash64("text"), crc: F.crc32("text"), size: F.length("text")}
     keyed = docs.withColumns(key)
     bad = decontaminated(keyed, benchmark, window, tuple(key)).where("n_hit > 0").select(*key).distinct()
     return keyed.join(bad, list(key), "left_anti").select(docs.columns)
