@@ -6,15 +6,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from framelake.llm.shared import settled
+from framelake.llm.shared import free_names, settled
 
 #: Virtual slots; fixed for a corpus' lifetime, so that only the map is ever edited.
 SLOTS = 4096
+#: A slot that holds more than this part of a shard's bytes is split; its further parts have numbers beyond the slots, ``SLOTS`` apart.
+HEAVY = 0.125
+#: Rows that are ranked in one task, about.
+RANKED = 100_000
 
 
 def slot_of(slots: int = SLOTS) -> Column:
-    """A row's virtual slot: its doc_id's hash; rows without an id go by their text."""
-    return F.pmod(F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id")), F.lit(slots)).cast("int")
+    """A row's virtual slot: the hash of its doc_id and text, so that neither one id nor one text fills a slot."""
+    return F.pmod(F.xxhash64("doc_id", "text"), F.lit(slots)).cast("int")
 
 
 def size_of() -> Column:
@@ -23,10 +27,24 @@ def size_of() -> Column:
 
 
 def slot_sizes(sized: DataFrame, slots: int = SLOTS) -> DataFrame:
-    """(virtual_slot, bytes, n) of every slot, empty ones too, from rows with virtual_slot and size; summed before the shuffle."""
-    sums = sized.groupBy("virtual_slot").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))
+    """(virtual_slot, bytes, n) of every slot, empty ones too, from rows with virtual_slot and size (and n, if they stand for several); summed before the shuffle."""
+    sums = sized.groupBy("virtual_slot").agg(F.sum("size").alias("bytes"), (F.sum("n") if "n" in sized.columns else F.count("*")).alias("n"))
     every = sized.sparkSession.range(slots).select(F.col("id").cast("int").alias("virtual_slot"))
-    return every.join(sums, "virtual_slot", "left").na.fill(0, ["bytes", "n"])
+    return every.join(sums, "virtual_slot", "full_outer").na.fill(0, ["bytes", "n"])
+
+
+def heavy_slots(sizes: DataFrame, shards: int) -> DataFrame:
+    """(virtual_slot, parts) of slots heavier than ``HEAVY`` of a shard's share; there are fewer than shards / ``HEAVY``."""
+    share = F.greatest(F.sum("bytes").over(Window.partitionBy(F.lit(0))) / shards * HEAVY, F.lit(1.0))  # over the slots
+    return sizes.withColumn("parts", F.ceil(F.col("bytes") / share).cast("int")).where("parts > 1 and n > 1").select("virtual_slot", "parts")
+
+
+def split_slots(rows: DataFrame, heavy: DataFrame, by: Column, slots: int = SLOTS) -> DataFrame:
+    """``rows`` with the virtual_slot of heavy slots' rows dealt over their parts by the number ``by``."""
+    parts, = free_names(rows, "parts")
+    dealt = rows.join(F.broadcast(heavy.withColumnRenamed("parts", parts)), "virtual_slot", "left")
+    part = F.coalesce(F.pmod(by, F.col(parts)), F.lit(0))
+    return dealt.withColumn("virtual_slot", (F.col("virtual_slot") + slots * part).cast("int")).drop(parts)
 
 
 def rebalanced(sizes: DataFrame, shards: int, current: DataFrame | None = None, version: int = 1) -> DataFrame:
@@ -59,8 +77,11 @@ def rebalanced(sizes: DataFrame, shards: int, current: DataFrame | None = None,
 
 
 def store_map(slot_map: DataFrame, path: str) -> None:
-    """Appends a version to the stored map; versions are directories, an existing one is never rewritten."""
-    slot_map.withColumn("v", F.col("version")).repartition(1).write.mode("append").partitionBy("v").parquet(path)
+    """Appends a version to the stored map; versions are directories, and one that exists is an error, so it is never rewritten or doubled."""
+    version = slot_map.agg(F.min("version"), F.max("version")).first()
+    if version[0] is None or version[0] != version[1]:
+        raise ValueError("a map has rows of one version")
+    slot_map.repartition(1).write.mode("error").parquet(f"{path}/v={version[0]}")
 
 
 def latest_map(stored: DataFrame) -> DataFrame:
@@ -71,24 +92,35 @@ def latest_map(stored: DataFrame) -> DataFrame:
 def sharded(docs: DataFrame, shards: int = 40, slots: int = SLOTS) -> DataFrame:
     """``docs`` with virtual_slot, shard and map_version; the shards' bytes are near equal. Texts are not shuffled.
 
-    Columns of ``docs`` with these names are replaced.
+    A heavy slot is split by the hash of whole rows, so only rows that are equal in all columns stay together. Columns of ``docs`` with the new
+    names are replaced; null ids and texts are hashed like others; an empty table gives no rows.
     """
     own = docs.drop("virtual_slot", "shard", "map_version")
-    slot_map = settled(rebalanced(slot_sizes(own.select(slot_of(slots).alias("virtual_slot"), size_of().alias("size")), slots), shards), "slotmap")
+    whole, size = free_names(own, "whole_row", "row_size")
+    keyed = own.withColumns({"virtual_slot": slot_of(slots), whole: F.xxhash64(*(f"`{c}`" for c in own.columns)), size: size_of()})
+    light = settled(keyed.select("virtual_slot", F.col(whole).alias("whole"), F.col(size).alias("size")), "slots")
+    heavy = settled(heavy_slots(slot_sizes(light, slots), shards), "heavy")
+    slot_map = settled(rebalanced(slot_sizes(split_slots(light, heavy, F.col("whole"), slots), slots), shards), "slotmap")
     small = F.broadcast(slot_map.select("virtual_slot", "shard", F.col("version").alias("map_version")))  # one row a slot
-    return own.withColumn("virtual_slot", slot_of(slots)).join(small, "virtual_slot").select(*own.columns, "virtual_slot", "shard", "map_version")
+    return split_slots(keyed, heavy, F.col(whole), slots).join(small, "virtual_slot").select(*own.columns, "virtual_slot", "shard", "map_version")
 
 
 def shard_places(docs: DataFrame, shards: int = 40, slots: int = SLOTS) -> DataFrame:
     """Per row of ``docs``: doc_id, size, text_crc32, virtual_slot, shard, place (gapless from 0 in its shard) and map_version.
 
-    Bytes per shard are near equal. Rows are ranked within their virtual slot, a 4096th of the ids, and slots of a shard follow each other.
-    Null texts have 16 bytes and no checksum; rows without an id are slotted by text; repeated rows get places of their own.
+    Bytes per shard are near equal, whatever rows share an id or a text: a heavy slot is split by the rows' own numbers. Rows are ranked within
+    fine parts of a slot that grow in number with the table, and the parts of a shard follow each other. Null texts have 16 bytes and checksum
+    0, that of no bytes; repeated rows get places of their own; an empty table gives no rows.
     """
-    rows = docs.select("doc_id", size_of().alias("size"), F.crc32("text").alias("text_crc32"), slot_of(slots).alias("virtual_slot"))
-    rows = settled(rows, "sized")
-    slot_map = settled(rebalanced(slot_sizes(rows, slots), shards), "slotmap")
-    before = F.sum("n").over(Window.partitionBy("shard").orderBy("virtual_slot").rowsBetween(Window.unboundedPreceding, -1))
-    begin = F.broadcast(slot_map.select("virtual_slot", "shard", F.col("version").alias("map_version"), F.coalesce(before, F.lit(0)).alias("begin")))  # one row a slot
-    rank = F.row_number().over(Window.partitionBy("virtual_slot").orderBy("doc_id", "text_crc32", "size"))
-    return rows.withColumn("rank", rank).join(begin, "virtual_slot").select("doc_id", "size", "text_crc32", "virtual_slot", "shard", (F.col("begin") + F.col("rank") - 1).cast("long").alias("place"), "map_version")
+    rows = docs.select("doc_id", size_of().alias("size"), F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"), slot_of(slots).alias("virtual_slot"))
+    rows = settled(rows.withColumn("row", F.monotonically_increasing_id()), "sized")
+    heavy = settled(heavy_slots(slot_sizes(rows, slots), shards), "heavy")
+    fine = max(1, rows.count() // (slots * RANKED))
+    rows = split_slots(rows, heavy, F.col("row"), slots).withColumn("fine", F.pmod(F.xxhash64("doc_id", "text_crc32", "row"), F.lit(fine)).cast("int"))
+    counts = settled(rows.groupBy("virtual_slot", "fine").agg(F.sum("size").alias("size"), F.count("*").alias("n")), "counts")
+    slot_map = settled(rebalanced(slot_sizes(counts, slots), shards), "slotmap")
+    before = F.sum("n").over(Window.partitionBy("shard").orderBy("virtual_slot", "fine").rowsBetween(Window.unboundedPreceding, -1))
+    small = F.broadcast(slot_map.select("virtual_slot", "shard", F.col("version").alias("map_version")))  # one row a slot
+    begin = counts.join(small, "virtual_slot").select("virtual_slot", "fine", "shard", "map_version", F.coalesce(before, F.lit(0)).alias("begin"))
+    rank = F.row_number().over(Window.partitionBy("virtual_slot", "fine").orderBy("doc_id", "text_crc32", "size"))
+    return rows.withColumn("rank", rank).join(begin, ["virtual_slot", "fine"]).select("doc_id", "size", "text_crc32", "virtual_slot", "shard", (F.col("begin") + F.col("rank") - 1).cast("long").alias("place"), "map_version")
