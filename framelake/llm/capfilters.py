@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from framelake.llm.buckets import Forest, grouped, pairs_of, split_buckets, whole_anchors
 from framelake.llm.components import components
-from framelake.llm.shared import settled
+from framelake.llm.shared import settled, spread_join
 
 BLOCKS = 3
 CODEWORDS = 64
@@ -100,27 +100,35 @@ def _first_shared(lists: pa.Array, own: np.ndarray, i: np.ndarray, j: np.ndarray
     return out
 
 
-def _dense(ids: np.ndarray, unit: np.ndarray, label: np.ndarray, weight: np.ndarray, lists: pa.Array, own: int, anchor: np.ndarray, new: np.ndarray, least: float) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+def cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The cosine of each row of ``x`` with the same row of ``y``; the one formula by which all links are decided."""
+    return np.einsum("ij,ij->i", x, y) / (np.sqrt(np.einsum("ij,ij->i", x, x)) * np.sqrt(np.einsum("ij,ij->i", y, y)))
+
+
+def _dense(ids: np.ndarray, x: np.ndarray, label: np.ndarray, weight: np.ndarray, lists: pa.Array, own: int, anchor: np.ndarray, new: np.ndarray, least: float) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
     """For one large group: the weight that each row links with by pairs whose smallest filter this is, and links that connect what links here."""
     begin, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
     size, a, rows = np.diff(begin), np.flatnonzero(anchor), np.flatnonzero(new)
+    unit = x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
     below = np.unique(flat[flat < own])
 
-    def member(rows: np.ndarray) -> np.ndarray:
-        out = np.zeros((len(rows), len(below) + 1), np.float32)
+    def member(rows: np.ndarray, column: np.ndarray) -> np.ndarray:
+        """Which rows have which of some of the lower filters."""
+        out = np.zeros((len(rows), len(column)), np.float32)
         row = np.repeat(np.arange(len(rows)), size[rows])
         number = flat[np.repeat(begin[rows], size[rows]) + np.arange(len(row)) - np.repeat(np.cumsum(size[rows]) - size[rows], size[rows])]
-        known = number < own
-        out[row[known], np.searchsorted(below, number[known])] = 1
+        known = (number >= column[0]) & (number <= column[-1]) & (number < own)
+        out[row[known], np.searchsorted(column, number[known])] = 1
         return out
 
-    has, linked, links, top = member(a), np.zeros(len(ids)), [], np.iinfo(np.int64).max
+    linked, links, top, first = np.zeros(len(ids)), [], np.iinfo(np.int64).max, []
     for at in range(0, len(rows), 1024):
         p = rows[at : at + 1024]
-        near = (unit[p] @ unit[a].T >= least) & (label[p][:, None] == label[a]) & (ids[p][:, None] != ids[a]) & (~anchor[p][:, None] | (a < p[:, None]))
-        first = near & (member(p) @ has.T == 0)
-        linked[p] += first @ weight[a]
-        linked[a] += weight[p[anchor[p]]] @ first[anchor[p]]
+        dot = unit[p] @ unit[a].T
+        near = dot >= least
+        i, j = np.nonzero(np.abs(dot - least) < 1e-9)
+        near[i, j] = cosines(x[p[i]], x[a[j]]) >= least
+        near &= (label[p][:, None] == label[a]) & (ids[p][:, None] != ids[a]) & (~anchor[p][:, None] | (a < p[:, None]))
         # labels spread between these rows and the anchors, which leaves one link a row
         of_anchor = np.minimum(ids[a], np.where(near, ids[p][:, None], top).min(0))
         while True:
@@ -130,6 +138,16 @@ def _dense(ids: np.ndarray, unit: np.ndarray, label: np.ndarray, weight: np.ndar
                 break
             of_anchor = now
         links += [(ids[p], of_row), (ids[a], of_anchor)]
+        first.append(near)
+    for c in range(0, len(below), 4096):
+        has = member(a, below[c : c + 4096])
+        for n, at in enumerate(range(0, len(rows), 1024)):
+            if first[n].any():
+                first[n] &= member(rows[at : at + 1024], below[c : c + 4096]) @ has.T == 0
+    for n, at in enumerate(range(0, len(rows), 1024)):
+        p = rows[at : at + 1024]
+        linked[p] += first[n] @ weight[a]
+        linked[a] += weight[p[anchor[p]]] @ first[n][anchor[p]]
     return linked, links
 
 
@@ -155,8 +173,7 @@ def _linked(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Reco
                 large[g] = False  # two buckets of one hash: pairs are compared one by one
                 continue
             x = flat[begin[at][:, None] + np.arange(size[edge[g]])].astype(float)
-            unit = x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
-            linked, found = _dense(ids[at], unit, label[at], weight[at], lists.take(pa.array(range(edge[g], edge[g + 1]))), int(own[edge[g]]), groups.anchor[at], groups.new[at], least)
+            linked, found = _dense(ids[at], x, label[at], weight[at], lists.take(pa.array(range(edge[g], edge[g + 1]))), int(own[edge[g]]), groups.anchor[at], groups.new[at], least)
             who.append(ids[at][linked > 0])
             links.append(linked[linked > 0])
             for x, y in found:
@@ -168,7 +185,7 @@ def _linked(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Reco
             for dim in np.unique(size[i]).tolist():
                 same = np.flatnonzero(size[i] == dim)
                 x, y = (flat[begin[k[same]][:, None] + np.arange(dim)].astype(float) for k in (i, j))
-                cosine[same] = np.einsum("ij,ij->i", x, y) / (np.sqrt(np.einsum("ij,ij->i", x, x)) * np.sqrt(np.einsum("ij,ij->i", y, y)))
+                cosine[same] = cosines(x, y)
             i, j = i[cosine >= least], j[cosine >= least]
             if len(i):
                 forest.add(ids[i], ids[j])
@@ -193,7 +210,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.98) -> DataFrame:
     verified, so none is below. Candidates are vectors that exceed the same filter direction; two vectors at cosine 0.98 share none with a
     chance well below one in a hundred. Equal vectors are one class with a weight, so copies never make pairs. Vectors that are null, empty,
     zero or hold null or non-finite components, and rows without an id, link with nothing; their component is their own id. Repeated rows are
-    vectors of their own that link with each other.
+    vectors of their own that link with each other, and so are different vectors that share a vec_id. An empty table gives no rows.
     """
     element = vectors.schema["embedding"].dataType.elementType.simpleString()
     v = F.col("embedding") if element in ("float", "double") else F.transform("embedding", lambda x: x.cast("double"))
@@ -201,13 +218,18 @@ def near_vectors(vectors: DataFrame, least: float = 0.98) -> DataFrame:
     sound = F.col("label").isNotNull() & F.col("vec_id").isNotNull() & F.coalesce(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists("v", lambda x: x != 0), F.lit(False))
     rows = vectors.select("vec_id", F.col("label").cast("string").alias("label"), v.alias("v")).withColumn("sound", sound)
     rows = settled(rows.withColumn("key", F.when(F.col("sound"), F.xxhash64("label", "v"))), "vectors")
-    classes = rows.where("sound").groupBy("label", "v").agg(F.min("vec_id").alias("id"), F.count("*").alias("weight"), F.first("key").alias("key"))
-    classes = settled(classes, "classes")
+    classes = rows.where("sound").groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight"), F.first("key").alias("key"))
+    classes = settled(classes.withColumn("id", F.monotonically_increasing_id()), "classes")  # numbered, as several vectors may share a vec_id
     listed = classes.select("id", "weight", "label", "v", F.xxhash64("label", F.size("v")).alias("group"))
     filtered = listed.mapInArrow(_filtered, f"bucket long, anchor boolean, filter int, filters array<int>, id long, weight long, label string, v array<{kind}>")
     found = settled(grouped(split_buckets(filtered)).mapInArrow(partial(_linked, least=least), "a long, b long, n long"), "caps")
-    links = found.where("b is null").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("n"))
+    links = found.where("b is null").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("links"))
     tree = components(found.where("b is not null").select("a", "b"))
-    told = classes.join(links, "id", "left").join(tree, "id", "left").select("key", "label", "v", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
-    joined = rows.join(told, ["key", "label", "v"], "left").withColumn("component_id", F.coalesce("component_id", "vec_id"))
-    return joined.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    told = classes.join(links, "id", "left").join(tree, "id", "left").select("key", "label", "v", "rep", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "id").alias("component"), "weight")
+    told, total = settled(told, "links"), rows.count()
+    least_id = told.groupBy("component").agg(F.min("rep").alias("component_id"), F.count("*").alias("n"))
+    told = spread_join(told, least_id, "component", total).select("key", F.col("label").alias("told_label"), F.col("v").alias("told_v"), "n_links", "component_id", F.col("weight").alias("n"))
+    joined = spread_join(rows.where("sound"), told, "key", total).where((F.col("label") == F.col("told_label")) & (F.col("v") == F.col("told_v")))
+    alone = rows.where(~F.col("sound")).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    out = joined.select("vec_id", F.col("n_links").cast("long").alias("n_links"), "component_id").unionByName(alone)
+    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
