@@ -30,8 +30,8 @@ def op3_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Importance weight and Gumbel top-k choice of every document."""
-    return resampling.resampled(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    """Importance weight and Gumbel top-k choice of every document, all weighed at one length."""
+    return resampling.resampled(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"), per_gram=True)
 
 
 def op5_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,7 +69,7 @@ def op10_license_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP7_SQL = r"""
-WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),
+WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size, coalesce(md5(text), '') AS digest FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 w AS (SELECT *, row_number() OVER (ORDER BY source ASC NULLS LAST) AS place FROM s),
 x AS (SELECT *, [5, 2, 1][(place - 1) % 3 + 1] AS weight, 2.0::DOUBLE * source_size AS cap FROM w),
@@ -79,7 +79,7 @@ l AS (SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(cap) OVER
     row_number() OVER (ORDER BY full_at, place) AS n FROM f),
 t AS (SELECT source, source_size, least(cap, (SELECT arg_min(level, n) FROM l WHERE level <= full_at) * weight) AS target FROM l),
 r AS (SELECT d.doc_id, d.size, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0 END AS rate,
-    ('0x' || substr(md5('7|' || coalesce(CAST(d.doc_id AS VARCHAR), '')), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS chance
+    ('0x' || substr(md5('7|' || coalesce(CAST(d.doc_id AS VARCHAR), '') || '|' || digest), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS chance
     FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target, CAST(size * (floor(rate) + CASE WHEN chance < rate - floor(rate) THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM r
 """
