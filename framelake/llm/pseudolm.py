@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framelake.llm.bytewords import ALNUM, LOWER, bounds, mixed, word_hashes, words
-from framelake.llm.shared import steps
+from framelake.llm.shared import settled, steps
 
 #: Output classes, and tokens in each. The commonest words have tokens of their own in the first half; all others share the rest by hash.
 CLASSES, PER_CLASS = 48, 48
@@ -21,9 +21,13 @@ OWN = TOKENS // 2
 #: Words seen on either side, and the hidden width.
 REACH, WIDTH = 2, 32
 #: Tokens in a training step, step size.
-BATCH, RATE = 2048, 0.1
-#: Parameters in a row that travels to the averaging.
-CHUNK = 4096
+BATCH, RATE = 4096, 0.1
+#: Words of a part of the corpus that one network is trained on, words that are put in random order at once, and words in a row.
+PART, SHUFFLED, ROW = 1 << 20, 1 << 16, 4096
+#: Parameters in a row that travels to the averaging, and networks that are summed before all are.
+CHUNK, TOGETHER = 4096, 64
+#: Words whose counts every scoring task has; rarer ones are joined.
+HEAD = 1 << 20
 
 SHAPES = {"context": (2 * REACH, TOKENS + 1, WIDTH), "hidden": (WIDTH,), "classes": (CLASSES, WIDTH), "class_bias": (CLASSES,), "tokens": (CLASSES, PER_CLASS, WIDTH), "token_bias": (CLASSES, PER_CLASS)}
 
@@ -36,16 +40,26 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["h", "n"])
 
 
-def vocabulary(docs: DataFrame) -> np.ndarray:
-    """Hashes of the commonest words of all texts, commonest first; counted over the whole corpus."""
-    counts = docs.select("text").mapInArrow(_word_counts, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    return np.array([r[0] for r in counts.orderBy(F.desc("n"), "h").limit(OWN).select("h").collect()], np.int64).view(np.uint64)
+def word_counts(docs: DataFrame) -> DataFrame:
+    """(h, n): how often each word stands in the whole corpus, by hash; a table in the shared folder."""
+    return settled(docs.select("text").mapInArrow(_word_counts, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "wordcounts")
 
 
-def initial(seed: int = 3) -> dict[str, np.ndarray]:
-    """Parameters before training: small random context and output vectors, zero biases."""
+def vocabulary(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, counts) of the commonest words, commonest first."""
+    found = counts.orderBy(F.desc("n"), "h").limit(OWN).collect()
+    return np.array([r["h"] for r in found], np.int64).view(np.uint64), np.array([r["n"] for r in found], np.int64)
+
+
+def initial(seed: int = 3, totals: np.ndarray | None = None) -> dict[str, np.ndarray]:
+    """Parameters before training: small random context and output vectors, and the biases that give each token its share of the corpus (``totals``), or zero."""
     rng = np.random.default_rng(seed)
-    return {k: (rng.standard_normal(s) * (0.1 if len(s) > 1 and "bias" not in k else 0)).astype(np.float32) for k, s in SHAPES.items()}
+    out = {k: (rng.standard_normal(s) * (0.1 if len(s) > 1 and "bias" not in k else 0)).astype(np.float32) for k, s in SHAPES.items()}
+    if totals is not None:
+        grid = totals.reshape(CLASSES, PER_CLASS) + 1.0
+        out["class_bias"] = np.log(grid.sum(1) / grid.sum()).astype(np.float32)
+        out["token_bias"] = np.log(grid / grid.sum(1, keepdims=True)).astype(np.float32)
+    return out
 
 
 def packed(params: dict[str, np.ndarray]) -> np.ndarray:
@@ -60,17 +74,28 @@ def unpacked(flat: np.ndarray) -> dict[str, np.ndarray]:
     return out
 
 
-def _tokens(data: np.ndarray, offsets: np.ndarray, known: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(token of each word, text number); ``known`` are sorted hashes, ``number`` their tokens."""
+def shared_tokens(h: np.ndarray) -> np.ndarray:
+    """Tokens of words that have none of their own, by hash."""
+    return (OWN + mixed(h) % np.uint64(TOKENS - OWN)).astype(np.int64)
+
+
+def _found(h: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(whether each hash is among sorted ``known`` ones, where)."""
+    if not len(known):
+        return np.zeros(len(h), bool), np.zeros(len(h), np.int64)
+    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+    return known[at] == h, at
+
+
+def _tokens(data: np.ndarray, offsets: np.ndarray, known: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(token of each word, text number, word hash); ``known`` are sorted hashes, ``number`` their tokens."""
     data = LOWER[data]
     starts, ends, text_no = words(data, offsets, ALNUM)
     h = word_hashes(data, starts, ends)
-    token = (OWN + mixed(h) % np.uint64(TOKENS - OWN)).astype(np.int64)
-    if len(known):
-        at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-        own = known[at] == h
-        token[own] = number[at[own]]
-    return token, text_no
+    token = shared_tokens(h)
+    own, at = _found(h, known)
+    token[own] = number[at[own]]
+    return token, text_no, h
 
 
 def _context(token: np.ndarray, text_no: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
@@ -84,99 +109,149 @@ def _context(token: np.ndarray, text_no: np.ndarray, at: np.ndarray) -> list[np.
     return out
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(-1, keepdims=True)
-    return x - np.log(np.exp(x).sum(-1, keepdims=True))
-
-
 def _hidden(params: dict[str, np.ndarray], context: list[np.ndarray]) -> np.ndarray:
     total = params["hidden"] + params["context"][0][context[0]]
     for p, c in zip(params["context"][1:], context[1:], strict=True):
-        total = total + p[c]
-    return np.tanh(total)
+        total += p[c]
+    return np.tanh(total, out=total)
+
+
+def _odds(weights: np.ndarray, bias: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Unnormalised probabilities, a column for each row of ``h``."""
+    x = weights @ h.T
+    x += bias[:, None]
+    x -= x.max(0)
+    return np.exp(x, out=x)
+
+
+def _by_class(group: np.ndarray) -> tuple[np.ndarray, list[int]]:
+    order = np.argsort(group.astype(np.int16), kind="stable")
+    return order, np.searchsorted(group[order], np.arange(CLASSES + 1)).tolist()
 
 
 def log_probabilities(params: dict[str, np.ndarray], token: np.ndarray, context: list[np.ndarray]) -> np.ndarray:
     """Natural log of each token's probability given its context: its class's times its own within the class."""
-    h, group = _hidden(params, context), token // PER_CLASS
-    out = _log_softmax(h @ params["classes"].T + params["class_bias"])[np.arange(len(token)), group].astype(np.float64)
-    order = np.argsort(group, kind="stable")
-    edge = np.searchsorted(group[order], np.arange(CLASSES + 1))
-    for c in range(CLASSES):
-        at = order[edge[c] : edge[c + 1]]
-        if len(at):
-            out[at] += _log_softmax(h[at] @ params["tokens"][c].T + params["token_bias"][c])[np.arange(len(at)), token[at] % PER_CLASS]
+    order, edge = _by_class(token // PER_CLASS)
+    h, group, within = _hidden(params, context)[order], token[order] // PER_CLASS, token[order] % PER_CLASS
+    column = np.arange(len(token))
+    odds = _odds(params["classes"], params["class_bias"], h)
+    logs = np.log(odds[group, column] / odds.sum(0)).astype(np.float64)
+    for c, (a, b) in enumerate(zip(edge[:-1], edge[1:], strict=True)):
+        if a < b:
+            odds = _odds(params["tokens"][c], params["token_bias"][c], h[a:b])
+            logs[a:b] += np.log(odds[within[a:b], column[: b - a]] / odds.sum(0))
+    out = np.empty(len(token))
+    out[order] = logs
     return out
 
 
-def _softmax(x: np.ndarray) -> np.ndarray:
-    x = np.exp(x - x.max(-1, keepdims=True))
-    x /= x.sum(-1, keepdims=True)
-    return x
-
-
 def gradient(params: dict[str, np.ndarray], token: np.ndarray, context: list[np.ndarray]) -> dict[str, np.ndarray]:
-    """Of the mean log-probability; ``context`` only by its rows, as the sums to add at ``context``'s tokens."""
-    h, group, n = _hidden(params, context), token // PER_CLASS, np.float32(len(token))
-    row = np.arange(len(token))
-    d = -_softmax(h @ params["classes"].T + params["class_bias"])
-    d[row, group] += 1
-    d /= n
-    out = {"classes": d.T @ h, "class_bias": d.sum(0), "tokens": np.zeros_like(params["tokens"]), "token_bias": np.zeros_like(params["token_bias"])}
-    dh = d @ params["classes"]
-    order = np.argsort(group.astype(np.int16), kind="stable")
-    edge = np.searchsorted(group[order], np.arange(CLASSES + 1)).tolist()
-    sorted_h, within, sorted_dh = h[order], token[order] % PER_CLASS, np.empty_like(dh)
+    """Of the mean log-probability."""
+    order, edge = _by_class(token // PER_CLASS)
+    context, group, within = [c[order] for c in context], token[order] // PER_CLASS, token[order] % PER_CLASS
+    h, column, n = _hidden(params, context), np.arange(len(token)), np.float32(len(token))
+    d = _odds(params["classes"], params["class_bias"], h)
+    d /= -n * d.sum(0)
+    d[group, column] += 1 / n
+    out = {"classes": d @ h, "class_bias": d.sum(1), "tokens": np.zeros_like(params["tokens"]), "token_bias": np.zeros_like(params["token_bias"])}
+    dh = d.T @ params["classes"]
     for c, (a, b) in enumerate(zip(edge[:-1], edge[1:], strict=True)):
         if a < b:
-            e = -_softmax(sorted_h[a:b] @ params["tokens"][c].T + params["token_bias"][c])
-            e[row[: b - a], within[a:b]] += 1
-            e /= n
-            out["tokens"][c], out["token_bias"][c] = e.T @ sorted_h[a:b], e.sum(0)
-            sorted_dh[a:b] = e @ params["tokens"][c]
-    dh[order] += sorted_dh
-    dz = dh * (1 - h * h)
-    out["hidden"] = dz.sum(0)
+            e = _odds(params["tokens"][c], params["token_bias"][c], h[a:b])
+            e /= -n * e.sum(0)
+            e[within[a:b], column[: b - a]] += 1 / n
+            out["tokens"][c], out["token_bias"][c] = e @ h[a:b], e.sum(1)
+            dh[a:b] += e.T @ params["tokens"][c]
+    dh *= 1 - h * h
+    out["hidden"] = dh.sum(0)
     out["context"] = np.zeros_like(params["context"])
     for p, c in enumerate(context):  # rows of one token side by side, so that they are summed at once
         order = np.argsort(c.astype(np.int16), kind="stable")
         at = c[order]
         first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
-        out["context"][p][at[first]] = np.add.reduceat(dz[order], first, axis=0)
+        out["context"][p][at[first]] = np.add.reduceat(dh[order], first, axis=0)
     return out
 
 
+def _dealt(batches: Iterator[pa.RecordBatch], shared: Broadcast, parts: int) -> Iterator[pa.RecordBatch]:
+    """(part, place, lead, trail, tokens) of pieces of all texts: int16 tokens with those of their context, ``lead`` before and ``trail`` after."""
+    known, number, _ = shared.value
+    for rows, data, offsets in steps(batches):
+        token, text_no, _ = _tokens(data, offsets, known, number)
+        edge = bounds(text_no, rows.num_rows)
+        pieces = -(-np.diff(edge) // ROW)
+        of = np.repeat(np.arange(rows.num_rows), pieces)
+        nth = np.arange(len(of)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        begin = edge[:-1][of] + ROW * nth
+        end = np.minimum(begin + ROW, edge[1:][of])
+        low, high = np.maximum(begin - REACH, edge[:-1][of]), np.minimum(end + REACH, edge[1:][of])
+        place = mixed(rows.column("key").to_numpy().view(np.uint64)[of] + nth.astype(np.uint64))
+        raw = token.astype(np.int16)
+        cut = [raw[a:b].tobytes() for a, b in zip(low.tolist(), high.tolist(), strict=True)]
+        arrays = [(place % np.uint64(parts)).astype(np.int64), place.view(np.int64), (begin - low).astype(np.int32), (high - end).astype(np.int32)]
+        yield pa.RecordBatch.from_arrays([*map(pa.array, arrays), pa.array(cut, pa.binary())], ["part", "place", "lead", "trail", "tokens"])
+
+
+class Trainer:
+    """One network that is trained by Adagrad on the pieces it is given, in one pass over every position."""
+
+    def __init__(self, start: np.ndarray, seed: int) -> None:
+        self.params, self.rng, self.n = unpacked(start), np.random.default_rng(seed), 0
+        self.seen = {k: np.full_like(v, 1e-4) for k, v in self.params.items()}
+        self.held: list[tuple[np.ndarray, int, int]] = []
+        self.words = 0
+
+    def add(self, token: np.ndarray, lead: int, trail: int) -> None:
+        self.held.append((token, lead, trail))
+        self.words += len(token)
+        if self.words >= SHUFFLED:
+            self.train()
+
+    def train(self) -> None:
+        """Trains on all positions held, but for those that are only context."""
+        if not self.held:
+            return
+        token = np.concatenate([t for t, _, _ in self.held]).astype(np.int64)
+        size = [len(t) for t, _, _ in self.held]
+        piece = np.repeat(np.arange(len(size)), size)
+        at = np.concatenate([np.arange(e - n + lead, e - trail) for e, n, (_, lead, trail) in zip(np.cumsum(size).tolist(), size, self.held, strict=True)])
+        at = self.rng.permutation(at)
+        context = _context(token, piece, at)
+        for i in range(0, len(at), BATCH):
+            grads = gradient(self.params, token[at[i : i + BATCH]], [c[i : i + BATCH] for c in context])
+            for k, g in grads.items():
+                g = np.asarray(g, np.float32) * np.float32(np.sqrt(min(BATCH, len(at) - i)))
+                self.seen[k] += g * g
+                self.params[k] += np.float32(RATE) * g / np.sqrt(self.seen[k])
+        self.n += len(at)
+        self.held, self.words = [], 0
+
+
 def _trained(batches: Iterator[pa.RecordBatch], shared: Broadcast, seed: int) -> Iterator[pa.RecordBatch]:
-    """One pass of Adagrad from the common start over this task's texts; (block, weight, values) of its parameters, weighted by its predictions."""
-    known, number, start = shared.value
-    params, seen, n = unpacked(start), None, 0
-
-    def step(token: np.ndarray, context: list[np.ndarray]) -> None:
-        nonlocal seen, n
-        grads = gradient(params, token, context)
-        if seen is None:
-            seen = {k: np.full_like(v, 1e-4) for k, v in params.items()}
-        for k, g in grads.items():
-            g = np.asarray(g, np.float32) * np.float32(np.sqrt(len(token)))
-            seen[k] += g * g
-            params[k] += np.float32(RATE) * g / np.sqrt(seen[k])
-        n += len(token)
+    """(group, block, n, v) of the networks of whole parts, whose rows stand together and in order; each network is weighed by its predictions."""
+    start, now, trainer = shared.value[2], None, None
 
-    rng = np.random.default_rng(seed)
-    for _, data, offsets in steps(batches):
-        token, text_no = _tokens(data, offsets, known, number)
-        at = rng.permutation(len(token))
-        context = _context(token, text_no, at)
-        for i in range(0, len(at), BATCH):
-            step(token[at[i : i + BATCH]], [c[i : i + BATCH] for c in context])
-    if n:
-        flat = packed(params)
-        blocks = [flat[i : i + CHUNK] for i in range(0, len(flat), CHUNK)]
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(blocks)), pa.int32()), pa.array([n] * len(blocks), pa.int64()), pa.array(blocks, pa.list_(pa.float32()))], ["block", "n", "v"])
+    def told() -> Iterator[pa.RecordBatch]:
+        trainer.train()
+        if trainer.n:
+            flat = packed(trainer.params)
+            blocks = [flat[i : i + CHUNK] for i in range(0, len(flat), CHUNK)]
+            columns = [pa.array([now // TOGETHER] * len(blocks), pa.int64()), pa.array(range(len(blocks)), pa.int32()), pa.array([trainer.n] * len(blocks), pa.int64()), pa.array(blocks, pa.list_(pa.float32()))]
+            yield pa.RecordBatch.from_arrays(columns, ["group", "block", "n", "v"])
+
+    for batch in batches:
+        for part, lead, trail, raw in zip(*(batch.column(c).to_pylist() for c in ("part", "lead", "trail", "tokens")), strict=True):
+            if part != now:
+                if trainer:
+                    yield from told()
+                now, trainer = part, Trainer(start, seed)
+            trainer.add(np.frombuffer(raw, np.int16), lead, trail)
+    if trainer:
+        yield from told()
 
 
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Weighted sums of the parameter blocks of one partition; there are as many as the network has, however many tasks sent them."""
+    """(block, n, v): weighted means of the parameter blocks of one partition; there are as many as the network has, however many rows came."""
     total: dict[int, np.ndarray] = {}
     weight: dict[int, int] = {}
     for batch in batches:
@@ -184,46 +259,101 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total[block] = total.get(block, 0) + n * v.values.to_numpy().astype(np.float64)
             weight[block] = weight.get(block, 0) + n
     if total:
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([total[b] / weight[b] for b in total], pa.list_(pa.float64()))], ["block", "v"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(list(weight.values()), pa.int64()), pa.array([(total[b] / weight[b]).astype(np.float32) for b in total], pa.list_(pa.float32()))], ["block", "n", "v"])
+
+
+def _shared_counts(batches: Iterator[pa.RecordBatch], shared: Broadcast) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        h, n = batch.column("h").to_numpy().view(np.uint64), batch.column("n").to_numpy()
+        own, _ = _found(h, shared.value)
+        total = np.zeros(TOKENS, np.int64)
+        np.add.at(total, shared_tokens(h[~own]), n[~own])
+        yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(total)), pa.array(total[total > 0])], ["token", "n"])
+
+
+def shared_totals(counts: DataFrame, known: np.ndarray) -> np.ndarray:
+    """How often the words of each shared token stand in the corpus; ``known`` are the sorted hashes of words with tokens of their own."""
+    shared = counts.sparkSession.sparkContext.broadcast(known)
+    out = np.zeros(TOKENS)
+    for token, n in counts.mapInArrow(partial(_shared_counts, shared=shared), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).collect():  # of the shared tokens
+        out[token] = n
+    return out
 
 
-def fit(docs: DataFrame, seed: int = 3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(sorted hashes of the words with own tokens, their tokens, parameters) learned from all texts of ``docs``.
+def fit(docs: DataFrame, counts: DataFrame, seed: int = 3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sorted hashes of the words with own tokens, their tokens, parameters) learned from all texts of ``docs`` (doc_id, text), whose words ``counts`` has.
 
-    Each task trains from the common start over all its texts, predicting every position with the words around it as context, and
-    the tasks' parameters are averaged by how many positions they predicted. The network's size is fixed, what the tasks send grows with the input.
+    Texts are cut into pieces, and pieces dealt by the hash of their id and text into parts of about ``PART`` words; the number of parts follows
+    from the words alone, so the result doesn't depend on how the table is split. A network is trained on each part from a common start,
+    predicting every position with the words around it as context, and the networks are averaged, in groups first, by how many positions
+    they predicted. The network's size is fixed; what is trained and averaged grows with the input.
     """
-    known = vocabulary(docs)
+    known, n = vocabulary(counts)
     order = np.argsort(known)
-    start = packed(initial(seed))
-    shared = docs.sparkSession.sparkContext.broadcast((known[order], order, start))
-    parts = docs.select("text").mapInArrow(partial(_trained, shared=shared, seed=seed), "block int, n long, v array<float>")
-    mean = parts.repartition("block").mapInArrow(_summed, "block int, v array<double>").toPandas().sort_values("block")
+    totals = shared_totals(counts, known[order])
+    totals[: len(n)] = n
+    start = packed(initial(seed, totals))
+    shared = docs.sparkSession.sparkContext.broadcast((known[order], order, start))  # of a fixed size
+    parts = max(1, -(-(counts.agg(F.sum("n")).first()[0] or 0) // PART))
+    dealt = docs.select("text", F.xxhash64("doc_id", "text").alias("key")).mapInArrow(partial(_dealt, shared=shared, parts=parts), "part long, place long, lead int, trail int, tokens binary")
+    networks = dealt.repartition(2 * parts, "part").sortWithinPartitions("part", "place").mapInArrow(partial(_trained, shared=shared, seed=seed), "group long, block int, n long, v array<float>")
+    sums = settled(networks, "networks").repartition("group", "block").mapInArrow(_summed, "block int, n long, v array<float>")
+    mean = sums.repartition("block").mapInArrow(_summed, "block int, n long, v array<float>").toPandas().sort_values("block")
     return known[order], order, np.concatenate([np.asarray(v, np.float32) for v in mean["v"]]) if len(mean) else start
 
 
+def word_shares(counts: DataFrame, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """(sorted hashes of up to ``HEAD`` frequent words, logs of their counts, log of each shared token's count, the least count of these words)."""
+    by_count = sorted(((r[0], r[1]) for r in counts.groupBy(F.least("n", F.lit(1 << 20)).alias("n")).count().collect()), reverse=True)  # 2^20 rows at most, in fact few
+    least, room = (1 << 20) + 1, HEAD
+    for n, many in by_count:
+        if many > room:
+            break
+        least, room = n, room - many
+    head = counts.where(F.col("n") >= least).toArrow().sort_by("h")  # HEAD rows at most
+    h, n = head.column("h").to_numpy().view(np.uint64), head.column("n").to_numpy()
+    order = np.argsort(h)
+    return h[order], np.log(n[order]), np.log(np.maximum(shared_totals(counts, known), 1)), least
+
+
 def _scored(batches: Iterator[pa.RecordBatch], shared: Broadcast) -> Iterator[pa.RecordBatch]:
-    known, number, flat = shared.value
+    (known, number, flat), (head, head_logs, token_logs, _) = shared.value
     params = unpacked(flat)
     for rows, data, offsets in steps(batches):
-        token, text_no = _tokens(data, offsets, known, number)
+        token, text_no, h = _tokens(data, offsets, known, number)
         logs = np.zeros(len(token))
         for i in range(0, len(token), 32768):
             at = np.arange(i, min(i + 32768, len(token)))
             logs[at] = log_probabilities(params, token[at], _context(token, text_no, at))
+        rare = np.flatnonzero(token >= OWN)
+        listed, at = _found(h[rare], head)
+        logs[rare] -= token_logs[token[rare]]
+        logs[rare[listed]] += head_logs[at[listed]]
+        rare = rare[~listed]
         edge = bounds(text_no, rows.num_rows)
         n = np.diff(edge).astype(np.int64)
         total = np.bincount(text_no, logs, rows.num_rows).astype(float)
-        mean = pa.array(total / np.maximum(n, 1), mask=n == 0)
-        yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(n), pa.array(total), mean], ["doc_id", "n_tokens", "log_likelihood", "mean_log_likelihood"])
+        lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(text_no[rare], np.arange(rows.num_rows + 1)).astype(np.int32)), pa.array(h[rare].view(np.int64)))
+        yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(n), pa.array(total), lists], ["doc_id", "n_tokens", "log_likelihood", "rare"])
 
 
 def scored(docs: DataFrame, seed: int = 3) -> DataFrame:
-    """One row per document: doc_id, n_tokens, log_likelihood (summed conditional log-probabilities of all tokens) and mean_log_likelihood.
+    """One row per row of ``docs``: doc_id, n_tokens, log_likelihood (summed conditional log-probabilities of all words) and mean_log_likelihood.
 
-    Tokens are lower-cased words; rare words share hashed tokens. Whole texts are scored by a network fitted on the same table. Texts that are
-    null or have no word have 0 tokens, log-likelihood 0 and no mean. Repeated rows are scored alike; an empty table gives no rows.
+    The commonest words have tokens of their own; the others share tokens by hash, and a word's probability is its token's times the word's share
+    of the token's count in the corpus, so that no rare word passes for its token. Whole texts are scored by a network fitted on
+    the same table. Texts that are null or have no word have 0 tokens, log-likelihood 0 and no mean. Long texts are trained on in pieces that
+    overlap by their context. Repeated rows are scored alike; an empty table gives no rows.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, seed))  # the network's size is fixed
+    counts = word_counts(docs)
+    model = fit(docs, counts, seed)
+    shares = word_shares(counts, model[0])
+    shared = docs.sparkSession.sparkContext.broadcast((model, shares))  # the network's size and HEAD words
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(partial(_scored, shared=shared), f"doc_id {kind}, n_tokens long, log_likelihood double, mean_log_likelihood double")
+    out = docs.select("doc_id", "text").mapInArrow(partial(_scored, shared=shared), f"doc_id {kind}, n_tokens long, log_likelihood double, rare array<long>")
+    if shares[3] > 2:  # rarer words may stand more than once
+        out = settled(out.withColumn("row", F.monotonically_increasing_id()), "scores")
+        rare = out.select("row", F.explode("rare").alias("h")).join(counts.where((F.col("n") > 1) & (F.col("n") < shares[3])), "h")
+        more = rare.groupBy("row").agg(F.sum(F.log("n")).alias("more"))
+        out = out.join(more, "row", "left").withColumn("log_likelihood", F.col("log_likelihood") + F.coalesce("more", F.lit(0.0)))
+    return out.select("doc_id", "n_tokens", "log_likelihood", F.try_divide("log_likelihood", F.nullif("n_tokens", F.lit(0))).alias("mean_log_likelihood"))
