@@ -1,18 +1,64 @@
-"""Training of the pseudo-likelihood network predicts every position."""
+"""The pseudo-likelihood network predicts every position, alike however the table is split, and scores equal plain loops."""
 
 from __future__ import annotations
 
-from types import SimpleNamespace
+import math
+import random
+import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+from types import SimpleNamespace
 
 from framelake.llm import pseudolm
+from framelake.llm.bytewords import word_hashes
 
 
 def test_every_position_is_predicted():
-    texts = ["stone river cloud " * 700, "river", None, "cloud stone"]
+    texts = ["stone river cloud " * 3000, "river", None, "cloud stone"]
     shared = SimpleNamespace(value=(np.zeros(0, np.uint64), np.zeros(0, int), pseudolm.packed(pseudolm.initial())))
-    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])
-    (out,) = pseudolm._trained(iter([batch]), shared, 3)
-    assert set(out.column("n").to_pylist()) == {2103}
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), pa.array([5, 6, 7, 8])], ["text", "key"])
+    (dealt,) = pseudolm._dealt(iter([batch]), shared, 1)
+    assert dealt.num_rows == 5 and sum(len(x) // 2 for x in dealt.column("tokens").to_pylist()) == 9003 + 2 * 2 * pseudolm.REACH
+    (out,) = pseudolm._trained(iter([dealt]), shared, 3)
+    assert set(out.column("n").to_pylist()) == {9003}
+
+
+def hashed(word: str) -> np.uint64:
+    raw = word.encode()
+    return word_hashes(np.frombuffer(raw, np.uint8), np.array([0]), np.array([len(raw)]))[0]
+
+
+def test_scores_equal_plain_loops(spark, monkeypatch):
+    monkeypatch.setattr(pseudolm, "HEAD", 1300)
+    rng = random.Random(2)
+    common, rare = [f"c{i}" for i in range(1152)], [f"r{i}" for i in range(700)]
+    texts = [" ".join(rng.choices(common, k=250) + common[60 * i : 60 * i + 60] * 3 + rng.choices(rare, k=40)) for i in range(20)] + ["", None, "r1 r2 R2"]
+    docs = spark.createDataFrame([*enumerate(texts), (0, texts[0])], "doc_id long, text string")
+    got = {r.doc_id: r for r in pseudolm.scored(docs.repartition(3)).collect()}
+    again = {r.doc_id: r for r in pseudolm.scored(docs.repartition(1)).collect()}
+    known, number, flat = pseudolm.fit(docs, counts := pseudolm.word_counts(docs))
+    assert counts.where("n > 1").count() > 1300 - 1152  # some words must be joined
+    params, own = pseudolm.unpacked(flat), dict(zip(known.tolist(), number.tolist(), strict=True))
+    split = [re.findall("[0-9a-z]+", (t or "").lower()) for t in texts]
+    n = Counter(w for words in [*split, split[0]] for w in words)
+    token = {w: own.get(int(hashed(w)), int(pseudolm.shared_tokens(np.array([hashed(w)]))[0])) for w in n}
+    in_token = Counter()
+    for w, k in n.items():
+        in_token[token[w]] += k
+    for i, words in enumerate(split):
+        total, t = 0.0, [token[w] for w in words]
+        for k, w in enumerate(words):
+            hidden = params["hidden"].astype(float).copy()
+            for p, shift in enumerate((-2, -1, 1, 2)):
+                hidden += params["context"][p][t[k + shift] if 0 <= k + shift < len(t) else pseudolm.TOKENS]
+            hidden = np.tanh(hidden)
+            c, j = divmod(t[k], pseudolm.PER_CLASS)
+            for weights, bias, at in ((params["classes"], params["class_bias"], c), (params["tokens"][c], params["token_bias"][c], j)):
+                logits = weights.astype(float) @ hidden + bias
+                total += logits[at] - math.log(np.exp(logits).sum())
+            total += math.log(n[w] / in_token[t[k]])
+        assert got[i].n_tokens == len(words) and abs(got[i].log_likelihood - total) < 1e-3 * (1 + len(words))
+        assert (got[i].mean_log_likelihood is None) == (not words)
+        assert abs(got[i].log_likelihood - again[i].log_likelihood) < 1e-3 * (1 + len(words))
