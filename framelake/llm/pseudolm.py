@@ -21,7 +21,7 @@ OWN = TOKENS // 2
 #: Words seen on either side, and the hidden width.
 REACH, WIDTH = 2, 32
 #: Tokens in a training step, step size.
-BATCH, RATE = 4096, 0.1
+BATCH, RATE = 8192, 0.1
 #: Words of a part of the corpus that one network is trained on, words that are put in random order at once, and words in a row.
 PART, SHUFFLED, ROW = 1 << 20, 1 << 16, 4096
 #: Parameters in a row that travels to the averaging, and networks that are summed before all are.
