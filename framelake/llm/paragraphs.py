@@ -9,18 +9,22 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from framelake.llm.buckets import grouped, linked_forest, split_buckets
 from framelake.llm.bytewords import ALNUM, LOWER, bounds, gram_hashes, mixed, word_hashes, words
 from framelake.llm.components import components
-from framelake.llm.shared import hash_bitmap, in_bitmap, settled, steps
+from framelake.llm.shared import hash_bitmap, in_bitmap, settled, spread_join, steps
 
 SHINGLE, SIMILAR, RECALL, MOST_BANDS = 5, 0.8, 0.99, 5
 #: A paragraph ends before a word pair whose hash is the smallest among the pairs this near on either side in its line.
 NEAR = 5
+#: Fewer shingles than these can't be similar to a different set of shingles.
+LEAST_SHINGLES = math.ceil(SIMILAR / (1 - SIMILAR) - 1e-9)
+#: Shingles that are compared in one vectorised step.
+COMPARED = 1 << 21
 
 
 def tune_bands(similar: float = SIMILAR, recall: float = RECALL, most_bands: int = MOST_BANDS) -> tuple[int, int]:
@@ -65,15 +69,19 @@ def cut(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, text_no: np.ndar
     return np.flatnonzero(new | (least & inner & (pair != np.iinfo(np.uint64).max)))
 
 
+def _inside(begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(positions of all stretches ``begin`` to ``begin + size`` one after the other, where each stretch begins among them, with the end)."""
+    edge = np.concatenate([[0], np.cumsum(size)])
+    return np.repeat(begin, size) + np.arange(edge[-1]) - np.repeat(edge[:-1], size), edge
+
+
 def _shingles(h: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(shingle hashes of all paragraphs, where each paragraph's begin, with the end): shorter paragraphs are one shingle of all their words."""
     size = end - begin
-    count = np.maximum(size - SHINGLE + 1, 1)
-    edge = np.concatenate([[0], np.cumsum(count)])
-    at = np.repeat(begin, count) + np.arange(edge[-1]) - np.repeat(edge[:-1], count)
+    at, edge = _inside(begin, np.maximum(size - SHINGLE + 1, 1))
     grams = gram_hashes(h, SHINGLE)
     out = np.empty(edge[-1], np.uint64)
-    full = np.repeat(size >= SHINGLE, count)
+    full = np.repeat(size >= SHINGLE, np.diff(edge))
     out[full] = grams[at[full]]
     short = np.flatnonzero(size < SHINGLE)
     whole = np.full(len(short), 7, np.uint64)
@@ -85,27 +93,39 @@ def _shingles(h: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.nda
 
 
 def _paragraphs(rows: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(text number, place in the text, first word in the text, words, text hash, shingles, their edges) of every paragraph."""
+    """(text number, first word in the text, words, text hash, shingles, their edges) of every paragraph: pieces, whole lines and whole blocks.
+
+    Blocks are lines between lines without words. Lines and blocks that a smaller paragraph covers whole, or that are too short to be
+    similar to another without being equal to it, are left out: their pieces stand for them.
+    """
     low = LOWER[data]
     starts, ends, text_no = words(low, offsets, ALNUM)
     h = word_hashes(low, starts, ends)
+    first = bounds(text_no, rows.num_rows)
     begin = cut(data, starts, ends, text_no, h)
-    end = np.append(begin[1:], len(h)) if len(begin) else begin
-    of, first = text_no[begin], bounds(text_no, rows.num_rows)
-    shingles, edge = _shingles(h, begin, end) if len(begin) else (np.zeros(0, np.uint64), np.zeros(1, np.int64))
-    place = np.arange(len(begin)) - np.searchsorted(of, np.arange(rows.num_rows))[of]
+    if not len(h):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(1, np.int64)
+    line = np.concatenate([[0], np.cumsum(data == 10)])[starts]
+    stretches, smaller = [(begin, np.append(begin[1:], len(h)))], begin
+    for apart in (1, 2):
+        new = np.flatnonzero(np.append(True, (text_no[1:] != text_no[:-1]) | (line[1:] - line[:-1] >= apart)))
+        end = np.append(new[1:], len(h))
+        wide = (np.searchsorted(smaller, end) - np.searchsorted(smaller, new) > 1) & (end - new >= LEAST_SHINGLES + SHINGLE - 1)
+        stretches.append((new[wide], end[wide]))
+        smaller = new
+    begin, end = (np.concatenate(x) for x in zip(*stretches, strict=True))
+    shingles, edge = _shingles(h, begin, end)
     # the text's hash is over its words in order
-    step = np.uint64(0x5851F42D4C957F2D)
-    powers = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(int((end - begin).max(initial=1)), step)]))
-    within = np.arange(len(h)) - np.repeat(begin, end - begin) if len(begin) else np.zeros(0, np.int64)
-    text = mixed(np.add.reduceat(mixed(h) * powers[within], begin) + (end - begin).astype(np.uint64)) if len(begin) else np.zeros(0, np.uint64)
-    return of, place, begin - first[of], end - begin, text, shingles, edge
+    at, whole = _inside(begin, end - begin)
+    powers = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(int((end - begin).max()), np.uint64(0x5851F42D4C957F2D))]))
+    text = mixed(np.add.reduceat(mixed(h)[at] * powers[np.arange(len(at)) - np.repeat(whole[:-1], end - begin)], whole[:-1]) + (end - begin).astype(np.uint64))
+    return text_no[begin], begin - first[text_no[begin]], end - begin, text, shingles, edge
 
 
 def _signed(batches: Iterator[pa.RecordBatch], bands: int, per_band: int) -> Iterator[pa.RecordBatch]:
     seeds = mixed(np.arange(1, bands * per_band + 1, dtype=np.uint64))
     for rows, data, offsets in steps(batches):
-        of, place, first, size, text, shingles, edge = _paragraphs(rows, data, offsets)
+        of, first, size, text, shingles, edge = _paragraphs(rows, data, offsets)
         keys = np.zeros((len(of), bands), np.uint64)
         if len(of):
             for b in range(bands):
@@ -114,10 +134,10 @@ def _signed(batches: Iterator[pa.RecordBatch], bands: int, per_band: int) -> Ite
                     key = mixed(key * np.uint64(31) + np.minimum.reduceat((shingles ^ seeds[b * per_band + r]) * np.uint64(0x9E3779B97F4A7C15), edge[:-1]))
                 keys[:, b] = key
         # a different paragraph can be similar only if one of the two has enough shingles
-        able = np.diff(edge) >= SIMILAR / (1 - SIMILAR) - 1e-9
+        able = np.diff(edge) >= LEAST_SHINGLES
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(able * bands)]).astype(np.int32)), pa.array(keys[able].ravel().view(np.int64)))
         no = rows.column("row").to_numpy()
-        yield pa.RecordBatch.from_arrays([pa.array(no[of]), rows.column("doc_id").take(pa.array(of)), pa.array(place.astype(np.int32)), pa.array(first), pa.array(size), pa.array(text.view(np.int64)), lists], ["row", "doc_id", "place", "first_word", "n_words", "h", "bands"])
+        yield pa.RecordBatch.from_arrays([pa.array(no[of]), rows.column("doc_id").take(pa.array(of)), pa.array(first), pa.array(first + size), pa.array(text.view(np.int64)), lists], ["row", "doc_id", "first_word", "end_word", "h", "bands"])
 
 
 def _in_bands(batches: Iterator[pa.RecordBatch], bitmap: Broadcast) -> Iterator[pa.RecordBatch]:
@@ -145,13 +165,24 @@ def _wanted_shingles(batches: Iterator[pa.RecordBatch], bitmap: Broadcast) -> It
 
 
 def _similar(table: pa.Table, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Which pairs of shingle sets (sorted lists) have a Jaccard index of ``SIMILAR`` or more, exactly."""
     lists = table.column("shingles").combine_chunks()
     size = pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False)
-    may = np.minimum(size[i], size[j]) >= SIMILAR * np.maximum(size[i], size[j]) - 1e-9
     begin, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
-    sets = {k: frozenset(flat[begin[k] : begin[k] + size[k]].tolist()) for k in np.unique(np.concatenate([i[may], j[may]])).tolist()}
     out = np.zeros(len(i), bool)
-    out[may] = [5 * (n := len(sets[a] & sets[b])) >= 4 * (len(sets[a]) + len(sets[b]) - n) for a, b in zip(i[may].tolist(), j[may].tolist(), strict=True)]
+    may = np.flatnonzero(np.minimum(size[i], size[j]) >= SIMILAR * np.maximum(size[i], size[j]) - 1e-9)
+    cost = np.cumsum(size[i[may]] + size[j[may]])
+    at = 0
+    while at < len(may):
+        to = max(at + 1, int(np.searchsorted(cost, (cost[at - 1] if at else 0) + COMPARED, "right")))
+        pair = may[at:to]
+        left, right = (_inside(begin[k[pair]], size[k[pair]]) for k in (i, j))
+        _, code = np.unique(np.concatenate([flat[left[0]], flat[right[0]]]), return_inverse=True)
+        of = np.concatenate([np.repeat(np.arange(len(pair)), size[k[pair]]) for k in (i, j)])
+        both = np.sort(of * (code.max() + 1) + code)
+        common = np.bincount(both[1:][both[1:] == both[:-1]] // (code.max() + 1), minlength=len(pair))
+        out[pair] = 5 * common >= 4 * (size[i[pair]] + size[j[pair]] - common)
+        at = to
     return out
 
 
@@ -159,21 +190,30 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from linked_forest(batches, _similar, 1 << 17)
 
 
-def repeated_passages(docs: DataFrame, least_words: int = 15) -> DataFrame:
+def _islands(rows: DataFrame, keys: list[str], apart: Column) -> DataFrame:
+    """``rows`` with a number ``island`` that begins anew, in each group, where a stretch is ``apart`` of all before it (whose largest end is ``before``)."""
+    order = Window.partitionBy(*keys).orderBy("first_word", "end_word")
+    before = rows.withColumn("before", F.max("end_word").over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    return before.withColumn("island", F.sum(F.coalesce(apart, F.lit(True)).cast("int")).over(order)).drop("before")
+
+
+def repeated_passages(docs: DataFrame, least_words: int = 1) -> DataFrame:
     """Passages that stand elsewhere too: doc_id, first_word, end_word, n_words, component_id and kept, a row for each passage of each document.
 
-    Texts are lower-cased (A-Z), cut into words and into paragraphs: lines, cut further where the words' own hashes say so, so that a passage
-    inside other text is cut alike everywhere; runs of one word are paragraphs. Paragraphs of the same words are one class. Different paragraphs are similar if the Jaccard
-    index of their 5-word shingles is 0.8 or more (exact; paragraphs under five words are one shingle); candidates share a MinHash band.
-    Similar classes form components. A paragraph whose component occurs twice or more is repeated; neighbours that are repeated form a
-    passage, given if it has ``least_words`` or more. The first occurrence of a component, by doc_id and place, is kept; kept and removable
-    paragraphs don't share a passage. component_id is the smallest doc_id where any of the passage's components occurs. Null and wordless
-    texts have no paragraphs; repeated rows repeat each other; a null doc_id is reported as null.
+    Texts are lower-cased (A-Z), cut into words and into paragraphs: whole blocks between blank lines, whole lines, and pieces of lines, cut where
+    the words' own hashes say so, so that a passage inside other text is cut alike everywhere; runs of one word are pieces. Paragraphs of the same
+    words are one class. Different paragraphs are similar if the Jaccard index of their 5-word shingles is 0.8 or more (exact; paragraphs under
+    five words are one shingle); candidates share a MinHash band. Similar classes form components. A component is repeated if it occurs in two
+    places that don't overlap. Its first occurrence, by doc_id (null first) and place, is kept, the others can go; passages are what repeated
+    paragraphs cover together, kept ones and others apart, so a word of both goes. Those under ``least_words`` are left out: a caller that
+    removes text gives the length from which a repetition isn't mere usage. component_id is the smallest doc_id where any of the
+    passage's components occurs. Whole texts of any length are cut at once. Null and wordless texts have no paragraphs; repeated rows repeat each
+    other; a null doc_id is reported as null; an empty table gives no rows.
     """
     bands, per_band = tune_bands()
     kind = docs.schema["doc_id"].dataType.simpleString()
     own = docs.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id())
-    parts = own.mapInArrow(partial(_signed, bands=bands, per_band=per_band), f"row long, doc_id {kind}, place int, first_word long, n_words long, h long, bands array<long>")
+    parts = own.mapInArrow(partial(_signed, bands=bands, per_band=per_band), f"row long, doc_id {kind}, first_word long, end_word long, h long, bands array<long>")
     parts = settled(parts, "paragraphs")
     met = parts.select(F.explode("bands").alias("bucket"), "h").groupBy("bucket").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select("bucket")
     met = settled(met, "bandkeys")
@@ -187,12 +227,12 @@ def repeated_passages(docs: DataFrame, least_words: int = 15) -> DataFrame:
     counts = parts.groupBy("h").agg(F.count("*").alias("n"))
     classes = counts.where("n > 1").union(counts.where("n = 1").join(similar.select("h"), "h", "left_semi"))  # no other class can be repeated
     labels = settled(classes.join(similar, "h", "left").select("h", F.coalesce("component", "h").alias("component"), "n"), "labels")
-    repeated = labels.groupBy("component").agg(F.sum("n").alias("n")).where("n > 1").select("component")
-    labels = settled(labels.select("h", "component").join(repeated, "component", "left_semi"), "labels")
-    found = parts.select("row", "doc_id", "place", "first_word", "n_words", "h").mapInArrow(partial(_in_hashes, bitmap=hash_bitmap(labels, "h")), f"row long, doc_id {kind}, place int, first_word long, n_words long, h long")
-    found = settled(found.join(labels, "h").drop("h"), "repeated")
-    first = found.groupBy("component").agg(F.min(F.struct("doc_id", "row", "place")).alias("first"))
-    found = found.join(first, "component").withColumn("kept", (F.col("first.row") == F.col("row")) & (F.col("first.place") == F.col("place")))
-    island = F.col("place") - F.row_number().over(Window.partitionBy("row", "kept").orderBy("place"))
-    passages = found.withColumn("island", island).groupBy("row", "doc_id", "kept", "island").agg(F.min("first_word").alias("first_word"), F.max(F.col("first_word") + F.col("n_words")).alias("end_word"), F.sum("n_words").alias("n_words"), F.min("first.doc_id").alias("component_id"))
-    return passages.where(F.col("n_words") >= least_words).select("doc_id", "first_word", "end_word", "n_words", "component_id", "kept")
+    found = parts.drop("bands").mapInArrow(partial(_in_hashes, bitmap=hash_bitmap(labels, "h")), f"row long, doc_id {kind}, first_word long, end_word long, h long")
+    found = settled(spread_join(found, labels, "h", parts.count()).drop("h"), "found")
+    places = _islands(found, ["row", "component"], F.col("first_word") >= F.col("before")).groupBy("row", "doc_id", "component", "island").agg(F.min("first_word").alias("first_word"), F.max("end_word").alias("end_word"))
+    places = settled(places.drop("island"), "places")
+    first = places.groupBy("component").agg(F.min(F.struct("doc_id", "row", "first_word")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    repeated = spread_join(places, first, "component", places.count()).withColumn("kept", (F.col("first.row") == F.col("row")) & (F.col("first.first_word") == F.col("first_word")))
+    passages = _islands(repeated, ["row", "kept"], F.col("first_word") > F.col("before")).groupBy("row", "doc_id", "kept", "island").agg(F.min("first_word").alias("first_word"), F.max("end_word").alias("end_word"), F.min("first.doc_id").alias("component_id"))
+    passages = passages.withColumn("n_words", F.col("end_word") - F.col("first_word")).where(F.col("n_words") >= least_words)
+    return passages.select("doc_id", "first_word", "end_word", "n_words", "component_id", "kept")

@@ -40,8 +40,8 @@ def op5_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All passages of all documents that stand elsewhere too."""
-    return paragraphs.repeated_passages(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    """All passages of 15 words or more of all documents that stand elsewhere too; shorter ones are set phrases."""
+    return paragraphs.repeated_passages(spark.read.parquet(f"{sf_dir}/documents.parquet"), least_words=15)
 
 
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
