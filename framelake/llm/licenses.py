@@ -29,6 +29,11 @@ PHRASE = rf"(?<!{WORD})(?:[Mm][Ii][Tt]|[Aa][Pp][Aa][Cc][Hh][Ee]|[Gg][Ee][Nn][Ee]
 LETTERS = r"[0-9a-z\x{80}-\x{10FFFF}]+"
 
 
+def lowered(text: Column | str) -> Column:
+    """A-Z to a-z; every other character stays."""
+    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
 def n_words(text: Column | str) -> Column:
     """Words of a text: runs of digits, letters and characters beyond ASCII; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(f"{WORD}+")), F.lit(0)).cast("long")
@@ -53,7 +58,7 @@ def _spans(text: Column | str, reach: int) -> Column:
 
     A line without a word ends a part; only spans of several lines stay.
     """
-    lines = F.transform(F.split(text, "\n"), lambda line: F.regexp_extract_all(F.lower(line), F.lit(LETTERS), F.lit(0)))
+    lines = F.transform(F.split(text, "\n"), lambda line: F.regexp_extract_all(lowered(line), F.lit(LETTERS), F.lit(0)))
     # a part is named by the difference between a line's number and how many lines with words stand before it
     numbered = F.filter(F.transform(lines, lambda words, i: F.struct(i.alias("line"), words.alias("words"))), lambda x: F.size(x["words"]) > 0)
     flat = F.flatten(F.transform(numbered, lambda x, n: F.transform(x["words"], lambda w: F.struct(x["line"].alias("line"), (x["line"] - n).alias("part"), w.alias("word")))))
@@ -73,12 +78,13 @@ def scanned(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES,
     frequent over all documents; a line, or a span of words that holds such runs, is joined on a template's prefix, the rarest words of which
     it must hold one, then checked by its length and the places of the joined words, then in full, a span run by run. blocks lists (label,
     line number, containment), of a span the best run by its first line; score is the largest containment, 1 where a base phrase stands, else 0.
-    A null text has no words and no blocks; repeated rows are answered one by one.
+    A null text has no words and no blocks; repeated rows are answered one by one; an empty table gives no rows. Of a long text only the spans that
+    hold enough of a template's words are kept as rows.
     """
     spark = docs.sparkSession
     parts = _texts(templates)
     vocabulary = F.array(*(F.lit(w) for w in sorted({w for *_, words in parts for w in words})))
-    tokens = docs.select("doc_id", "text", F.regexp_extract_all(F.lower("text"), F.lit(LETTERS), F.lit(0)).alias("words"))
+    tokens = docs.select("doc_id", "text", F.regexp_extract_all(lowered("text"), F.lit(LETTERS), F.lit(0)).alias("words"))
     read = tokens.select("doc_id", "text", F.coalesce(F.size("words"), F.lit(0)).cast("long").alias("n_words"), F.array_intersect("words", vocabulary).alias("known"))
 
     def holding(have: str) -> Column:
@@ -111,7 +117,7 @@ def scanned(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES,
     ordered = settled(listed.join(counts, "word", "left").na.fill(0, ["n"]).withColumn("place", rank), "templates")
     everywhere = ordered.groupBy("word").agg(F.first("n").alias("n"))
     lines = kept.where("may").select("row", F.posexplode(F.split("text", "\n")).alias("block", "line"))
-    lines = lines.select("row", "block", F.array_intersect(F.regexp_extract_all(F.lower("line"), F.lit(LETTERS), F.lit(0)), vocabulary).alias("have"), F.lit(None).cast("array<struct<at:int,line:int,part:int,word:string>>").alias("span"))
+    lines = lines.select("row", "block", F.array_intersect(F.regexp_extract_all(lowered("line"), F.lit(LETTERS), F.lit(0)), vocabulary).alias("have"), F.lit(None).cast("array<struct<at:int,line:int,part:int,word:string>>").alias("span"))
     least = min(_need(len(words), threshold) for *_, words in parts)
     # blocks of spans are numbered below 0, and keep the templates' words with their places
     spans = kept.where("may").select("row", F.posexplode(_spans("text", max(stretch))).alias("nth", "span"))

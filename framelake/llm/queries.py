@@ -103,7 +103,7 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM d LEFT JOIN n USING (r) LEFT JOIN m USING (r)
 """
 
-TEMPLATE_SQL = ", ".join(f"('{label}', {wording})" for label, wording in ((label, sorted(set(text.split()))) for label, text in licenses.TEMPLATES))
+TEMPLATE_SQL = ", ".join(f"({n}, '{label}', {sorted(set(text.split()))}, {licenses._stretch(len(text.split()), 0.8)})" for n, (label, text) in enumerate(licenses.TEMPLATES))
 
 OP10_SQL = f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, text, {WORDS_SQL} AS w FROM documents),
@@ -111,9 +111,19 @@ u AS (SELECT r, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS pos FROM d),
 x AS (SELECT r, pos, word, lead(word) OVER o AS b, lead(word, 2) OVER o AS c FROM u WINDOW o AS (PARTITION BY r ORDER BY pos)),
 p AS (SELECT r, pos, CASE WHEN word = 'mit' AND b = 'license' THEN 'mit' WHEN word = 'apache' AND b = 'license' THEN 'apache' WHEN word = 'general' AND b = 'public' AND c = 'license' THEN 'gpl' END AS label FROM x),
 base AS (SELECT r, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word, list(DISTINCT label) AS labels FROM p WHERE label IS NOT NULL GROUP BY r),
-t AS (SELECT *, CAST(ceil(0.8 * len(wording) - 1e-9) AS BIGINT) AS need FROM (VALUES {TEMPLATE_SQL}) v(label, wording)),
-l AS (SELECT r, list_distinct({WORDS_SQL}) AS have FROM (SELECT r, unnest(string_split(text, chr(10))) AS text FROM d)),
-f AS (SELECT r, label, len(list_intersect(have, wording)) AS common, len(wording) AS size FROM l JOIN t ON len(have) >= need AND len(list_intersect(have, wording)) >= need),
+t AS (SELECT *, CAST(ceil(0.8 * len(wording) - 1e-9) AS BIGINT) AS need FROM (VALUES {TEMPLATE_SQL}) v(n, label, wording, stretch)),
+ls AS (SELECT r, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM d),
+lw AS (SELECT r, line, {WORDS_SQL} AS w FROM ls),
+lines AS (SELECT r, label, len(list_intersect(list_distinct(w), wording)) AS common, len(wording) AS size FROM lw JOIN t ON len(list_distinct(w)) >= need AND len(list_intersect(list_distinct(w), wording)) >= need),
+lp AS (SELECT *, line - row_number() OVER (PARTITION BY r ORDER BY line) AS part FROM lw WHERE len(w) > 0),
+pw AS (SELECT r, line, part, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM lp),
+aw AS (SELECT r, part, word, row_number() OVER (PARTITION BY r ORDER BY line, i) AS place FROM pw),
+tw AS (SELECT n, label, unnest(wording) AS word, len(wording) AS size, need, stretch FROM t),
+tm AS (SELECT * FROM aw JOIN tw USING (word)),
+ok AS (SELECT r, n FROM tm GROUP BY r, n HAVING count(DISTINCT word) >= any_value(need)),
+own AS (SELECT * FROM tm SEMI JOIN ok USING (r, n)),
+spans AS (SELECT a.r, a.label, count(DISTINCT b.word) AS common, any_value(a.size) AS size FROM own a JOIN own b ON a.r = b.r AND a.n = b.n AND a.part = b.part AND b.place >= a.place AND b.place < a.place + a.stretch GROUP BY a.r, a.n, a.label, a.place HAVING count(DISTINCT b.word) >= any_value(a.need)),
+f AS (SELECT * FROM lines UNION ALL SELECT * FROM spans),
 best AS (SELECT r, list(DISTINCT label) AS labels, max(common / size) AS best FROM f GROUP BY r)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
  array_to_string(list_sort(coalesce(base.labels, []::VARCHAR[])), ',') AS base_labels,
