@@ -62,6 +62,10 @@ class Forest:
             if p != q:
                 self.up[max(p, q)] = min(p, q)
 
+    def roots(self, ids: np.ndarray) -> np.ndarray:
+        """The root of each id; an id that isn't linked is its own."""
+        return np.array([self.root(x) if x in self.up else x for x in ids.tolist()], np.int64)
+
     def flush(self, always: bool = False) -> tuple[np.ndarray, np.ndarray] | None:
         if not self.up or not (always or len(self.up) > self.most):
             return None
@@ -140,12 +144,18 @@ def linked_forest(batches: Iterator[pa.RecordBatch], alike: Callable[[pa.Table,
         table = groups.table
         ids = table.column("id").to_numpy()
         for i, j in pairs_of(groups, most=pairs):
-            other = ids[i] != ids[j]
-            i, j = i[other], j[other]
-            if len(i):
-                good = alike(table, i, j)
-                forest.add(ids[i[good]], ids[j[good]])
-                if found := forest.flush():
-                    yield told(found)
+            # each row meets its group's first anchor before the others; pairs that are connected by then need no comparison
+            lead = np.append(True, j[1:] != j[:-1])
+            for some in (lead, ~lead):
+                here = np.unique(np.concatenate([i[some], j[some]]))
+                root = np.zeros(len(ids), np.int64)
+                root[here] = forest.roots(ids[here])
+                apart = root[i[some]] != root[j[some]]
+                x, y = i[some][apart], j[some][apart]
+                if len(x):
+                    good = alike(table, x, y)
+                    forest.add(ids[x[good]], ids[y[good]])
+            if found := forest.flush():
+                yield told(found)
     if found := forest.flush(True):
         yield told(found)

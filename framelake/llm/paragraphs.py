@@ -95,8 +95,8 @@ def _shingles(h: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.nda
 def _paragraphs(rows: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     """(text number, first word in the text, words, text hash, shingles, their edges) of every paragraph: pieces, whole lines and whole blocks.
 
-    Blocks are lines between lines without words. Lines and blocks that a smaller paragraph covers whole, or that are too short to be
-    similar to another without being equal to it, are left out: their pieces stand for them.
+    Blocks are lines between lines without words. Texts without such lines have no blocks, their lines are their paragraphs. Lines and blocks that a
+    smaller paragraph covers whole, or that are too short to be similar to another without being equal to it, are left out: their pieces stand for them.
     """
     low = LOWER[data]
     starts, ends, text_no = words(low, offsets, ALNUM)
@@ -110,7 +110,8 @@ def _paragraphs(rows: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray) ->
     for apart in (1, 2):
         new = np.flatnonzero(np.append(True, (text_no[1:] != text_no[:-1]) | (line[1:] - line[:-1] >= apart)))
         end = np.append(new[1:], len(h))
-        wide = (np.searchsorted(smaller, end) - np.searchsorted(smaller, new) > 1) & (end - new >= LEAST_SHINGLES + SHINGLE - 1)
+        several = (apart == 1) | (np.bincount(text_no[new], minlength=rows.num_rows)[text_no[new]] > 1)
+        wide = several & (np.searchsorted(smaller, end) - np.searchsorted(smaller, new) > 1) & (end - new >= LEAST_SHINGLES + SHINGLE - 1)
         stretches.append((new[wide], end[wide]))
         smaller = new
     begin, end = (np.concatenate(x) for x in zip(*stretches, strict=True))
@@ -200,7 +201,7 @@ def _islands(rows: DataFrame, keys: list[str], apart: Column) -> DataFrame:
 def repeated_passages(docs: DataFrame, least_words: int = 1) -> DataFrame:
     """Passages that stand elsewhere too: doc_id, first_word, end_word, n_words, component_id and kept, a row for each passage of each document.
 
-    Texts are lower-cased (A-Z), cut into words and into paragraphs: whole blocks between blank lines, whole lines, and pieces of lines, cut where
+    Texts are lower-cased (A-Z), cut into words and into paragraphs: whole lines, blocks of lines where blank lines part a text, and pieces of lines, cut where
     the words' own hashes say so, so that a passage inside other text is cut alike everywhere; runs of one word are pieces. Paragraphs of the same
     words are one class. Different paragraphs are similar if the Jaccard index of their 5-word shingles is 0.8 or more (exact; paragraphs under
     five words are one shingle); candidates share a MinHash band. Similar classes form components. A component is repeated if it occurs in two
@@ -219,6 +220,10 @@ def repeated_passages(docs: DataFrame, least_words: int = 1) -> DataFrame:
     met = settled(met, "bandkeys")
     members = parts.select("h", "bands").mapInArrow(partial(_in_bands, bitmap=hash_bitmap(met, "bucket")), "bucket long, id long")
     members = settled(members.distinct().join(met, "bucket", "left_semi"), "members")
+    # bands in which the same classes meet need only one of them: 128 bits and a count tell the sets apart
+    alike = members.groupBy("bucket").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit("again"))).alias("y"))
+    one = alike.where("n > 1").groupBy("n", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket")
+    members = settled(members.join(one, "bucket", "left_semi"), "members")
     shingles = docs.select("text").mapInArrow(partial(_wanted_shingles, bitmap=hash_bitmap(members, "id")), "id long, shingles array<long>")
     shingles = shingles.groupBy("id").agg(F.first("shingles").alias("shingles"))
     rows = split_buckets(settled(members.join(shingles, "id").withColumn("anchor", F.lit(True)), "shingles"))
