@@ -54,7 +54,8 @@ def units(text: str | None) -> tuple[list[str], list[tuple[int, int]]]:
         blocks[-1].append((at, at + len(line)))
         at += len(line)
         found += line
-    out += [(b[0][0], b[-1][1]) for b in blocks if len(b) > 1 and b[-1][1] - b[0][0] >= 8]
+    blocks = [b for b in blocks if b]
+    out += [(b[0][0], b[-1][1]) for b in blocks if len(blocks) > 1 and len(b) > 1 and b[-1][1] - b[0][0] >= 8]
     return found, out
 
 
