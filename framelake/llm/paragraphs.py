@@ -25,6 +25,8 @@ NEAR = 5
 LEAST_SHINGLES = math.ceil(SIMILAR / (1 - SIMILAR) - 1e-9)
 #: Shingles that are compared in one vectorised step.
 COMPARED = 1 << 21
+#: Paragraphs of a band that are compared with all others in one task.
+COMPARED_ANCHORS = 512
 
 
 def tune_bands(similar: float = SIMILAR, recall: float = RECALL, most_bands: int = MOST_BANDS) -> tuple[int, int]:
@@ -219,14 +221,14 @@ def repeated_passages(docs: DataFrame, least_words: int = 1) -> DataFrame:
     met = parts.select(F.explode("bands").alias("bucket"), "h").groupBy("bucket").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select("bucket")
     met = settled(met, "bandkeys")
     members = parts.select("h", "bands").mapInArrow(partial(_in_bands, bitmap=hash_bitmap(met, "bucket")), "bucket long, id long")
-    members = settled(members.distinct().join(met, "bucket", "left_semi"), "members")
+    members = settled(members.distinct(), "members")
     # bands in which the same classes meet need only one of them: 128 bits and a count tell the sets apart
     alike = members.groupBy("bucket").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit("again"))).alias("y"))
     one = alike.where("n > 1").groupBy("n", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket")
     members = settled(members.join(one, "bucket", "left_semi"), "members")
     shingles = docs.select("text").mapInArrow(partial(_wanted_shingles, bitmap=hash_bitmap(members, "id")), "id long, shingles array<long>")
     shingles = shingles.groupBy("id").agg(F.first("shingles").alias("shingles"))
-    rows = split_buckets(settled(members.join(shingles, "id").withColumn("anchor", F.lit(True)), "shingles"))
+    rows = split_buckets(settled(members.join(shingles, "id").withColumn("anchor", F.lit(True)), "shingles"), COMPARED_ANCHORS)
     similar = components(grouped(rows).mapInArrow(_links, "a long, b long")).withColumnRenamed("id", "h")
 
     counts = parts.groupBy("h").agg(F.count("*").alias("n"))
