@@ -17,15 +17,19 @@ from pyspark.sql import functions as F
 STEP_BYTES = 4 << 20
 
 
+_LOCAL: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors see: ``spark.checkpoint.dir``. Where that is unset, a local session gets a fresh temporary folder; on a cluster it is an error."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        found = tempfile.mkdtemp(prefix="framelake-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
+    """The folder all executors see: ``spark.checkpoint.dir``. Where that is unset, a local session gets a temporary folder of its own; on a cluster it is an error."""
+    if found := spark.conf.get("spark.checkpoint.dir", None):
+        return found
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL:
+        _LOCAL[app] = tempfile.mkdtemp(prefix="framelake-")
+    return _LOCAL[app]
 
 
 def _own_folder(spark: SparkSession) -> str:
