@@ -95,6 +95,43 @@ def turn_angle(v: Vec, reach: int) -> Column:
     return F.when(moved, F.degrees(F.acos(clamp(dot(unit(into), unit(out))))))
 
 
+def excursion(v: Vec, reach: int) -> Column:
+    """The shorter of the ways into and out of a frame, each over ``reach`` frames clipped at the ends."""
+    into = minus(v, [F.coalesce(F.lag(x, reach).over(ep()), F.first(x).over(whole())) for x in v])
+    out = minus([F.coalesce(F.lead(x, reach).over(ep()), F.last(x).over(whole())) for x in v], v)
+    return F.least(norm(into), norm(out))
+
+
+def starts(frames: DataFrame, moving: Vec, resting: Vec, fps: float, window: int, after: int, fast: float, still: float, straight: float, back: float) -> DataFrame:
+    """(episode, start_frame): the first frame from which one path starts while the other rests; 0 where there is none.
+
+    In the next ``window`` steps three in four of the moving path's are faster than ``fast`` and of the resting path's at most ``still``, their
+    directions agree (mean cosine with their mean ``straight`` or more) and none goes back along it by more than ``back``; in the ``after``
+    steps that follow, 55 in a hundred are fast.
+    """
+    step = minus(moving, lagged(moving))
+    size = norm(step)
+    f = frames.withColumns({"size": size, "rest": speed(resting, fps), **{f"step{i}": x for i, x in enumerate(step)}, **{f"way{i}": x / F.greatest(size, F.lit(1e-12)) for i, x in enumerate(step)}})
+    near, later = ep().rowsBetween(1, window), ep().rowsBetween(window + 1, window + after)
+    share = lambda flag, over: F.avg(F.when(flag, 1.0).otherwise(0.0)).over(over)
+    mean = [F.avg(f"way{i}").over(near) for i in range(3)]
+    told = f.withColumns({"n": F.count(F.lit(1)).over(whole()), "fast": share(F.col("size") * fps > fast, near), "still": share(F.col("rest") <= still, near), "on": share(F.col("size") * fps > fast, later), "steps": F.collect_list(F.array(*(F.col(f"step{i}") for i in range(3)))).over(near), **{f"mean{i}": x for i, x in enumerate(mean)}})
+    agree = norm([F.col(f"mean{i}") for i in range(3)])
+    along = lambda d: sum((d[i] * F.col(f"mean{i}") for i in range(3)), F.lit(0.0)) / F.greatest(F.col("agree"), F.lit(1e-12))
+    told = told.withColumn("agree", agree).withColumn("back", F.exists("steps", lambda d: along(d) < -back))
+    good = (F.col("frame") < F.col("n") - window - after) & (F.col("fast") >= 0.75) & (F.col("still") >= 0.75) & (F.col("agree") >= straight) & ~F.col("back") & (F.col("on") >= 0.55)
+    return told.groupBy("episode").agg(F.coalesce(F.min(F.when(good, F.col("frame") + 1)), F.lit(0)).alias("start_frame"))
+
+
+def backtrack(frames: DataFrame, position: list[str]) -> DataFrame:
+    """(episode, backtrack): the sum of all steps' parts against the direction from the first to the last frame."""
+    steps = frames.select("episode", "frame", *position, *((F.col(c) - F.lag(c).over(ep())).alias(f"step_{c}") for c in position))
+    chord = frames.groupBy("episode").agg(*((F.max_by(c, "frame") - F.min_by(c, "frame")).alias(f"way_{c}") for c in position))
+    way = [F.col(f"way_{c}") for c in position]
+    back = -dot([F.col(f"step_{c}") for c in position], way) / F.greatest(norm(way), F.lit(1e-12))
+    return steps.join(chord, "episode").groupBy("episode").agg(F.coalesce(F.sum(F.greatest(back, F.when(back.isNotNull(), 0.0))), F.lit(0.0)).alias("backtrack"))
+
+
 def drawdown(x: Column) -> Column:
     """How far a value is below the largest so far."""
     return F.max(x).over(so_far()) - x
@@ -118,10 +155,32 @@ def taken(frames: DataFrame, selection: DataFrame) -> DataFrame:
     return kept.withColumn("source_frame", F.col("frame")).withColumn("frame", (F.row_number().over(ep()) - 1).cast("long"))
 
 
+#: Rows of a range that is numbered in one task, about.
+RANGE = 1 << 16
+
+
+def numbered(rows: DataFrame, order: str, place: str, amount: str | None = None, begin: str | None = None) -> DataFrame:
+    """``rows`` with their place from 0 by the whole number ``order`` (null first) and, if named, the sum ``begin`` of ``amount`` over all before.
+
+    Numbers are cut into even ranges of about ``RANGE`` rows; each range is ranked by itself and moved by the counts and sums of those before it.
+    """
+    low, high, n = rows.agg(F.min(order), F.max(order), F.count("*")).first()
+    width = 1 if low is None else max(1, -(-(high - low + 1) // -(-n // RANGE)))
+    part = F.coalesce(F.floor((F.col(order) - (low or 0)) / width), F.lit(-1)).alias("part")
+    amounts = F.sum(amount) if amount else F.lit(0)
+    earlier = Window.partitionBy(F.lit(0)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    sums = rows.groupBy(part).agg(F.count("*").alias("many"), amounts.alias("much"))
+    sums = sums.select("part", F.coalesce(F.sum("many").over(earlier), F.lit(0)).alias("many"), F.coalesce(F.sum("much").over(earlier), F.lit(0)).alias("much"))
+    within = Window.partitionBy("part").orderBy(order)
+    out = rows.withColumn("part", part).join(F.broadcast(sums), "part").withColumn(place, (F.row_number().over(within) - 1 + F.col("many")).cast("long"))
+    if amount and begin:
+        out = out.withColumn(begin, F.coalesce(F.sum(amount).over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.col("much"))
+    return out.drop("part", "many", "much")
+
+
 def with_offsets(lengths: DataFrame) -> DataFrame:
     """(episode, length, output_episode, offset): dense numbers and exclusive sums of lengths; one row an episode."""
-    order = Window.partitionBy(F.lit(0)).orderBy("episode")
-    return lengths.withColumn("output_episode", (F.row_number().over(order) - 1).cast("long")).withColumn("offset", F.coalesce(F.sum("length").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    return numbered(lengths, "episode", "output_episode", "length", "offset")
 
 
 def nearest_before(frames: DataFrame, selection: DataFrame) -> DataFrame:

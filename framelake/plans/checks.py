@@ -8,10 +8,11 @@ from pyspark.sql.window import Window
 
 
 def timeline(frames: DataFrame, fps: float, tolerance: float = 1e-5) -> DataFrame:
-    """Frames whose number is not their rank from 0, or whose timestamp (seconds) is off i / fps by more than the tolerance."""
+    """Frames whose number is not their rank from 0, or whose timestamp (seconds) is off i / fps by more than the tolerance; null in either is a breach."""
     rank = F.row_number().over(Window.partitionBy("episode").orderBy("frame")) - 1
     ranked = frames.withColumn("rank", rank.cast("long"))
-    reason = F.when(F.col("rank") != F.col("frame"), "frame").when(F.abs(F.col("timestamp") - F.col("frame") / fps) > tolerance, "timestamp")
+    near = F.abs(F.col("timestamp") - F.col("frame") / fps) <= tolerance
+    reason = F.when(~F.col("rank").eqNullSafe(F.col("frame")), "frame").when(~F.coalesce(near & ~F.isnan("timestamp"), F.lit(False)), "timestamp")
     return ranked.withColumn("reason", reason).where("reason is not null").select("episode", "frame", "reason")
 
 
@@ -38,12 +39,29 @@ def orphans(rows: DataFrame, key: str, dimension: DataFrame, dimension_key: str)
 
 
 def source_map(entries: DataFrame) -> DataFrame:
-    """Episodes of (episode, output_frame, source_frame) with whether output frames are dense from 0 and source frames strictly increase."""
+    """Episodes of (episode, output_frame, source_frame) with whether output frames are dense from 0 and source frames strictly increase; null in either is neither."""
     order = Window.partitionBy("episode").orderBy("output_frame")
-    marked = entries.withColumn("dense", F.col("output_frame") == F.row_number().over(order) - 1).withColumn("rising", F.coalesce(F.col("source_frame") > F.lag("source_frame").over(order), F.lit(True)))
+    rising = (F.col("source_frame") > F.lag("source_frame").over(order)) | (F.row_number().over(order) == 1)
+    marked = entries.withColumn("dense", F.col("output_frame").eqNullSafe(F.row_number().over(order) - 1)).withColumn("rising", F.coalesce(rising & F.col("source_frame").isNotNull(), F.lit(False)))
     return marked.groupBy("episode").agg(F.count("*").alias("n"), F.every(F.col("dense") & F.col("rising")).alias("valid"))
 
 
+def totals(declared: DataFrame, frames: DataFrame, tasks: DataFrame, key: str = "episode") -> DataFrame:
+    """(name, declared, found) of totals (total_episodes, total_frames, total_tasks in one row) that the rows don't bear out."""
+    names = ("total_episodes", "total_frames", "total_tasks")
+
+    def long(row: DataFrame, name: str, *of: str) -> DataFrame:
+        return row.select(F.inline(F.array(*(F.struct(F.lit(n).alias("name"), F.col(n).cast("long").alias(name)) for n in of))))
+
+    found = long(frames.agg(F.count_distinct(key).alias(names[0]), F.count("*").alias(names[1])), "found", *names[:2]).union(long(tasks.agg(F.count("*").alias(names[2])), "found", names[2]))
+    return long(declared, "declared", *names).join(found, "name").where(~F.col("declared").eqNullSafe(F.col("found"))).select("name", "declared", "found")
+
+
+def limits(frames: DataFrame, least: int = 1, most: int = 100_000) -> DataFrame:
+    """(episode, n) of episodes with fewer rows than ``least`` or more than ``most``."""
+    return frames.groupBy("episode").agg(F.count("*").alias("n")).where((F.col("n") < least) | (F.col("n") > most))
+
+
 def selection(frames: DataFrame, chosen: DataFrame, protected: DataFrame) -> DataFrame:
     """(episode, frame, reason) of a selection (episode, frame): frames that the source lacks, chosen twice, or protected and left out. Frames after an episode's last chosen one may go."""
     source, own = frames.select("episode", "frame").distinct(), chosen.select("episode", "frame")

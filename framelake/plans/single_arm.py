@@ -1,23 +1,21 @@
-"""Single-arm episodes: gripper events, phases, lift apex, idle report and frame selection.
+"""Single-arm episodes: gripper events, phases, lift apex, idle report and phase report.
 
-Detection is DataFrame windows over one partitioning by episode, so all of it shares one exchange; only the search for a selection runs in Python.
+Detection is DataFrame windows over one partitioning by episode, so all of it shares one exchange.
 Frames are rows (episode, frame, state, action[, translation_limited, rotation_limited]): positions are components 0-2, a six-number rotation
 3-8, the gripper 9.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from framelake.functions import pose
 from framelake.operators import series
-from framelake.plans import selection
 
 #: Phases whose frames may be left out: approach, carry and retreat.
 FAST = (0, 2, 4)
@@ -48,7 +46,7 @@ class Rules:
     rise: float = 0.01
 
     def __post_init__(self) -> None:
-        if not all(np.isfinite(x) and x > 0 for x in vars(self).values()):
+        if not all(math.isfinite(x) and x > 0 for x in vars(self).values()):
             raise ValueError("rules are positive numbers")
         if self.closed >= self.open:
             raise ValueError("the gripper closes below the value at which it opens")
@@ -184,67 +182,8 @@ def idle(marked: DataFrame, rules: Rules = Rules(), fps: float = 10.0) -> DataFr
     return near.groupBy("episode", "first", "final").agg(F.every(calm).alias("calm")).where("calm").select("episode", "first", "final", keep.alias("keep"))
 
 
-def legal_edges(state: np.ndarray, action: np.ndarray, turned: np.ndarray, action_turned: np.ndarray, rules: Rules, band: int) -> tuple[list[list[int]], dict[str, int]]:
-    """For each frame the later ones that may follow it, and how many were refused for which first reason. The next frame always may.
-
-    Others lie within the band, a step of either path, the turning summed along the way, and both paths' distance from the chord.
-    """
-    n, out, refused = len(state), [], {"step": 0, "rotation": 0, "deviation": 0}
-    sums = [np.concatenate([[0.0], np.cumsum(x[1:])]) for x in (turned, action_turned)]
-    for i in range(n):
-        legal = [i + 1] if i + 1 < n else []
-        for j in range(i + 2, min(n, i + band + 1)):
-            if max(np.linalg.norm(x[j] - x[i]) for x in (state, action)) > rules.max_step + 1e-9:
-                refused["step"] += 1
-            elif max(s[j] - s[i] for s in sums) > rules.max_rotation:
-                refused["rotation"] += 1
-            elif max(selection.segment_distance(x[i : j + 1], x[i], x[j]).max() for x in (state, action)) > rules.deviation + 1e-9:
-                refused["deviation"] += 1
-            else:
-                legal.append(j)
-        out.append(legal)
-    return out, refused
-
-
-def chosen(state: np.ndarray, action: np.ndarray, turned: np.ndarray, action_turned: np.ndarray, phase: np.ndarray, protected: np.ndarray, last: int, rules: Rules, fps: float) -> np.ndarray:
-    """Which frames stay: all of the slow phases, and between protected frames of a fast phase the cheapest legal selection; none after ``last``."""
-    keep = np.arange(len(state)) <= last
-    costs = selection.Rules(rules.target_speed, rules.max_step, rules.deviation, rules.skip_s, 0.5)
-    for number in FAST:
-        ids = np.flatnonzero((phase == number) & keep)
-        if len(ids) < 3:
-            continue
-        anchors = np.unique(np.concatenate([ids[[0, -1]], ids[protected[ids]]]))
-        for a, b in zip(anchors[:-1].tolist(), anchors[1:].tolist(), strict=True):
-            if b - a < 2:
-                continue
-            own = slice(a, b + 1)
-            legal, _ = legal_edges(state[own], action[own], turned[own], action_turned[own], rules, max(1, round(rules.skip_s * fps)))
-            keep[own] = False
-            keep[a + np.array(selection.shortest_path(state[own], costs, fps, legal=legal))] = True
-    return keep
-
-
-def planned(frames: DataFrame, rules: Rules = Rules(), fps: float = 10.0) -> DataFrame:
-    """(episode, frame, phase, kept, reason, protection) of every frame; memory is one episode's.
-
-    reason is kept, motion_shortcut or discarded_after_lift_apex; protection the joined reasons for which a frame must stay.
-    """
-    marked = annotated(frames, rules, fps)
-    rows = marked.select("episode", "frame", F.slice("state", 1, 3).cast("array<double>").alias("state"), F.slice("action", 1, 3).cast("array<double>").alias("action"), "turned", "action_turned", "phase", "last", F.array_join("protection", ",").alias("protection"))
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("frame")
-        last, held = int(pdf["last"].iloc[0]), (pdf["protection"] != "").to_numpy()
-        keep = chosen(np.stack(pdf["state"]), np.stack(pdf["action"]), pdf["turned"].to_numpy(), pdf["action_turned"].to_numpy(), pdf["phase"].to_numpy(), held, last, rules, fps)
-        reason = np.where(keep, "kept", np.where(pdf["frame"].to_numpy() > last, "discarded_after_lift_apex", "motion_shortcut"))
-        return pdf.assign(kept=keep, reason=reason)[["episode", "frame", "phase", "kept", "reason", "protection"]]
-
-    return rows.groupBy("episode").applyInPandas(one, "episode long, frame long, phase int, kept boolean, reason string, protection string")
-
-
 def phase_report(plan: DataFrame, frames: DataFrame, rules: Rules = Rules(), fps: float = 10.0) -> DataFrame:
-    """Per episode and phase of :func:`planned`: frames before and after, mean speed over kept pairs without protection between, and whether a fast phase meets the target."""
+    """Per episode and phase of a selection (episode, frame, phase, kept, reason, protection): frames before and after, mean speed over kept pairs without protection between, and whether a fast phase meets the target."""
     joined = plan.join(frames.select("episode", "frame", *(x.alias(f"p{i}") for i, x in enumerate(pose.components("state", [0, 1, 2])))), ["episode", "frame"]).where("reason <> 'discarded_after_lift_apex'")
     held = F.sum((F.col("protection") != "").cast("int")).over(series.so_far())
     order = Window.partitionBy("episode", "phase").orderBy("frame")

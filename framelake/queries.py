@@ -1,21 +1,20 @@
 """Queries over the driver's tables that exercise the trajectory operators, each with the SQL that DuckDB answers alike.
 
-Embeddings stand for pose frames (label = episode), events for scalar signals (user_id = episode), orders and lineitem for episode metadata.
+Embeddings stand for pose frames (label and block of numbers = episode), events for scalar signals (user_id = episode), orders and lineitem for episode metadata.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from framelake.functions import pose
 from framelake.operators import series, stats
-from framelake.plans import bimanual, checks, selection, single_arm
+from framelake.plans import checks, single_arm
+from framelake.sources import convert, datasets
 
 FPS = 30.0
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,10 +39,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def poses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Embeddings as frames: left and right positions, a quaternion and the vector."""
-    frame = F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1
+    """Embeddings as frames: left and right positions, a quaternion and the vector. An episode is one label's vectors of 500 numbers, so there are more in a larger table."""
+    block = F.floor(F.col("vec_id") / 500)
+    frame = F.row_number().over(Window.partitionBy("label", block).orderBy("vec_id")) - 1
     names = ["lx", "ly", "lz", "qx", "qy", "qz", "qw", "s7", "rx", "ry", "rz"]
-    return table(spark, sf_dir, "embeddings").select(F.col("label").cast("long").alias("episode"), frame.cast("long").alias("frame"), *(F.col("embedding")[i].cast("double").alias(n) for i, n in enumerate(names)), F.col("embedding").alias("v"))
+    return table(spark, sf_dir, "embeddings").select((F.col("label").cast("long") * 1000000 + block).alias("episode"), frame.cast("long").alias("frame"), *(F.col("embedding")[i].cast("double").alias(n) for i, n in enumerate(names)), F.col("embedding").alias("v"))
 
 
 def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,7 +73,7 @@ def quaternion() -> list[Column]:
     return cols("qx", "qy", "qz", "qw")
 
 
-E_SQL = """e AS (SELECT CAST(label AS BIGINT) AS episode, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS frame, embedding AS v,
+E_SQL = """e AS (SELECT CAST(label AS BIGINT) * 1000000 + vec_id // 500 AS episode, row_number() OVER (PARTITION BY label, vec_id // 500 ORDER BY vec_id) - 1 AS frame, embedding AS v,
  embedding[1]::DOUBLE AS lx, embedding[2]::DOUBLE AS ly, embedding[3]::DOUBLE AS lz, embedding[4]::DOUBLE AS qx, embedding[5]::DOUBLE AS qy, embedding[6]::DOUBLE AS qz, embedding[7]::DOUBLE AS qw,
  embedding[9]::DOUBLE AS rx, embedding[10]::DOUBLE AS ry, embedding[11]::DOUBLE AS rz FROM embeddings)"""
 F_SQL = "f AS (SELECT user_id AS episode, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS frame, value, event_type, ts FROM events)"
@@ -357,11 +357,13 @@ def keyset_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.join(b, "k", "left_anti").agg(F.lit("only_orders").alias("side"), F.count("*").alias("n")).union(b.join(a, "k", "left_anti").agg(F.lit("only_lineitem"), F.count("*")))
 
 
-@query(f"WITH {F_SQL}, t AS (SELECT *, frame / 30.0::DOUBLE + CASE WHEN event_type = 'error' AND value > 90 THEN 0.001 ELSE 0 END AS timestamp FROM f WHERE NOT (value > 250)), r AS (SELECT *, row_number() OVER (PARTITION BY episode ORDER BY frame) - 1 AS rank FROM t), v AS (SELECT episode, frame, CASE WHEN rank <> frame THEN 'frame' WHEN abs(timestamp - frame / 30.0::DOUBLE) > 1e-5 THEN 'timestamp' END AS reason FROM r) SELECT * FROM v WHERE reason IS NOT NULL")
+@query(f"WITH {F_SQL}, t AS (SELECT * REPLACE (CASE WHEN value > 3 OR value < 1 THEN frame END AS frame), CASE WHEN value >= 1 THEN frame / 30.0::DOUBLE + CASE WHEN event_type = 'error' AND value > 90 THEN 0.001 ELSE 0 END END AS timestamp FROM f WHERE NOT (value > 250)), r AS (SELECT *, row_number() OVER (PARTITION BY episode ORDER BY frame NULLS FIRST) - 1 AS rank FROM t), v AS (SELECT episode, frame, CASE WHEN rank IS DISTINCT FROM frame THEN 'frame' WHEN timestamp IS NULL OR abs(timestamp - frame / 30.0::DOUBLE) > 1e-5 THEN 'timestamp' END AS reason FROM r) SELECT * FROM v WHERE reason IS NOT NULL")
 def timeline_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Time-line breaches of a table with gaps and late timestamps."""
+    """Time-line breaches of a table with gaps, late timestamps, and nulls in both columns."""
+    value = F.col("value")
     late = F.when((F.col("event_type") == "error") & (F.col("value") > 90), 0.001).otherwise(0.0)
-    return checks.timeline(signals(spark, sf_dir).where("not (value > 250)").withColumn("timestamp", F.col("frame") / FPS + late), FPS)
+    told = signals(spark, sf_dir).where("not (value > 250)").withColumn("timestamp", F.when(value >= 1, F.col("frame") / FPS + late))
+    return checks.timeline(told.withColumn("frame", F.when((value > 3) | (value < 1), F.col("frame"))), FPS)
 
 
 @query(f"WITH {E_SQL}, b AS (SELECT episode, CASE WHEN frame % 50 = 7 THEN NULL WHEN frame % 40 = 3 THEN v[1:60] ELSE v END AS v FROM e) SELECT episode, CAST(count(*) FILTER (WHERE v IS NULL) AS BIGINT) AS unsound, CAST(count(*) FILTER (WHERE v IS NULL OR len(v) <> 64) AS BIGINT) AS wrong_width FROM b GROUP BY episode HAVING count(*) FILTER (WHERE v IS NULL OR len(v) <> 64) > 0")
@@ -384,11 +386,13 @@ def task_referential_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checks.orphans(table(spark, sf_dir, "orders"), "o_custkey", table(spark, sf_dir, "customer").where("c_acctbal > 0"), "c_custkey")
 
 
-@query("WITH m AS (SELECT conv_id AS episode, turn AS output_frame, turn * 2 - CASE WHEN role = 'system' AND turn > 0 THEN 5 ELSE 0 END AS source_frame FROM conversations), k AS (SELECT episode, output_frame = row_number() OVER w - 1 AS dense, coalesce(source_frame > lag(source_frame) OVER w, true) AS rising FROM m WINDOW w AS (PARTITION BY episode ORDER BY output_frame)) SELECT episode, count(*) AS n, bool_and(dense AND rising) AS valid FROM k GROUP BY episode")
+@query("""WITH m AS (SELECT conv_id AS episode, CASE WHEN conv_id % 11 <> 3 OR turn <> 1 THEN turn END AS output_frame, CASE WHEN conv_id % 7 <> 2 OR turn <> 1 THEN turn * 2 - CASE WHEN role = 'system' AND turn > 0 THEN 5 ELSE 0 END END AS source_frame FROM conversations),
+k AS (SELECT episode, output_frame IS NOT DISTINCT FROM row_number() OVER w - 1 AS dense, coalesce(source_frame IS NOT NULL AND (row_number() OVER w = 1 OR source_frame > lag(source_frame) OVER w), false) AS rising FROM m WINDOW w AS (PARTITION BY episode ORDER BY output_frame NULLS FIRST)) SELECT episode, count(*) AS n, bool_and(dense AND rising) AS valid FROM k GROUP BY episode""")
 def source_map_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which source maps are dense and rising."""
+    """Which source maps are dense and rising; some hold nulls."""
     shift = F.when((F.col("role") == "system") & (F.col("turn") > 0), 5).otherwise(0)
-    return checks.source_map(table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("episode"), F.col("turn").alias("output_frame"), (F.col("turn") * 2 - shift).alias("source_frame")))
+    known = lambda by, left: (F.col("conv_id") % by != left) | (F.col("turn") != 1)
+    return checks.source_map(table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("episode"), F.when(known(11, 3), F.col("turn")).alias("output_frame"), F.when(known(7, 2), F.col("turn") * 2 - shift).alias("source_frame")))
 
 
 @query(f"WITH {F_SQL}, n AS (SELECT episode, count(*) / 30.0::DOUBLE AS d FROM f GROUP BY episode) (SELECT 'longest' AS which, episode, round(d,6) AS duration_s FROM n ORDER BY d DESC, episode LIMIT 3) UNION ALL (SELECT 'shortest', episode, round(d,6) FROM n ORDER BY d, episode LIMIT 3)")
@@ -475,27 +479,6 @@ def phase_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return signals(spark, sf_dir).groupBy(F.col("event_type").alias("phase")).agg(F.count("*").alias("frames_before"), F.count(fast).alias("frames_after"), r6(F.avg(fast), "mean_fast"), r6(F.avg(between), "in_target"))
 
 
-@query()
-def select_single_arm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cheapest frame selection of each episode, keeping every tenth frame; rows only, tests compare with exhaustive search."""
-    f = poses(spark, sf_dir).select("episode", "frame", *((F.col(c) * 0.01).alias(n) for c, n in zip(("lx", "ly", "lz"), "xyz", strict=True)), (F.col("frame") % 10 == 0).alias("protected"))
-    return selection.select_frames(f, selection.Rules(skip_s=0.6))
-
-
-@query()
-def duration_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each episode of signals shortened to about 0.7 of its frames; rows only, tests compare with exhaustive search."""
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("frame")
-        n = len(pdf)
-        mass = selection.mass_to_budget(np.minimum(pdf["value"].to_numpy() / 50, 1), 0.7 * n)
-        legal = [list(range(i + 1, min(n, i + 6))) for i in range(n)]
-        return pdf.iloc[selection.shortened(mass, pdf[["value"]].to_numpy() / 500, legal)][["episode", "frame"]]
-
-    return signals(spark, sf_dir).select("episode", "frame", "value").groupBy("episode").applyInPandas(one, "episode long, frame long")
-
-
 GRIP_SQL = f"""{F_SQL}, h AS (SELECT episode, frame, value, coalesce(last_value(CASE WHEN value < 1.5 THEN 'c' WHEN value > 90 THEN 'o' END IGNORE NULLS) OVER (PARTITION BY episode ORDER BY frame ROWS UNBOUNDED PRECEDING), 'o') AS mode,
  coalesce(abs(value - lag(value) OVER w) > 15, false) AS moves FROM f {EP_SQL}), t AS (SELECT *, mode <> lag(mode, 1, 'o') OVER w AS turns, coalesce(lead(moves) OVER w, false) AS moves_on FROM h {EP_SQL}),
  k AS (SELECT episode, count(*) AS n, min(frame) FILTER (WHERE turns AND mode = 'c') AS c, min(frame) FILTER (WHERE turns AND mode = 'o') AS o FROM t GROUP BY episode HAVING count(*) FILTER (WHERE turns) = 2),
@@ -513,18 +496,141 @@ def gripper_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("episode", ends.alias("e")).select("episode", "e.kind", "e.trigger", "e.first_frame", "e.last_frame")
 
 
-@query()
-def single_arm_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Phases, protection and kept frames of episodes with one arm; rows only, tests hold it against a made episode and exhaustive search."""
-    v = F.transform("v", lambda x: x.cast("double") * 0.01)
-    rules = single_arm.Rules(closed=0.8 * 0.01, open=0.9 * 0.01, max_rotation=180)
-    return single_arm.planned(poses(spark, sf_dir).select("episode", "frame", F.slice(v, 1, 34).alias("state"), F.slice(v, 35, 10).alias("action")), rules, 10.0)
+@query(f"""WITH {F_SQL}, p AS (SELECT episode AS video, frame AS packet, frame / 30.0::DOUBLE + CASE WHEN value > 90 THEN 0.003 ELSE 0 END AS pts, CASE WHEN value > 60 AND value < 62 THEN frame / 30.0::DOUBLE - 0.01 END AS dts, CASE WHEN value < 1 THEN NULL ELSE frame % 4 = 0 OR value > 30 END AS key FROM f),
+m AS (SELECT *, row_number() OVER w = 1 OR pts > lag(pts) OVER w AS rises FROM p WINDOW w AS (PARTITION BY video ORDER BY packet)), s AS (SELECT DISTINCT episode AS video, frame // 4 AS episode_index, (frame // 4) * 4 / 30.0::DOUBLE AS a, ((frame // 4) * 4 + 4) / 30.0::DOUBLE + CASE WHEN episode % 9 = 0 THEN 0.1 ELSE 0 END AS b, 4 AS length FROM f),
+j AS (SELECT s.*, m.pts, m.dts, m.key, m.rises FROM s LEFT JOIN m ON s.video = m.video AND m.pts >= a - 1e-5 AND m.pts < a + 3.5 / 30.0::DOUBLE),
+r AS (SELECT *, abs(pts - a - (row_number() OVER (PARTITION BY video, episode_index ORDER BY pts) - 1) / 30.0::DOUBLE) <= 1e-5 AS placed, abs(coalesce(dts, pts) - pts) < 1e-5 AS ordered FROM j),
+g AS (SELECT video, episode_index, any_value(length) AS length, any_value(a) AS a, any_value(b) AS b, count(pts) AS n, bool_and(coalesce(rises, false)) AS rises, bool_and(coalesce(placed, false)) AS placed, bool_and(coalesce(ordered, false)) AS ordered, arg_min_null(key, pts) AS key FROM r GROUP BY video, episode_index),
+t AS (SELECT video, episode_index, CASE WHEN n <> length THEN 'packets' WHEN abs((b - a) * 30 - length) >= 1e-4 THEN 'duration' WHEN NOT rises THEN 'times' WHEN NOT ordered THEN 'order' WHEN NOT placed THEN 'alignment' WHEN NOT coalesce(key, false) THEN 'key frame' END AS reason FROM g) SELECT * FROM t WHERE reason IS NOT NULL""")
+def packet_slice_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slices of four frames that can't be cut from a video of late, re-ordered and missing packets."""
+    f = signals(spark, sf_dir)
+    at = F.col("frame") / FPS
+    packets = f.select(F.col("episode").alias("video"), F.col("frame").alias("packet"), (at + F.when(F.col("value") > 90, 0.003).otherwise(0.0)).alias("pts"), F.when((F.col("value") > 60) & (F.col("value") < 62), at - 0.01).alias("dts"), F.when(F.col("value") >= 1, (F.col("frame") % 4 == 0) | (F.col("value") > 30)).alias("key"))
+    first = F.floor(F.col("frame") / 4) * 4
+    slices = f.select(F.col("episode").alias("video"), (first / 4).cast("long").alias("episode_index"), (first / FPS).alias("from_timestamp"), ((first + 4) / FPS + F.when(F.col("episode") % 9 == 0, 0.1).otherwise(0.0)).alias("to_timestamp"), F.lit(4).alias("length")).distinct()
+    return convert.slice_breaches(packets, slices, FPS)
+
+
+@query(f"""WITH {F_SQL}, q AS (SELECT episode, frame, n, [least(greatest(frame + i, 0), n - 1) for i in [-2,-1,0,1,2]] AS ix, vals FROM (SELECT *, count(*) OVER (PARTITION BY episode) AS n, list(value ORDER BY frame) OVER (PARTITION BY episode) AS vals FROM f)),
+h AS (SELECT episode, frame, n, (0.7::DOUBLE * 0.001 + 0.3::DOUBLE * 0.002) * list_sum([vals[i + 1] for i in ix]) / 5 AS height, frame >= 2 AND n - 1 > 2 AS inside FROM q),
+t AS (SELECT episode, max(height) FILTER (WHERE inside) AS top, max(height) FILTER (WHERE inside) - median(height) FILTER (WHERE inside AND frame < 7) AS rise FROM h GROUP BY episode)
+SELECT h.episode, min(frame) FILTER (WHERE inside AND rise >= 0.01 AND height >= top - greatest(0.002, least(0.005, rise * 0.1))) AS apex FROM h JOIN t USING (episode) GROUP BY h.episode""")
+def lift_apex(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Apex of each episode's smoothed height from the third frame on."""
+    f = signals(spark, sf_dir).withColumn("n", F.count("*").over(Window.partitionBy("episode")))
+    return single_arm.apex(f, single_arm.Rules(), F.col("value") * 0.001, F.col("value") * 0.002, F.lit(2), F.col("n") - 1).groupBy("episode").agg(F.min("apex").alias("apex"))
+
+
+PLAN_SQL = "least(frame // 40, 4) AS phase, frame % 3 <> 1 AS kept, CASE WHEN frame > 190 THEN 'discarded_after_lift_apex' ELSE 'kept' END AS reason, CASE WHEN frame % 17 = 0 THEN 'contact' ELSE '' END AS protection"
+
+
+@query(f"""WITH {E_SQL}, p AS (SELECT episode, frame, lx, ly, lz, {PLAN_SQL} FROM e), j AS (SELECT *, sum(CASE WHEN protection <> '' THEN 1 ELSE 0 END) OVER (PARTITION BY episode ORDER BY frame) AS held FROM p WHERE reason <> 'discarded_after_lift_apex'),
+k AS (SELECT *, protection = '' AND lag(protection) OVER w = '' AND held = lag(held) OVER w AS free, sqrt(pow(lx-lag(lx) OVER w,2)+pow(ly-lag(ly) OVER w,2)+pow(lz-lag(lz) OVER w,2))*10 AS speed FROM j WHERE kept WINDOW w AS (PARTITION BY episode, phase ORDER BY frame)),
+s AS (SELECT episode, phase, count(*) AS frames_after, avg(speed) FILTER (WHERE free) AS mean_speed, CAST(count(speed) FILTER (WHERE free) AS BIGINT) AS pairs FROM k GROUP BY episode, phase), b AS (SELECT episode, phase, count(*) AS frames_before, min(frame) AS first, max(frame) AS final FROM j GROUP BY episode, phase)
+SELECT episode, CAST(phase AS BIGINT) AS phase, frames_before, first, final, frames_after, round(mean_speed, 6) AS mean_speed, pairs, round(coalesce(frames_after, 0) / frames_before::DOUBLE, 6) AS retained, CASE WHEN phase IN (0, 2, 4) THEN abs(mean_speed - 14) <= 0.5 END AS target_met FROM b LEFT JOIN s USING (episode, phase)""")
+def phase_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames, speeds and whether the target is met in each phase of a made selection."""
+    e = poses(spark, sf_dir)
+    plan = e.select("episode", "frame", F.least(F.floor(F.col("frame") / 40), F.lit(4)).cast("long").alias("phase"), (F.col("frame") % 3 != 1).alias("kept"), F.when(F.col("frame") > 190, "discarded_after_lift_apex").otherwise("kept").alias("reason"), F.when(F.col("frame") % 17 == 0, "contact").otherwise("").alias("protection"))
+    told = single_arm.phase_report(plan, e.select("episode", "frame", F.array("lx", "ly", "lz").alias("state")), single_arm.Rules(target_speed=14, speed_tolerance=0.5), 10.0)
+    return told.select("episode", "phase", "frames_before", "first", "final", "frames_after", r6("mean_speed", "mean_speed"), "pairs", r6("retained", "retained"), "target_met")
+
+
+@query(f"""WITH {F_SQL}, c AS (SELECT episode, frame + CASE WHEN value > 150 THEN 100000 ELSE 0 END AS frame FROM f WHERE value > 25 UNION ALL SELECT episode, frame FROM f WHERE value > 120 AND value <= 150), l AS (SELECT episode, max(frame) AS last FROM c GROUP BY episode)
+SELECT episode, frame, 'unknown' AS reason FROM c ANTI JOIN f USING (episode, frame) UNION ALL SELECT episode, frame, 'twice' FROM c GROUP BY episode, frame HAVING count(*) > 1
+UNION ALL SELECT p.episode, p.frame, 'protected' FROM (SELECT f.episode, f.frame FROM f LEFT JOIN l USING (episode) WHERE event_type = 'error' AND (last IS NULL OR frame <= last)) p ANTI JOIN c ON p.episode = c.episode AND p.frame = c.frame""")
+def selection_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Breaches of a selection that names unknown frames, some twice, and leaves protected ones out."""
+    f = signals(spark, sf_dir)
+    far = F.col("frame") + F.when(F.col("value") > 150, 100000).otherwise(0)
+    chosen = f.where("value > 25").select("episode", far.cast("long").alias("frame")).union(f.where("value > 120 and value <= 150").select("episode", "frame"))
+    return checks.selection(f, chosen, f.where("event_type = 'error'"))
+
+
+@query(f"""WITH {E_SQL}, x AS (SELECT episode, 'v' AS feature, v[1]::DOUBLE AS x, 64 AS width FROM e UNION ALL SELECT episode, 'lz', lz, 1 FROM e)
+SELECT episode, feature, CAST(any_value(width) AS INTEGER) AS width, round(min(x), 6) AS min, round(max(x), 6) AS max, round(avg(x), 6) AS mean, round(stddev_pop(x), 6) AS std, count(x) AS count FROM x GROUP BY episode, feature""")
+def feature_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics of a vector's first component and of a scalar, by episode."""
+    told = convert.feature_stats(poses(spark, sf_dir), ["v", "lz"], ["episode"])
+    return told.select("episode", "feature", F.size("mean").alias("width"), *(r6(F.col(c)[0], c) for c in ("min", "max", "mean", "std")), F.col("count")[0].alias("count"))
+
+
+@query(f"""WITH {F_SQL}, r AS (SELECT episode, frame, 'still' AS reason FROM f WHERE value <= 10 UNION ALL SELECT episode, frame, 'error' FROM f WHERE event_type = 'error' UNION ALL SELECT episode, frame, 'still' FROM f WHERE value <= 2),
+g AS (SELECT episode, frame, string_agg(DISTINCT reason, ',' ORDER BY reason) AS reason FROM r GROUP BY episode, frame)
+SELECT f.episode AS episode_index, f.frame AS frame_index, value > 25 AS kept, CASE WHEN value > 25 THEN 'kept' ELSE g.reason END AS reason, event_type AS phase FROM f LEFT JOIN g ON f.episode = g.episode AND f.frame = g.frame""")
+def deletion_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which frames a selection keeps, why others go, and their phase."""
+    f = signals(spark, sf_dir).select(F.col("episode").alias("episode_index"), F.col("frame").alias("frame_index"), "value", F.col("event_type").alias("phase"))
+    why = lambda when, name: f.where(when).select("episode_index", "frame_index", F.lit(name).alias("reason"))
+    return datasets.deletion_log(f, f.where("value > 25"), why("value <= 10", "still").union(why("phase = 'error'", "error")).union(why("value <= 2", "still")))
+
+
+@query(f"""WITH {F_SQL}, p AS (SELECT episode, count(*) AS s, count(*) FILTER (WHERE frame < 12) AS a, count(*) FILTER (WHERE frame < 12 AND value > 25) AS o, count(*) FILTER (WHERE value > 120) AS w, bool_or(frame >= 12) AS t, count(*) FILTER (WHERE value > 90) AS j FROM f GROUP BY episode)
+SELECT count(*) AS total_episodes, CAST(sum(s) AS BIGINT) AS source_frames, CAST(sum(a) AS BIGINT) AS active_frames, CAST(sum(o) AS BIGINT) AS output_frames, CAST(count(*) FILTER (WHERE w > 0) AS BIGINT) AS ambiguous_episodes, CAST(count(*) FILTER (WHERE t) AS BIGINT) AS truncated_episodes, CAST(sum(j) AS BIGINT) AS inherited_jumps,
+round(1 - sum(o) / sum(s)::DOUBLE, 6) AS frame_reduction_fraction, CAST(sum(s) - sum(a) AS BIGINT) AS discarded_frames, round(sum(s) / 30.0::DOUBLE, 6) AS source_duration_s, round(sum(a) / 30.0::DOUBLE, 6) AS active_duration_s, round(sum(o) / 30.0::DOUBLE, 6) AS output_duration_s FROM p""")
+def dataset_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals of a selection over all episodes."""
+    episodes = signals(spark, sf_dir).groupBy("episode").agg(F.count("*").alias("source_frames"), F.count_if(F.expr("frame < 12")).alias("active_frames"), F.count_if(F.expr("frame < 12 and value > 25")).alias("output_frames"), F.count_if(F.expr("value > 120")).alias("warnings"), F.max(F.col("frame") >= 12).alias("truncated"), F.count_if(F.expr("value > 90")).alias("inherited_jumps"))
+    told = stats.dataset_summary(episodes, FPS)
+    rounded = ("frame_reduction_fraction", "source_duration_s", "active_duration_s", "output_duration_s")
+    return told.select(*(r6(c, c) if c in rounded else c for c in told.columns))
+
+
+ARMS_SQL = "a AS (SELECT episode, frame, CASE episode % 3 WHEN 0 THEN rx - lx WHEN 1 THEN (frame % 2 * 2 - 1) * 0.5 ELSE 0 END AS x, CASE episode % 3 WHEN 0 THEN ry - ly WHEN 1 THEN (frame % 2 * 2 - 1) * 0.25 ELSE 0 END AS y FROM e WHERE frame < 10)"
+
+
+@query(f"""WITH {E_SQL}, {ARMS_SQL}, m AS (SELECT episode, avg(x) AS x, avg(y) AS y, max(sqrt(x*x+y*y)) AS w, arg_max(x, (sqrt(x*x+y*y), -frame)) AS wx, arg_max(y, (sqrt(x*x+y*y), -frame)) AS wy FROM a GROUP BY episode),
+t AS (SELECT episode, greatest(1e-9, w * 1e-6) AS least, CASE WHEN sqrt(x*x+y*y) <= greatest(1e-9, w * 1e-6) THEN wx ELSE x END AS x, CASE WHEN sqrt(x*x+y*y) <= greatest(1e-9, w * 1e-6) THEN wy ELSE y END AS y FROM m)
+SELECT episode, round(CASE WHEN sqrt(x*x+y*y) > least THEN 1.8 * y / sqrt(x*x+y*y) ELSE 1.25 END::DOUBLE, 6) AS x, round(CASE WHEN sqrt(x*x+y*y) > least THEN -1.8 * x / sqrt(x*x+y*y) ELSE 1.25 END::DOUBLE, 6) AS y, 0.9::DOUBLE AS z FROM t""")
+def camera_eye(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cameras of arms that are apart, apart only in some frames, and one."""
+    side, kind = F.col("frame") % 2 * 2 - 1, F.col("episode") % 3
+    apart = {n: F.when(kind == 0, F.col(f"r{n}") - F.col(f"l{n}")).when(kind == 1, side * far).otherwise(0.0) for n, far in (("x", 0.5), ("y", 0.25))}
+    made = poses(spark, sf_dir).where("frame < 10").select("episode", "frame", *(F.lit(0.0).alias(f"l{n}") for n in "xyz"), *(x.alias(f"r{n}") for n, x in apart.items()), F.lit(0.0).alias("rz"))
+    return stats.camera_eye(made).select("episode", r6("x", "x"), r6("y", "y"), "z")
+
+
+@query(f"""WITH {E_SQL}, p AS (SELECT episode, frame, count(*) OVER (PARTITION BY episode) AS n, lx, ly, lz FROM e), q AS (SELECT p.episode, p.frame, p.lx-a.lx AS x, p.ly-a.ly AS y, p.lz-a.lz AS z, b.lx-p.lx AS u, b.ly-p.ly AS v, b.lz-p.lz AS w FROM p JOIN e a ON a.episode=p.episode AND a.frame=greatest(p.frame-3,0) JOIN e b ON b.episode=p.episode AND b.frame=least(p.frame+3,n-1))
+SELECT episode, frame, round(least(sqrt(x*x+y*y+z*z), sqrt(u*u+v*v+w*w)), 6) AS excursion FROM q""")
+def turn_excursion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shorter of the ways in and out of each frame over three frames."""
+    return poses(spark, sf_dir).select("episode", "frame", r6(series.excursion(left(), 3), "excursion"))
+
+
+@query(f"""WITH {E_SQL}, d AS (SELECT episode, frame, count(*) OVER (PARTITION BY episode) AS n, rx-lag(rx) OVER w AS x, ry-lag(ry) OVER w AS y, rz-lag(rz) OVER w AS z, sqrt(pow(lx-lag(lx) OVER w,2)+pow(ly-lag(ly) OVER w,2)+pow(lz-lag(lz) OVER w,2)) AS rest FROM e {EP_SQL}), s AS (SELECT *, sqrt(x*x+y*y+z*z) AS size FROM d),
+t AS (SELECT episode, frame, n, avg(x/greatest(size,1e-12)) OVER v AS mx, avg(y/greatest(size,1e-12)) OVER v AS my, avg(z/greatest(size,1e-12)) OVER v AS mz, avg(CASE WHEN size*30 > 30 THEN 1.0 ELSE 0.0 END) OVER v AS fast, avg(CASE WHEN rest*30 <= 60 THEN 1.0 ELSE 0.0 END) OVER v AS still,
+ avg(CASE WHEN size*30 > 30 THEN 1.0 ELSE 0.0 END) OVER (PARTITION BY episode ORDER BY frame ROWS BETWEEN 4 FOLLOWING AND 6 FOLLOWING) AS later FROM s WINDOW v AS (PARTITION BY episode ORDER BY frame ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING)),
+g AS (SELECT t.episode, t.frame FROM t JOIN s ON s.episode = t.episode AND s.frame BETWEEN t.frame + 1 AND t.frame + 3 WHERE t.frame < t.n - 6 AND fast >= 0.75 AND still >= 0.75 AND sqrt(mx*mx+my*my+mz*mz) >= 0.4 AND later >= 0.55 GROUP BY t.episode, t.frame HAVING min((s.x*mx+s.y*my+s.z*mz)/greatest(sqrt(mx*mx+my*my+mz*mz),1e-12)) >= -0.8)
+SELECT e.episode, coalesce(any_value(a.first), 0) AS start_frame FROM e LEFT JOIN (SELECT episode, min(frame) + 1 AS first FROM g GROUP BY episode) a ON a.episode = e.episode GROUP BY e.episode""")
+def start_of_motion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First frame from which the right arm keeps moving one way while the left one rests."""
+    return series.starts(poses(spark, sf_dir), right(), left(), FPS, 3, 3, 30.0, 60.0, 0.4, 0.8)
+
+
+@query("SELECT * FROM (SELECT 'total_episodes' AS name, 1::BIGINT AS declared, count(DISTINCT l_orderkey) AS found FROM lineitem UNION ALL SELECT 'total_frames', (SELECT count(*) FROM lineitem), count(*) FROM lineitem UNION ALL SELECT 'total_tasks', NULL, count(*) FROM part) WHERE declared IS DISTINCT FROM found")
+def totals_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Declared totals that the rows don't bear out, one of them null."""
+    lines = table(spark, sf_dir, "lineitem")
+    declared = lines.agg(F.lit(1).alias("total_episodes"), F.count("*").alias("total_frames"), F.lit(None).cast("long").alias("total_tasks"))
+    return checks.totals(declared, lines, table(spark, sf_dir, "part"), "l_orderkey")
+
+
+@query(f"WITH {F_SQL} SELECT episode, count(*) AS n FROM f GROUP BY episode HAVING count(*) < 8 OR count(*) > 12")
+def row_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Episodes with too few or too many frames."""
+    return checks.limits(signals(spark, sf_dir), 8, 12)
+
+
+@query("SELECT 'data/chunk-' || lpad(CAST(o_custkey % 3 AS VARCHAR), 3, '0') || '/file-' || lpad(CAST(o_custkey % 40 AS VARCHAR), 3, '0') || '.parquet' AS file, count(*) AS n, min(o_orderkey) AS first_episode, max(o_orderkey) AS last_episode FROM orders GROUP BY o_custkey % 3, o_custkey % 40")
+def file_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Episodes by the file that holds them."""
+    episodes = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("episode_index"), (F.col("o_custkey") % 3).alias("data/chunk_index"), (F.col("o_custkey") % 40).alias("data/file_index"))
+    return convert.file_groups(episodes).select("file", "n", F.element_at("episodes", 1).alias("first_episode"), F.element_at("episodes", -1).alias("last_episode"))
 
 
-@query()
-def select_bimanual(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Phases and kept frames of episodes with two arms; rows only, tests hold the planner against made episodes and exhaustive search."""
-    v = F.transform("v", lambda x: x.cast("double"))
-    joints = [f"{a}_j{i}" for a in ("left", "right") for i in range(7)]
-    layout = bimanual.Layout.of([*joints, "left_gripper", "right_gripper", "waist_0"], [*joints, "cmd_vel_x"])
-    return bimanual.planned(poses(spark, sf_dir).select("episode", "frame", F.slice(v, 1, 16).alias("pose"), F.slice(v, 17, 17).alias("state"), F.slice(v, 34, 15).alias("action"), F.lit(0).alias("task")), layout)
+@query(f"""WITH {E_SQL}, {D_SQL}, c AS (SELECT episode, arg_max(lx, frame) - arg_min(lx, frame) AS x, arg_max(ly, frame) - arg_min(ly, frame) AS y, arg_max(lz, frame) - arg_min(lz, frame) AS z FROM e GROUP BY episode)
+SELECT d.episode, round(sum(greatest(-(dx*x+dy*y+dz*z)/greatest(sqrt(x*x+y*y+z*z),1e-12),0)), 6) AS backtrack FROM d JOIN c ON d.episode = c.episode WHERE dx IS NOT NULL GROUP BY d.episode""")
+def path_backtrack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far each path goes back along the line from its first to its last point."""
+    return series.backtrack(poses(spark, sf_dir), ["lx", "ly", "lz"]).select("episode", r6("backtrack", "backtrack"))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from framelake.operators import stats
+from framelake.operators import series, stats
 from framelake.plans import checks
+from framelake.sources import publish
 
 
 def read_tasks(spark: SparkSession, root: str) -> DataFrame:
@@ -23,10 +26,8 @@ def read_episodes(spark: SparkSession, root: str) -> DataFrame:
 
 
 def episode_breaches(episodes: DataFrame) -> DataFrame:
-    """(episode_index, reason) where numbers aren't dense from 0, a length isn't positive, or bounds don't follow each other. One row an episode is sorted, no frames."""
-    order = Window.partitionBy(F.lit(0)).orderBy("episode_index")
-    begin = F.coalesce(F.sum("length").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    seen = episodes.select("episode_index", "length", "dataset_from_index", "dataset_to_index", (F.row_number().over(order) - 1).alias("place"), begin.alias("begin"))
+    """(episode_index, reason) where numbers aren't dense from 0, a length isn't positive, or bounds don't follow each other."""
+    seen = series.numbered(episodes.select("episode_index", "length", "dataset_from_index", "dataset_to_index"), "episode_index", "place", "length", "begin")
     fits = (F.col("dataset_from_index") == F.col("begin")) & (F.col("dataset_to_index") == F.col("begin") + F.col("length"))
     reason = F.when(F.col("episode_index") != F.col("place"), "number").when(F.coalesce(F.col("length"), F.lit(0)) <= 0, "length").when(~F.coalesce(fits, F.lit(False)), "bounds")
     return seen.select("episode_index", reason.alias("reason")).where("reason is not null")
@@ -38,7 +39,7 @@ def chosen(episodes: DataFrame, wanted: list[int] | None) -> DataFrame:
         asked = episodes.sparkSession.createDataFrame([(e,) for e in wanted], "episode_index long")
         checks.require_valid(asked.join(episodes, "episode_index", "left_anti"), "unknown episodes")
         episodes = episodes.join(F.broadcast(asked.distinct()), "episode_index", "left_semi")  # as many rows as the caller listed
-    return episodes.withColumn("new_index", (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("episode_index")) - 1).cast("long"))
+    return series.numbered(episodes, "episode_index", "new_index")
 
 
 def relaid(frames: DataFrame, episodes: DataFrame, fps: float) -> DataFrame:
@@ -46,8 +47,7 @@ def relaid(frames: DataFrame, episodes: DataFrame, fps: float) -> DataFrame:
 
     Episodes are met by their number, so that a row needs no join on its index; :func:`gaps` tells rows that the bounds don't agree with.
     """
-    begin = F.coalesce(F.sum("length").over(Window.partitionBy(F.lit(0)).orderBy("new_index").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    own = episodes.withColumn("_begin", begin).select("episode_index", F.col("new_index").alias("_new"), "_begin")
+    own = series.numbered(episodes, "new_index", "_place", "length", "_begin").select("episode_index", F.col("new_index").alias("_new"), "_begin")
     types = {f.name: f.dataType for f in frames.schema}
     new = {"episode_index": F.col("_new"), "index": F.col("_begin") + F.col("frame_index"), "timestamp": F.col("frame_index") / fps}
     joined = frames.join(own, "episode_index").withColumns({c: x.cast(types[c]) for c, x in new.items() if c in types})
@@ -87,21 +87,28 @@ def visual_breaches(told: DataFrame, channels: int = 3) -> DataFrame:
     return told.where(~F.coalesce(shape & sound, F.lit(False))).select("episode_index", F.lit("visual statistics").alias("reason"))
 
 
-def slice_breaches(packets: DataFrame, slices: DataFrame, fps: float, tolerance: float = 1e-3) -> DataFrame:
+def slice_breaches(packets: DataFrame, slices: DataFrame, fps: float, rates: DataFrame | None = None, tolerance: float = 1e-5) -> DataFrame:
     """(video, episode_index, reason) of episodes that can't be cut from a video without decoding.
 
-    Packets are (video, packet, pts, dts, key); slices (video, episode_index, from_timestamp, to_timestamp, length). Times must rise, a slice
-    must hold length packets, evenly spaced, the first a key frame, none re-ordered. Slices meet packets by time within one video.
+    Packets are (video, packet, pts, dts, key); slices (video, episode_index, from_timestamp, to_timestamp, length); rates (video, rate), if given.
+    Times must rise, and the slice's time times fps must be its length. It takes the packets from its first timestamp on, one at each
+    frame's own time; the first must be a key frame, each shown when it is decoded, and the video's rate the dataset's. Anything null is a breach.
     """
-    order = Window.partitionBy("video").orderBy("packet")
-    marked = packets.withColumn("rises", F.coalesce(F.col("pts") > F.lag("pts").over(order), F.lit(True))).withColumn("in_order", F.coalesce(F.col("dts") <= F.col("pts"), F.lit(True)))
-    half = 0.5 / fps
-    inside = slices.alias("s").join(marked.alias("p"), (F.col("s.video") == F.col("p.video")) & (F.col("p.pts") >= F.col("s.from_timestamp") - half) & (F.col("p.pts") < F.col("s.to_timestamp") - half), "left")
-    own = Window.partitionBy("video", "episode_index").orderBy("pts")
-    rows = inside.select("s.video", "s.episode_index", "s.length", "pts", "key", "rises", "in_order")
-    rows = rows.withColumn("even", F.coalesce(F.abs(F.col("pts") - F.lag("pts").over(own) - 1 / fps) <= tolerance, F.lit(True)))
-    seen = rows.groupBy("video", "episode_index").agg(F.first("length").alias("length"), F.count("pts").alias("n"), F.every("rises").alias("rises"), F.every("in_order").alias("in_order"), F.every("even").alias("even"), F.min_by("key", "pts").alias("key"))
-    reason = F.when(F.col("n") != F.col("length"), "packets").when(~F.col("rises"), "times").when(~F.col("in_order"), "order").when(~F.col("even"), "spacing").when(~F.col("key"), "key frame")
+    order, no = Window.partitionBy("video").orderBy("packet"), F.lit(False)
+    marked = packets.withColumn("rises", (F.row_number().over(order) == 1) | (F.col("pts") > F.lag("pts").over(order)))
+    first = F.col("s.from_timestamp")
+    inside = slices.alias("s").join(marked.alias("p"), (F.col("s.video") == F.col("p.video")) & (F.col("p.pts") >= first - tolerance) & (F.col("p.pts") < first + (F.col("s.length") - 0.5) / fps), "left")
+    rows = inside.select("s.video", "s.episode_index", "s.length", "s.from_timestamp", "s.to_timestamp", "pts", "dts", "key", "rises")
+    place = F.row_number().over(Window.partitionBy("video", "episode_index").orderBy("pts")) - 1
+    rows = rows.withColumn("placed", F.abs(F.col("pts") - F.col("from_timestamp") - place / fps) <= tolerance).withColumn("ordered", F.abs(F.coalesce("dts", "pts") - F.col("pts")) < tolerance)
+    spans = F.abs((F.col("to_timestamp") - F.col("from_timestamp")) * fps - F.col("length")) < 1e-4
+    every = lambda c: F.every(F.coalesce(c, no)).alias(c)
+    seen = rows.groupBy("video", "episode_index").agg(F.first("length").alias("length"), F.first(F.coalesce(spans & (F.col("from_timestamp") >= 0), no)).alias("spans"), F.count("pts").alias("n"), every("rises"), every("placed"), every("ordered"), F.min_by("key", "pts").alias("key"))
+    if rates is not None:
+        seen = seen.join(rates.select("video", (F.abs(F.col("rate") - fps) < 1e-6).alias("rated")), "video", "left")
+    reason = F.when(~F.col("n").eqNullSafe(F.col("length")), "packets").when(~F.col("spans"), "duration").when(~F.col("rises"), "times").when(~F.col("ordered"), "order").when(~F.col("placed"), "alignment").when(~F.coalesce("key", no), "key frame")
+    if rates is not None:
+        reason = reason.when(~F.coalesce("rated", no), "frame rate")
     return seen.select("video", "episode_index", reason.alias("reason")).where("reason is not null")
 
 
@@ -133,6 +140,12 @@ def differing_schemas(spark: SparkSession, paths: list[str]) -> list[str]:
     return [p for p, s in zip(paths, schemas, strict=True) if s != schemas[0]]
 
 
+def file_groups(episodes: DataFrame) -> DataFrame:
+    """(file, n, episodes): episodes grouped by the data file that holds them, so that each file is read once; the sorted numbers of one file's episodes."""
+    file = F.format_string("data/chunk-%03d/file-%03d.parquet", F.col("`data/chunk_index`"), F.col("`data/file_index`"))
+    return episodes.groupBy(file.alias("file")).agg(F.count("*").alias("n"), F.array_sort(F.collect_list("episode_index")).alias("episodes"))
+
+
 def info_of(frames: DataFrame, tasks: DataFrame, info: dict, chunks_size: int = 1000) -> dict:
     """A dataset's info with totals, splits and paths of ``frames``; three numbers come to the driver."""
     n, episodes = frames.agg(F.count("*"), F.count_distinct("episode_index")).first()
@@ -141,13 +154,15 @@ def info_of(frames: DataFrame, tasks: DataFrame, info: dict, chunks_size: int =
 
 
 def write_metadata(root: str, info: dict, episodes: DataFrame, tasks: DataFrame, episode_stats: DataFrame) -> None:
-    """meta/info.json and directories of JSON lines for episodes, tasks and episodes_stats, written by Spark to any file system."""
-    import json
+    """meta/info.json, and meta/episodes.jsonl, tasks.jsonl and episodes_stats.jsonl in order, written by Spark to any file system; existing ones are errors.
 
+    The format wants each as one file, so one task writes it, sorted: a row an episode, never a row a frame.
+    """
     spark = episodes.sparkSession
-    spark.createDataFrame([(json.dumps(info, allow_nan=False, sort_keys=True),)], "value string").coalesce(1).write.mode("error").text(f"{root}/meta/info")
+    text = spark.createDataFrame([(json.dumps(info, allow_nan=False, sort_keys=True),)], "value string")
+    publish.single_file(text.coalesce(1).write.text, f"{root}/meta/info.json", spark)
     for name, rows, key in (("episodes", episodes, "episode_index"), ("tasks", tasks, "task_index"), ("episodes_stats", episode_stats, "episode_index")):
-        rows.repartitionByRange(F.col(key)).sortWithinPartitions(key).write.mode("error").json(f"{root}/meta/{name}")
+        publish.single_file(rows.coalesce(1).sortWithinPartitions(key).write.json, f"{root}/meta/{name}.jsonl", spark)
 
 
 def inferred_fps(frames: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,6 +13,7 @@ from pyspark.sql.window import Window
 
 from framelake.functions import pose
 from framelake.operators import series
+from framelake.sources import publish
 
 EPISODE_FILE = r"episode_(\d+)\.parquet$"
 
@@ -122,12 +124,26 @@ class Dataset:
     def data_path(self, episode: int) -> str:
         """The file of an episode by the declared template."""
         chunk = episode // int(self.info.get("chunks_size", 1000))
-        template = self.info.get("data_path", "data/chunk-{episode_chunk:03d}/episode_{episode_index:06d}.parquet")
+        template = self.info.get("data_path", DATA_PATH)
         return f"{self.root}/{template.format(episode_chunk=chunk, episode_index=episode)}"
 
+    def video_path(self, episode: int, key: str) -> str:
+        """The file of an episode's video by the declared template."""
+        template = self.info.get("video_path") or "videos/chunk-{episode_chunk:03d}/{video_key}/episode_{episode_index:06d}.mp4"
+        return f"{self.root}/{template.format(episode_chunk=episode // int(self.info.get('chunks_size', 1000)), episode_index=episode, video_key=key)}"
+
+    def find(self, episode: int) -> str:
+        """The file of an episode where ``chunks_size`` isn't declared: the only one of its name in any chunk; none or several are errors."""
+        if "chunks_size" in self.info:
+            return self.data_path(episode)
+        found = publish.matching(self.spark, f"{self.root}/data/chunk-*/episode_{episode:06d}.parquet")
+        if len(found) != 1:
+            raise FileNotFoundError(f"{self.root}: {len(found)} files of episode {episode}")
+        return found[0]
+
     def frames(self, episodes: list[int] | None = None) -> DataFrame:
         """Rows of all or some episodes; named episodes are read by their paths, so no other file is opened."""
-        paths = [self.data_path(e) for e in episodes] if episodes else [f"{self.root}/data"]
+        paths = [self.find(e) for e in episodes] if episodes else [f"{self.root}/data"]
         return self.spark.read.option("recursiveFileLookup", "true").parquet(*paths)
 
     def tasks(self) -> DataFrame:
@@ -177,17 +193,48 @@ def rebuilt(frames: DataFrame, selection: DataFrame, fps: float) -> DataFrame:
     return renamed.select(*frames.columns, "source_episode", "source_frame")
 
 
-def written(frames: DataFrame, root: str, chunks_size: int = 1000) -> None:
-    """Parquet by chunk and episode under ``root``/data; refuses an existing target."""
-    keyed = frames.withColumns({"chunk": F.floor(F.col("episode_index") / chunks_size), "episode": F.col("episode_index")})
-    keyed.repartition("episode").sortWithinPartitions("episode", "frame_index").write.mode("error").partitionBy("chunk", "episode").parquet(f"{root}/data")
+DATA_PATH = "data/chunk-{episode_chunk:03d}/episode_{episode_index:06d}.parquet"
+
+
+def written(frames: DataFrame, root: str, chunks_size: int = 1000, template: str = DATA_PATH) -> None:
+    """One Parquet file an episode under ``root`` by the declared path ``template``; refuses existing files.
+
+    Spark writes all episodes side by side into a staging folder, each by one task; then files get their names, which is all the driver does.
+    """
+    spark, staging = frames.sparkSession, f"{root}/.staging-{uuid.uuid4().hex}"
+    keyed = frames.withColumn("episode", F.col("episode_index"))
+    keyed.repartition("episode").sortWithinPartitions("episode", "frame_index").write.partitionBy("episode").parquet(staging)
+    try:
+        found = spark.read.parquet(staging).select("episode", F.col("_metadata.file_path").alias("file")).distinct().toLocalIterator()  # a name an episode
+        publish.renamed(spark, [(r["file"], f"{root}/{template.format(episode_chunk=r['episode'] // chunks_size, episode_index=r['episode'])}") for r in found])
+    finally:
+        publish.removed(spark, staging)
+
+
+def write_table(rows: DataFrame, path: str, *order: str) -> None:
+    """A CSV table with a header, as a folder of parts in order of the named columns; an existing one is an error."""
+    rows.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("error").option("header", "true").csv(path)
+
+
+def write_source_map(frames: DataFrame, root: str, source_index: str | None = None) -> None:
+    """source_frame_map.csv of :func:`rebuilt` frames: output and source frames of each episode, their dataset indices where named, and the phase if there is one."""
+    more = [F.col("index").alias("output_index"), F.col(source_index).alias("source_index")] if source_index else []
+    phase = ["phase"] if "phase" in frames.columns else []
+    rows = frames.select("episode_index", "source_episode", F.col("frame_index").alias("output_frame"), "source_frame", *more, *phase)
+    write_table(rows, f"{root}/source_frame_map.csv", "episode_index", "output_frame")
 
 
 def deletion_log(frames: DataFrame, selection: DataFrame, reasons: DataFrame) -> DataFrame:
-    """Per source frame: kept, and the sorted reasons (episode_index, frame_index, reason) of the others."""
+    """Per source frame: kept, and the sorted reasons (episode_index, frame_index, reason) of the others, with ``frames``' columns phase and protection if they have them."""
     told = reasons.groupBy("episode_index", "frame_index").agg(F.array_join(F.array_sort(F.collect_set("reason")), ",").alias("reason"))
-    marked = frames.select("episode_index", "frame_index").join(selection.select("episode_index", "frame_index", F.lit(True).alias("kept")).distinct(), ["episode_index", "frame_index"], "left").join(told, ["episode_index", "frame_index"], "left")
-    return marked.select("episode_index", "frame_index", F.coalesce("kept", F.lit(False)).alias("kept"), F.when(F.col("kept"), "kept").otherwise(F.col("reason")).alias("reason"))
+    more = [c for c in ("phase", "protection") if c in frames.columns]
+    marked = frames.select("episode_index", "frame_index", *more).join(selection.select("episode_index", "frame_index", F.lit(True).alias("kept")).distinct(), ["episode_index", "frame_index"], "left").join(told, ["episode_index", "frame_index"], "left")
+    return marked.select("episode_index", "frame_index", F.coalesce("kept", F.lit(False)).alias("kept"), F.when(F.col("kept"), "kept").otherwise(F.col("reason")).alias("reason"), *more)
+
+
+def write_deletions(log: DataFrame, root: str) -> None:
+    """deletion_reasons.csv of :func:`deletion_log`."""
+    write_table(log.withColumnRenamed("frame_index", "source_frame"), f"{root}/deletion_reasons.csv", "episode_index", "source_frame")
 
 
 def digests(spark: SparkSession, path: str) -> DataFrame:

@@ -9,10 +9,10 @@ import uuid
 from collections.abc import Callable
 from typing import Any
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framelake.sources.datasets import digests
 
 
 def _path(spark: SparkSession, path: str) -> tuple[Any, Any]:
@@ -33,6 +33,12 @@ def children(spark: SparkSession, path: str) -> list[str]:
     return sorted(s.getPath().toString() for s in fs.listStatus(p) if s.isDirectory())
 
 
+def matching(spark: SparkSession, pattern: str) -> list[str]:
+    """Sorted paths that match a pattern."""
+    fs, p = _path(spark, pattern)
+    return sorted(s.getPath().toString() for s in fs.globStatus(p) or [])
+
+
 def datasets_under(spark: SparkSession, root: str) -> list[str]:
     """The root if it is a dataset, else its children that are; none is an error."""
     if exists(spark, f"{root}/meta/info.json"):
@@ -84,9 +90,41 @@ def publish(spark: SparkSession, target: str, write: Callable[[str], None], chec
             fs.delete(staged, True)
 
 
+def single_file(write: Callable[[str], None], target: str, spark: SparkSession) -> None:
+    """Calls ``write`` (which writes one part) with a staging folder beside the target and renames its part to the target, which must not exist."""
+    if exists(spark, target):
+        raise FileExistsError(target)
+    staging = f"{posixpath.dirname(target)}/.staging-{uuid.uuid4().hex}"
+    write(staging)
+    fs, staged = _path(spark, staging)
+    parts = [s.getPath() for s in fs.listStatus(staged) if s.getPath().getName().startswith("part-")]
+    try:
+        if len(parts) != 1 or not fs.rename(parts[0], _path(spark, target)[1]):
+            raise OSError(f"can't write {target} as one file")
+    finally:
+        fs.delete(staged, True)
+
+
+def renamed(spark: SparkSession, moves: list[tuple[str, str]]) -> None:
+    """Renames files, making folders; a target that exists is an error. Only names pass through the driver."""
+    for source, target in moves:
+        fs, old = _path(spark, source)
+        _, new = _path(spark, target)
+        fs.mkdirs(new.getParent())
+        if fs.exists(new) or not fs.rename(old, new):
+            raise OSError(f"can't rename {source} to {target}")
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    fs, found = _path(spark, path)
+    fs.delete(found, True)
+
+
 def manifest(spark: SparkSession, root: str) -> DataFrame:
     """(path below the root, length, sha256) of every file."""
     fs, p = _path(spark, root)
+    from framelake.sources.datasets import digests  # datasets are written by way of this module
+
     base = fs.makeQualified(p).toUri().getPath().rstrip("/") + "/"
     below = F.substring_index(F.col("path"), base, -1)
     return digests(spark, root).select(below.alias("path"), "length", "sha256")
@@ -124,7 +162,8 @@ def cached(spark: SparkSession, root: str, key: str, compute: Callable[[], DataF
     if exists(spark, f"{path}/_SUCCESS"):
         try:
             return spark.read.parquet(path)
-        except Exception:  # noqa: BLE001  a corrupt entry is as good as none
-            pass
+        except AnalysisException as broken:  # a missing or corrupt entry is as good as none; anything else is told
+            if broken.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA", "CANNOT_READ_FILE_FOOTER"):
+                raise
     publish(spark, path, lambda staging: compute().write.parquet(staging), replace=True)
     return spark.read.parquet(path)

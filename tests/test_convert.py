@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from framelake.functions.predicates import matches
 from framelake.sources import convert, datasets, publish
@@ -39,7 +40,7 @@ def test_convert(spark, source, tmp_path):
     info = convert.info_of(out, tasks, {"fps": 10, "features": {"cam": {"dtype": "video"}, "pose": {"dtype": "float32"}}})
     assert (info["total_frames"], info["total_episodes"], info["total_videos"], info["total_chunks"]) == (6, 2, 2, 1)
     convert.write_metadata(str(tmp_path / "new"), info, picked.select("new_index", "length").withColumnRenamed("new_index", "episode_index"), tasks, convert.feature_stats(out, ["pose"], ["episode_index"]))
-    assert json.loads(spark.read.text(str(tmp_path / "new/meta/info")).first()[0]) == info and spark.read.json(str(tmp_path / "new/meta/episodes")).count() == 2
+    assert json.loads((tmp_path / "new/meta/info.json").read_text()) == info and spark.read.json(str(tmp_path / "new/meta/episodes.jsonl")).count() == 2
     assert {r.episode_index: r.fps for r in convert.inferred_fps(frames).collect()} == {0: 10.0, 1: 10.0, 2: 10.0}
     assert convert.same_rows(frames, frames, ["index"]).count() == 0
     changed = frames.selectExpr("index", "if(index = 4, 9, frame_index) frame_index")
@@ -60,6 +61,12 @@ def test_breaches(spark):
     packets = spark.createDataFrame([("v", i, i / 10, i / 10, i in (0, 4)) for i in range(9)], "video string, packet long, pts double, dts double, key boolean")
     slices = spark.createDataFrame([("v", 0, 0.0, 0.4, 4), ("v", 1, 0.4, 0.9, 5), ("v", 2, 0.2, 0.4, 2), ("v", 3, 0.4, 0.9, 6)], "video string, episode_index long, from_timestamp double, to_timestamp double, length long")
     assert {r.episode_index: r.reason for r in convert.slice_breaches(packets, slices, 10.0).collect()} == {2: "key frame", 3: "packets"}
+    late = packets.withColumn("pts", F.when(F.col("packet") >= 4, F.col("pts") + 0.03).otherwise(F.col("pts"))).withColumn("dts", F.col("pts"))
+    early = packets.withColumn("dts", F.when(F.col("packet") == 5, 0.45).otherwise(F.col("dts")))
+    one = spark.createDataFrame([("v", 1, 0.4, 0.9, 5), ("v", 4, 0.0, 0.5, 4), ("v", 5, 0.0, None, 4)], slices.schema)
+    told = lambda p, **more: {r.episode_index: r.reason for r in convert.slice_breaches(p, one, 10.0, **more).collect()}
+    assert told(packets) == {4: "duration", 5: "duration"} and told(late)[1] == "alignment" and told(early)[1] == "order"
+    assert told(packets, rates=spark.createDataFrame([("v", 10.01)], "video string, rate double"))[1] == "frame rate" and told(packets, rates=spark.createDataFrame([("v", 10.0)], "video string, rate double")).get(1) is None
     side = spark.createDataFrame([(7, "x"), (8, "y")], "source_episode long, note string")
     assert [(r.episode_index, r.note) for r in convert.rekeyed(side, spark.createDataFrame([(7, 0)], "source_episode long, episode_index long")).collect()] == [(0, "x")]
     entries = spark.createDataFrame([(1, "h", 2), (1, "h", 9), (1, "other", 2)], "source_episode long, sha256 string, source_frame long")

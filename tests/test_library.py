@@ -1,16 +1,15 @@
-"""Sources, selection solvers and validators on small cases."""
+"""Sources and validators on small cases."""
 
 from __future__ import annotations
 
 import json
 
-import numpy as np
 import pytest
-from hypothesis import given, settings
-from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
-from framelake.plans import checks, selection
-from framelake.sources import datasets
+from framelake.operators import series
+from framelake.plans import checks
+from framelake.sources import convert, datasets, reports
 
 
 @pytest.fixture
@@ -48,7 +47,7 @@ def test_rebuild(spark, root, tmp_path):
     rows = out.orderBy("index").collect()
     assert [(r.episode_index, r.frame_index, r.source_frame) for r in rows] == [(0, 0, 0), (0, 1, 2), (0, 2, 3), (1, 0, 0), (1, 1, 2)] and [r["index"] for r in rows] == list(range(5))
     datasets.written(out, str(tmp_path / "out"))
-    again = spark.read.parquet(str(tmp_path / "out/data")).select(out.columns)
+    again = spark.read.option("recursiveFileLookup", "true").parquet(str(tmp_path / "out/data")).select(out.columns)
     assert again.exceptAll(out).count() == out.exceptAll(again).count() == 0
     log = datasets.deletion_log(frames, chosen, frames.where("frame_index = 1").selectExpr("episode_index", "frame_index", "'still' reason")).collect()
     assert sorted((r.frame_index, r.kept, r.reason) for r in log)[2:4] == [(1, False, "still"), (1, False, "still")]
@@ -57,63 +56,58 @@ def test_rebuild(spark, root, tmp_path):
     assert datasets.digests(spark, f"{root}/data").count() == 2
 
 
+def test_written_datasets_open(spark, root, tmp_path):
+    data = datasets.Dataset.open(spark, root)
+    out = datasets.rebuilt(data.frames(), data.frames().where("frame_index <> 1"), 10.0).withColumn("phase", F.lit("carry"))
+    target = str(tmp_path / "out")
+    tasks, plain = data.tasks(), out.drop("phase", "source_episode", "source_frame")
+    episodes = convert.with_task_set(plain.withColumn("task_index", F.lit(0)), tasks).join(plain.groupBy("episode_index").agg(F.count("*").alias("length")), "episode_index")
+    convert.write_metadata(target, convert.info_of(plain, tasks, data.info), episodes, tasks, convert.feature_stats(plain, ["pose"], ["episode_index"]))
+    datasets.written(plain, target)
+    datasets.write_source_map(out, target)
+    datasets.write_deletions(datasets.deletion_log(data.frames().withColumn("phase", F.lit("carry")), data.frames().where("frame_index <> 1"), data.frames().where("frame_index = 1").selectExpr("episode_index", "frame_index", "'still' reason")), target)
+    again = datasets.Dataset.open(spark, target)
+    assert again.frames().select(plain.columns).exceptAll(plain).count() == plain.exceptAll(again.frames().select(plain.columns)).count() == 0
+    assert again.frames([1]).count() == 2 and again.info["total_frames"] == 5 and datasets.misplaced(again.frames()).count() == 0
+    assert sorted((r.episode_index, r.tasks, r.length) for r in again.episodes().collect()) == [(0, ["pick"], 3), (1, ["pick"], 2)] and again.tasks().first().task == "pick"
+    assert sorted((r.episode_index, r.length) for r in reports.episode_lengths(spark, target).collect()) == [(0, 3), (1, 2)]
+    assert [(r.output_frame, r.source_frame, r.phase) for r in again.source_map(0).orderBy("output_frame").collect()] == [(0, 0, "carry"), (1, 2, "carry"), (2, 3, "carry")]
+    gone = spark.read.csv(f"{target}/deletion_reasons.csv", header=True).where("kept = 'false'").collect()
+    assert {(r.source_frame, r.reason, r.phase) for r in gone} == {("1", "still", "carry")} and len(gone) == 2
+    declared = spark.createDataFrame([(2, 5, 1)], "total_episodes long, total_frames long, total_tasks long")
+    assert checks.totals(declared, again.frames(), again.tasks(), "episode_index").count() == 0
+    again.info.pop("chunks_size")
+    assert again.frames([1]).count() == 2 and again.video_path(1, "cam").endswith("videos/chunk-000/cam/episode_000001.mp4")
+    with pytest.raises(FileNotFoundError):
+        again.find(7)
+    with pytest.raises(FileExistsError):
+        convert.write_metadata(target, data.info, episodes, tasks, tasks)
+
+
+def test_nulls_are_breaches(spark):
+    frames = spark.createDataFrame([(0, 0, 0.0), (0, 1, None), (1, 0, 0.0), (1, None, 0.1), (2, 0, float("nan"))], "episode long, frame long, timestamp double")
+    assert sorted((r.episode, r.reason) for r in checks.timeline(frames, 10.0).collect()) == [(0, "timestamp"), (1, "frame"), (1, "frame"), (2, "timestamp")]
+    entries = spark.createDataFrame([(0, 0, None), (0, 1, 3), (1, None, 2), (2, 0, 2), (2, 1, 4), (3, 0, 1), (3, 1, None), (4, 0, 0), (4, None, 1)], "episode long, output_frame long, source_frame long")
+    assert {r.episode for r in checks.source_map(entries).where("valid").collect()} == {2}
+
+
+def test_numbers_over_ranges(spark, monkeypatch):
+    monkeypatch.setattr(series, "RANGE", 3)
+    rows = [(e, e % 5 + 1) for e in (-7, -2, 0, 1, 2, 3, 9, 10, 11, 500)]
+    got = {r.episode: (r.output_episode, r.offset) for r in series.with_offsets(spark.createDataFrame(rows, "episode long, length long")).collect()}
+    assert got == {e: (i, sum(n for _, n in rows[:i])) for i, (e, _) in enumerate(rows)}
+    assert series.with_offsets(spark.createDataFrame([], "episode long, length long")).count() == 0
+
+
 def test_bad_input(spark):
     with pytest.raises(ValueError):
         datasets.Profile("pose", (0, 1, 2))
-    with pytest.raises(ValueError):
-        selection.Rules(max_step=-1)
     bad = spark.createDataFrame([(1, 1, "x")], "episode long, frame long, reason string")
     with pytest.raises(ValueError):
         checks.require_valid(bad, "timeline")
     assert [datasets.byte_range(h, 10) for h in ("bytes=2-4", "bytes=5-", "bytes=-3", "bytes=11-", "x")] == [(2, 4), (5, 9), (7, 9), None, None]
 
 
-@settings(max_examples=25, deadline=None)
-@given(st.integers(0, 10_000), st.integers(3, 8))
-def test_shortest_path_is_cheapest(seed, n):
-    xyz = np.cumsum(np.random.default_rng(seed).standard_normal((n, 3)) * 0.006, axis=0)
-    rules, guard = selection.Rules(), np.random.default_rng(seed).random(n) < 0.2
-    legal = selection.edge_table(xyz, 30, rules, guard)
-    best = min(selection.path_cost(xyz, p, rules, 10.0) for p in selection.brute_force(n, legal))
-    path = selection.shortest_path(xyz, rules, 10.0, guard)
-    assert abs(selection.path_cost(xyz, path, rules, 10.0) - best) < 1e-9 and set(np.flatnonzero(guard)) <= set(path)
-
-
-@settings(max_examples=25, deadline=None)
-@given(st.integers(0, 10_000), st.integers(2, 8))
-def test_shortened_is_cheapest(seed, n):
-    r = np.random.default_rng(seed)
-    mass, features = r.random(n), r.random((n, 2))
-    legal = [[j for j in range(i + 1, min(n, i + 4))] for i in range(n)]
-
-    def cost(p):
-        steps = np.diff(features[p], axis=0)
-        return sum((mass[a + 1 : b + 1].sum() - 1) ** 2 + 0.015 for a, b in zip(p[:-1], p[1:], strict=True)) + 0.2 * sum(((b - a) ** 2).sum() for a, b in zip(steps[:-1], steps[1:], strict=True))
-
-    assert abs(cost(selection.shortened(mass, features, legal)) - min(map(cost, selection.brute_force(n, legal)))) < 1e-9
-
-
-def test_small_solvers():
-    blocks = [("right", 0, 9), ("left", 10, 19), ("right", 20, 29), ("left", 30, 39), ("right", 40, 49), ("left", 50, 50), ("right", 51, 60)]
-    assert selection.five_phases(blocks) == [(0, 0), (1, 1), (2, 2), (3, 3), (4, 6)]
-    assert selection.five_phases(blocks[:4]) is None and selection.five_phases(blocks[1:]) is None
-    assert selection.find_peaks(np.array([0, 1, 0, 2, 2, 2, 0, 3, 2.9, 3.1, 0])) == [1, 4, 7, 9]
-    assert selection.find_peaks(np.array([0, 1, 0, 2, 2, 2, 0, 3, 2.9, 3.1, 0]), prominence=0.5) == [1, 4, 9]
-    assert selection.find_peaks(np.array([0, 1, 0, 2, 0]), distance=3) == [3]
-    line = np.concatenate([np.outer(np.arange(10), [1.0, 0, 0]), [[9, 1.0, 0], [9, 2.0, 0], [9, 3.0, 0]]])
-    assert selection.direction_stable(line, 3, 20) == [(0, 9), (9, 12)]
-    assert selection.top_intervals([(0, 5, 1.0), (4, 8, 2.0), (9, 10, 0.5)]) == [(4, 8, 2.0), (9, 10, 0.5)]
-    mass = selection.mass_to_budget(np.linspace(0, 1, 50), 30.0)
-    assert mass.sum() <= 30.0 + 1e-6 and mass.min() >= 0.15
-
-
-def test_select_frames(spark):
-    rows = [(e, i, 0.002 * i, 0.0, 0.0, i == 5) for e in (1, 2) for i in range(20)]
-    out = selection.select_frames(spark.createDataFrame(rows, "episode long, frame long, x double, y double, z double, protected boolean"))
-    got = [r.frame for r in out.where("episode = 1").orderBy("frame").collect()]
-    assert got[0] == 0 and got[-1] == 19 and 5 in got and len(got) < 20
-
-
 def test_streamed_transitions(spark, tmp_path):
     from framelake.streaming import streamed_transitions
 

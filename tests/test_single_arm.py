@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from framelake.plans import selection, single_arm
+from framelake.plans import single_arm
 
 FPS = 10.0
 
@@ -29,7 +29,7 @@ def spark_frames(spark, *parts):
     return spark.createDataFrame(rows.sample(frac=1, random_state=1), "episode long, frame long, state array<double>, action array<double>")
 
 
-def test_phases_and_plan(spark):
+def test_phases_and_report(spark):
     vague = made(60)
     lifted = made(lift=0.05)
     frames = spark_frames(spark, made(), vague, lifted)
@@ -40,15 +40,10 @@ def test_phases_and_plan(spark):
     assert [marked[0, f].phase for f in (35, 36, 44, 45, 95, 96, 104, 105)] == [0, 1, 1, 2, 2, 3, 3, 4]
     assert marked[1, 5].phase == 2 and marked[1, 5].protection[0] == "ambiguous_gripper" and marked[1, 5].c0 is None
     assert marked[2, 0].apex == marked[2, 0].last and 60 <= marked[2, 0].apex <= 66
-    plan = {(r.episode, r.frame): r for r in single_arm.planned(frames, fps=FPS).collect()}
-    assert all(plan[1, f].kept for f in range(60))
-    assert {plan[2, f].reason for f in range(marked[2, 0].apex + 1, 140)} == {"discarded_after_lift_apex"}
-    kept = [f for f in range(140) if plan[0, f].kept]
-    assert kept[0] == 0 and kept[-1] == 139 and len(kept) < 140 and all(plan[0, f].kept for f in range(140) if plan[0, f].protection)
-    # approach at .04 m/s towards .1 m/s with steps of 15 mm at most: every third frame, but near the contact
-    assert np.diff([f for f in kept if f <= 30]).max() == 3
-    report = {r.phase: r for r in single_arm.phase_report(single_arm.planned(frames, fps=FPS), frames, fps=FPS).where("episode = 0").collect()}
-    assert report[1].target_met is None and report[0].frames_before == 36 and report[0].mean_speed > 0.09 and report[0].target_met
+    # a selection of every third frame of the approach, and of all else
+    plan = single_arm.annotated(frames, fps=FPS).where("episode = 0").selectExpr("episode", "frame", "phase", "(phase <> 0 or frame % 3 = 0 or size(protection) > 0) kept", "'kept' reason", "array_join(protection, ',') protection")
+    report = {r.phase: r for r in single_arm.phase_report(plan, frames, fps=FPS).collect()}
+    assert report[1].target_met is None and report[0].frames_before == 36 and report[0].mean_speed == pytest.approx(0.12) and report[0].retained == pytest.approx(14 / 36)
 
 
 def test_idle(spark):
@@ -58,22 +53,10 @@ def test_idle(spark):
             v[f][:3] = v[46][:3]
     frames = spark_frames(spark, still, made())
     spans = single_arm.idle(single_arm.annotated(frames, fps=FPS), fps=FPS).where("episode = 0").orderBy("first").collect()
-    assert spans and all(20 <= s.final - s.first <= 30 or s.final - s.first > 10 for s in spans)
+    assert spans and all(10 < s.final - s.first <= 30 for s in spans)
     assert all(s.keep[0] == s.first and s.keep[-1] == s.final and len(s.keep) == 11 for s in spans)
 
 
-def test_path_is_cheapest():
-    rng = np.random.default_rng(3)
-    for _ in range(8):
-        xyz = np.cumsum(rng.normal(0, 0.004, (9, 3)) + [0.004, 0, 0], axis=0)
-        zeros = np.zeros(9)
-        legal, refused = single_arm.legal_edges(xyz, xyz, zeros, zeros, single_arm.Rules(), 5)
-        rules = selection.Rules()
-        path = selection.shortest_path(xyz, rules, FPS, legal=legal)
-        best = min(selection.path_cost(xyz, p, rules, FPS) for p in selection.brute_force(9, legal))
-        assert selection.path_cost(xyz, path, rules, FPS) == pytest.approx(best) and set(refused) == {"step", "rotation", "deviation"}
-
-
 def test_rules():
     with pytest.raises(ValueError):
         single_arm.Rules(closed=0.95)
