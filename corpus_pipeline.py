@@ -9,12 +9,12 @@ from framelake.llm.shared import settled
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language that holds most of their words go."""
+    """Documents without a letter, or without evidence of a learned language, go."""
     return langid_crf.identified(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each SimHash group stays."""
+    """One row of each SimHash group stays, the smallest by id."""
     return simhash.keep_first(docs)
 
 
