@@ -77,6 +77,26 @@ def _inside(begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.repeat(begin, size) + np.arange(edge[-1]) - np.repeat(edge[:-1], size), edge
 
 
+def _coded(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct values in order, the number of each value of ``x`` among them)."""
+    order = np.argsort(x)
+    value = x[order]
+    new = np.ones(len(x), bool)
+    new[1:] = value[1:] != value[:-1]
+    code = np.empty(len(x), np.int64)
+    code[order] = np.cumsum(new) - 1
+    return value[new], code
+
+
+def _distinct(x: np.ndarray, edge: np.ndarray) -> pa.ListArray:
+    """The distinct values of each group ``x[edge[i]:edge[i + 1]]``, in order."""
+    values, code = _coded(x)
+    both = np.sort(np.repeat(np.arange(len(edge) - 1), np.diff(edge)) * len(values) + code)
+    both = both[np.append(True, both[1:] != both[:-1])]
+    size = np.bincount(both // len(values), minlength=len(edge) - 1)
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(values[both % len(values)]))
+
+
 def _shingles(h: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(shingle hashes of all paragraphs, where each paragraph's begin, with the end): shorter paragraphs are one shingle of all their words."""
     size = end - begin
@@ -164,7 +184,8 @@ def _wanted_shingles(batches: Iterator[pa.RecordBatch], bitmap: Broadcast) -> It
         if len(met):
             _, one = np.unique(text[met], return_index=True)
             met = met[one]
-            yield pa.RecordBatch.from_arrays([pa.array(text[met].view(np.int64)), pa.array([np.unique(shingles[edge[i] : edge[i + 1]]).view(np.int64) for i in met], pa.list_(pa.int64()))], ["id", "shingles"])
+            at, own = _inside(edge[met], edge[met + 1] - edge[met])
+            yield pa.RecordBatch.from_arrays([pa.array(text[met].view(np.int64)), _distinct(shingles[at].view(np.int64), own)], ["id", "shingles"])
 
 
 def _similar(table: pa.Table, i: np.ndarray, j: np.ndarray) -> np.ndarray:
