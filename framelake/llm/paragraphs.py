@@ -201,10 +201,10 @@ def _similar(table: pa.Table, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         to = max(at + 1, int(np.searchsorted(cost, (cost[at - 1] if at else 0) + COMPARED, "right")))
         pair = may[at:to]
         left, right = (_inside(begin[k[pair]], size[k[pair]]) for k in (i, j))
-        _, code = np.unique(np.concatenate([flat[left[0]], flat[right[0]]]), return_inverse=True)
+        values, code = _coded(np.concatenate([flat[left[0]], flat[right[0]]]))
         of = np.concatenate([np.repeat(np.arange(len(pair)), size[k[pair]]) for k in (i, j)])
-        both = np.sort(of * (code.max() + 1) + code)
-        common = np.bincount(both[1:][both[1:] == both[:-1]] // (code.max() + 1), minlength=len(pair))
+        both = np.sort(of * len(values) + code)
+        common = np.bincount(both[1:][both[1:] == both[:-1]] // len(values), minlength=len(pair))
         out[pair] = 5 * common >= 4 * (size[i[pair]] + size[j[pair]] - common)
         at = to
     return out
