@@ -251,7 +251,7 @@ def repeated_passages(docs: DataFrame, least_words: int = 1) -> DataFrame:
     members = settled(members.join(one, "bucket", "left_semi"), "members")
     shingles = docs.select("text").mapInArrow(partial(_wanted_shingles, bitmap=hash_bitmap(members, "id")), "id long, shingles array<long>")
     shingles = shingles.groupBy("id").agg(F.first("shingles").alias("shingles"))
-    rows = split_buckets(settled(members.join(shingles, "id").withColumn("anchor", F.lit(True)), "shingles"), COMPARED_ANCHORS)
+    rows = split_buckets(members.withColumn("anchor", F.lit(True)), COMPARED_ANCHORS).join(shingles, "id")
     similar = components(grouped(rows).mapInArrow(_links, "a long, b long")).withColumnRenamed("id", "h")
 
     counts = parts.groupBy("h").agg(F.count("*").alias("n"))
