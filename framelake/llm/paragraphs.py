@@ -16,7 +16,7 @@ from pyspark.sql.window import Window
 from framelake.llm.buckets import grouped, linked_forest, split_buckets
 from framelake.llm.bytewords import ALNUM, LOWER, bounds, gram_hashes, mixed, word_hashes, words
 from framelake.llm.components import components
-from framelake.llm.shared import hash_bitmap, in_bitmap, settled, spread_join, steps
+from framelake.llm.shared import hash_bitmap, in_bitmap, let_go, settled, settled_at, spread_join, steps
 
 SHINGLE, SIMILAR, RECALL, MOST_BANDS = 5, 0.8, 0.99, 5
 #: A paragraph ends before a word pair whose hash is the smallest among the pairs this near on either side in its line.
@@ -238,17 +238,21 @@ def repeated_passages(docs: DataFrame, least_words: int = 1) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     own = docs.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id())
     parts = own.mapInArrow(partial(_signed, bands=bands, per_band=per_band), f"row long, doc_id {kind}, first_word long, end_word long, h long, bands array<long>")
-    parts = settled(parts, "paragraphs")
+    parts, written = settled_at(parts, "paragraphs")
     # 32 bits of two classes tell them apart but for one pair in 2^32, far fewer than the bands miss
     told = parts.select(F.explode("bands").alias("bucket"), F.shiftright("h", 32).cast("int").alias("h"))
     met = told.groupBy("bucket").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select("bucket")
     met = settled(met, "bandkeys")
     members = parts.select("h", "bands").mapInArrow(partial(_in_bands, bitmap=hash_bitmap(met, "bucket")), "bucket long, id long")
-    members = settled(members.distinct(), "members")
+    members, met_members = settled_at(members.distinct(), "members")
+    # the band keys, most of the table, have done their work
+    parts = settled(parts.drop("bands"), "paragraphs")
+    let_go(docs.sparkSession, written)
     # bands in which the same classes meet need only one of them: 128 bits and a count tell the sets apart
     alike = members.groupBy("bucket").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit("again"))).alias("y"))
     one = alike.where("n > 1").groupBy("n", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket")
     members = settled(members.join(one, "bucket", "left_semi"), "members")
+    let_go(docs.sparkSession, met_members)
     shingles = docs.select("text").mapInArrow(partial(_wanted_shingles, bitmap=hash_bitmap(members, "id")), "id long, shingles array<long>")
     shingles = shingles.groupBy("id").agg(F.first("shingles").alias("shingles"))
     rows = split_buckets(members.withColumn("anchor", F.lit(True)), COMPARED_ANCHORS).join(shingles, "id")
@@ -257,7 +261,7 @@ def repeated_passages(docs: DataFrame, least_words: int = 1) -> DataFrame:
     counts = parts.groupBy("h").agg(F.count("*").alias("n"))
     classes = counts.where("n > 1").union(counts.where("n = 1").join(similar.select("h"), "h", "left_semi"))  # no other class can be repeated
     labels = settled(classes.join(similar, "h", "left").select("h", F.coalesce("component", "h").alias("component"), "n"), "labels")
-    found = parts.drop("bands").mapInArrow(partial(_in_hashes, bitmap=hash_bitmap(labels, "h")), f"row long, doc_id {kind}, first_word long, end_word long, h long")
+    found = parts.mapInArrow(partial(_in_hashes, bitmap=hash_bitmap(labels, "h")), f"row long, doc_id {kind}, first_word long, end_word long, h long")
     found = settled(spread_join(found, labels, "h", parts.count()).drop("h"), "found")
     places = _islands(found, ["row", "component"], F.col("first_word") >= F.col("before")).groupBy("row", "doc_id", "component", "island").agg(F.min("first_word").alias("first_word"), F.max("end_word").alias("end_word"))
     places = settled(places.drop("island"), "places")

@@ -36,18 +36,28 @@ def _own_folder(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/framelake-{spark.sparkContext.applicationId}"
 
 
-def settled(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once as Parquet into the application's part of the shared folder and read again: later uses, retries and lost executors read the same rows."""
+def settled_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``df`` written once as Parquet into the application's part of the shared folder and read again, and the table's path for :func:`let_go`."""
     spark = df.sparkSession
     path = f"{_own_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once and read again: later uses, retries and lost executors read the same rows."""
+    return settled_at(df, name)[0]
+
+
+def let_go(spark: SparkSession, path: str) -> None:
+    """Deletes a settled table that nothing reads any more: what was made of it must be settled too."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def clear_settled(spark: SparkSession) -> None:
     """Deletes the tables that this application settled; results that still read them are lost, so write these first."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    let_go(spark, _own_folder(spark))
 
 
 def free_names(df: DataFrame, *names: str) -> list[str]:
