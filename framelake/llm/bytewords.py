@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 
 #: A-Z to a-z; every other byte stays.
 LOWER = np.arange(256, dtype=np.uint8)
@@ -12,6 +13,10 @@ LOWER[65:91] += 32
 ALNUM = np.zeros(256, bool)
 ALNUM[48:58] = ALNUM[97:123] = ALNUM[128:] = True
 
+#: Bytes of words of letters: a-z, and all bytes of characters beyond ASCII.
+LETTERS = ALNUM.copy()
+LETTERS[48:58] = False
+
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -65,3 +70,16 @@ def gram_hashes(h: np.ndarray, k: int) -> np.ndarray:
 def bounds(text_no: np.ndarray, texts: int) -> np.ndarray:
     """Where each text's words begin in a word array sorted by text: ``texts + 1`` positions."""
     return np.searchsorted(text_no, np.arange(texts + 1))
+
+
+def strings(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """The strings that lie one after the other in ``data``, without a copy of it."""
+    offsets = np.ascontiguousarray(offsets, np.int64)
+    return pa.Array.from_buffers(pa.large_string(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def coded_words(data: np.ndarray, offsets: np.ndarray, in_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """(code, text number) of each word and the distinct words that the codes stand for."""
+    starts, ends, text_no = words(data, offsets, in_word)
+    coded = strings(data[in_word[data]], np.concatenate([[0], np.cumsum(ends - starts)])).dictionary_encode()
+    return coded.indices.to_numpy().astype(np.int64), text_no, coded.dictionary

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framelake.llm import capfilters, langid_crf, licenses, mixing, paragraphs, pseudolm, resampling, shards, simhash, winnowing
+from framelake.llm import capfilters, divergence, langid_crf, licenses, mixing, paragraphs, pseudolm, resampling, shards, simhash, tokencounts, wand, winnowing
 
 
 def op1_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,6 +68,23 @@ def op10_license_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("base_labels", ",").alias("base_labels"), F.array_join(labels, ",").alias("labels"), "score")
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far each source of a language is from the others, and by which terms from its language."""
+    return divergence.source_divergence(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def op12_wand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of every benchmark item."""
+    return wand.searched(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str, tokenizer: str = "word_bpe_49k.json") -> DataFrame:
+    """The tokens of every document."""
+    import public_tokenizers
+
+    return tokencounts.token_counts(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path(tokenizer))
+
+
 OP7_SQL = r"""
 WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size, coalesce(md5(text), '') AS digest FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
@@ -132,5 +149,32 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BI
 FROM d LEFT JOIN base USING (r) LEFT JOIN best USING (r)
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_crf, op2_virtual_slots, op3_winnowing, op4_importance, op5_cap_filters, op6_paragraphs, op7_source_mix, op8_pseudo_lm, op9_simhash, op10_license_join)}
-ORACLE_SQL: dict[str, str] = {"op3_winnowing": OP3_SQL, "op7_source_mix": OP7_SQL, "op10_license_join": OP10_SQL}
+OP11_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+u AS (SELECT r, lang, source, unnest(w) AS term FROM d),
+k AS (SELECT lang, term, count(*) AS n FROM u GROUP BY lang, term HAVING count(DISTINCT r) >= 10),
+c AS (SELECT lang, source, term, count(*) AS n FROM u SEMI JOIN k USING (lang, term) GROUP BY lang, source, term),
+v AS (SELECT lang, count(*) AS v, sum(n) AS n FROM k GROUP BY lang),
+s AS (SELECT lang, source, sum(n) AS n FROM c GROUP BY lang, source),
+g AS (SELECT lang, source, coalesce(s.n, 0) + 2 * v.v AS total FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN s USING (lang, source) LEFT JOIN v USING (lang)),
+p AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + 1000000000::HUGEINT * (coalesce(c.n, 0) + 2) // g.total AS p, 1 + 1000000000::HUGEINT * (k.n + 2) // (v.n + 2 * v.v) AS q
+  FROM g JOIN k ON k.lang = g.lang JOIN v ON v.lang = g.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+f AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(f.value, 0) AS BIGINT) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, CAST((p - q) * (p - q) // (p + q) AS BIGINT) AS value FROM p WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms) QUALIFY part = 'pair' OR rank <= 10
+"""
+
+OP12_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {WORDS_SQL} AS w FROM documents),
+t AS (SELECT r, doc_id, len(w) AS n, w FROM d WHERE len(w) > 0),
+a AS (SELECT count(*) AS total, sum(n)::BIGINT AS length FROM t),
+f AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(w) AS term FROM t) GROUP BY r, term),
+h AS (SELECT term, CAST(floor(1000 * ln((2 * total + 2)::DOUBLE / (2 * df + 1)::DOUBLE)) AS BIGINT) AS weight FROM (SELECT term, count(*) AS df FROM f GROUP BY term), a),
+q AS (SELECT DISTINCT i, item_id, unnest(w) AS term FROM (SELECT row_number() OVER () AS i, item_id, {WORDS_SQL} AS w FROM benchmark)),
+s AS (SELECT i, item_id, doc_id, r, CAST(sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * total) // length)))) AS BIGINT) AS score FROM q JOIN h USING (term) JOIN f USING (term) JOIN t USING (r), a GROUP BY i, item_id, doc_id, r)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0 QUALIFY rank <= 10
+"""
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_crf, op2_virtual_slots, op3_winnowing, op4_importance, op5_cap_filters, op6_paragraphs, op7_source_mix, op8_pseudo_lm, op9_simhash, op10_license_join, op11_divergence, op12_wand, op13_token_counts)}
+ORACLE_SQL: dict[str, str] = {"op3_winnowing": OP3_SQL, "op7_source_mix": OP7_SQL, "op10_license_join": OP10_SQL, "op11_divergence": OP11_SQL, "op12_wand": OP12_SQL}
