@@ -143,10 +143,30 @@ def band_pairs(frames: DataFrame, gap: int, columns: list[str]) -> DataFrame:
     return left.join(frames.select("episode", F.col("frame").alias("j"), *(F.col(c).alias(f"{c}_j") for c in columns)), ["episode", "j"])
 
 
+def bin_join(rows: DataFrame, intervals: DataFrame, keys: list[str], at: str, low: str, high: str, width: float, how: str = "inner") -> DataFrame:
+    """``rows`` with each interval of the same ``keys`` in which ``at`` lies, ends included: an equality join on the key and a bin of ``width``, then the exact bounds.
+
+    An interval is dealt to all bins that it touches, so a row meets only intervals near it and no key's rows meet in one task; ``width`` should be
+    about an interval's length. ``how`` is inner or left_semi (``rows`` only, each once). Intervals with a null end, or an end before their start, hold nothing.
+    """
+    def of(c: Column) -> Column:
+        return F.floor(c / F.lit(width)).cast("long")
+
+    bins = intervals.where(F.col(low) <= F.col(high)).withColumn("bin_", F.explode(F.sequence(of(F.col(low)), of(F.col(high)))))
+    left, right = rows.withColumn("bin_", of(F.col(at))).alias("r"), bins.alias("i")
+    same = F.col("r.bin_") == F.col("i.bin_")
+    for k in keys:
+        same = same & (F.col(f"r.{k}") == F.col(f"i.{k}"))
+    within = same & (F.col(f"r.{at}") >= F.col(f"i.{low}")) & (F.col(f"r.{at}") <= F.col(f"i.{high}"))
+    joined = left.join(right, within, how)
+    if how == "left_semi":
+        return joined.drop("bin_")
+    return joined.select(*(F.col(f"r.{c}") for c in rows.columns), *(F.col(f"i.{c}") for c in intervals.columns if c not in keys))
+
+
 def in_intervals(frames: DataFrame, intervals: DataFrame) -> DataFrame:
     """Frames that lie in an interval [start_frame, end_frame) of their episode."""
-    inside = intervals.select("episode", F.explode(F.sequence("start_frame", F.col("end_frame") - 1)).alias("frame")).distinct()
-    return frames.join(inside, ["episode", "frame"], "left_semi")
+    return bin_join(frames, intervals.select("episode", "start_frame", (F.col("end_frame") - 1).alias("last_")), ["episode"], "frame", "start_frame", "last_", 64, "left_semi")
 
 
 def taken(frames: DataFrame, selection: DataFrame) -> DataFrame:
