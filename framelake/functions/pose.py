@@ -55,9 +55,17 @@ def unit(a: Vec, floor: float = 1e-12) -> Vec:
     return scaled(a, 1 / F.greatest(norm(a), F.lit(floor)))
 
 
+def rotation(quaternion: Vec, least: float = 1e-6) -> Vec:
+    """The quaternion made a unit; one that is shorter than ``least``, null or not finite has no direction and is an error."""
+    size = norm(quaternion)
+    sound = F.coalesce((size >= least) & (size < float("inf")) & ~F.isnan(size), F.lit(False))
+    whole = F.when(sound, size).otherwise(F.raise_error(F.lit(f"a quaternion is not finite or shorter than {least}")).cast("double"))
+    return [x / whole for x in quaternion]
+
+
 def tool_offset(xyz: Vec, quaternion: Vec, offset: list[float]) -> Vec:
-    """Position of a point fixed in the tool's frame; quaternion x, y, z, w is normalised."""
-    q = unit(quaternion)
+    """Position of a point fixed in the tool's frame; quaternion x, y, z, w is normalised, and must be finite and longer than 1e-8."""
+    q = rotation(quaternion, 1e-8)
     v, w, o = q[:3], q[3], [F.lit(float(x)) for x in offset]
     c = scaled(cross(v, o), F.lit(2.0))
     return [p + a + w * b + d for p, a, b, d in zip(xyz, o, c, cross(v, c), strict=True)]

@@ -28,6 +28,17 @@ def settled(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores appended where ``df`` has such a column already, in upper or lower case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def reachable(starts: DataFrame, hops: DataFrame, keys: list[str]) -> DataFrame:
     """(``keys``, frame) of all frames that some start (``keys``, frame) reaches by hops (``keys``, frame, next), starts included.
 

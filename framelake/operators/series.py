@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
 from framelake.functions.pose import Vec, clamp, dot, minus, norm, unit
+from framelake.operators import rounds
 
 
 def ep() -> WindowSpec:
@@ -123,6 +124,20 @@ def starts(frames: DataFrame, moving: Vec, resting: Vec, fps: float, window: int
     return told.groupBy("episode").agg(F.coalesce(F.min(F.when(good, F.col("frame") + 1)), F.lit(0)).alias("start_frame"))
 
 
+def started(starts: DataFrame, events: DataFrame) -> DataFrame:
+    """(episode, start_frame, note) of found starts (episode, start_frame) after events (episode, start_frame, end_frame) are heeded.
+
+    A whole event before the start puts it at 0, so that nothing real is left out (note ``earlier_event``); an event that has begun by then and isn't over
+    puts it at the event's first frame (``inside_event``), in order of the events. Starts at 0 stay.
+    """
+    told = events.groupBy("episode").agg(F.array_sort(F.collect_list(F.struct("start_frame", "end_frame"))).alias("events"))  # a few an episode
+    first, held = F.col("found").cast("long"), F.coalesce("events", F.array().cast("array<struct<start_frame:bigint,end_frame:bigint>>"))
+    back = F.aggregate(held, first, lambda at, e: F.when((e["start_frame"] < at) & (at <= e["end_frame"]), e["start_frame"].cast("long")).otherwise(at))
+    over = F.exists(held, lambda e: e["end_frame"] < first)
+    note = F.when(over, "earlier_event").when(back < first, "inside_event")
+    return starts.select("episode", F.col("start_frame").alias("found")).join(told, "episode", "left").select("episode", F.when(over, F.lit(0).cast("long")).otherwise(back).alias("start_frame"), note.alias("note"))
+
+
 def backtrack(frames: DataFrame, position: list[str]) -> DataFrame:
     """(episode, backtrack): the sum of all steps' parts against the direction from the first to the last frame."""
     steps = frames.select("episode", "frame", *position, *((F.col(c) - F.lag(c).over(ep())).alias(f"step_{c}") for c in position))
@@ -175,27 +190,22 @@ def taken(frames: DataFrame, selection: DataFrame) -> DataFrame:
     return kept.withColumn("source_frame", F.col("frame")).withColumn("frame", (F.row_number().over(ep()) - 1).cast("long"))
 
 
-#: Rows of a range that is numbered in one task, about.
-RANGE = 1 << 16
-
-
 def numbered(rows: DataFrame, order: str, place: str, amount: str | None = None, begin: str | None = None) -> DataFrame:
-    """``rows`` with their place from 0 by the whole number ``order`` (null first) and, if named, the sum ``begin`` of ``amount`` over all before.
+    """``rows`` with their place from 0 by ``order`` (null first) and, if named, the sum ``begin`` of ``amount`` over all before; other columns as they are.
 
-    Numbers are cut into even ranges of about ``RANGE`` rows; each range is ranked by itself and moved by the counts and sums of those before it.
+    Rows are cut by sampled quantiles of ``order`` into ranges of about the same number of rows, however its values lie, and written, so that the cut is
+    made once; each range is ranked by itself and moved by the counts and sums of those before it. Rows of one value share a range.
     """
-    low, high, n = rows.agg(F.min(order), F.max(order), F.count("*")).first()
-    width = 1 if low is None else max(1, -(-(high - low + 1) // -(-n // RANGE)))
-    part = F.coalesce(F.floor((F.col(order) - (low or 0)) / width), F.lit(-1)).alias("part")
-    amounts = F.sum(amount) if amount else F.lit(0)
-    earlier = Window.partitionBy(F.lit(0)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
-    sums = rows.groupBy(part).agg(F.count("*").alias("many"), amounts.alias("much"))
-    sums = sums.select("part", F.coalesce(F.sum("many").over(earlier), F.lit(0)).alias("many"), F.coalesce(F.sum("much").over(earlier), F.lit(0)).alias("much"))
-    within = Window.partitionBy("part").orderBy(order)
-    out = rows.withColumn("part", part).join(F.broadcast(sums), "part").withColumn(place, (F.row_number().over(within) - 1 + F.col("many")).cast("long"))
+    part, many, much = rounds.free_names(rows, "part_", "many_", "much_")
+    cut = rounds.settled(rows.repartitionByRange(F.col(order).asc_nulls_first()).withColumn(part, F.spark_partition_id()), "numbered")
+    earlier = Window.partitionBy(F.lit(0)).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    sums = cut.groupBy(part).agg(F.count("*").alias(many), (F.sum(amount) if amount else F.lit(0)).alias(much))
+    sums = sums.select(part, F.coalesce(F.sum(many).over(earlier), F.lit(0)).alias(many), F.coalesce(F.sum(much).over(earlier), F.lit(0)).alias(much))
+    within = Window.partitionBy(part).orderBy(F.col(order).asc_nulls_first())
+    out = cut.join(F.broadcast(sums), part).withColumn(place, (F.row_number().over(within) - 1 + F.col(many)).cast("long"))  # as many rows as ranges
     if amount and begin:
-        out = out.withColumn(begin, F.coalesce(F.sum(amount).over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.col("much"))
-    return out.drop("part", "many", "much")
+        out = out.withColumn(begin, F.coalesce(F.sum(amount).over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.col(much))
+    return out.drop(part, many, much)
 
 
 def with_offsets(lengths: DataFrame) -> DataFrame:

@@ -497,7 +497,7 @@ def gripper_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {F_SQL}, p AS (SELECT episode AS video, frame AS packet, frame / 30.0::DOUBLE + CASE WHEN value > 90 THEN 0.003 ELSE 0 END AS pts, CASE WHEN value > 60 AND value < 62 THEN frame / 30.0::DOUBLE - 0.01 END AS dts, CASE WHEN value < 1 THEN NULL ELSE frame % 4 = 0 OR value > 30 END AS key FROM f),
-m AS (SELECT *, row_number() OVER w = 1 OR pts > lag(pts) OVER w AS rises FROM p WINDOW w AS (PARTITION BY video ORDER BY packet)), s AS (SELECT DISTINCT episode AS video, frame // 4 AS episode_index, (frame // 4) * 4 / 30.0::DOUBLE AS a, ((frame // 4) * 4 + 4) / 30.0::DOUBLE + CASE WHEN episode % 9 = 0 THEN 0.1 ELSE 0 END AS b, 4 AS length FROM f),
+m0 AS (SELECT *, row_number() OVER w = 1 OR pts > lag(pts) OVER w AS up FROM p WINDOW w AS (PARTITION BY video ORDER BY packet)), m AS (SELECT *, bool_and(coalesce(up, false)) OVER (PARTITION BY video) AS rises FROM m0), s AS (SELECT DISTINCT episode AS video, frame // 4 AS episode_index, (frame // 4) * 4 / 30.0::DOUBLE AS a, ((frame // 4) * 4 + 4) / 30.0::DOUBLE + CASE WHEN episode % 9 = 0 THEN 0.1 ELSE 0 END AS b, 4 AS length FROM f),
 j AS (SELECT s.*, m.pts, m.dts, m.key, m.rises FROM s LEFT JOIN m ON s.video = m.video AND m.pts >= a - 1e-5 AND m.pts < a + 3.5 / 30.0::DOUBLE),
 r AS (SELECT *, abs(pts - a - (row_number() OVER (PARTITION BY video, episode_index ORDER BY pts) - 1) / 30.0::DOUBLE) <= 1e-5 AS placed, abs(coalesce(dts, pts) - pts) < 1e-5 AS ordered FROM j),
 g AS (SELECT video, episode_index, any_value(length) AS length, any_value(a) AS a, any_value(b) AS b, count(pts) AS n, bool_and(coalesce(rises, false)) AS rises, bool_and(coalesce(placed, false)) AS placed, bool_and(coalesce(ordered, false)) AS ordered, arg_min_null(key, pts) AS key FROM r GROUP BY video, episode_index),

@@ -87,27 +87,39 @@ def visual_breaches(told: DataFrame, channels: int = 3) -> DataFrame:
     return told.where(~F.coalesce(shape & sound, F.lit(False))).select("episode_index", F.lit("visual statistics").alias("reason"))
 
 
+#: Seconds of a video that meet in one task when packets are dealt to slices.
+SLICE_BIN = 16.0
+
+
 def slice_breaches(packets: DataFrame, slices: DataFrame, fps: float, rates: DataFrame | None = None, tolerance: float = 1e-5) -> DataFrame:
     """(video, episode_index, reason) of episodes that can't be cut from a video without decoding.
 
-    Packets are (video, packet, pts, dts, key); slices (video, episode_index, from_timestamp, to_timestamp, length); rates (video, rate), if given.
-    Times must rise, and the slice's time times fps must be its length. It takes the packets from its first timestamp on, one at each
-    frame's own time; the first must be a key frame, each shown when it is decoded, and the video's rate the dataset's. Anything null is a breach.
+    Packets are (video, packet, pts, dts, key), numbered without gaps; slices (video, episode_index, from_timestamp, to_timestamp, length); rates (video, rate), if given.
+    The whole video's times must rise, and the slice's time times fps must be its length. It takes the packets from its first timestamp on, one at
+    each frame's own time; the first must be a key frame, each shown when it is decoded, and the video's rate the dataset's. Anything null is a
+    breach. Slices of one episode that differ are told one by one.
+
+    Packets and slices meet by bins of time, so a packet is compared with the slices near it and no video's packets meet in one task; a packet's
+    predecessor is found by its number.
     """
-    order, no = Window.partitionBy("video").orderBy("packet"), F.lit(False)
-    marked = packets.withColumn("rises", (F.row_number().over(order) == 1) | (F.col("pts") > F.lag("pts").over(order)))
-    first = F.col("s.from_timestamp")
-    inside = slices.alias("s").join(marked.alias("p"), (F.col("s.video") == F.col("p.video")) & (F.col("p.pts") >= first - tolerance) & (F.col("p.pts") < first + (F.col("s.length") - 0.5) / fps), "left")
-    rows = inside.select("s.video", "s.episode_index", "s.length", "s.from_timestamp", "s.to_timestamp", "pts", "dts", "key", "rises")
-    place = F.row_number().over(Window.partitionBy("video", "episode_index").orderBy("pts")) - 1
-    rows = rows.withColumn("placed", F.abs(F.col("pts") - F.col("from_timestamp") - place / fps) <= tolerance).withColumn("ordered", F.abs(F.coalesce("dts", "pts") - F.col("pts")) < tolerance)
-    spans = F.abs((F.col("to_timestamp") - F.col("from_timestamp")) * fps - F.col("length")) < 1e-4
+    no, one = F.lit(False), ["video", "episode_index", "from_timestamp", "to_timestamp", "length"]
+    slices = slices.select(*one).distinct()
+    before = packets.select("video", (F.col("packet") + 1).alias("packet"), F.col("pts").alias("before"), F.lit(True).alias("later"))
+    rises = F.coalesce(F.col("later").isNull() & F.col("pts").isNotNull() | (F.col("pts") > F.col("before")), no)
+    rising = packets.join(before, ["video", "packet"], "left").groupBy("video").agg(F.every(rises).alias("rises"))
+    first = F.col("from_timestamp")
+    bounds = slices.withColumns({"low_": first - tolerance, "high_": first + (F.col("length") - 0.5) / fps})
+    rows = series.bin_join(packets.select("video", "pts", "dts", "key"), bounds, ["video"], "pts", "low_", "high_", SLICE_BIN).where("pts < high_")
+    place = F.row_number().over(Window.partitionBy(*one).orderBy("pts")) - 1
+    rows = rows.withColumn("placed", F.abs(F.col("pts") - first - place / fps) <= tolerance).withColumn("ordered", F.abs(F.coalesce("dts", "pts") - F.col("pts")) < tolerance)
     every = lambda c: F.every(F.coalesce(c, no)).alias(c)
-    seen = rows.groupBy("video", "episode_index").agg(F.first("length").alias("length"), F.first(F.coalesce(spans & (F.col("from_timestamp") >= 0), no)).alias("spans"), F.count("pts").alias("n"), every("rises"), every("placed"), every("ordered"), F.min_by("key", "pts").alias("key"))
+    met = rows.groupBy(*one).agg(F.count("pts").alias("n"), every("placed"), every("ordered"), F.min_by("key", "pts").alias("key"))
+    same = [F.col(f"s.{c}").eqNullSafe(F.col(f"m.{c}")) for c in one]
+    seen = slices.alias("s").join(met.alias("m"), same[0] & same[1] & same[2] & same[3] & same[4], "left").select("s.*", F.coalesce("n", F.lit(0)).alias("n"), "placed", "ordered", "key").join(rising, "video", "left")
+    spans = (F.abs((F.col("to_timestamp") - first) * fps - F.col("length")) < 1e-4) & (first >= 0)
+    reason = F.when(~F.col("n").eqNullSafe(F.col("length")), "packets").when(~F.coalesce(spans, no), "duration").when(~F.coalesce("rises", no), "times").when(~F.coalesce("ordered", no), "order").when(~F.coalesce("placed", no), "alignment").when(~F.coalesce("key", no), "key frame")
     if rates is not None:
         seen = seen.join(rates.select("video", (F.abs(F.col("rate") - fps) < 1e-6).alias("rated")), "video", "left")
-    reason = F.when(~F.col("n").eqNullSafe(F.col("length")), "packets").when(~F.col("spans"), "duration").when(~F.col("rises"), "times").when(~F.col("ordered"), "order").when(~F.col("placed"), "alignment").when(~F.coalesce("key", no), "key frame")
-    if rates is not None:
         reason = reason.when(~F.coalesce("rated", no), "frame rate")
     return seen.select("video", "episode_index", reason.alias("reason")).where("reason is not null")
 
@@ -135,9 +147,15 @@ def same_rows(a: DataFrame, b: DataFrame, keys: list[str], columns: list[str] |
 
 
 def differing_schemas(spark: SparkSession, paths: list[str]) -> list[str]:
-    """Files whose schema isn't the first one's; only footers are read."""
-    schemas = [spark.read.parquet(p).schema for p in paths]
-    return [p for p, s in zip(paths, schemas, strict=True) if s != schemas[0]]
+    """Paths of files or folders whose columns aren't the first one's; footers are read by tasks (:func:`publish.footers`), and a broken file is an error that names it."""
+    told = publish.footers(spark, paths)
+    if broken := told.where("error is not null").orderBy("file").select("file", "error").head():
+        raise ValueError(f"{broken['file']}: {broken['error']}")
+    kinds = told.groupBy("path").agg(F.array_sort(F.collect_set("schema")).alias("kinds"))
+    first = kinds.where(F.col("path") == paths[0]).select(F.col("kinds").alias("first"))
+    other = kinds.join(first, F.col("kinds") != F.col("first")).select("path").toLocalIterator()  # a name a differing path
+    differing = {r["path"] for r in other}
+    return [p for p in paths if p in differing]
 
 
 def file_groups(episodes: DataFrame) -> DataFrame:

@@ -53,28 +53,80 @@ class Profile:
         return out
 
 
-def quaternion_ordinals(names: list[str], width: int) -> list[list[int]]:
-    """Ordinals of x, y, z, w of each quaternion in a pose vector, by the components' names, or by the known layouts of 14 and 16 numbers without names.
+# How a quaternion's four components may be named after the common beginning of its position's x, y and z.
+QUATERNION_NAMES = (("qx", "qy", "qz", "qw"), ("quat_x", "quat_y", "quat_z", "quat_w"), ("i", "j", "k", "w"), ("wx", "wy", "wz", "w"))
+# Places of x, y, z, w after a position's first component in the known layouts without names, by width.
+LAYOUTS = {14: (4, 5, 6, 3), 16: (3, 4, 5, 6)}
 
-    A name's last part tells its axis (i, j, k stand for x, y, z); names of one prefix form a quaternion. Vectors of 14 have w first, of 16 last.
+
+def quaternion_ordinals(names: list[str], width: int, positions: list[int]) -> list[int]:
+    """Ordinals of x, y, z, w of the quaternion that belongs to the position at the ordinals ``positions``.
+
+    With ``width`` names the position's three names must share a beginning and end in x, y and z, and exactly one component of each of the four
+    names must follow one of :data:`QUATERNION_NAMES` on that beginning (or on it without ``pos_``, before ``quat_``). Without names, vectors
+    of 14 have w first and vectors of 16 last, after a position that begins each half. Anything else is an error: no layout is guessed.
+    """
+    if names:
+        xyz = [names[i] for i in positions] if len(names) == width and all(i < width for i in positions) else []
+        stem = xyz[0][:-1] if xyz and [n[-1:] for n in xyz] == ["x", "y", "z"] and len({n[:-1] for n in xyz}) == 1 else None
+        if stem is not None:
+            tries = [(stem, c) for c in QUATERNION_NAMES] + [(stem.removesuffix("pos_"), QUATERNION_NAMES[1])] * stem.endswith("pos_")
+            for start, ends in tries:
+                if all(names.count(start + e) == 1 for e in ends):
+                    return [names.index(start + e) for e in ends]
+        raise ValueError("no quaternion is named after the position")
+    first = positions[0]
+    if width in LAYOUTS and list(positions) == [first, first + 1, first + 2] and first in (0, width // 2):
+        return [first + i for i in LAYOUTS[width]]
+    raise ValueError("the quaternion's place is unknown")
+
+
+def named_groups(state: list[str], action: list[str], arms: tuple[str, ...] = ("left", "right"), joints: int | None = None) -> dict[str, list[tuple[str, int]]]:
+    """Components of a state and an action vector by what their names say: (vector, ordinal) of each arm's joints, of all ``joints``, of the ``other`` ones, of ``base`` commands and of ``still`` parts.
+
+    An arm's joints are the state's components that begin with its name and don't speak of a gripper, and the action's of the same names; ``joints``
+    asks for their number in the state. Base commands begin with cmd_vel_; still parts are head and waist. Concatenate them with :func:`picked`.
+    """
+    own = {arm: [i for i, n in enumerate(state) if n.startswith(f"{arm}_") and "gripper" not in n] for arm in arms}
+    if joints is not None and any(len(x) != joints for x in own.values()):
+        raise ValueError(f"each arm has {joints} joints")
+    known = {state[i] for x in own.values() for i in x}
+    out = {arm: [("state", i) for i in x] + [("action", i) for i, n in enumerate(action) if n in known and n.startswith(f"{arm}_")] for arm, x in own.items()}
+    out["joints"] = [("state", i) for x in own.values() for i in x] + [("action", i) for i, n in enumerate(action) if n in known]
+    out["other"] = [(v, i) for v, names in (("state", state), ("action", action)) for i, n in enumerate(names) if n not in known]
+    out["base"] = [("action", i) for i, n in enumerate(action) if n.startswith("cmd_vel_")]
+    out["still"] = [("state", i) for i, n in enumerate(state) if "head" in n or "waist" in n]
+    return out
+
+
+def picked(group: list[tuple[str, int]], vectors: dict[str, str | Column]) -> Column:
+    """One array of doubles of the components of a group, from the columns of the vectors it names; null beyond a vector's end."""
+    return F.array(*(F.get(vectors[v], F.lit(i)).cast("double") for v, i in group)) if group else F.array().cast("array<double>")
+
+
+def same_name(name: str, among: list[str]) -> str | None:
+    """The one of ``among`` that is ``name`` but for upper and lower case, none if there is none; more than one is an error."""
+    found = [n for n in among if n.casefold() == name.casefold()]
+    if len(found) > 1:
+        raise ValueError(f"{name}: {found} differ in case only")
+    return found[0] if found else None
+
+
+def video_features(info: dict, probes: DataFrame) -> dict:
+    """``info`` with the shape and format of each video feature as its files have them: probes are (video_key, height, width, codec, pix_fmt, rate), a row a file.
+
+    Files of one feature must agree; one row a feature comes to the driver.
     """
-    axes = {"x": 0, "y": 1, "z": 2, "w": 3, "i": 0, "j": 1, "k": 2}
-    groups: dict[str, dict[int, int]] = {}
-    for at, name in enumerate(names):
-        low = name.lower()
-        head, _, tail = low.rpartition("_")
-        if "quat" in head and tail in axes:
-            groups.setdefault(head, {})[axes[tail]] = at
-        elif (bare := re.fullmatch(r"(.*?)(?:_|^)q_?([xyzw])", low)) or (bare := re.fullmatch(r"(.*?)(?:_|^)w([xyz])", low)):
-            groups.setdefault(bare[1], {})[axes[bare[2]]] = at
-        elif bare := re.fullmatch(r"(.*?)(?:_|^)w", low):
-            groups.setdefault(bare[1], {})[3] = at
-    if found := [[g[k] for k in range(4)] for g in groups.values() if len(g) == 4]:
-        return found
-    known = {14: [[4, 5, 6, 3], [11, 12, 13, 10]], 16: [[3, 4, 5, 6], [11, 12, 13, 14]]}
-    if width not in known:
-        raise ValueError("the quaternions' place is unknown")
-    return known[width]
+    kinds = ("height", "width", "codec", "pix_fmt", "rate")
+    told = probes.groupBy("video_key").agg(F.count_distinct("height", "width").alias("sizes"), *(F.min(c).alias(c) for c in kinds)).collect()  # a row a feature
+    features = {k: dict(v) for k, v in info.get("features", {}).items()}
+    for r in told:
+        if r["sizes"] != 1:
+            raise ValueError(f"{r['video_key']}: videos of several sizes")
+        own = features[r["video_key"]]
+        own |= {"shape": [3, r["height"], r["width"]], "names": ["channels", "height", "width"]}
+        own["info"] = {**own.get("info", {}), "video.height": r["height"], "video.width": r["width"], "video.codec": r["codec"], "video.pix_fmt": r["pix_fmt"], "video.fps": r["rate"], "video.channels": 3, "has_audio": False}
+    return {**info, "features": features}
 
 
 def catalogue(text: str) -> dict[str, Profile]:
@@ -177,10 +229,10 @@ def episode_view(frames: DataFrame, profile: Profile, fps: float) -> DataFrame:
 def sliced(frames: DataFrame, episodes: DataFrame) -> DataFrame:
     """Rows of multi-episode files with their episode, by declared bounds (episode_index, dataset_from_index, length) on the row's index.
 
-    The bounds are expanded to one row an index and joined by equality, which shuffles no wider rows than needed.
+    Rows and bounds meet by bins of the index: an episode is dealt to the few bins that it touches, not to a row an index.
     """
-    own = episodes.select("episode_index", F.explode(F.sequence("dataset_from_index", F.col("dataset_from_index") + F.col("length") - 1)).alias("index"))
-    return frames.drop("episode_index").join(own, "index")
+    own = episodes.select("episode_index", F.col("dataset_from_index").alias("from_"), (F.col("dataset_from_index") + F.col("length") - 1).alias("last_"))
+    return series.bin_join(frames.drop("episode_index"), own, [], "index", "from_", "last_", 4096).drop("from_", "last_")
 
 
 def rebuilt(frames: DataFrame, selection: DataFrame, fps: float) -> DataFrame:

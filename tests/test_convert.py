@@ -109,16 +109,103 @@ def test_publish(spark, tmp_path):
     assert [p.rsplit("/", 1)[1] for p in publish.datasets_under(spark, str(tmp_path / "many"))] == ["one"]
 
 
-def test_names():
-    assert datasets.quaternion_ordinals(["l_x", "l_quat_w", "l_quat_x", "l_quat_y", "l_quat_z"], 5) == [[2, 3, 4, 1]]
-    assert datasets.quaternion_ordinals(["left_w", "left_wx", "left_wy", "left_wz"], 4) == [[1, 2, 3, 0]] and datasets.quaternion_ordinals(["qx", "qy", "qz", "qw"], 4) == [[0, 1, 2, 3]]
-    assert datasets.quaternion_ordinals([], 14)[0] == [4, 5, 6, 3]
-    with pytest.raises(ValueError):
-        datasets.quaternion_ordinals([], 9)
+def test_names(spark):
+    ordinals = datasets.quaternion_ordinals
+    assert ordinals(["l_x", "l_y", "l_z", "l_quat_w", "l_quat_x", "l_quat_y", "l_quat_z"], 7, [0, 1, 2]) == [4, 5, 6, 3]
+    assert ordinals(["a_x", "a_y", "a_z", "a_w", "a_wx", "a_wy", "a_wz"], 7, [0, 1, 2]) == [4, 5, 6, 3] and ordinals(["x", "y", "z", "qx", "qy", "qz", "qw"], 7, [0, 1, 2]) == [3, 4, 5, 6]
+    assert ordinals(["l_pos_x", "l_pos_y", "l_pos_z", "l_quat_x", "l_quat_y", "l_quat_z", "l_quat_w", "r_quat_x"], 8, [0, 1, 2]) == [3, 4, 5, 6]
+    assert ordinals([], 14, [7, 8, 9]) == [11, 12, 13, 10] and ordinals([], 16, [8, 9, 10]) == [11, 12, 13, 14]
+    for names, width, at in (([], 9, [0, 1, 2]), ([], 14, [1, 2, 3]), ([f"n{i}" for i in range(14)], 14, [0, 1, 2]), (["x", "y", "z", "b_qx", "b_qy", "b_qz", "b_qw"], 7, [0, 1, 2]), (["x", "y", "z", "qx", "qy", "qz", "qw", "qw"], 8, [0, 1, 2]), (["x"], 14, [0, 1, 2])):
+        with pytest.raises(ValueError):
+            ordinals(names, width, at)
     found = datasets.catalogue("arm:\n  vector: pose\n  indices: [0, 1, 2, 0, 1, 2]\n")
     assert found["arm"].single_arm()
     with pytest.raises(TypeError):
         datasets.catalogue('{"arm": {"vector": "pose", "indices": [0, 1, 2, 0, 1, 2], "more": 1}}')
+    state, action = ["left_j1", "left_gripper", "right_j1", "head_yaw", "waist"], ["right_j1", "left_j1", "cmd_vel_x", "left_gripper"]
+    groups = datasets.named_groups(state, action, joints=1)
+    assert groups["left"] == [("state", 0), ("action", 1)] and groups["joints"] == [("state", 0), ("state", 2), ("action", 0), ("action", 1)]
+    assert groups["other"] == [("state", 1), ("state", 3), ("state", 4), ("action", 2), ("action", 3)] and groups["base"] == [("action", 2)] and groups["still"] == [("state", 3), ("state", 4)]
+    with pytest.raises(ValueError):
+        datasets.named_groups(state, action, joints=7)
+    row = spark.createDataFrame([([1.0, 2.0, 3.0, 4.0, 5.0], [6.0, 7.0])], "s array<float>, a array<float>")
+    assert row.select(datasets.picked(groups["joints"], {"state": F.col("s"), "action": F.col("a")})).first()[0] == [1.0, 3.0, 6.0, 7.0]
+    assert datasets.same_name("h01", ["H01", "other"]) == "H01" and datasets.same_name("x", ["y"]) is None
+    with pytest.raises(ValueError):
+        datasets.same_name("a", ["A", "a"])
+
+
+def test_video_features(spark):
+    probes = spark.createDataFrame([("cam", 48, 64, "h264", "yuv420p", 30.0)] * 2 + [("top", 8, 8, "h264", "yuv420p", 30.0)], "video_key string, height int, width int, codec string, pix_fmt string, rate double")
+    told = datasets.video_features({"features": {"cam": {"dtype": "video", "info": {"old": 1}}, "top": {}, "pose": {}}}, probes)["features"]
+    assert told["cam"]["shape"] == [3, 48, 64] and told["cam"]["info"]["video.fps"] == 30.0 and told["cam"]["info"]["old"] == 1 and told["pose"] == {}
+    with pytest.raises(ValueError):
+        datasets.video_features({"features": {"cam": {}}}, probes.withColumn("video_key", F.lit("cam")))
+
+
+def test_degenerate_quaternions_are_refused(spark):
+    from framelake.functions import pose
+
+    def turned(q):
+        f = spark.createDataFrame([q], "x double, y double, z double, w double")
+        return f.select(pose.tool_offset([F.lit(0.0)] * 3, [F.col(c) for c in "xyzw"], [1.0, 0.0, 0.0])[0]).first()[0]
+
+    assert turned((0.0, 0.0, 0.0, 2.0)) == pytest.approx(1.0)
+    for bad in ((0.0, 0.0, 0.0, 1e-9), (0.0, None, 0.0, 1.0), (0.0, float("nan"), 0.0, 1.0), (float("inf"), 0.0, 0.0, 1.0)):
+        with pytest.raises(Exception, match="quaternion"):
+            turned(bad)
+
+
+def test_starts_heed_events(spark):
+    from framelake.operators import series
+
+    starts = spark.createDataFrame([(e, 10) for e in range(5)] + [(5, 0)], "episode long, start_frame long")
+    events = spark.createDataFrame([(1, 2, 5), (2, 8, 12), (3, 6, 9), (3, 9, 11), (4, 8, 12), (4, 9, 10), (5, 0, 3)], "episode long, start_frame long, end_frame long")
+    assert {r.episode: (r.start_frame, r.note) for r in series.started(starts, events).collect()} == {0: (10, None), 1: (0, "earlier_event"), 2: (8, "inside_event"), 3: (0, "earlier_event"), 4: (8, "inside_event"), 5: (0, None)}
+
+
+def test_packets_of_one_long_video(spark):
+    """A third of all packets are one video's; each slice meets the packets near it. A fall anywhere in a video tells on all its slices."""
+    packets = spark.range(6000).selectExpr("if(id < 2000, 'hot', concat('v', id % 40)) video", "if(id < 2000, id, id div 40 - 50) packet").selectExpr("video", "packet", "packet / 10d pts", "cast(null as double) dts", "packet % 5 = 0 key")
+    slices = packets.where("packet % 5 = 0").selectExpr("video", "packet div 5 episode_index", "packet / 10d from_timestamp", "(packet + 5) / 10d to_timestamp", "5L length")
+    assert convert.slice_breaches(packets, slices, 10.0).count() == 0
+    fallen = packets.withColumn("pts", F.when((F.col("video") == "v3") & (F.col("packet") == 7), F.col("pts") - 0.5).otherwise(F.col("pts")))
+    told = convert.slice_breaches(fallen, slices, 10.0).groupBy("video").agg(F.count("*").alias("n"), F.collect_set("reason").alias("why")).collect()
+    assert [(r.video, r.n) for r in told] == [("v3", 20)] and "times" in told[0].why
+    twice = slices.where("video = 'hot' and episode_index < 2").union(slices.where("video = 'hot' and episode_index = 0").withColumn("length", F.lit(6)))
+    assert [(r.episode_index, r.reason) for r in convert.slice_breaches(packets, twice, 10.0).collect()] == [(0, "duration")]
+
+
+def test_file_tasks_and_digests(spark, tmp_path):
+    spark.range(10).repartition(3).write.parquet(str(tmp_path / "a"))
+    (tmp_path / "a/more").mkdir()
+    (tmp_path / "a/more/note.txt").write_bytes(b"x" * 10)
+    assert publish.snapshot(spark, str(tmp_path / "a"), str(tmp_path / "b"))
+    listed = {r.path: (r.length, r.sha256) for r in spark.read.parquet(str(tmp_path / "b/manifest")).collect()}
+    assert listed["more/note.txt"][0] == 10 and (tmp_path / "b/data/more/note.txt").read_bytes() == b"x" * 10 and spark.read.parquet(str(tmp_path / "b/data/*.parquet")).count() == 10
+    spark.range(3).selectExpr("id + 0.5 id").coalesce(1).write.parquet(str(tmp_path / "c"))
+    assert convert.differing_schemas(spark, [str(tmp_path / n) for n in "aac"]) == [str(tmp_path / "c")]
+    (tmp_path / "c/part-bad.parquet").write_bytes(b"PAR1 nothing")
+    with pytest.raises(ValueError, match="part-bad"):
+        convert.differing_schemas(spark, [str(tmp_path / n) for n in "ac"])
+    calls = []
+
+    def compute():
+        calls.append(1)
+        return spark.range(50).repartition(2)
+
+    def get():
+        return publish.cached(spark, str(tmp_path / "cache"), "k", compute).count(), len(calls)
+
+    assert (get(), get()) == ((50, 1), (50, 1))
+    part = sorted((tmp_path / "cache/k").glob("part-*.parquet"))[0]
+    held = bytearray(part.read_bytes())
+    held[20] ^= 1
+    part.write_bytes(held)
+    (tmp_path / "cache/k" / f".{part.name}.crc").unlink()
+    assert (get(), get()) == ((50, 2), (50, 2))
+    sorted((tmp_path / "cache/k").glob("part-*.parquet"))[1].unlink()
+    assert get() == (50, 3)
 
 
 def test_predicates(spark):

@@ -91,11 +91,15 @@ def test_nulls_are_breaches(spark):
     assert {r.episode for r in checks.source_map(entries).where("valid").collect()} == {2}
 
 
-def test_numbers_over_ranges(spark, monkeypatch):
-    monkeypatch.setattr(series, "RANGE", 3)
-    rows = [(e, e % 5 + 1) for e in (-7, -2, 0, 1, 2, 3, 9, 10, 11, 500)]
-    got = {r.episode: (r.output_episode, r.offset) for r in series.with_offsets(spark.createDataFrame(rows, "episode long, length long")).collect()}
-    assert got == {e: (i, sum(n for _, n in rows[:i])) for i, (e, _) in enumerate(rows)}
+def test_numbers_over_ranges(spark):
+    """Ranges follow the rows, not the numbers: one far number puts no others together; callers' columns stay."""
+    rows = [(e, e % 5 + 1, "mine") for e in (-7, -2, 0, 1, 2, 3, 9, 10, 11, 500, 10**15)]
+    got = series.numbered(spark.createDataFrame(rows, "episode long, length long, PART_ string").repartition(4), "episode", "place", "length", "begin")
+    assert got.columns == ["episode", "length", "PART_", "place", "begin"]
+    assert {r.episode: (r.place, r.begin) for r in got.collect()} == {e: (i, sum(n for _, n, _ in rows[:i])) for i, (e, *_) in enumerate(rows)}
+    many = spark.range(20000).selectExpr("id * 3 episode", "1L length").union(spark.createDataFrame([(10**15, 1), (None, 1)], "episode long, length long"))
+    placed = series.numbered(many, "episode", "place").selectExpr("count(*) n", "count_if(place = if(episode is null, 0, if(episode = 1000000000000000, 20001, episode div 3 + 1))) good").first()
+    assert tuple(placed) == (20002, 20002)
     assert series.with_offsets(spark.createDataFrame([], "episode long, length long")).count() == 0
 
 
