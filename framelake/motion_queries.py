@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from framelake.functions import pose
 from framelake.operators import peaks, series
 from framelake.plans import segments, skips
-from framelake.queries import E_SQL, F_SQL, Query, cols, left, poses, quaternion, r6, right, signals
+from framelake.queries import E_SQL, F_SQL, Query, cols, left, poses, quaternion, r6, right, signals, table
+from framelake.sources import convert
 
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -271,3 +272,33 @@ def budget_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sampling weights that bring each episode to three fifths of its frames, denser near high values."""
     f = signals(spark, sf_dir).withColumn("budget", 0.6 * F.count(F.lit(1)).over(series.whole()))
     return segments.budget_weights(f, F.col("value") > 90, F.col("budget"), 5, 0.2).select("episode", "frame", r6("weight", "weight"))
+
+
+EVENT_SQL = "v AS (SELECT episode, min(frame) - 1 AS a, max(frame) AS b FROM (SELECT *, frame - row_number() OVER (PARTITION BY episode ORDER BY frame) AS g FROM (SELECT episode, frame, abs(v[8]::DOUBLE - lag(v[8]::DOUBLE) OVER (PARTITION BY episode ORDER BY frame)) AS rate FROM e) WHERE rate > 0.12) GROUP BY episode, g HAVING max(rate) > 0.2)"
+
+
+@query(f"WITH {E_SQL}, {EVENT_SQL}, s AS (SELECT episode, min(frame) AS first FROM e WHERE frame > 6 AND rx > 0.1 GROUP BY episode) SELECT s.episode, CASE WHEN bool_or(coalesce(b < first, false)) THEN 0 ELSE coalesce(min(a) FILTER (WHERE a < first AND first <= b), first) END AS start_frame, CASE WHEN bool_or(coalesce(b < first, false)) THEN 'earlier_event' WHEN min(a) FILTER (WHERE a < first AND first <= b) IS NOT NULL THEN 'inside_event' END AS note FROM s LEFT JOIN v ON v.episode = s.episode GROUP BY s.episode, first")
+def starts_after_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Starts moved for gripper events that lie before them or hold them."""
+    f = poses(spark, sf_dir)
+    rated = f.withColumn("rate", F.abs(F.col("s7") - F.lag("s7").over(series.ep())))
+    moving = rated.where("rate > 0.12").withColumn("g", F.col("frame") - F.row_number().over(series.ep()))
+    events = moving.groupBy("episode", "g").agg((F.min("frame") - 1).alias("start_frame"), F.max("frame").alias("end_frame"), F.max("rate").alias("peak")).where("peak > 0.2")
+    return series.started(f.where("frame > 6 and rx > 0.1").groupBy("episode").agg(F.min("frame").alias("start_frame")), events)
+
+
+@query(f"WITH {E_SQL}, x AS (SELECT episode, 'v' AS feature, unnest(range(64)) AS pos, unnest(v)::DOUBLE AS x FROM e UNION ALL SELECT episode, 'lx', 0, lx FROM e) SELECT episode, feature, CAST(pos AS INTEGER) AS pos, round(min(x), 6) AS min, round(max(x), 6) AS max, round(avg(x), 6) AS mean, round(stddev_pop(x), 6) AS std, count(*) AS count FROM x GROUP BY episode, feature, pos")
+def feature_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics of a vector and a scalar column by episode and component."""
+    told = convert.feature_stats(poses(spark, sf_dir), ["v", "lx"], ["episode"])
+    parts = told.select("episode", "feature", F.col("count")[0].alias("count"), F.posexplode(F.arrays_zip("min", "max", "mean", "std")).alias("pos", "s"))
+    return parts.select("episode", "feature", "pos", *(r6(f"s.{n}", n) for n in ("min", "max", "mean", "std")), "count")
+
+
+@query("WITH b AS (SELECT o_orderkey, o_custkey, CASE WHEN o_custkey % 11 = 0 THEN NULL ELSE o_orderstatus END AS o_orderstatus FROM orders WHERE o_orderkey % 7 <> 0 UNION ALL SELECT -1, 1, NULL), a AS (SELECT o_orderkey, o_custkey, CASE WHEN o_custkey % 22 = 0 THEN NULL ELSE o_orderstatus END AS o_orderstatus FROM orders) SELECT coalesce(a.o_orderkey, b.o_orderkey) AS o_orderkey FROM a FULL JOIN b ON a.o_orderkey = b.o_orderkey WHERE a.o_orderkey IS NULL OR b.o_orderkey IS NULL OR a.o_custkey IS DISTINCT FROM b.o_custkey OR a.o_orderstatus IS DISTINCT FROM b.o_orderstatus")
+def differing_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders that a changed copy lacks, adds or holds otherwise, nulls told from values."""
+    own = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    status = lambda k: F.when(F.col("o_custkey") % k != 0, F.col("o_orderstatus"))
+    more = spark.createDataFrame([(-1, 1, None)], own.schema)
+    return convert.same_rows(own.withColumn("o_orderstatus", status(22)), own.where("o_orderkey % 7 <> 0").withColumn("o_orderstatus", status(11)).union(more), ["o_orderkey"])
