@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that one vectorised step of a Python worker handles; a single longer text is handled alone.
@@ -71,6 +71,18 @@ def free_names(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def own_columns(df: DataFrame) -> list[Column]:
+    """All columns of ``df`` by their whole names, dots and all."""
+    return [F.col(f"`{c.replace('`', '``')}`") for c in df.columns]
+
+
+def row_hash(df: DataFrame) -> Column:
+    """A hash of all columns and of where they are null, as Spark's hash passes over nulls; columns with maps are hashed as JSON, in the maps' order."""
+    columns = own_columns(df)
+    hashed = [F.to_json(F.struct(c.alias("x"))) if "map<" in f.dataType.simpleString() else c for c, f in zip(columns, df.schema, strict=True)]
+    return F.xxhash64(*hashed, *(c.isNull() for c in columns))
+
+
 #: A key with more than this part of all rows is joined by broadcast, so there are fewer such keys than this.
 HOT_KEYS = 1000
 
