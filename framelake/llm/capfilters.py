@@ -216,6 +216,9 @@ def near_vectors(vectors: DataFrame, least: float = 0.98) -> DataFrame:
     v = F.col("embedding") if element in ("float", "double") else F.transform("embedding", lambda x: x.cast("double"))
     kind = element if element in ("float", "double") else "double"
     sound = F.col("label").isNotNull() & F.col("vec_id").isNotNull() & F.coalesce(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists("v", lambda x: x != 0), F.lit(False))
+    if kind == "double":  # squares of doubles beyond these bounds are infinite or zero; the cosine is that of the vector over its largest component
+        largest = F.array_max(F.transform(v, F.abs))
+        v = F.when((largest > 1e100) & (largest < float("inf")) | (largest > 0) & (largest < 1e-100), F.transform(v, lambda x: x / largest)).otherwise(v)
     rows = vectors.select("vec_id", F.col("label").cast("string").alias("label"), v.alias("v")).withColumn("sound", sound)
     rows = settled(rows.withColumn("key", F.when(F.col("sound"), F.xxhash64("label", "v"))), "vectors")
     classes = rows.where("sound").groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight"), F.first("key").alias("key"))

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framelake.llm.bytewords import bounds, mixed, word_hashes, words
-from framelake.llm.shared import steps
+from framelake.llm.shared import free_names, steps
 
 #: Bytes of words: letters of ASCII and every byte of characters beyond ASCII.
 LETTER = np.zeros(256, bool)
@@ -379,6 +379,9 @@ def identified(docs: DataFrame, least: float = 0.75) -> DataFrame:
     bound depends neither on the number of languages nor on their names. With no labelled row nothing is known and no row stays.
     """
     model = fit(docs)
-    kept = docs.withColumnsRenamed({c: f"own {c}" for c in docs.columns if c in ("lang_pred", "score", "evidence")})
-    found = labelled(kept, model, evidence=True).where((F.col("lang_pred") != "und") & (F.col("evidence") >= least * (model.usual if model else 0.0)))
-    return found.select(*(F.col(f"`own {c}`").alias(c) if c in ("lang_pred", "score", "evidence") else F.col(f"`{c}`") for c in docs.columns))
+    # the model's columns take the names that labelled gives them; the caller's go by others meanwhile
+    mine = ("lang_pred", "score", "evidence")
+    names = [f"own_{k}" if c.lower() in mine or "." in c or "`" in c else c for k, c in enumerate(docs.columns)]
+    names = [n if n == c else free_names(docs, n)[0] for n, c in zip(names, docs.columns, strict=True)]
+    found = labelled(docs.toDF(*names), model, evidence=True).where((F.col("lang_pred") != "und") & (F.col("evidence") >= least * (model.usual if model else 0.0)))
+    return found.select(*(F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)))

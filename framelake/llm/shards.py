@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from framelake.llm.shared import free_names, settled
+from framelake.llm.shared import free_names, own_columns, row_hash, settled
 
 #: Virtual slots; fixed for a corpus' lifetime, so that only the map is ever edited.
 SLOTS = 4096
@@ -97,12 +97,12 @@ def sharded(docs: DataFrame, shards: int = 40, slots: int = SLOTS) -> DataFrame:
     """
     own = docs.drop("virtual_slot", "shard", "map_version")
     whole, size = free_names(own, "whole_row", "row_size")
-    keyed = own.withColumns({"virtual_slot": slot_of(slots), whole: F.xxhash64(*(f"`{c}`" for c in own.columns)), size: size_of()})
+    keyed = own.withColumns({"virtual_slot": slot_of(slots), whole: row_hash(own), size: size_of()})
     light = settled(keyed.select("virtual_slot", F.col(whole).alias("whole"), F.col(size).alias("size")), "slots")
     heavy = settled(heavy_slots(slot_sizes(light, slots), shards), "heavy")
     slot_map = settled(rebalanced(slot_sizes(split_slots(light, heavy, F.col("whole"), slots), slots), shards), "slotmap")
     small = F.broadcast(slot_map.select("virtual_slot", "shard", F.col("version").alias("map_version")))  # one row a slot
-    return split_slots(keyed, heavy, F.col(whole), slots).join(small, "virtual_slot").select(*own.columns, "virtual_slot", "shard", "map_version")
+    return split_slots(keyed, heavy, F.col(whole), slots).join(small, "virtual_slot").select(*own_columns(own), "virtual_slot", "shard", "map_version")
 
 
 def shard_places(docs: DataFrame, shards: int = 40, slots: int = SLOTS) -> DataFrame:

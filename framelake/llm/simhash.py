@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from framelake.llm.buckets import grouped, linked_forest, split_buckets
 from framelake.llm.components import components
-from framelake.llm.shared import free_names, settled, spread_join, steps
+from framelake.llm.shared import free_names, own_columns, row_hash, settled, spread_join, steps
 
 #: Bits of each segment of a 64-bit fingerprint, from the lowest bit up.
 SEGMENTS = (22, 22, 20)
@@ -149,11 +149,11 @@ def simhash_groups(docs: DataFrame, distance: int = 4, shingle: int = 4) -> Data
 def keep_first(docs: DataFrame, distance: int = 4, shingle: int = 4) -> DataFrame:
     """``docs`` with one row of each near-duplicate group: the smallest by doc_id (null last), fingerprint and a hash of the whole row.
 
-    Rows of one doc_id may stand in several groups. Of rows that are equal in all columns one stays.
+    Rows of one doc_id may stand in several groups. Of rows that are equal in all columns one stays; maps are equal if they are in the same order.
+    An empty table gives no rows; a long text is held by one worker.
     """
-    # xxhash64 passes over nulls, so where they stand is hashed too
     key, first_id, first_key = free_names(docs, "row_key", "first_id", "first_key")
-    keyed = docs.withColumn(key, F.xxhash64(*docs.columns, *(F.col(f"`{c}`").isNull() for c in docs.columns)))
+    keyed = docs.withColumn(key, row_hash(docs))
     prints = settled(fingerprints(keyed, shingle, key).withColumnRenamed(key, "row_key"), "simhash")
     order = F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "fp", "row_key")
     classes = settled(prints.groupBy("fp").agg(F.min(order).alias("rep")), "classes")
@@ -162,4 +162,4 @@ def keep_first(docs: DataFrame, distance: int = 4, shingle: int = 4) -> DataFram
     kept = keyed.join(first, (F.col(key) == F.col(first_key)) & F.col("doc_id").eqNullSafe(F.col(first_id)), "left_semi")
     if not prints.groupBy("doc_id", "row_key").count().where("count > 1").isEmpty():  # only then are texts shuffled once more
         kept = kept.dropDuplicates(["doc_id", key])
-    return kept.select(docs.columns)
+    return kept.select(own_columns(docs))
