@@ -13,9 +13,10 @@ import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from framelake.llm.bytewords import bounds, mixed, word_hashes, words
-from framelake.llm.shared import free_names, steps
+from framelake.llm.shared import free_names, settled, steps
 
 #: Bytes of words: letters of ASCII and every byte of characters beyond ASCII.
 LETTER = np.zeros(256, bool)
@@ -236,23 +237,27 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
 
 
-def sample(docs: DataFrame, per_lang: int = 150, max_langs: int = 64, window: int = 600) -> pd.DataFrame:
-    """A bounded sample of labelled training rows: ``per_lang`` windows of ``window`` characters of each of the ``max_langs`` commonest languages.
+def sample(docs: DataFrame, per_lang: int = 150, window: int = 600, total: int = 9600) -> pd.DataFrame:
+    """A bounded sample of labelled training rows of every language: ``per_lang`` windows of ``window`` characters of each, or as many as ``total`` allows, one at least.
 
     Rows are drawn by the hash of their id at a rate set by their language's count, so that the draw is spread over all rows and reruns agree;
-    a window's place in its text is hashed too. Rows whose crc32 remainder is 2, and rows without text, lang or id, are never read.
+    a window's place in its text is hashed too. Rows whose crc32 remainder is 2, and rows without text, lang or id, are never read. The driver
+    holds a row a language and the sample: ``total`` windows, or one a language where there are more languages. The model has a quarter of a
+    megabyte for each language, of any number.
     """
-    rows = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()
-    if not counts:
+    rows = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", "text", "lang")
+    counts = settled(rows.groupBy("lang").count(), "langcounts")
+    languages = counts.count()
+    if not languages:
         return pd.DataFrame({"lang": [], "text": []})
-    rate = F.create_map(*(F.lit(x) for r in counts for x in (r["lang"], min(1.0, 1.5 * per_lang / r["count"]))))
+    per = max(1, min(per_lang, total // languages))
     u = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
     begin = (F.pmod(F.xxhash64("doc_id", F.lit("window")), F.greatest(F.length("text") - window, F.lit(1))) + 1).cast("int")
-    drawn = rows.where(u < rate[F.col("lang")]).select("lang", F.substring("text", begin, F.lit(window)).alias("text"), u.alias("u"), "doc_id")
-    # the draw holds 1.5 times per_lang rows of each language on average, so the limit below is a bound, not a choice of rows
-    drawn = drawn.orderBy("u", "doc_id").limit(3 * per_lang * len(counts)).toPandas()
-    return drawn.sort_values(["lang", "u", "doc_id"]).groupby("lang").head(per_lang)[["lang", "text"]]
+    # the draw holds 1.5 times as many rows of each language on average, and all of a rare one, so ranks are of small groups
+    often = rows.join(F.broadcast(counts), "lang").where(u < F.when(F.col("count") <= 20 * per, 1.0).otherwise(1.5 * per / F.col("count")))  # a row a language
+    drawn = often.select("lang", F.substring("text", begin, F.lit(window)).alias("text"), u.alias("u"), "doc_id")
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("u", "doc_id"))
+    return drawn.withColumn("place", place).where(F.col("place") <= per).toPandas().sort_values(["lang", "u", "doc_id"])[["lang", "text"]]
 
 
 def fit(docs: DataFrame, per_lang: int = 150) -> Crf | None:
@@ -367,7 +372,7 @@ def labelled(docs: DataFrame, model: Crf | None, spans: bool = False, evidence:
     if model is None:
         nothing = {"lang_pred": F.lit("und"), "score": F.lit(0.0), "spans": F.array(), "evidence": F.lit(0.0)}
         return own.withColumns({c: nothing[c].cast(kind) for c, kind in new.items()})
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # its size is fixed by GRAMS, the sample's bound and the languages' bound
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # its size is fixed by GRAMS, the sample's bound and the number of languages
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema] + [f"{c} {kind}" for c, kind in new.items()]
     return own.mapInArrow(partial(_label, shared=shared, spans=spans, evidence=evidence), ", ".join(kinds))
 

@@ -80,3 +80,16 @@ def test_large_and_small_doubles_link(spark):
     rows = [(1, [1e200, 0.0, 1e199], 1), (2, [2e200, 0.0, 2e199], 1), (3, [1e-200, 0.0, 1e-201], 1), (4, [2e-250, 0.0, 2e-251], 1), (5, [0.0, 1e300, 0.0], 1), (6, [3.0, 0.0, 0.3], 1), (7, [float("inf"), 0.0, 0.0], 1), (8, [0.0, 0.0, 0.0], 1)]
     got = {r.vec_id: (r.n_links, r.component_id) for r in capfilters.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
     assert got == {**{i: (4, 1) for i in (1, 2, 3, 4, 6)}, 5: (0, 5), 7: (0, 7), 8: (0, 8)}
+
+
+def test_all_languages_are_learned(spark):
+    r = random.Random(6)
+    made = {f"l{k:02d}": [f"{chr(97 + k // 9)}{chr(106 + k % 9)}{r.choice('aeiou')}{r.choice('bcdfg')}{i}" for i in range(12)] for k in range(70)}
+    rows = [(i * 100 + k, " ".join(r.choice(w) for _ in range(8)), lang) for i in range(8) for k, (lang, w) in enumerate(made.items())]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    drawn = langid_crf.sample(docs, total=140)
+    assert set(drawn["lang"]) == set(made) and drawn.groupby("lang").size().max() == 2
+    model = langid_crf.fit(docs, 3)
+    assert len(model.langs) == 70
+    got = langid_crf.labelled(docs, model).where(langid_crf.held_out()).selectExpr("lang_pred = lang good").collect()
+    assert sum(g.good for g in got) >= 0.95 * len(got)
