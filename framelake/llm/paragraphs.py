@@ -16,7 +16,7 @@ from pyspark.sql.window import Window
 from framelake.llm.buckets import grouped, linked_forest, split_buckets
 from framelake.llm.bytewords import ALNUM, LOWER, bounds, gram_hashes, mixed, word_hashes, words
 from framelake.llm.components import components
-from framelake.llm.shared import hash_bitmap, in_bitmap, let_go, settled, settled_at, spread_join, steps
+from framelake.llm.shared import hash_bitmap, in_bitmap, let_go, salted_join, settled, settled_at, steps
 
 SHINGLE, SIMILAR, RECALL, MOST_BANDS = 5, 0.8, 0.99, 5
 #: A paragraph ends before a word pair whose hash is the smallest among the pairs this near on either side in its line.
@@ -115,7 +115,7 @@ def _shingles(h: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.nda
 
 
 def _paragraphs(rows: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(text number, first word in the text, words, text hash, shingles, their edges) of every paragraph: pieces, whole lines and whole blocks.
+    """(text number, first word in the text, text hash, first and end among all words) of every paragraph, and all words' hashes: pieces, whole lines and whole blocks.
 
     Blocks are lines between lines without words. Texts without such lines have no blocks, their lines are their paragraphs. Lines and blocks that a
     smaller paragraph covers whole, or that are too short to be similar to another without being equal to it, are left out: their pieces stand for them.
@@ -126,7 +126,8 @@ def _paragraphs(rows: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray) ->
     first = bounds(text_no, rows.num_rows)
     begin = cut(data, starts, ends, text_no, h)
     if not len(h):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(1, np.int64)
+        none = np.zeros(0, np.int64)
+        return none, none, h, none, none, h
     line = np.concatenate([[0], np.cumsum(data == 10)])[starts]
     stretches, smaller = [(begin, np.append(begin[1:], len(h)))], begin
     for apart in (1, 2):
@@ -137,18 +138,18 @@ def _paragraphs(rows: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray) ->
         stretches.append((new[wide], end[wide]))
         smaller = new
     begin, end = (np.concatenate(x) for x in zip(*stretches, strict=True))
-    shingles, edge = _shingles(h, begin, end)
     # the text's hash is over its words in order
     at, whole = _inside(begin, end - begin)
     powers = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(int((end - begin).max()), np.uint64(0x5851F42D4C957F2D))]))
     text = mixed(np.add.reduceat(mixed(h)[at] * powers[np.arange(len(at)) - np.repeat(whole[:-1], end - begin)], whole[:-1]) + (end - begin).astype(np.uint64))
-    return text_no[begin], begin - first[text_no[begin]], end - begin, text, shingles, edge
+    return text_no[begin], begin - first[text_no[begin]], text, begin, end, h
 
 
 def _signed(batches: Iterator[pa.RecordBatch], bands: int, per_band: int) -> Iterator[pa.RecordBatch]:
     seeds = mixed(np.arange(1, bands * per_band + 1, dtype=np.uint64))
     for rows, data, offsets in steps(batches):
-        of, first, size, text, shingles, edge = _paragraphs(rows, data, offsets)
+        of, first, text, begin, end, h = _paragraphs(rows, data, offsets)
+        shingles, edge = _shingles(h, begin, end)
         keys = np.zeros((len(of), bands), np.uint64)
         if len(of):
             for b in range(bands):
@@ -160,7 +161,7 @@ def _signed(batches: Iterator[pa.RecordBatch], bands: int, per_band: int) -> Ite
         able = np.diff(edge) >= LEAST_SHINGLES
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(able * bands)]).astype(np.int32)), pa.array(keys[able].ravel().view(np.int64)))
         no = rows.column("row").to_numpy()
-        yield pa.RecordBatch.from_arrays([pa.array(no[of]), rows.column("doc_id").take(pa.array(of)), pa.array(first), pa.array(first + size), pa.array(text.view(np.int64)), lists], ["row", "doc_id", "first_word", "end_word", "h", "bands"])
+        yield pa.RecordBatch.from_arrays([pa.array(no[of]), rows.column("doc_id").take(pa.array(of)), pa.array(first), pa.array(first + end - begin), pa.array(text.view(np.int64)), lists], ["row", "doc_id", "first_word", "end_word", "h", "bands"])
 
 
 def _in_bands(batches: Iterator[pa.RecordBatch], bitmap: Broadcast) -> Iterator[pa.RecordBatch]:
@@ -179,13 +180,13 @@ def _in_hashes(batches: Iterator[pa.RecordBatch], bitmap: Broadcast) -> Iterator
 
 def _wanted_shingles(batches: Iterator[pa.RecordBatch], bitmap: Broadcast) -> Iterator[pa.RecordBatch]:
     for rows, data, offsets in steps(batches):
-        *_, text, shingles, edge = _paragraphs(rows, data, offsets)
+        _, _, text, begin, end, h = _paragraphs(rows, data, offsets)
         met = np.flatnonzero(in_bitmap(bitmap.value, text))
         if len(met):
             _, one = np.unique(text[met], return_index=True)
             met = met[one]
-            at, own = _inside(edge[met], edge[met + 1] - edge[met])
-            yield pa.RecordBatch.from_arrays([pa.array(text[met].view(np.int64)), _distinct(shingles[at].view(np.int64), own)], ["id", "shingles"])
+            shingles, edge = _shingles(h, begin[met], end[met])
+            yield pa.RecordBatch.from_arrays([pa.array(text[met].view(np.int64)), _distinct(shingles.view(np.int64), edge)], ["id", "shingles"])
 
 
 def _similar(table: pa.Table, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -259,14 +260,14 @@ def repeated_passages(docs: DataFrame, least_words: int = 1) -> DataFrame:
     similar = components(grouped(rows).mapInArrow(_links, "a long, b long")).withColumnRenamed("id", "h")
 
     counts = parts.groupBy("h").agg(F.count("*").alias("n"))
-    classes = counts.where("n > 1").union(counts.where("n = 1").join(similar.select("h"), "h", "left_semi"))  # no other class can be repeated
-    labels = settled(classes.join(similar, "h", "left").select("h", F.coalesce("component", "h").alias("component"), "n"), "labels")
+    classes = counts.join(similar, "h", "left").where("n > 1 or component is not null")  # no other class can be repeated
+    labels = settled(classes.select("h", F.coalesce("component", "h").alias("component"), "n"), "labels")
     found = parts.mapInArrow(partial(_in_hashes, bitmap=hash_bitmap(labels, "h")), f"row long, doc_id {kind}, first_word long, end_word long, h long")
-    found = settled(spread_join(found, labels, "h", parts.count()).drop("h"), "found")
+    found = salted_join(found, labels, "h", parts.count()).drop("h")
     places = _islands(found, ["row", "component"], F.col("first_word") >= F.col("before")).groupBy("row", "doc_id", "component", "island").agg(F.min("first_word").alias("first_word"), F.max("end_word").alias("end_word"))
     places = settled(places.drop("island"), "places")
     first = places.groupBy("component").agg(F.min(F.struct("doc_id", "row", "first_word")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    repeated = spread_join(places, first, "component", places.count()).withColumn("kept", (F.col("first.row") == F.col("row")) & (F.col("first.first_word") == F.col("first_word")))
+    repeated = salted_join(places, first, "component", places.count()).withColumn("kept", (F.col("first.row") == F.col("row")) & (F.col("first.first_word") == F.col("first_word")))
     passages = _islands(repeated, ["row", "kept"], F.col("first_word") > F.col("before")).groupBy("row", "doc_id", "kept", "island").agg(F.min("first_word").alias("first_word"), F.max("end_word").alias("end_word"), F.min("first.doc_id").alias("component_id"))
     passages = passages.withColumn("n_words", F.col("end_word") - F.col("first_word")).where(F.col("n_words") >= least_words)
     return passages.select("doc_id", "first_word", "end_word", "n_words", "component_id", "kept")

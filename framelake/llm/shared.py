@@ -97,6 +97,20 @@ def spread_join(rows: DataFrame, small: DataFrame, key: str, total: int) -> Data
     return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(others, key))
 
 
+def salted_join(rows: DataFrame, small: DataFrame, key: str, total: int) -> DataFrame:
+    """As :func:`spread_join`, for rows that cost much to make: they are made once. A frequent key's row is repeated for each of its salts, which its rows take by their hash.
+
+    A key has a salt for each ``HOT_KEYS``-th of ``total`` rows, so salts are at most twice as many as keys and ``HOT_KEYS`` together.
+    """
+    salt, salts = free_names(rows, "salt", "salts")
+    often = max(100, total // HOT_KEYS)
+    dealt = small.withColumn(salts, F.ceil(F.col("n") / often).cast("int")).drop("n")
+    hot = F.broadcast(dealt.where(F.col(salts) > 1).select(key, salts))  # fewer than HOT_KEYS
+    salted = rows.join(hot, key, "left").withColumn(salt, F.pmod(F.xxhash64(*own_columns(rows)), F.coalesce(salts, F.lit(1))).cast("int")).drop(salts)
+    each = dealt.withColumn(salt, F.explode(F.sequence(F.lit(0), F.greatest(F.col(salts), F.lit(1)) - 1))).drop(salts)
+    return salted.join(each, [key, salt]).drop(salt)
+
+
 #: Bits of a bitmap of hashes that prefilters rows before an exact join: 2 MB, whatever the number of hashes.
 FILTER_BITS = 1 << 24
 
