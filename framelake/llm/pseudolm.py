@@ -8,11 +8,11 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framelake.llm.bytewords import ALNUM, LOWER, bounds, mixed, word_hashes, words
-from framelake.llm.shared import settled, steps
+from framelake.llm.shared import hash_bitmap, in_bitmap, settled, steps
 
 #: Output classes, and tokens in each. The commonest words have tokens of their own in the first half; all others share the rest by hash.
 CLASSES, PER_CLASS = 48, 48
@@ -24,6 +24,10 @@ REACH, WIDTH = 2, 32
 BATCH, RATE = 8192, 0.1
 #: Words of a part of the corpus that one network is trained on, words that are put in random order at once, and words in a row.
 PART, SHUFFLED, ROW = 1 << 20, 1 << 16, 4096
+#: Parts of the first wave of training; each later wave begins with the mean of the one before and has as many parts as all before it.
+FIRST_WAVE = 8
+#: Equal pieces beyond this number are dealt over all parts.
+EQUAL_PIECES = 64
 #: Parameters in a row that travels to the averaging, and networks that are summed before all are.
 CHUNK, TOGETHER = 4096, 64
 #: Words whose counts every scoring task has; rarer ones are joined.
@@ -62,8 +66,25 @@ def initial(seed: int = 3, totals: np.ndarray | None = None) -> dict[str, np.nda
     return out
 
 
-def packed(params: dict[str, np.ndarray]) -> np.ndarray:
-    return np.concatenate([params[k].ravel() for k in SHAPES])
+def _rows(shape: tuple[int, ...]) -> tuple[int, ...]:
+    """Shape of what is kept of a parameter's squared gradients between waves: one mean a vector, and one number a bias."""
+    return (*shape[:-1], 1) if shape[-1] == WIDTH else shape
+
+
+def packed(params: dict[str, np.ndarray], seen: dict[str, np.ndarray] | None = None) -> np.ndarray:
+    """Parameters, then the means of the squared gradients seen; where none were, a small number."""
+    kept = [np.full(_rows(s), 1e-4, np.float32) if seen is None else seen[k].mean(-1, keepdims=True) if _rows(s) != s else seen[k] for k, s in SHAPES.items()]
+    return np.concatenate([*(params[k].ravel() for k in SHAPES), *(x.ravel() for x in kept)]).astype(np.float32)
+
+
+def _seen(flat: np.ndarray) -> dict[str, np.ndarray]:
+    """Squared gradients from the end of :func:`packed` parameters."""
+    out, at = {}, sum(int(np.prod(s)) for s in SHAPES.values())
+    for k, s in SHAPES.items():
+        size = int(np.prod(_rows(s)))
+        out[k] = np.broadcast_to(flat[at : at + size].reshape(_rows(s)), s).astype(np.float32)
+        at += size
+    return out
 
 
 def unpacked(flat: np.ndarray) -> dict[str, np.ndarray]:
@@ -197,7 +218,7 @@ class Trainer:
 
     def __init__(self, start: np.ndarray, seed: int) -> None:
         self.params, self.rng, self.n = unpacked(start), np.random.default_rng(seed), 0
-        self.seen = {k: np.full_like(v, 1e-4) for k, v in self.params.items()}
+        self.seen = _seen(start)
         self.held: list[tuple[np.ndarray, int, int]] = []
         self.words = 0
 
@@ -234,7 +255,7 @@ def _trained(batches: Iterator[pa.RecordBatch], shared: Broadcast, seed: int) ->
     def told() -> Iterator[pa.RecordBatch]:
         trainer.train()
         if trainer.n:
-            flat = packed(trainer.params)
+            flat = packed(trainer.params, trainer.seen)
             blocks = [flat[i : i + CHUNK] for i in range(0, len(flat), CHUNK)]
             columns = [pa.array([now // TOGETHER] * len(blocks), pa.int64()), pa.array(range(len(blocks)), pa.int32()), pa.array([trainer.n] * len(blocks), pa.int64()), pa.array(blocks, pa.list_(pa.float32()))]
             yield pa.RecordBatch.from_arrays(columns, ["group", "block", "n", "v"])
@@ -280,13 +301,39 @@ def shared_totals(counts: DataFrame, known: np.ndarray) -> np.ndarray:
     return out
 
 
-def fit(docs: DataFrame, counts: DataFrame, seed: int = 3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _by_place(batches: Iterator[pa.RecordBatch], bitmap: Broadcast, inside: bool) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield batch.filter(pa.array(in_bitmap(bitmap.value, batch.column("place").to_numpy().view(np.uint64)) == inside))
+
+
+def _spread(pieces: DataFrame, wave: Column, parts: int) -> DataFrame:
+    """``pieces`` with those that are equal many times dealt over all parts, each copy by its number, so that no part has them all.
+
+    Equal pieces are counted with map-side aggregation and made anew from their number, in rows of 1024 first, so none meet in one task. Others that
+    pass the bitmap are counted with them and stay where they were.
+    """
+    many = settled(pieces.groupBy("place").count().where(F.col("count") > EQUAL_PIECES), "equalpieces")
+    if many.isEmpty():
+        return pieces
+    bitmap, columns = hash_bitmap(many, "place"), pieces.columns
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema)
+    own, others = (pieces.mapInArrow(partial(_by_place, bitmap=bitmap, inside=x), kinds) for x in (True, False))
+    chunks = own.groupBy(*columns).count().withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("count") - 1) / 1024))))
+    each = F.sequence(F.col("chunk") * 1024, F.least(F.col("count"), (F.col("chunk") + 1) * 1024) - 1)
+    copies = chunks.repartition("place", "chunk").withColumn("copy", F.explode(each))
+    part = F.when(F.col("copy") == 0, F.col("part")).otherwise(F.pmod(F.xxhash64("place", "copy"), F.lit(parts)))
+    return others.unionByName(copies.withColumn("part", part).withColumn("wave", wave).select(columns))
+
+
+def fit(docs: DataFrame, counts: DataFrame, seed: int = 3, most_waves: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(sorted hashes of the words with own tokens, their tokens, parameters) learned from all texts of ``docs`` (doc_id, text), whose words ``counts`` has.
 
-    Texts are cut into pieces, and pieces dealt by the hash of their id and text into parts of about ``PART`` words; the number of parts follows
-    from the words alone, so the result doesn't depend on how the table is split. A network is trained on each part from a common start,
-    predicting every position with the words around it as context, and the networks are averaged, in groups first, by how many positions
-    they predicted. The network's size is fixed; what is trained and averaged grows with the input.
+    Texts are cut into pieces, and pieces dealt by the hash of their id and text into parts of about ``PART`` words, those of rows that are equal
+    many times by their number too; the number of parts follows from the words alone, so the result doesn't depend on how the table is split.
+    Parts are trained in waves, each as large as all before it: a network is trained on each part of a wave from a common start, predicting every position with the
+    words around it as context, the networks are averaged, in groups first, by how many positions they predicted, and the next wave starts
+    from the mean, with step sizes that heed the gradients seen so far. So every position is predicted once, and more text goes on
+    improving the network. Its size is fixed. ``most_waves`` ends sooner; with 0 only words' shares are learned.
     """
     known, n = vocabulary(counts)
     order = np.argsort(known)
@@ -295,17 +342,31 @@ def fit(docs: DataFrame, counts: DataFrame, seed: int = 3) -> tuple[np.ndarray,
     start = packed(initial(seed, totals))
     shared = docs.sparkSession.sparkContext.broadcast((known[order], order, start))  # of a fixed size
     parts = max(1, -(-(counts.agg(F.sum("n")).first()[0] or 0) // PART))
+    edges = [0, FIRST_WAVE]
+    while edges[-1] < parts:
+        edges.append(2 * edges[-1])
+    wave = sum(((F.col("part") >= e).cast("int") for e in edges[1:-1]), F.lit(0))
     dealt = docs.select("text", F.xxhash64("doc_id", "text").alias("key")).mapInArrow(partial(_dealt, shared=shared, parts=parts), "part long, place long, lead int, trail int, tokens binary")
-    networks = dealt.repartition(2 * parts, "part").sortWithinPartitions("part", "place").mapInArrow(partial(_trained, shared=shared, seed=seed), "group long, block int, n long, v array<float>")
-    sums = settled(networks, "networks").repartition("group", "block").mapInArrow(_summed, "block int, n long, v array<float>")
-    mean = sums.repartition("block").mapInArrow(_summed, "block int, n long, v array<float>").toPandas().sort_values("block")
-    return known[order], order, np.concatenate([np.asarray(v, np.float32) for v in mean["v"]]) if len(mean) else start
+    pieces = _spread(settled(dealt.withColumn("wave", wave), "pieces", by="wave"), wave, parts)
+    sums = "block int, n long, v array<float>"
+    for i, (a, b) in list(enumerate(zip(edges[:-1], edges[1:], strict=True)))[:most_waves]:
+        at = docs.sparkSession.sparkContext.broadcast((known[order], order, start))
+        of_wave = pieces.where(F.col("wave") == i).drop("wave").repartition(2 * (min(b, parts) - a), "part").sortWithinPartitions("part", "place")
+        networks = of_wave.mapInArrow(partial(_trained, shared=at, seed=seed + i), f"group long, {sums}")
+        mean = networks.repartition("group", "block").mapInArrow(_summed, sums).repartition("block").mapInArrow(_summed, sums).toPandas().sort_values("block")  # one network
+        start = np.concatenate([np.asarray(v, np.float32) for v in mean["v"]]) if len(mean) else start
+    return known[order], order, packed(unpacked(start))[: sum(int(np.prod(s)) for s in SHAPES.values())]
 
 
 def word_shares(counts: DataFrame, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """(sorted hashes of up to ``HEAD`` frequent words, logs of their counts, log of each shared token's count, the least count of these words)."""
-    by_count = sorted(((r[0], r[1]) for r in counts.groupBy(F.least("n", F.lit(1 << 20)).alias("n")).count().collect()), reverse=True)  # 2^20 rows at most, in fact few
-    least, room = (1 << 20) + 1, HEAD
+    """(sorted hashes of up to ``HEAD`` frequent words, logs of their counts, log of each shared token's count, the least count of these words).
+
+    The least count is found among counts of which only the first ten binary digits are told apart, so fewer than 2^16 come to the driver.
+    """
+    digits = F.greatest(F.length(F.bin("n")) - 10, F.lit(0))
+    rounded = F.expr("shiftleft(shiftright(n, digits), digits)")
+    by_count = sorted(((r[0], r[1]) for r in counts.withColumn("digits", digits.cast("int")).groupBy(rounded.alias("n")).count().collect()), reverse=True)
+    least, room = (1 << 63) - 1, HEAD
     for n, many in by_count:
         if many > room:
             break
@@ -337,16 +398,8 @@ def _scored(batches: Iterator[pa.RecordBatch], shared: Broadcast) -> Iterator[pa
         yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(n), pa.array(total), lists], ["doc_id", "n_tokens", "log_likelihood", "rare"])
 
 
-def scored(docs: DataFrame, seed: int = 3) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_tokens, log_likelihood (summed conditional log-probabilities of all words) and mean_log_likelihood.
-
-    The commonest words have tokens of their own; the others share tokens by hash, and a word's probability is its token's times the word's share
-    of the token's count in the corpus, so that no rare word passes for its token. Whole texts are scored by a network fitted on
-    the same table. Texts that are null or have no word have 0 tokens, log-likelihood 0 and no mean. Long texts are trained on in pieces that
-    overlap by their context. Repeated rows are scored alike; an empty table gives no rows.
-    """
-    counts = word_counts(docs)
-    model = fit(docs, counts, seed)
+def scored_by(docs: DataFrame, counts: DataFrame, model: tuple[np.ndarray, np.ndarray, np.ndarray]) -> DataFrame:
+    """As :func:`scored`, by a network that :func:`fit` gave, and the word counts that it was given; words not counted count as though they stood once."""
     shares = word_shares(counts, model[0])
     shared = docs.sparkSession.sparkContext.broadcast((model, shares))  # the network's size and HEAD words
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -357,3 +410,23 @@ def scored(docs: DataFrame, seed: int = 3) -> DataFrame:
         more = rare.groupBy("row").agg(F.sum(F.log("n")).alias("more"))
         out = out.join(more, "row", "left").withColumn("log_likelihood", F.col("log_likelihood") + F.coalesce("more", F.lit(0.0)))
     return out.select("doc_id", "n_tokens", "log_likelihood", F.try_divide("log_likelihood", F.nullif("n_tokens", F.lit(0))).alias("mean_log_likelihood"))
+
+
+def scored(docs: DataFrame, seed: int = 3) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_tokens, log_likelihood (summed conditional log-probabilities of all words) and mean_log_likelihood.
+
+    The commonest words have tokens of their own; the others share tokens by hash, and a word's probability is its token's times the word's share
+    of the token's count in the corpus, so that no rare word passes for its token. Whole texts are scored by a network fitted on
+    the same table. Texts that are null or have no word have 0 tokens, log-likelihood 0 and no mean. Long texts are trained on in pieces that
+    overlap by their context. Repeated rows are scored alike; rows with a null id too; an empty table gives no rows.
+    """
+    counts = word_counts(docs)
+    return scored_by(docs, counts, fit(docs, counts, seed))
+
+
+def held_out(docs: DataFrame, seed: int = 3, of: int = 10, most_waves: int | None = None) -> float:
+    """The mean log-likelihood of a word of the rows whose text's hash is divisible by ``of``, scored by a network that is fitted on the others; equal texts stand on one side."""
+    fold = F.pmod(F.xxhash64("text", F.lit(seed)), F.lit(of))
+    learned, told = docs.where(fold != 0), docs.where(fold == 0)
+    counts = word_counts(learned)
+    return scored_by(told, counts, fit(learned, counts, seed, most_waves)).agg(F.sum("log_likelihood") / F.sum("n_tokens")).first()[0]

@@ -36,17 +36,17 @@ def _own_folder(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/framelake-{spark.sparkContext.applicationId}"
 
 
-def settled_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """``df`` written once as Parquet into the application's part of the shared folder and read again, and the table's path for :func:`let_go`."""
+def settled_at(df: DataFrame, name: str, by: str | None = None) -> tuple[DataFrame, str]:
+    """``df`` written once as Parquet into the application's part of the shared folder, in a folder for each value of ``by`` if given, and read again, and the table's path for :func:`let_go`."""
     spark = df.sparkSession
     path = f"{_own_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").parquet(path, partitionBy=by)
     return spark.read.schema(df.schema).parquet(path), path
 
 
-def settled(df: DataFrame, name: str) -> DataFrame:
+def settled(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """``df`` written once and read again: later uses, retries and lost executors read the same rows."""
-    return settled_at(df, name)[0]
+    return settled_at(df, name, by)[0]
 
 
 def let_go(spark: SparkSession, path: str) -> None:

@@ -62,3 +62,56 @@ def test_scores_equal_plain_loops(spark, monkeypatch):
         assert got[i].n_tokens == len(words) and abs(got[i].log_likelihood - total) < 1e-3 * (1 + len(words))
         assert (got[i].mean_log_likelihood is None) == (not words)
         assert abs(got[i].log_likelihood - again[i].log_likelihood) < 1e-3 * (1 + len(words))
+
+
+def test_equal_pieces_are_dealt_alike_over_all_parts(spark, monkeypatch):
+    monkeypatch.setattr(pseudolm, "PART", 4000)
+    monkeypatch.setattr(pseudolm, "FIRST_WAVE", 2)
+    text = "stone river cloud " * 30
+    rows = [(1, text)] * 400 + [(i, f"leaf {i} tree") for i in range(2, 400)] + [(None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    given = {}
+    for split in (1, 5):
+        seen = []
+        old = pseudolm._spread
+        monkeypatch.setattr(pseudolm, "_spread", lambda *a: seen.append(old(*a)) or seen[-1])
+        pseudolm.fit(docs.repartition(split), pseudolm.word_counts(docs))
+        monkeypatch.setattr(pseudolm, "_spread", old)
+        given[split] = Counter((r.part, r.wave, r.place, bytes(r.tokens)) for r in seen[0].collect())
+    assert given[1] == given[5] and given[1].total() == 400 + 398
+    hot, size = Counter(), Counter()
+    for (part, wave, _, tokens), n in given[1].items():
+        hot[part] += n * (len(tokens) == 180)
+        size[part] += n
+        assert wave == (part >= 2) + (part >= 4) + (part >= 8) + (part >= 16)
+    assert len(size) > 5 and max(hot.values()) < 400 / 3
+
+
+def test_more_waves_predict_held_out_texts_better(spark, monkeypatch):
+    monkeypatch.setattr(pseudolm, "PART", 6000)
+    monkeypatch.setattr(pseudolm, "FIRST_WAVE", 2)
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(40)]
+    after = {w: rng.sample(words, 2) for w in words}
+
+    def text() -> str:
+        out = [rng.choice(words)]
+        while len(out) < 80:
+            out.append(rng.choice(after[out[-1]]))
+        return " ".join(out)
+
+    texts = [text() for _ in range(1500)]
+    n = Counter(w for t in texts for w in t.split())
+    unigram = sum(k * math.log(k / n.total()) for k in n.values()) / n.total()
+    docs = spark.createDataFrame(enumerate(texts), "doc_id long, text string")
+    none, one, all_ = (pseudolm.held_out(docs, most_waves=n) for n in (0, 1, None))
+    assert abs(none - unigram) < 0.1 and one > none + 0.1 and all_ > one + 0.1, (unigram, none, one, all_)
+
+
+def test_words_whose_counts_are_large_and_many_are_not_all_collected(spark, monkeypatch):
+    monkeypatch.setattr(pseudolm, "HEAD", 10)
+    counts = spark.range(50).selectExpr("id h", "if(id < 4, 5000000000 + id, 3000000) n")
+    head, logs, _, least = pseudolm.word_shares(counts, np.zeros(0, np.uint64))
+    assert sorted(head.tolist()) == [0, 1, 2, 3] and 3000000 < least <= 5000000000
+    everything = pseudolm.word_shares(counts.where("h >= 4"), np.zeros(0, np.uint64))
+    assert not len(everything[0]) and everything[3] > 3000000
