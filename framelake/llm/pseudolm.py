@@ -30,6 +30,10 @@ FIRST_WAVE = 8
 EQUAL_PIECES = 64
 #: Parameters in a row that travels to the averaging, and networks that are summed before all are.
 CHUNK, TOGETHER = 4096, 64
+#: Rows of a group that are added one after the other in a round of summing.
+ADDED = 16
+#: Positions that are scored in one vectorised step.
+SCORED = 1 << 14
 #: Words whose counts every scoring task has; rarer ones are joined.
 HEAD = 1 << 20
 
@@ -131,66 +135,108 @@ def _context(token: np.ndarray, text_no: np.ndarray, at: np.ndarray) -> list[np.
 
 
 def _hidden(params: dict[str, np.ndarray], context: list[np.ndarray]) -> np.ndarray:
-    total = params["hidden"] + params["context"][0][context[0]]
+    total = params["context"][0].take(context[0], 0)
     for p, c in zip(params["context"][1:], context[1:], strict=True):
-        total += p[c]
+        total += p.take(c, 0)
+    total += params["hidden"]
     return np.tanh(total, out=total)
 
 
-def _odds(weights: np.ndarray, bias: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """Unnormalised probabilities, a column for each row of ``h``."""
-    x = weights @ h.T
-    x += bias[:, None]
+def _odds(x: np.ndarray) -> np.ndarray:
+    """Unnormalised probabilities of logits ``x``, a column for each position, in their place."""
     x -= x.max(0)
     return np.exp(x, out=x)
 
 
-def _by_class(group: np.ndarray) -> tuple[np.ndarray, list[int]]:
+def _class_odds(params: dict[str, np.ndarray], h: np.ndarray) -> np.ndarray:
+    x = params["classes"] @ h.T
+    x += params["class_bias"][:, None]
+    return _odds(x)
+
+
+def _token_odds(params: dict[str, np.ndarray], h: np.ndarray, spans: list[tuple[int, int, int]]) -> np.ndarray:
+    """Odds of the tokens of each position's own class; positions of a class stand together."""
+    x = np.empty((PER_CLASS, len(h)), h.dtype)
+    for c, a, b in spans:
+        np.matmul(params["tokens"][c], h[a:b].T, out=x[:, a:b])
+        x[:, a:b] += params["token_bias"][c][:, None]
+    return _odds(x)
+
+
+def _by_class(group: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """(order in which positions of a class stand together, (class, begin, end) of those that occur)."""
     order = np.argsort(group.astype(np.int16), kind="stable")
-    return order, np.searchsorted(group[order], np.arange(CLASSES + 1)).tolist()
+    edge = np.searchsorted(group[order], np.arange(CLASSES + 1)).tolist()
+    return order, [(c, a, b) for c, (a, b) in enumerate(zip(edge[:-1], edge[1:], strict=True)) if a < b]
 
 
 def log_probabilities(params: dict[str, np.ndarray], token: np.ndarray, context: list[np.ndarray]) -> np.ndarray:
     """Natural log of each token's probability given its context: its class's times its own within the class."""
-    order, edge = _by_class(token // PER_CLASS)
-    h, group, within = _hidden(params, context)[order], token[order] // PER_CLASS, token[order] % PER_CLASS
-    column = np.arange(len(token))
-    odds = _odds(params["classes"], params["class_bias"], h)
+    group = token // PER_CLASS
+    order, spans = _by_class(group)
+    group, within, column = group[order], (token - PER_CLASS * group)[order], np.arange(len(token))
+    h = _hidden(params, [c[order] for c in context])
+    odds = _class_odds(params, h)
     logs = np.log(odds[group, column] / odds.sum(0)).astype(np.float64)
-    for c, (a, b) in enumerate(zip(edge[:-1], edge[1:], strict=True)):
-        if a < b:
-            odds = _odds(params["tokens"][c], params["token_bias"][c], h[a:b])
-            logs[a:b] += np.log(odds[within[a:b], column[: b - a]] / odds.sum(0))
+    odds = _token_odds(params, h, spans)
+    logs += np.log(odds[within, column] / odds.sum(0))
     out = np.empty(len(token))
     out[order] = logs
     return out
 
 
+def _row_sums(x: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Sums of the rows ``x[at]`` of consecutive groups of ``size`` rows, none empty; the rows of all groups that have an n-th one are added at once, ``ADDED`` of a group in a round."""
+    while True:
+        chunks = -(-size // ADDED)
+        edge = np.cumsum(chunks)
+        nth = np.arange(edge[-1]) - np.repeat(edge - chunks, chunks)
+        begin = np.repeat(np.cumsum(size) - size, chunks) + ADDED * nth
+        left = np.minimum(np.repeat(size, chunks) - ADDED * nth, ADDED)
+        order = np.argsort((-left).astype(np.int16), kind="stable")  # longest first
+        begin, many = begin[order], np.cumsum(np.bincount(left, minlength=ADDED + 1)[::-1])[::-1]
+        total = x.take(at[begin], 0)
+        for r in range(1, ADDED):
+            if not (m := int(many[r + 1])):
+                break
+            total[:m] += x.take(at[begin[:m] + r], 0)
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        if len(chunks) == len(order):
+            return total.take(place, 0)
+        x, at, size = total, place, chunks
+
+
 def gradient(params: dict[str, np.ndarray], token: np.ndarray, context: list[np.ndarray]) -> dict[str, np.ndarray]:
     """Of the mean log-probability."""
-    order, edge = _by_class(token // PER_CLASS)
-    context, group, within = [c[order] for c in context], token[order] // PER_CLASS, token[order] % PER_CLASS
+    group = token // PER_CLASS
+    order, spans = _by_class(group)
+    context, group, within = [c[order] for c in context], group[order], (token - PER_CLASS * group)[order]
     h, column, n = _hidden(params, context), np.arange(len(token)), np.float32(len(token))
-    d = _odds(params["classes"], params["class_bias"], h)
-    d /= -n * d.sum(0)
+    d = _class_odds(params, h)
+    d *= -1 / (n * d.sum(0))
     d[group, column] += 1 / n
+    e = _token_odds(params, h, spans)
+    e *= -1 / (n * e.sum(0))
+    e[within, column] += 1 / n
     out = {"classes": d @ h, "class_bias": d.sum(1), "tokens": np.zeros_like(params["tokens"]), "token_bias": np.zeros_like(params["token_bias"])}
-    dh = d.T @ params["classes"]
-    for c, (a, b) in enumerate(zip(edge[:-1], edge[1:], strict=True)):
-        if a < b:
-            e = _odds(params["tokens"][c], params["token_bias"][c], h[a:b])
-            e /= -n * e.sum(0)
-            e[within[a:b], column[: b - a]] += 1 / n
-            out["tokens"][c], out["token_bias"][c] = e @ h[a:b], e.sum(1)
-            dh[a:b] += e.T @ params["tokens"][c]
-    dh *= 1 - h * h
+    dh = np.empty_like(h)
+    for c, a, b in spans:
+        np.matmul(e[:, a:b], h[a:b], out=out["tokens"][c])
+        out["token_bias"][c] = e[:, a:b].sum(1)
+        np.matmul(e[:, a:b].T, params["tokens"][c], out=dh[a:b])
+    dh += d.T @ params["classes"]
+    h *= h
+    dh *= np.subtract(1, h, out=h)
     out["hidden"] = dh.sum(0)
-    out["context"] = np.zeros_like(params["context"])
-    for p, c in enumerate(context):  # rows of one token side by side, so that they are summed at once
-        order = np.argsort(c.astype(np.int16), kind="stable")
-        at = c[order]
-        first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
-        out["context"][p][at[first]] = np.add.reduceat(dh[order], first, axis=0)
+    # rows of one place and token side by side, so that they are summed together
+    row = np.concatenate([c + p * (TOKENS + 1) for p, c in enumerate(context)])
+    order = np.argsort(row.astype(np.int16), kind="stable")
+    row = row[order]
+    first = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
+    sums = np.zeros((len(context) * (TOKENS + 1), WIDTH), h.dtype)
+    sums[row[first]] = _row_sums(dh, np.tile(column, len(context))[order], np.diff(np.append(first, len(row))))
+    out["context"] = sums.reshape(params["context"].shape)
     return out
 
 
@@ -383,8 +429,8 @@ def _scored(batches: Iterator[pa.RecordBatch], shared: Broadcast) -> Iterator[pa
     for rows, data, offsets in steps(batches):
         token, text_no, h = _tokens(data, offsets, known, number)
         logs = np.zeros(len(token))
-        for i in range(0, len(token), 32768):
-            at = np.arange(i, min(i + 32768, len(token)))
+        for i in range(0, len(token), SCORED):
+            at = np.arange(i, min(i + SCORED, len(token)))
             logs[at] = log_probabilities(params, token[at], _context(token, text_no, at))
         rare = np.flatnonzero(token >= OWN)
         listed, at = _found(h[rare], head)
