@@ -47,13 +47,23 @@ def mixed(h: np.ndarray) -> np.ndarray:
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each word's bytes, the same in every batch and process."""
     size = ends - starts
-    h = size.astype(np.uint64) * MULTIPLIER
-    left, k = np.flatnonzero(size > 0), 0
-    while len(left):
-        h[left] = (h[left] ^ data[starts[left] + k]) * np.uint64(0x100000001B3)
+    short = size.astype(np.int16) if not len(size) or size.max() < 1 << 15 else size
+    order = np.argsort(short, kind="stable")  # shortest first, so that the words with a k-th byte are the last ones
+    at, left = starts[order], size[order]
+    h = left.astype(np.uint64) * MULTIPLIER
+    k = 0
+    while True:
+        m = int(np.searchsorted(left, k, "right"))
+        if m >= len(h):
+            break
+        rest = h[m:]
+        rest ^= data.take(at[m:])
+        rest *= np.uint64(0x100000001B3)
+        at[m:] += 1
         k += 1
-        left = left[size[left] > k]
-    return mixed(h)
+    out = np.empty(len(h), np.uint64)
+    out[order] = mixed(h)
+    return out
 
 
 def gram_hashes(h: np.ndarray, k: int) -> np.ndarray:

@@ -25,6 +25,8 @@ NEAR = 5
 LEAST_SHINGLES = math.ceil(SIMILAR / (1 - SIMILAR) - 1e-9)
 #: Shingles that are compared in one vectorised step.
 COMPARED = 1 << 21
+#: 64-bit words of parities by which most pairs that aren't similar are known before they are compared.
+PARITIES = 4
 #: Paragraphs of a band that are compared with all others in one task.
 COMPARED_ANCHORS = 512
 
@@ -37,6 +39,11 @@ def tune_bands(similar: float = SIMILAR, recall: float = RECALL, most_bands: int
     return math.ceil(math.log(1 - recall) / math.log(1 - similar**rows)), rows
 
 
+def _lines(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """How many line ends stand before each word; ``starts`` ascend."""
+    return np.cumsum(np.bincount(np.searchsorted(starts, np.flatnonzero(data == 10)), minlength=len(starts))[: len(starts)])
+
+
 def cut(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, text_no: np.ndarray, h: np.ndarray) -> np.ndarray:
     """Numbers of the words at which paragraphs begin.
 
@@ -46,9 +53,9 @@ def cut(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, text_no: np.ndar
     n = len(h)
     if not n:
         return np.zeros(0, np.int64)
-    lines = np.concatenate([[0], np.cumsum(data == 10)])
+    lines = _lines(data, starts)
     new = np.ones(n, bool)
-    new[1:] = (text_no[1:] != text_no[:-1]) | (lines[starts[1:]] != lines[starts[:-1]])
+    new[1:] = (text_no[1:] != text_no[:-1]) | (lines[1:] != lines[:-1])
     line = np.cumsum(new)
     pair = np.full(n, np.iinfo(np.uint64).max, np.uint64)
     pair[:-1] = mixed(h[:-1] * np.uint64(3) + h[1:])
@@ -128,7 +135,7 @@ def _paragraphs(rows: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray) ->
     if not len(h):
         none = np.zeros(0, np.int64)
         return none, none, h, none, none, h
-    line = np.concatenate([[0], np.cumsum(data == 10)])[starts]
+    line = _lines(data, starts)
     stretches, smaller = [(begin, np.append(begin[1:], len(h)))], begin
     for apart in (1, 2):
         new = np.flatnonzero(np.append(True, (text_no[1:] != text_no[:-1]) | (line[1:] - line[:-1] >= apart)))
@@ -149,17 +156,21 @@ def _signed(batches: Iterator[pa.RecordBatch], bands: int, per_band: int) -> Ite
     seeds = mixed(np.arange(1, bands * per_band + 1, dtype=np.uint64))
     for rows, data, offsets in steps(batches):
         of, first, text, begin, end, h = _paragraphs(rows, data, offsets)
-        shingles, edge = _shingles(h, begin, end)
-        keys = np.zeros((len(of), bands), np.uint64)
-        if len(of):
+        # of equal paragraphs of a step one has the band keys
+        one = np.sort(np.unique(text, return_index=True)[1])
+        shingles, edge = _shingles(h, begin[one], end[one])
+        keys = np.zeros((len(one), bands), np.uint64)
+        if len(one):
             for b in range(bands):
-                key = np.full(len(of), b, np.uint64)
+                key = np.full(len(one), b, np.uint64)
                 for r in range(per_band):
                     key = mixed(key * np.uint64(31) + np.minimum.reduceat((shingles ^ seeds[b * per_band + r]) * np.uint64(0x9E3779B97F4A7C15), edge[:-1]))
                 keys[:, b] = key
         # a different paragraph can be similar only if one of the two has enough shingles
         able = np.diff(edge) >= LEAST_SHINGLES
-        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(able * bands)]).astype(np.int32)), pa.array(keys[able].ravel().view(np.int64)))
+        size = np.zeros(len(of), np.int64)
+        size[one] = able * bands
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(keys[able].ravel().view(np.int64)))
         no = rows.column("row").to_numpy()
         yield pa.RecordBatch.from_arrays([pa.array(no[of]), rows.column("doc_id").take(pa.array(of)), pa.array(first), pa.array(first + end - begin), pa.array(text.view(np.int64)), lists], ["row", "doc_id", "first_word", "end_word", "h", "bands"])
 
@@ -189,6 +200,26 @@ def _wanted_shingles(batches: Iterator[pa.RecordBatch], bitmap: Broadcast) -> It
             yield pa.RecordBatch.from_arrays([pa.array(text[met].view(np.int64)), _distinct(shingles.view(np.int64), edge)], ["id", "shingles"])
 
 
+def _parities(table: pa.Table) -> np.ndarray:
+    """For each shingle set, of how many shingles each of ``64 * PARITIES`` remainders is: even or odd, a bit each."""
+    lists = table.column("shingles").combine_chunks()
+    flat = lists.flatten().to_numpy().view(np.uint64)
+    out = np.zeros(len(lists) * PARITIES, np.uint64)
+    at = np.repeat(np.arange(len(lists)) * PARITIES, pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False))
+    at += ((flat >> np.uint64(6)) % np.uint64(PARITIES)).astype(np.int64)
+    np.bitwise_xor.at(out, at, np.uint64(1) << (flat & np.uint64(63)))
+    return out.reshape(-1, PARITIES)
+
+
+def _unlike(table: pa.Table, parities: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Pairs of sets that can't be similar: as many shingles as parities differ are in one of the two only, and similar sets have a ninth of all such at most."""
+    size = pa.compute.list_value_length(table.column("shingles")).to_numpy().astype(np.int64)
+    apart = np.zeros(len(i), np.int64)
+    for word in range(PARITIES):
+        apart += np.bitwise_count(parities[i, word] ^ parities[j, word])
+    return 9 * apart > size[i] + size[j]
+
+
 def _similar(table: pa.Table, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Which pairs of shingle sets (sorted lists) have a Jaccard index of ``SIMILAR`` or more, exactly."""
     lists = table.column("shingles").combine_chunks()
@@ -212,7 +243,17 @@ def _similar(table: pa.Table, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 
 
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    yield from linked_forest(batches, _similar, 1 << 17)
+    told: tuple[pa.Table | None, np.ndarray | None] = None, None
+
+    def alike(table: pa.Table, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        nonlocal told
+        if told[0] is not table:
+            told = table, _parities(table)
+        out = ~_unlike(table, told[1], i, j)
+        out[out] = _similar(table, i[out], j[out])
+        return out
+
+    yield from linked_forest(batches, alike, 1 << 17)
 
 
 def _islands(rows: DataFrame, keys: list[str], apart: Column) -> DataFrame:
