@@ -27,6 +27,10 @@ LEAST_SHINGLES = math.ceil(SIMILAR / (1 - SIMILAR) - 1e-9)
 COMPARED = 1 << 21
 #: 64-bit words of parities by which most pairs that aren't similar are known before they are compared.
 PARITIES = 4
+#: The columns of these.
+PARITY = [f"parity{i}" for i in range(PARITIES)]
+#: A band key has 64 bits less these; in one number with it, so many bits of a class's hash tell classes apart but for one pair in 2^24, far fewer than the bands miss.
+CLASS_BITS = 24
 #: Paragraphs of a band that are compared with all others in one task.
 COMPARED_ANCHORS = 512
 
@@ -152,36 +156,53 @@ def _paragraphs(rows: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray) ->
     return text_no[begin], begin - first[text_no[begin]], text, begin, end, h
 
 
-def _signed(batches: Iterator[pa.RecordBatch], bands: int, per_band: int) -> Iterator[pa.RecordBatch]:
-    seeds = mixed(np.arange(1, bands * per_band + 1, dtype=np.uint64))
+def _banded(text: np.ndarray, begin: np.ndarray, end: np.ndarray, h: np.ndarray, bands: int, per_band: int) -> tuple[np.ndarray, ...]:
+    """(one of each class of equal paragraphs, but for those too short to be similar to others; their shingles, where each one's begin, with the end; their band keys, a row each)."""
+    one = np.sort(np.unique(text, return_index=True)[1])
+    # a different paragraph can be similar only if one of the two has enough shingles
+    one = one[end[one] - begin[one] - SHINGLE + 1 >= LEAST_SHINGLES]
+    shingles, edge = _shingles(h, begin[one], end[one])
+    keys = np.empty((len(one), bands), np.uint64)
+    if len(one):
+        seeds = mixed(np.arange(1, bands * per_band + 1, dtype=np.uint64))
+        for b in range(bands):
+            key = np.full(len(one), b, np.uint64)
+            for r in range(per_band):
+                key = mixed(key * np.uint64(31) + np.minimum.reduceat((shingles ^ seeds[b * per_band + r]) * np.uint64(0x9E3779B97F4A7C15), edge[:-1]))
+            keys[:, b] = key
+    return one, shingles, edge, keys >> np.uint64(CLASS_BITS)
+
+
+def _told(batches: Iterator[pa.RecordBatch], bands: int, per_band: int) -> Iterator[pa.RecordBatch]:
+    """Band keys, each with bits of a class's hash: of a key's classes in a step the least and the greatest, which tell whether there are several."""
     for rows, data, offsets in steps(batches):
-        of, first, text, begin, end, h = _paragraphs(rows, data, offsets)
-        # of equal paragraphs of a step one has the band keys
-        one = np.sort(np.unique(text, return_index=True)[1])
-        shingles, edge = _shingles(h, begin[one], end[one])
-        keys = np.zeros((len(one), bands), np.uint64)
-        if len(one):
-            for b in range(bands):
-                key = np.full(len(one), b, np.uint64)
-                for r in range(per_band):
-                    key = mixed(key * np.uint64(31) + np.minimum.reduceat((shingles ^ seeds[b * per_band + r]) * np.uint64(0x9E3779B97F4A7C15), edge[:-1]))
-                keys[:, b] = key
-        # a different paragraph can be similar only if one of the two has enough shingles
-        able = np.diff(edge) >= LEAST_SHINGLES
-        size = np.zeros(len(of), np.int64)
-        size[one] = able * bands
-        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(keys[able].ravel().view(np.int64)))
-        no = rows.column("row").to_numpy()
-        yield pa.RecordBatch.from_arrays([pa.array(no[of]), rows.column("doc_id").take(pa.array(of)), pa.array(first), pa.array(first + end - begin), pa.array(text.view(np.int64)), lists], ["row", "doc_id", "first_word", "end_word", "h", "bands"])
+        _, _, text, begin, end, h = _paragraphs(rows, data, offsets)
+        one, _, _, keys = _banded(text, begin, end, h, bands, per_band)
+        told = np.sort(((keys << np.uint64(CLASS_BITS)) | (text[one] >> np.uint64(64 - CLASS_BITS))[:, None]).ravel())
+        key = told >> np.uint64(CLASS_BITS)
+        new = np.append(True, key[1:] != key[:-1])[: len(told)]
+        yield pa.RecordBatch.from_arrays([pa.array(told[new | np.append(new[1:], True)[: len(told)]].view(np.int64))], ["told"])
 
 
-def _in_bands(batches: Iterator[pa.RecordBatch], bitmap: Broadcast) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        lists = batch.column("bands")
-        size = pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False)
-        keys = lists.flatten().to_numpy()
-        met = in_bitmap(bitmap.value, keys.view(np.uint64))
-        yield pa.RecordBatch.from_arrays([pa.array(keys[met]), pa.array(np.repeat(batch.column("h").to_numpy(), size)[met])], ["bucket", "id"])
+def _placed(batches: Iterator[pa.RecordBatch], bands: int, per_band: int, bitmap: Broadcast) -> Iterator[pa.RecordBatch]:
+    """All paragraphs; one of each class in a step has those of its band keys that other classes may have too, and, if there are any, its parities and number of shingles."""
+    for rows, data, offsets in steps(batches):
+        of, first, text, begin, end, h = _paragraphs(rows, data, offsets)
+        one, shingles, edge, keys = _banded(text, begin, end, h, bands, per_band)
+        met = in_bitmap(bitmap.value, keys.ravel()).reshape(keys.shape)
+        size = np.zeros(len(of), np.int64)
+        size[one] = met.sum(1)
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(keys[met].view(np.int64)))
+        none = size == 0
+        some = np.flatnonzero(met.any(1))
+        at, inner = _inside(edge[some], np.diff(edge)[some])
+        sets = _distinct(shingles[at].view(np.int64), inner) if len(some) else pa.array([], pa.list_(pa.int64()))
+        n, parities = np.zeros(len(of), np.int32), np.zeros((len(of), PARITIES), np.uint64)
+        n[one[some]] = pa.compute.list_value_length(sets).to_numpy(zero_copy_only=False)
+        parities[one[some]] = _parities(sets)
+        columns = [pa.array(rows.column("row").to_numpy()[of]), rows.column("doc_id").take(pa.array(of)), pa.array(first), pa.array(first + end - begin), pa.array(text.view(np.int64)), lists, pa.array(n, mask=none)]
+        columns += [pa.array(np.ascontiguousarray(x).view(np.int64), mask=none) for x in parities.T]
+        yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "first_word", "end_word", "h", "bands", "n", *PARITY])
 
 
 def _in_hashes(batches: Iterator[pa.RecordBatch], bitmap: Broadcast) -> Iterator[pa.RecordBatch]:
@@ -200,9 +221,8 @@ def _wanted_shingles(batches: Iterator[pa.RecordBatch], bitmap: Broadcast) -> It
             yield pa.RecordBatch.from_arrays([pa.array(text[met].view(np.int64)), _distinct(shingles.view(np.int64), edge)], ["id", "shingles"])
 
 
-def _parities(table: pa.Table) -> np.ndarray:
+def _parities(lists: pa.ListArray) -> np.ndarray:
     """For each shingle set, of how many shingles each of ``64 * PARITIES`` remainders is: even or odd, a bit each."""
-    lists = table.column("shingles").combine_chunks()
     flat = lists.flatten().to_numpy().view(np.uint64)
     out = np.zeros(len(lists) * PARITIES, np.uint64)
     at = np.repeat(np.arange(len(lists)) * PARITIES, pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False))
@@ -211,9 +231,8 @@ def _parities(table: pa.Table) -> np.ndarray:
     return out.reshape(-1, PARITIES)
 
 
-def _unlike(table: pa.Table, parities: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+def _unlike(size: np.ndarray, parities: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Pairs of sets that can't be similar: as many shingles as parities differ are in one of the two only, and similar sets have a ninth of all such at most."""
-    size = pa.compute.list_value_length(table.column("shingles")).to_numpy().astype(np.int64)
     apart = np.zeros(len(i), np.int64)
     for word in range(PARITIES):
         apart += np.bitwise_count(parities[i, word] ^ parities[j, word])
@@ -242,14 +261,29 @@ def _similar(table: pa.Table, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return out
 
 
+def _may_link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of all sets whose parities and sizes don't rule out that they are similar to another of their band, as a forest."""
+    told: tuple[pa.Table | None, ...] = (None,)
+
+    def alike(table: pa.Table, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        nonlocal told
+        if told[0] is not table:
+            told = table, table.column("n").to_numpy().astype(np.int64), np.column_stack([table.column(c).to_numpy().view(np.uint64) for c in PARITY])
+        _, size, parities = told
+        return ~_unlike(size, parities, i, j) & (np.minimum(size[i], size[j]) >= SIMILAR * np.maximum(size[i], size[j]) - 1e-9)
+
+    yield from linked_forest(batches, alike, 1 << 17)
+
+
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    told: tuple[pa.Table | None, np.ndarray | None] = None, None
+    told: tuple[pa.Table | None, ...] = (None,)
 
     def alike(table: pa.Table, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         nonlocal told
         if told[0] is not table:
-            told = table, _parities(table)
-        out = ~_unlike(table, told[1], i, j)
+            lists = table.column("shingles").combine_chunks()
+            told = table, pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64), _parities(lists)
+        out = ~_unlike(told[1], told[2], i, j)
         out[out] = _similar(table, i[out], j[out])
         return out
 
@@ -278,32 +312,39 @@ def repeated_passages(docs: DataFrame, least_words: int = 1) -> DataFrame:
     """
     bands, per_band = tune_bands()
     kind = docs.schema["doc_id"].dataType.simpleString()
+    # band keys are by far the most of what there is to tell of a text: they are shuffled once, as one number each, written nowhere, and made anew where several classes have one
+    told = docs.select("text").mapInArrow(partial(_told, bands=bands, per_band=per_band), "told long")
+    bucket = F.shiftright("told", CLASS_BITS).bitwiseAND((1 << 64 - CLASS_BITS) - 1)
+    met = told.repartition(bucket).groupBy(bucket.alias("bucket")).agg(F.min("told").alias("a"), F.max("told").alias("b")).where("a <> b").select("bucket")
+    met, met_keys = settled_at(met, "bandkeys")
     own = docs.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id())
-    parts = own.mapInArrow(partial(_signed, bands=bands, per_band=per_band), f"row long, doc_id {kind}, first_word long, end_word long, h long, bands array<long>")
-    parts, written = settled_at(parts, "paragraphs")
-    # 32 bits of two classes tell them apart but for one pair in 2^32, far fewer than the bands miss
-    told = parts.select(F.explode("bands").alias("bucket"), F.shiftright("h", 32).cast("int").alias("h"))
-    met = told.groupBy("bucket").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select("bucket")
-    met = settled(met, "bandkeys")
-    members = parts.select("h", "bands").mapInArrow(partial(_in_bands, bitmap=hash_bitmap(met, "bucket")), "bucket long, id long")
-    members, met_members = settled_at(members.distinct(), "members")
-    # the band keys, most of the table, have done their work
-    parts = settled(parts.drop("bands"), "paragraphs")
-    let_go(docs.sparkSession, written)
+    place = f"row long, doc_id {kind}, first_word long, end_word long, h long"
+    parts = own.mapInArrow(partial(_placed, bands=bands, per_band=per_band, bitmap=hash_bitmap(met, "bucket", met.count())), ", ".join([place, "bands array<long>, n int", *(f"{c} long" for c in PARITY)]))
+    parts = settled(parts, "paragraphs")
+    let_go(docs.sparkSession, met_keys)
+    members, met_members = settled_at(parts.select(F.explode("bands").alias("bucket"), F.col("h").alias("id")).distinct(), "members")
     # bands in which the same classes meet need only one of them: 128 bits and a count tell the sets apart
     alike = members.groupBy("bucket").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit("again"))).alias("y"))
     one = alike.where("n > 1").groupBy("n", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket")
-    members = settled(members.join(one, "bucket", "left_semi"), "members")
+    members, one_members = settled_at(members.join(one, "bucket", "left_semi"), "members")
     let_go(docs.sparkSession, met_members)
-    shingles = docs.select("text").mapInArrow(partial(_wanted_shingles, bitmap=hash_bitmap(members, "id")), "id long, shingles array<long>")
+    # few classes of a band are similar, and 40 bytes of each tell nearly all others: only what is left is compared by its shingles
+    sketches = parts.where("n is not null").groupBy(F.col("h").alias("id")).agg(*(F.first(c).alias(c) for c in ("n", *PARITY)))
+    rows = split_buckets(members.withColumn("anchor", F.lit(True)), COMPARED_ANCHORS).join(sketches, "id")
+    near = grouped(rows).mapInArrow(_may_link, "a long, b long").select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    near = settled(near, "near")
+    members = settled(members.join(near, "id", "left_semi"), "members")
+    let_go(docs.sparkSession, one_members)
+    shingles = docs.select("text").mapInArrow(partial(_wanted_shingles, bitmap=hash_bitmap(near, "id", near.count())), "id long, shingles array<long>")
     shingles = shingles.groupBy("id").agg(F.first("shingles").alias("shingles"))
     rows = split_buckets(members.withColumn("anchor", F.lit(True)), COMPARED_ANCHORS).join(shingles, "id")
     similar = components(grouped(rows).mapInArrow(_links, "a long, b long")).withColumnRenamed("id", "h")
 
+    parts = parts.drop("bands", "n", *PARITY)
     counts = parts.groupBy("h").agg(F.count("*").alias("n"))
     classes = counts.join(similar, "h", "left").where("n > 1 or component is not null")  # no other class can be repeated
     labels = settled(classes.select("h", F.coalesce("component", "h").alias("component"), "n"), "labels")
-    found = parts.mapInArrow(partial(_in_hashes, bitmap=hash_bitmap(labels, "h")), f"row long, doc_id {kind}, first_word long, end_word long, h long")
+    found = parts.mapInArrow(partial(_in_hashes, bitmap=hash_bitmap(labels, "h", labels.count())), place)
     found = salted_join(found, labels, "h", parts.count()).drop("h")
     places = _islands(found, ["row", "component"], F.col("first_word") >= F.col("before")).groupBy("row", "doc_id", "component", "island").agg(F.min("first_word").alias("first_word"), F.max("end_word").alias("end_word"))
     places = settled(places.drop("island"), "places")

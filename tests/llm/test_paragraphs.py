@@ -5,10 +5,12 @@ from __future__ import annotations
 import random
 import re
 from collections import defaultdict
+from pathlib import Path
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from framelake.llm import paragraphs
+from framelake.llm import paragraphs, shared
 from framelake.llm.bytewords import mixed, word_hashes
 
 NEAR = paragraphs.NEAR
@@ -143,3 +145,33 @@ def test_similar_is_exact(spark):
         paragraphs.COMPARED, was = most, paragraphs.COMPARED
         assert paragraphs._similar(table, i, j).tolist() == want
         paragraphs.COMPARED = was
+
+
+def test_band_keys_take_little_disk(spark, monkeypatch):
+    r = random.Random(11)
+    words = ["".join(r.choices("abcdefghijklm", k=6)) for _ in range(40_000)]
+    texts = ["\n".join(" ".join(r.choices(words, k=12)) for _ in range(20)) for _ in range(2_000)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
+    sizes, real = [], shared.settled_at
+
+    def sized(df, name, by=None):
+        out = real(df, name, by)
+        sizes.append(sum(f.stat().st_size for f in Path(out[1].removeprefix("file:")).rglob("*.parquet")))
+        return out
+
+    monkeypatch.setattr(shared, "settled_at", sized)
+    monkeypatch.setattr(paragraphs, "settled_at", sized)
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+    docs = shared.settled(docs, "texts")
+    sizes.clear()
+    before = written()
+    assert paragraphs.repeated_passages(docs).count() == 0
+    assert max(sizes) + written() - before < 4.5 * sum(map(len, texts))
+
+
+def test_bitmaps_grow_with_their_hashes(spark):
+    hashes = spark.range(1 << 22).select(F.xxhash64("id").alias("h"))
+    bitmap = shared.hash_bitmap(hashes, "h", 1 << 22).value
+    told = lambda x: shared.in_bitmap(bitmap, x.toArrow()["h"].to_numpy().view(np.uint64)).mean()
+    assert told(hashes.limit(100_000)) == 1
+    assert told(spark.range(1 << 40, (1 << 40) + 100_000).select(F.xxhash64("id").alias("h"))) < 0.1
